@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from chronopath.llm.bpe import op6_bpe_encode_decode, op7_token_counts
 from chronopath.llm.embedding_dedup import op1_embedding_dedup
+from chronopath.llm.fingerprints import op3_document_fingerprints
 from chronopath.llm.ngram_join import op8_ngram_jaccard_join
 from chronopath.llm.suffix_dedup import op2_suffix_array_dedup
 from chronopath.llm.token_files import op4_token_files
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_array_dedup, op4_token_files, op6_bpe_encode_decode, op7_token_counts, op8_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_array_dedup, op3_document_fingerprints, op4_token_files, op6_bpe_encode_decode, op7_token_counts, op8_ngram_jaccard_join)}
 SQL: dict[str, str] = {}

@@ -19,7 +19,7 @@ from chronopath.llm.ngram_join import _K, mix, word_hashes
 
 #: Bounds of the training sample (by least hash of doc_id) and of the model.
 MAX_TOXIC, MAX_CLEAN, FEATURES, LEAST_DOCS = 2500, 5000, 4000, 4
-EPOCHS, RATE, L2 = 160, 0.08, 2e-3
+EPOCHS, RATE, L2 = 220, 0.08, 2e-2
 U = np.uint64
 _GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _STOP = np.zeros(256, bool)
@@ -121,7 +121,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], toxic: np.ndarr
         leak = np.exp(theta[-1])
         hazard = leak + np.bincount(own, np.logaddexp(0, zs), n)
         slope = weight * np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(hazard, 700)), 1e-9), 1.0) / total  # d loss / d hazard
-        gs = slope[own] / (1 + np.exp(-zs))
+        gs = slope[own] / (1 + np.exp(np.clip(-zs, -700, 700)))
         g = np.r_[np.bincount(f, gs[s], len(keys)) + L2 / len(keys) * theta[:-2], gs.sum(), slope.sum() * leak]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from chronopath.llm.bpe import op6_bpe_encode_decode, op7_token_counts
 from chronopath.llm.embedding_dedup import op1_embedding_dedup
 from chronopath.llm.fingerprints import op3_document_fingerprints
+from chronopath.llm.licenses import op10_license_scan
+from chronopath.llm.mixing import op9_mix_to_targets
 from chronopath.llm.ngram_join import op8_ngram_jaccard_join
 from chronopath.llm.suffix_dedup import op2_suffix_array_dedup
 from chronopath.llm.token_files import op4_token_files
 from chronopath.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_array_dedup, op3_document_fingerprints, op4_token_files, op5_toxicity, op6_bpe_encode_decode, op7_token_counts, op8_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_array_dedup, op3_document_fingerprints, op4_token_files, op5_toxicity, op6_bpe_encode_decode, op7_token_counts, op8_ngram_jaccard_join, op9_mix_to_targets, op10_license_scan)}
 SQL: dict[str, str] = {}

@@ -122,7 +122,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], toxic: np.ndarr
         hazard = leak + np.bincount(own, np.logaddexp(0, zs), n)
         slope = weight * np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(hazard, 700)), 1e-9), 1.0) / total  # d loss / d hazard
         gs = slope[own] / (1 + np.exp(np.clip(-zs, -700, 700)))
-        g = np.r_[np.bincount(f, gs[s], len(keys)) + L2 / len(keys) * theta[:-2], gs.sum(), slope.sum() * leak]
+        g = np.r_[np.bincount(f, gs[s], len(keys)) + L2 / max(1, len(keys)) * theta[:-2], gs.sum(), slope.sum() * leak]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
     return Model(keys, theta[:-2], float(theta[-2]), float(np.exp(theta[-1])))

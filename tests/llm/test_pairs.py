@@ -107,6 +107,7 @@ def test_jaccard_against_brute_force(spark, group, monkeypatch):
         rows.append((i * 3, " ".join(w)))
     rows += [(5000, None), (5001, ""), (5002, " \t\n"), (5003, "Ünï X"), (5004, "Ünï x"), (5005, "ünï x"), (5006, rows[3][1].upper())]
     monkeypatch.setattr(ngram_join, "SMALL_GROUP", group)
+    monkeypatch.setattr(ngram_join, "GROUP_BLOCK", 3 * group)
     sizes, links = brute_sets(rows)
     comp = smallest([r[0] for r in rows], links)
     got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as sig")).toPandas().set_index("doc_id")

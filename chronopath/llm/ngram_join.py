@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from chronopath.llm.common import Bounded, connected_components, drop_path, materialize, pack, shuffle_parts, texts
 
-BAND_RATIO, EXPECTED_ROWS, SMALL_GROUP = 1.25, 1e8, 8
+BAND_RATIO, EXPECTED_ROWS, SMALL_GROUP, GROUP_BLOCK = 1.25, 1e6, 8, 4096
 U = np.uint64
 _K = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)]
 
@@ -30,31 +30,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-class Shingler:
-    """Sets of word shingles as sorted distinct 64-bit hashes."""
-
-    def __init__(self, width: int = 3):
-        self.width, self.memo = width, Bounded(400_000)
-
-    def words(self, text: str) -> list[bytes]:
-        return text.encode("utf-8", "surrogatepass").lower().split()  # ASCII case and \x20 \x09-\x0D only
-
-    def of(self, text: str) -> np.ndarray:
-        words, memo, k = self.words(text), self.memo, self.width
-        if not words:
-            return np.empty(0, U)
-        if len(words) < k:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), len(words))], U)
-        memo.room(len(words))
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(memo.__getitem__, words), U, len(words))
-        n = len(h) - k + 1
-        x = np.zeros(n, U)
-        for i in range(k):
-            x = mix(x + h[i : i + n] * _K[i % 3])
-        x.sort()
-        return x[np.r_[True, x[1:] != x[:-1]]]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+_BYTE = np.random.default_rng(91).integers(-(1 << 63), 1 << 63, 256, dtype=np.int64).astype(U)
+
+
+def word_hashes(buf: np.ndarray, blanks: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, 64-bit hash) of the words of a buffer: bytes weighted by their place in the word, summed and mixed."""
+    blank = blanks[buf]
+    start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    if not len(start):
+        return start, np.empty(0, U)
+    ends = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
+    at = np.arange(len(buf)) - np.repeat(start, np.diff(np.r_[start, len(buf)])) if not start[0] else np.arange(len(buf)) - np.r_[np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.r_[start, len(buf)]))]
+    place = mix(np.arange(int((ends - start).max()) + 1, dtype=U) + _K[0]) | U(1)
+    value = _BYTE[_LOWER[buf]] * place[np.minimum(at, len(place) - 1)]
+    value[blank] = 0
+    return start, mix(np.add.reduceat(value, start) + (ends - start).astype(U) * _K[1])
+
+
+def shingle_sets(texts: list[str], width: int = 3) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word shingles."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    out, i = [], 0
+    while i < len(raw):  # about a megabyte at a time, so that arrays stay in the caches
+        j, held = i, 0
+        while j < len(raw) and (j == i or held + len(raw[j]) < 1 << 20):
+            held += len(raw[j]) + 1
+            j += 1
+        edges = np.cumsum([0] + [len(r) + 1 for r in raw[i:j]])
+        start, h = word_hashes(np.frombuffer(b"\n".join([*raw[i:j], b""]), np.uint8))
+        first = np.searchsorted(start, edges)
+        x = np.zeros(max(0, len(h) - width + 1), U)
+        for k in range(width):
+            x = mix(x + h[k : k + len(x)] * _K[k % 3])
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b - a >= width:
+                y = np.sort(x[a : b - width + 1])
+                out.append(y[np.r_[True, y[1:] != y[:-1]]])
+            elif b > a:  # the whole sequence is the one shingle
+                one = np.full(1, b - a, U)
+                for k in range(a, b):
+                    one = mix(one * _K[2] + h[k])
+                out.append(one)
+            else:
+                out.append(np.empty(0, U))
+        i = j
+    return out
 
 
 def max_difference(total: int, num: int, den: int) -> int:
@@ -89,13 +113,13 @@ def allocation(lo: int, hi: int, num: int, den: int) -> tuple[int, int]:
 def signatures(x: np.ndarray, num: int = 90, den: int = 100) -> np.ndarray:
     """Signatures of a set in the bands where it can meet a linked set."""
     n, out = len(x), []
-    starts = bands(2 * n + 2)
+    starts = bands(n * den // num * 2 + 2)
     own = int(np.searchsorted(starts, n, "right")) - 1
     places = np.minimum(mix(x + _K[1]) >> U(11), U((1 << 53) - 1)).astype(np.float64) / float(1 << 53)
     g = mix(x ^ _K[2])
-    for b in (own, own + 1):
+    for b in range(own, len(starts) - 1):
         if b != own and den * n < num * starts[b]:
-            continue
+            break
         ones, exact = allocation(starts[b], starts[b + 1] - 1, num, den)
         m = ones + exact
         if not m:
@@ -111,6 +135,21 @@ def signatures(x: np.ndarray, num: int = 90, den: int = 100) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U)
 
 
+def parity(x: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of 2^k bins: where two of these differ in more bins than H, so do the sets."""
+    bins = 1 << max(6, (8 * (len(x) // 9 + 1) - 1).bit_length())
+    return np.packbits(np.bincount((x & U(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8) & 1).tobytes()
+
+
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of 64-bit numbers, wider ones folded to ``width`` bytes: bins that agree modulo the width meet."""
+    out = np.empty((len(sketches), width), np.uint8)
+    for i, s in enumerate(sketches):
+        v = np.frombuffer(s, np.uint8)
+        out[i] = v if len(v) == width else np.bitwise_xor.reduce(v.reshape(-1, width), axis=0)
+    return out.view(U)
+
+
 def digest(x: np.ndarray, salt: int) -> int:
     return xxhash.xxh3_64_intdigest(x.tobytes(), salt) - (1 << 63)
 
@@ -119,14 +158,14 @@ def _scan(width: int, num: int, den: int, buckets: int, salt: int):
     """One pass over the texts: a row for each document, and packed signatures for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh, seen = Shingler(width), Bounded(200_000)
+        seen = Bounded(200_000)
         none = lambda n, kind: pa.nulls(n, kind)
         for b in batches:
-            ids, sizes, nodes, sigs, owners, lens = b.column("doc_id"), [], [], [], [], []
-            for t in texts(b):
-                x = sh.of(t)
+            ids, sizes, nodes, sigs, owners, lens, marks = b.column("doc_id"), [], [], [], [], [], []
+            for x in shingle_sets(texts(b), width):
                 sizes.append(len(x))
                 nodes.append(digest(x, salt) if len(x) else None)
+                marks.append(parity(x) if len(x) else None)
                 if len(x) and nodes[-1] not in seen:  # equal sets sign once a worker
                     seen.room(1)
                     seen[nodes[-1]] = True
@@ -136,12 +175,12 @@ def _scan(width: int, num: int, den: int, buckets: int, salt: int):
                         owners.append(np.full(len(s), nodes[-1], np.int64))
                         lens.append(np.full(len(s), len(x), np.int32))
             n = len(sizes)
-            yield pa.RecordBatch.from_pydict({"doc_id": ids.cast(pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.int64()), "bucket": none(n, pa.int32()), "sig": none(n, pa.binary()), "who": none(n, pa.binary()), "len": none(n, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids.cast(pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.int64()), "mark": pa.array(marks, pa.binary()), "bucket": none(n, pa.int32()), "sig": none(n, pa.binary()), "who": none(n, pa.binary()), "len": none(n, pa.binary())})
             if sigs:
                 s = np.concatenate(sigs)
                 packed = list(pack((s % U(buckets)).astype(np.int32), [s, np.concatenate(owners), np.concatenate(lens)]))
                 k = len(packed)
-                yield pa.RecordBatch.from_pydict({"doc_id": none(k, pa.int64()), "n_shingles": none(k, pa.int64()), "node": none(k, pa.int64()), "bucket": pa.array([p[0] for p in packed], pa.int32()), **{c: pa.array([p[1][i] for p in packed], pa.binary()) for i, c in enumerate(("sig", "who", "len"))}})
+                yield pa.RecordBatch.from_pydict({"doc_id": none(k, pa.int64()), "n_shingles": none(k, pa.int64()), "node": none(k, pa.int64()), "mark": none(k, pa.binary()), "bucket": pa.array([p[0] for p in packed], pa.int32()), **{c: pa.array([p[1][i] for p in packed], pa.binary()) for i, c in enumerate(("sig", "who", "len"))}})
 
     return run
 
@@ -196,11 +235,71 @@ def _meet(num: int, den: int):
     return run
 
 
+def _may_link(num: int, den: int):
+    """Pairs that their parities don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb, keep = np.asarray(b.column("na")), np.asarray(b.column("nb")), []
+            for i, (p, q) in enumerate(zip(b.column("ma").to_pylist(), b.column("mb").to_pylist(), strict=True)):
+                x, y = _folded([p, q], min(len(p), len(q)))
+                if int(np.bitwise_count(x ^ y).sum()) <= max_difference(int(na[i] + nb[i]), num, den):
+                    keep.append(i)
+            yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def _cross(num: int, den: int):
+    """Pairs across components in large signature groups, block against block, that sizes and parities don't rule out."""
+
+    def pairs(g: dict, same_block: bool) -> np.ndarray:
+        node, comp, size, blk = (np.array(g[c]) for c in ("node", "comp", "size", "blk"))
+        mark = _folded(g["mark"], min(map(len, g["mark"])))
+        out = []
+        for a in range(0, len(node), 256):
+            i = slice(a, a + 256)
+            ok = (comp[i, None] != comp) & (node[i, None] < node) if same_block else (comp[i, None] != comp) & (blk[i, None] < blk)
+            ok &= den * np.minimum(size[i, None], size) >= num * np.maximum(size[i, None], size)
+            p, q = np.nonzero(ok)
+            p += a
+            for lo in range(0, len(p), 200_000):
+                x, y = p[lo : lo + 200_000], q[lo : lo + 200_000]
+                differ = np.bitwise_count(mark[x] ^ mark[y]).sum(1, dtype=np.int64)
+                near = differ <= (size[x] + size[y]) * (den - num) // (den + num)
+                out.append(np.stack([node[x[near]], node[y[near]]], 1))
+        return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, g, seen = None, None, Bounded(300_000)
+
+        def done():
+            p = pairs(g, key[1] == key[2])
+            new = [t for t in map(tuple, np.sort(p, axis=1).tolist()) if t not in seen]
+            seen.room(len(new))
+            seen.update(dict.fromkeys(new))
+            new = np.array(new, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_pydict({"a": pa.array(new[:, 0]), "b": pa.array(new[:, 1])})
+
+        for b in batches:
+            cols = {c: b.column(c).to_pylist() for c in ("node", "comp", "size", "mark", "blk")}
+            for r, k in enumerate(zip(*(b.column(c).to_pylist() for c in ("sig", "i", "j")), strict=True)):
+                if k != key:
+                    if g:
+                        yield done()
+                    key, g = k, {c: [] for c in cols}
+                for c, v in cols.items():
+                    g[c].append(v[r])
+        if g:
+            yield done()
+
+    return run
+
+
 def _sets(width: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = Shingler(width)
         for b in batches:
-            x = [sh.of(t) for t in texts(b)]
+            x = shingle_sets(texts(b), width)
             yield pa.RecordBatch.from_pydict({"node": pa.array([digest(v, salt) for v in x], pa.int64()), "rep": b.column("doc_id").cast(pa.int64()), "hashes": pa.array([v.tobytes() for v in x], pa.binary())})
 
     return run
@@ -234,13 +333,13 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     """
     spark = docs.sparkSession
     src = docs.select("doc_id", "text")
-    schema = "doc_id long, n_shingles long, node long, bucket int, sig binary, who binary, len binary"
+    schema = "doc_id long, n_shingles long, node long, mark binary, bucket int, sig binary, who binary, len binary"
     buckets = shuffle_parts(spark) * 4
     salt = 0
     while True:
         scan, scan_path = materialize(src.mapInArrow(_scan(width, num, den, buckets, salt), schema), "ngram-scan")
-        facts = scan.where("bucket is null").select("doc_id", "n_shingles", "node")
-        nodes, nodes_path = materialize(facts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.max("n_shingles").alias("n2")), "ngram-nodes")
+        facts, _ = materialize(scan.where("bucket is null").select("doc_id", "n_shingles", "node", "mark"), "ngram-facts")
+        nodes, nodes_path = materialize(facts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.max("n_shingles").alias("n2"), F.first("mark").alias("mark")), "ngram-nodes")
         if not nodes.where("n <> n2").limit(1).count():  # a digest shared by sets of different sizes: hash anew
             break
         drop_path(spark, scan_path)
@@ -248,32 +347,34 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
         salt += 1
     packed = scan.where("bucket is not null").select("bucket", "sig", "who", "len").repartition(shuffle_parts(spark), "bucket")
     met, _ = materialize(packed.mapInArrow(_meet(num, den), "kind int, a long, b long, size int"), "ngram-met")
+    drop_path(spark, scan_path)
     pairs, _ = materialize(met.where("kind = 0").select("a", "b").distinct(), "ngram-pairs")
 
+    one, two = (nodes.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("mark").alias("m" + k)) for k in "ab")
+    likely, _ = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_may_link(num, den), "a long, b long"), "ngram-likely")
+    large = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), "size")
+    # The sets of all that may still be compared, from one more pass over their texts.
+    need = likely.select(F.col("a").alias("node")).union(likely.select("b")).union(large.select("node")).distinct().join(nodes, "node").where("rep is not null").select(F.col("rep").alias("doc_id"))
+    sets, sets_path = materialize(src.join(need, "doc_id").mapInArrow(_sets(width, salt), "node long, rep long, hashes binary").dropDuplicates(["node"]), "ngram-sets")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").where("rep is not null").select(F.col("rep").alias("doc_id"))
-        sets, sets_path = materialize(src.join(need, "doc_id").mapInArrow(_sets(width, salt), "node long, rep long, hashes binary").dropDuplicates(["node"]), "ngram-sets")
-        one = sets.select(F.col("node").alias("a"), F.col("rep").alias("ra"), F.col("hashes").alias("ha"))
-        two = sets.select(F.col("node").alias("b"), F.col("rep").alias("rb"), F.col("hashes").alias("hb"))
-        links, _ = materialize(pairs.join(one, "a").join(two, "b").select("ra", "rb", "ha", "hb").mapInArrow(_exact(num, den), "a long, b long"), "ngram-links")
-        drop_path(spark, sets_path)
-        return links
-
-    links = verified(pairs)
+        one, two = (sets.select(F.col("node").alias(k), F.col("rep").alias("r" + k), F.col("hashes").alias("h" + k)) for k in "ab")
+        return materialize(pairs.join(one, "a").join(two, "b").select("ra", "rb", "ha", "hb").mapInArrow(_exact(num, den), "a long, b long"), "ngram-links")[0]
+
+    links = verified(likely)
     comp = connected_components(links)
-    # Members of large groups that the first round left in another component than the rest of their group.
-    large = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), "size")
-    if large.limit(1).count():
-        placed = large.join(nodes.select("node", "rep"), "node").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "node", "size", F.coalesce("component", "rep").alias("comp"))
-        placed, _ = materialize(placed, "ngram-placed")
-        main = placed.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1").select("sig", "main")
-        apart = placed.join(main, "sig")
-        x = apart.where("comp <> main").select("sig", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("comp").alias("cx"))
-        y = apart.select("sig", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("comp").alias("cy"))
-        rest = x.join(y, "sig").where(f"cx <> cy and {den} * least(sx, sy) >= {num} * greatest(sx, sy)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        rest, _ = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
-        if rest.limit(1).count():
-            comp = connected_components(links.union(verified(rest)))
+    # Members of large groups that the first round left in another component than the rest of their group meet in
+    # pairs of blocks; only what their parities allow becomes a pair.
+    placed = large.join(nodes.select("node", "rep", "mark"), "node").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "node", "size", "mark", F.coalesce("component", "rep").alias("comp"))
+    sizes = large.groupBy("sig").agg(F.count("*").alias("g"))
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig").join(sizes, "sig")
+    dealt = placed.join(mixed, "sig").withColumn("nb", F.ceil(F.col("g") / GROUP_BLOCK).cast("int")).withColumn("blk", F.expr("cast(pmod(xxhash64(node), nb) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
+    dealt = dealt.select("sig", "i", "j", "node", "size", "mark", "comp", "blk").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    rest, _ = materialize(dealt.mapInArrow(_cross(num, den), "a long, b long").distinct(), "ngram-rest")
+    if rest.limit(1).count():
+        comp = connected_components(links.union(verified(rest)))
+    drop_path(spark, sets_path)
     reps = nodes.select("node", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
     out = facts.join(reps, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronopath.plans import graph_queries, star_queries
+from chronopath.plans import graph_queries, star_queries, workload_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**graph_queries.QUERIES, **star_queries.QUERIES}
-SQL: dict[str, str] = {**graph_queries.SQL, **star_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**graph_queries.QUERIES, **star_queries.QUERIES, **workload_queries.QUERIES}
+SQL: dict[str, str] = {**graph_queries.SQL, **star_queries.SQL, **workload_queries.SQL}
 flagship = graph_queries.flagship

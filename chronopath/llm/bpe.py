@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +24,43 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from chronopath.llm.common import Bounded, texts
+from chronopath.llm.common import small_batches, texts
 
 NEVER = 1 << 40
 #: White space of Unicode; str.split() also splits at \x1c-\x1f, which are ordinary characters to the tokenizer.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
-MEMO = 250_000
+MEMO = 80_000  # words in each of a memo's two generations
+_ENDS = frozenset(".,!?;:")
+
+
+class Memo:
+    """Values of words in two generations: when the young one is full it becomes the old one, and the old one goes.
+
+    A word that is met again moves to the young generation, so common words stay however many rare ones pass.
+    """
+
+    def __init__(self, limit: int = MEMO):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, words: set[str]) -> tuple[dict, list[str]]:
+        """(values of the words it knows, words that it doesn't)."""
+        young, old, known, new = self.young, self.old, {}, []
+        for w in words:
+            v = young.get(w)
+            if v is None:
+                v = old.get(w)
+                if v is None:
+                    new.append(w)
+                    continue
+                young[w] = v
+            known[w] = v
+        return known, new
+
+    def put(self, values: dict) -> None:
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        self.young.update(values)
 
 
 def default_path() -> str:
@@ -106,7 +136,12 @@ class WordBPE:
         self.table = {i: c for i, c in enumerate(self.chars)}
         self.inner = np.array([self.vocab[c] for c in self.chars], np.int64)
         self.last = np.array([self.vocab[c + self.suffix] for c in self.chars], np.int64)
-        self.longest = max(map(len, self.vocab))
+        # Tokens that end a word, without their suffix, and how far tokens reach that begin with two characters.
+        self.ended = {t[: len(t) - len(self.suffix)]: i for t, i in self.vocab.items() if t.endswith(self.suffix) and len(t) > len(self.suffix)}
+        self.reach: dict[str, int] = {}
+        for t in self.vocab:
+            if not (self.suffix and t.endswith(self.suffix)):
+                self.reach[t[:2]] = max(self.reach.get(t[:2], 0), len(t))
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def words(self, text: str) -> list[str]:
@@ -116,19 +151,31 @@ class WordBPE:
 
     def pretokens(self, word: str) -> list[str | int]:
         """Pre-tokens of a word without white space, in byte characters; special tokens as ids."""
-        if word.isascii() and word.isalpha():
-            return [word.lower()]
+        # Below U+0250 nothing composes, and letters alone, or with one stop behind, are plain pre-tokens.
+        if word.isascii():
+            if word.isalpha():
+                return [word.lower()]
+            if word[-1] in _ENDS and word[:-1].isalpha():
+                return [word[:-1].lower(), word[-1]]
+        elif max(word) < "ɐ":
+            low = word.lower()  # may bring in a mark (U+0130), which is no letter
+            if low.isalpha():
+                return [self.bytes_of(low)]
+            if low[-1] in _ENDS and low[:-1].isalpha():
+                return [self.bytes_of(low[:-1]), low[-1]]
         out: list[str | int] = []
         for p in self.special.split(word) if self.special and "<" in word else [word]:
             if p in self.specials:
                 out.append(self.specials[p])
             elif p and max(p) < "ɐ":
-                p = unicodedata.normalize("NFC", p).lower()
-                out += [x.encode().decode("latin-1").translate(self.table) for x in self.split.findall(p)]
+                out += [x.encode().decode("latin-1").translate(self.table) for x in self.split.findall(p.lower())]
             elif p:  # other scripts: the library's own tables
                 out += [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(p))]
         return out
 
+    def bytes_of(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.table)
+
     def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Base symbols of words in byte characters, with each symbol's word."""
         back = self._back()
@@ -193,19 +240,19 @@ class WordBPE:
         return out
 
     def longest_match(self, word: str) -> list[int]:
-        out, p, n, vocab, suffix, top = [], 0, len(word), self.vocab, self.suffix, self.longest
-        while p < n:
-            t = vocab.get(word[p:] + suffix) if n - p <= top else None
-            e = n
+        out, p, n, inner, ended, reach = [], 0, len(word), self.vocab, self.ended, self.reach
+        while True:
+            t = ended.get(word[p:] if p else word)
+            if t is not None:
+                out.append(t)
+                return out
+            e = min(n - 1, p + reach.get(word[p : p + 2], 1))
+            while e > p + 1 and (t := inner.get(word[p:e])) is None:
+                e -= 1
             if t is None:
-                e = min(n - 1, p + top)
-                while e > p and (t := vocab.get(word[p:e])) is None:
-                    e -= 1
-                if t is None:  # the last character, or one that only stands before others
-                    t, e = vocab[word[p] + suffix] if p == n - 1 else vocab[word[p]], p + 1
+                t, e = inner[word[p]], p + 1
             out.append(t)
             p = e
-        return out
 
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging the symbols of left + right gives back these two tokens.
@@ -279,38 +326,39 @@ def coder(path: str) -> WordBPE:
     return _CODERS[path]
 
 
-def _prepared(c: WordBPE, memo: Bounded, value, batch: list[str]) -> Iterator[list[str]]:
-    """Words of each text, once the memo holds them all; about 4 MB of text at a time."""
+def _prepared(c: WordBPE, memo: Memo, value, batch: list[str]) -> Iterator[tuple[list[str], dict]]:
+    """Words of each text, with the values of all of them; about 1 MB of text at a time."""
     i = 0
     while i < len(batch):
         j, held, part = i, 0, []
-        while j < len(batch) and (j == i or held + len(batch[j]) < 1 << 22):
+        while j < len(batch) and (j == i or held + len(batch[j]) < 1 << 20):
             part.append(c.words(batch[j]))
             held += len(batch[j])
             j += 1
-        need = {w for p in part for w in p}
-        memo.room(len(need))
-        value([w for w in need if w not in memo])
-        yield from part
+        known, new = memo.get(set().union(*part))
+        made = value(new)
+        memo.put(made)
+        known.update(made)
+        for p in part:
+            yield p, known
         i = j
 
 
 def _count(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, memo = coder(path), Bounded(MEMO)
+        c, memo = coder(path), Memo()
 
-        def value(new: list[str]) -> None:
+        def value(new: list[str]) -> dict:
             pre = [c.pretokens(w) for w in new]
             flat = [p for w in pre for p in w if isinstance(p, str)]
             n = c.count_symbols(flat)
             own = np.fromiter((i for i, w in enumerate(pre) for p in w if isinstance(p, str)), np.int64, len(flat))
             total = np.bincount(own, n, len(new)) if len(flat) else np.zeros(len(new))
-            for i, w in enumerate(new):
-                memo[w] = int(total[i]) + sum(not isinstance(p, str) for p in pre[i])
+            return {w: int(total[i]) + sum(not isinstance(p, str) for p in pre[i]) for i, w in enumerate(new)}
 
         for b in batches:
             t = texts(b)
-            n = [sum(map(memo.__getitem__, w)) for w in _prepared(c, memo, value, t)]
+            n = [sum(map(known.__getitem__, w)) for w, known in _prepared(c, memo, value, t)]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "n_bytes": pa.array([len(x.encode("utf-8", "surrogatepass")) for x in t], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n])})
 
     return run
@@ -322,24 +370,27 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
     Special tokens' strings in a text count as the one token that the library makes of them; none are added. Null and
     empty texts have no tokens; other columns are ignored; a null doc_id keeps its row. No shuffle.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_count(path or default_path(), limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def _code(path: str, ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, memo = coder(path), Bounded(MEMO)
+        c, memo = coder(path), Memo()
 
-        def value(new: list[str]) -> None:
+        def value(new: list[str]) -> dict:
             pre = [c.pretokens(w) for w in new]
             got = iter(c.speculate([p for w in pre for p in w if isinstance(p, str)])[0])
+            out = {}
             for w, parts in zip(new, pre, strict=True):
                 one = [i for p in parts for i in (next(got) if isinstance(p, str) else [p])]
-                memo[w] = np.array(one, np.uint32).tobytes(), " ".join([c.text[i] for i in one])
+                out[w] = struct.pack(f"<{len(one)}I", *one), " ".join([c.text[i] for i in one])
+            return out
 
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if ids else ()))}
-            for words in _prepared(c, memo, value, texts(b)):
-                pairs = [memo[w] for w in words]
+            for words, known in _prepared(c, memo, value, texts(b)):
+                pairs = list(map(known.__getitem__, words))
                 raw = b"".join([p[0] for p in pairs])
                 said = " ".join([p[1] for p in pairs if p[1]])
                 out["n_tokens"].append(len(raw) // 4)
@@ -362,6 +413,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
     does for a file without a decoder. Null and empty texts give no ids and the empty decoded text; other columns are
     ignored; a null doc_id keeps its row. No shuffle.
     """
+    small_batches(docs.sparkSession)
     more = ", ids array<int>, decoded string" if with_ids else ""
     return docs.select("doc_id", "text").mapInArrow(_code(path or default_path(), with_ids), f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronopath.functions import temporal as T
+from chronopath.operators import algorithms as A
 from chronopath.operators import envelopes as E
 from chronopath.operators import paths as P
 from chronopath.plans.temporal_graph import demo, graph, sql
@@ -194,6 +195,21 @@ def i27_first_paths(spark, sf):
     return x.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("cost", "n", "path")).cast("long")).where("k <= 3").select("query_id", "path", "cost", "k")
 
 
+def g1_pivots(spark, sf):
+    g = graph(spark, sf)
+    return A.pivots(g, g.queries, P.corridor(g.edges, g.queries, _bounds(spark, sf)), 4)
+
+
+def i26_sampled(spark, sf):
+    g = graph(spark, sf)
+    return A.answer("sampled", g, g.queries.where("src <> dst and (te - ts) % 10 = 0")).select("query_id", "s", "e", "s_inc", "e_inc", _text())
+
+
+def i31_through_pivots(spark, sf):
+    g = graph(spark, sf)
+    return A.answer("through_pivots", g, g.queries).select("query_id", "s", "e", "s_inc", "e_inc", _text())
+
+
 def demo_envelope(spark, sf):
     g = demo(spark)
     return E.envelope(P.profiles(g.edges, g.queries), g.queries).select("query_id", "s", "e", "s_inc", "e_inc", _text())
@@ -233,7 +249,12 @@ FROM edges e JOIN knots k ON k.arc_id = e.arc_id AND k.k = 4 JOIN knots n ON n.a
     "c14_envelope_at_grid": sql(_AT + " SELECT query_id, t, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id, t ORDER BY score DESC, arrival, n, p) AS k FROM got) WHERE k = 1", True),
     "c16_fastest_at_grid": sql(_AT + " SELECT query_id, t, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id, t ORDER BY arrival, n, p) AS k FROM got) WHERE k = 1", True),
     "i23_best_point": sql(_AT + " SELECT query_id, t, path, score, round(arrival - t, 6) AS travel FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, round(arrival - t, 6), t, path) AS k FROM got) WHERE k = 1", True),
+    "g1_pivots": sql(_WALKS + """, cor AS (SELECT q.query_id, q.ts, q.te, q.b, e.arc_id, q.b - a.from_src - l.lb - z.to_dst AS slack FROM qs q JOIN bnd a ON a.query_id = q.query_id JOIN edges e ON e.u = a.node JOIN lows l ON l.arc_id = e.arc_id JOIN bnd z ON z.query_id = q.query_id AND z.node = e.v WHERE e.u <> e.v),
+x AS (SELECT query_id, arc_id, slack, max(score) AS best, CAST(sum(least(t1, te + b) - greatest(t0, ts)) AS double) AS covered FROM cor JOIN scores USING (arc_id) WHERE slack >= 0 AND score > 0 AND greatest(t0, ts) < least(t1, te + b) GROUP BY 1, 2, 3)
+SELECT query_id, arc_id, best, covered, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, covered DESC, slack DESC, arc_id) AS rank FROM x) WHERE rank <= 4""", True),
+    "i26_sampled": sql(_AT + """, won AS (SELECT query_id, t, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id, t ORDER BY score DESC, arrival, n, p) AS k FROM got) WHERE k = 1)
+SELECT query_id, t::double AS s, coalesce(lead(t) OVER w, t)::double AS e, true AS s_inc, lead(t) OVER w IS NULL AS e_inc, path FROM (SELECT DISTINCT query_id, t FROM dep JOIN qs USING (query_id) WHERE src <> dst AND (te - ts) % 10 = 0) LEFT JOIN won USING (query_id, t) WINDOW w AS (PARTITION BY query_id ORDER BY t)""", True),
     "b33_horizon": sql(" SELECT query_id, CASE WHEN te + b <= 2880 THEN 'OK' ELSE 'OUT_OF_HORIZON' END AS status FROM (SELECT query_id, te, b FROM qs UNION ALL SELECT query_id + 100, te + 2400, b FROM qs)"),
     "demo_envelope": "SELECT 0 AS query_id, 420.0::double AS s, 430.0::double AS e, true AS s_inc, true AS e_inc, '0-1' AS path",
 }
-QUERIES = {f.__name__: f for f in (a14_graph_counts, b_edge_functions, e1_edge_summary, e2_partition, g3_cell_top_scores, i1_lower_bounds, i4_corridor, i7_paths, i13_point_labels, i14_latest_labels, i10_profile_at_grid, i12_replay, c14_envelope_at_grid, c16_fastest_at_grid, c14_envelope, c16_fastest_envelope, c7_undominated, c8_retained, e4_metrics, e5_agreement, b33_horizon, i23_best_point, i27_first_paths, demo_envelope)}
+QUERIES = {f.__name__: f for f in (a14_graph_counts, b_edge_functions, e1_edge_summary, e2_partition, g3_cell_top_scores, i1_lower_bounds, i4_corridor, i7_paths, i13_point_labels, i14_latest_labels, i10_profile_at_grid, i12_replay, c14_envelope_at_grid, c16_fastest_at_grid, c14_envelope, c16_fastest_envelope, c7_undominated, c8_retained, e4_metrics, e5_agreement, b33_horizon, i23_best_point, i27_first_paths, g1_pivots, i26_sampled, i31_through_pivots, demo_envelope)}

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopath.llm.common import shuffle_parts
+from chronopath.llm.common import shuffle_parts, small_batches
 
 CELLS, LARGEST = 36, 36 * 4**9
 U = np.uint64
@@ -177,6 +177,7 @@ def fingerprints(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     document of the range below it, so one shuffle of the texts is all.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = shuffle_parts(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = sorted({int(b) for b in src.approxQuantile("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 0.25 / (4 * parts))})

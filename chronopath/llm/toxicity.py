@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopath.llm.common import texts
+from chronopath.llm.common import small_batches, texts
 from chronopath.llm.ngram_join import _K, mix, word_hashes
 
 #: Bounds of the training sample (by least hash of doc_id) and of the model.
-MAX_TOXIC, MAX_CLEAN, FEATURES, LEAST_DOCS = 2500, 5000, 4000, 4
+MAX_TOXIC, MAX_CLEAN, FEATURES, LEAST_DOCS = 1500, 3000, 4000, 4
 EPOCHS, RATE, L2 = 220, 0.08, 2e-2
 U = np.uint64
 _GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -97,6 +97,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], toxic: np.ndarr
     share = toxic.mean()
     z = (pos - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
     z[df < LEAST_DOCS] = -np.inf
+    del which, flat, owner, back
     # Features that speak for toxicity or against it; ties by hash.
     best = np.argsort(-np.abs(np.where(np.isinf(z), 0, z)), kind="stable")[:FEATURES]
     keys = np.sort(keys[best[~np.isinf(z[best])]])
@@ -109,9 +110,15 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], toxic: np.ndarr
     start = np.concatenate([s + o for (_, _, s), o in zip(docs, words[:-1], strict=True)]).astype(np.int64)
     own = np.repeat(np.arange(len(docs)), [len(s) for _, _, s in docs])
     sent = np.repeat(np.arange(len(start)), np.diff(np.r_[start, words[-1]]))
-    f = np.concatenate([index(np.concatenate([d[i] for d in docs])) for i in (0, 1)])
-    s = np.r_[sent, sent]
-    f, s = f[f < len(keys)], s[f < len(keys)]
+    parts = []
+    for i in (0, 1):
+        at = np.cumsum([0] + [len(d[i]) for d in docs])
+        for k, d in enumerate(docs):
+            x = index(d[i])
+            hit = np.flatnonzero(x < len(keys))
+            parts.append((x[hit].astype(np.int32), sent[at[k] + hit].astype(np.int32)))
+    f, s = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    del parts, sent
     n, y = len(docs), toxic.astype(np.float64)
     theta = np.r_[np.zeros(len(keys)), -5.0, -3.0]  # weights, bias, log leak
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -138,6 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     """Model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)`` (null labels or ids don't count; of several
     labels of a document the largest counts). At most ``max_toxic`` and ``max_clean`` documents are drawn, those with
     the least hash of doc_id, and weighted to the shares that they were drawn from; their features come to the driver."""
+    small_batches(docs.sparkSession)
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r.n for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     drawn = None
@@ -192,6 +200,7 @@ def score(docs: DataFrame, model: Model, locate: bool = True) -> DataFrame:
     One row per row of ``docs(doc_id, text)``; other columns are ignored. Null and empty texts have no sentences and
     get the leak's score; a null doc_id is not held out. No shuffle.
     """
+    small_batches(docs.sparkSession)
     more = ", offending array<struct<start: long, end: long, score: double>>" if locate else ""
     out = docs.select("doc_id", "text", F.lit(None).cast("int").alias("key")).mapInArrow(_score(model, locate), f"doc_id long, score double{more}, key int")
     return out.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *(["offending"] if locate else []))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from chronopath.llm.common import Bounded, connected_components, drop_path, materialize, pack, shuffle_parts, texts
 
-BAND_RATIO, EXPECTED_ROWS, SMALL_GROUP, GROUP_BLOCK = 1.25, 1e6, 8, 4096
+BAND_RATIO, EXPECTED_ROWS, SMALL_GROUP, GROUP_BLOCK = 1.4, 1e6, 8, 4096
 U = np.uint64
 _K = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)]
 
@@ -96,18 +96,27 @@ def bands(limit: int) -> list[int]:
 
 
 @cache
-def allocation(lo: int, hi: int, num: int, den: int) -> tuple[int, int]:
-    """(one-deletion segments, exact segments) of a band: the cheapest count of signatures plus chance collisions."""
+def allocation(lo: int, hi: int, num: int, den: int) -> tuple[int, int, int]:
+    """(one-deletion segments, exact segments, spare) of a band: the cheapest count of signatures plus chance meetings.
+
+    Allowances cover H + 1 + spare differences, so linked sets agree in segments worth more than ``spare``. A set with
+    at most ``spare`` empty exact segments leaves those unsigned: they can't be all that agrees.
+    """
     need = max_difference(2 * hi, num, den) + 1
     if need == 1:
-        return 0, 0  # only equal sets can link, and they are one class already
+        return 0, 0, 0  # only equal sets can link, and they are one class already
     best = None
     for ones in range(0, min(need, 40) // 2 + 1 + need % 2):
-        exact = max(0, need - 2 * ones)
-        mean = lo / (ones + exact)
-        cost = exact + ones * (1 + mean) + EXPECTED_ROWS * (exact * math.exp(-2 * mean) + ones * ((1 + mean) * math.exp(-mean)) ** 2)
-        best = min(best or (cost, ones, exact), (cost, ones, exact))
-    return best[1], best[2]
+        for spare in range(0, 24):
+            exact = need + spare - 2 * ones
+            if exact < 0:
+                continue
+            mean = lo / (ones + exact)
+            empty = exact * math.exp(-mean)
+            tail = 1 - sum(math.exp(-empty) * empty**k / math.factorial(k) for k in range(spare + 1))
+            cost = exact + ones * (1 + mean) + EXPECTED_ROWS * (max(tail, 0.0) * math.exp(-mean) + ones * ((1 + mean) * math.exp(-mean)) ** 2)
+            best = min(best or (cost, ones, exact, spare), (cost, ones, exact, spare))
+    return best[1:]
 
 
 def signatures(x: np.ndarray, num: int = 90, den: int = 100) -> np.ndarray:
@@ -120,7 +129,7 @@ def signatures(x: np.ndarray, num: int = 90, den: int = 100) -> np.ndarray:
     for b in range(own, len(starts) - 1):
         if b != own and den * n < num * starts[b]:
             break
-        ones, exact = allocation(starts[b], starts[b + 1] - 1, num, den)
+        ones, exact, spare = allocation(starts[b], starts[b + 1] - 1, num, den)
         m = ones + exact
         if not m:
             continue
@@ -128,7 +137,11 @@ def signatures(x: np.ndarray, num: int = 90, den: int = 100) -> np.ndarray:
         total = np.zeros(m, U)
         np.add.at(total, seg, g)
         salt = mix(np.arange(m, dtype=U) + U((b * int(_K[0])) % (1 << 64)))
-        out.append(mix(total ^ salt))
+        signed = np.ones(m, bool)
+        empty = np.flatnonzero(np.bincount(seg, minlength=m)[ones:] == 0) + ones
+        if len(empty) <= spare:
+            signed[empty] = False
+        out.append(mix(total ^ salt)[signed])
         if ones:
             at = seg < ones
             out.append(mix((total[seg[at]] - g[at]) ^ salt[seg[at]]))
@@ -150,37 +163,57 @@ def _folded(sketches: list[bytes], width: int) -> np.ndarray:
     return out.view(U)
 
 
+def size_code(n: int) -> int:
+    """A set's size in steps of a tenth, for a filter before the exact one: a byte beside each signature."""
+    return min(255, int(math.log(n) * 10))
+
+
 def digest(x: np.ndarray, salt: int) -> int:
     return xxhash.xxh3_64_intdigest(x.tobytes(), salt) - (1 << 63)
 
 
-def _scan(width: int, num: int, den: int, buckets: int, salt: int):
-    """One pass over the texts: a row for each document, and packed signatures for each bucket."""
+def _facts(width: int, salt: int):
+    """Size, digest and parities of each document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = shingle_sets(texts(b), width)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "n_shingles": pa.array([len(v) for v in x], pa.int64()), "node": pa.array([digest(v, salt) if len(v) else None for v in x], pa.int64()), "mark": pa.array([parity(v) if len(v) else None for v in x], pa.binary())})
+
+    return run
+
+
+def _sign(width: int, num: int, den: int, buckets: int, salt: int):
+    """Packed signatures for each bucket. A second pass over the texts, so that signatures lie on disk once, as the
+    shuffle's files, and not in a table as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Bounded(200_000)
-        none = lambda n, kind: pa.nulls(n, kind)
+        sigs, owners, lens, held = [], [], [], 0
+
+        def out():
+            s = np.concatenate(sigs)
+            packed = list(pack((s % U(buckets)).astype(np.int32), [s, np.concatenate(owners), np.concatenate(lens)]))
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([p[0] for p in packed], pa.int32()), **{c: pa.array([p[1][i] for p in packed], pa.binary()) for i, c in enumerate(("sig", "who", "len"))}})
+
         for b in batches:
-            ids, sizes, nodes, sigs, owners, lens, marks = b.column("doc_id"), [], [], [], [], [], []
             for x in shingle_sets(texts(b), width):
-                sizes.append(len(x))
-                nodes.append(digest(x, salt) if len(x) else None)
-                marks.append(parity(x) if len(x) else None)
-                if len(x) and nodes[-1] not in seen:  # equal sets sign once a worker
-                    seen.room(1)
-                    seen[nodes[-1]] = True
-                    s = signatures(x, num, den)
-                    if len(s):
-                        sigs.append(s)
-                        owners.append(np.full(len(s), nodes[-1], np.int64))
-                        lens.append(np.full(len(s), len(x), np.int32))
-            n = len(sizes)
-            yield pa.RecordBatch.from_pydict({"doc_id": ids.cast(pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.int64()), "mark": pa.array(marks, pa.binary()), "bucket": none(n, pa.int32()), "sig": none(n, pa.binary()), "who": none(n, pa.binary()), "len": none(n, pa.binary())})
-            if sigs:
-                s = np.concatenate(sigs)
-                packed = list(pack((s % U(buckets)).astype(np.int32), [s, np.concatenate(owners), np.concatenate(lens)]))
-                k = len(packed)
-                yield pa.RecordBatch.from_pydict({"doc_id": none(k, pa.int64()), "n_shingles": none(k, pa.int64()), "node": none(k, pa.int64()), "mark": none(k, pa.binary()), "bucket": pa.array([p[0] for p in packed], pa.int32()), **{c: pa.array([p[1][i] for p in packed], pa.binary()) for i, c in enumerate(("sig", "who", "len"))}})
+                node = digest(x, salt) if len(x) else None
+                if node is None or node in seen:  # equal sets sign once a worker
+                    continue
+                seen.room(1)
+                seen[node] = True
+                s = signatures(x, num, den)
+                if len(s):
+                    sigs.append(s)
+                    owners.append(np.full(len(s), node, np.int64))
+                    lens.append(np.full(len(s), size_code(len(x)), np.uint8))
+                    held += len(s)
+            if held > 500_000:
+                yield out()
+                sigs, owners, lens, held = [], [], [], 0
+        if sigs:
+            yield out()
 
     return run
 
@@ -191,7 +224,7 @@ def _meet(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, who, size = [], [], []
         for b in batches:
-            for c, to, kind in (("sig", sig, U), ("who", who, np.int64), ("len", size, np.int32)):
+            for c, to, kind in (("sig", sig, U), ("who", who, np.int64), ("len", size, np.uint8)):
                 to += [np.frombuffer(v, kind) for v in b.column(c).to_pylist()]
         if not sig:
             return
@@ -210,7 +243,8 @@ def _meet(num: int, den: int):
         first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         count = np.diff(np.r_[first, len(sig)])
         grp = np.repeat(np.arange(len(first)), count)
-        fits = lambda i, j: den * np.minimum(size[i], size[j]).astype(np.int64) >= num * np.maximum(size[i], size[j]).astype(np.int64)
+        apart = math.ceil(math.log(den / num) * 10) + 1
+        fits = lambda i, j: np.abs(size[i].astype(np.int64) - size[j]) <= apart
         left, right = [], []
         small = count <= SMALL_GROUP
         for d in range(1, SMALL_GROUP):
@@ -227,10 +261,10 @@ def _meet(num: int, den: int):
         if len(pair):
             pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
             pair = pair[np.r_[True, (pair[1:] != pair[:-1]).any(1)]]
-        for kind, a, c, n in ((0, pair[:, 0], pair[:, 1], None), (1, sig[big].view(np.int64), who[big], size[big])):
+        for kind, a, c in ((0, pair[:, 0], pair[:, 1]), (1, sig[big].view(np.int64), who[big])):
             for lo in range(0, len(a), 100_000):
                 m = len(a[lo : lo + 100_000])
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(m, kind, np.int32)), "a": pa.array(a[lo : lo + 100_000]), "b": pa.array(c[lo : lo + 100_000]), "size": pa.array(n[lo : lo + 100_000].astype(np.int32)) if n is not None else pa.nulls(m, pa.int32())})
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(m, kind, np.int32)), "a": pa.array(a[lo : lo + 100_000]), "b": pa.array(c[lo : lo + 100_000])})
 
     return run
 
@@ -333,26 +367,23 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     """
     spark = docs.sparkSession
     src = docs.select("doc_id", "text")
-    schema = "doc_id long, n_shingles long, node long, mark binary, bucket int, sig binary, who binary, len binary"
     buckets = shuffle_parts(spark) * 4
     salt = 0
     while True:
-        scan, scan_path = materialize(src.mapInArrow(_scan(width, num, den, buckets, salt), schema), "ngram-scan")
-        facts, _ = materialize(scan.where("bucket is null").select("doc_id", "n_shingles", "node", "mark"), "ngram-facts")
+        facts, facts_path = materialize(src.mapInArrow(_facts(width, salt), "doc_id long, n_shingles long, node long, mark binary"), "ngram-facts")
         nodes, nodes_path = materialize(facts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.max("n_shingles").alias("n2"), F.first("mark").alias("mark")), "ngram-nodes")
         if not nodes.where("n <> n2").limit(1).count():  # a digest shared by sets of different sizes: hash anew
             break
-        drop_path(spark, scan_path)
+        drop_path(spark, facts_path)
         drop_path(spark, nodes_path)
         salt += 1
-    packed = scan.where("bucket is not null").select("bucket", "sig", "who", "len").repartition(shuffle_parts(spark), "bucket")
-    met, _ = materialize(packed.mapInArrow(_meet(num, den), "kind int, a long, b long, size int"), "ngram-met")
-    drop_path(spark, scan_path)
+    packed = src.mapInArrow(_sign(width, num, den, buckets, salt), "bucket int, sig binary, who binary, len binary").repartition(shuffle_parts(spark), "bucket")
+    met, _ = materialize(packed.mapInArrow(_meet(num, den), "kind int, a long, b long"), "ngram-met")
     pairs, _ = materialize(met.where("kind = 0").select("a", "b").distinct(), "ngram-pairs")
 
     one, two = (nodes.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("mark").alias("m" + k)) for k in "ab")
     likely, _ = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_may_link(num, den), "a long, b long"), "ngram-likely")
-    large = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), "size")
+    large = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"))
     # The sets of all that may still be compared, from one more pass over their texts.
     need = likely.select(F.col("a").alias("node")).union(likely.select("b")).union(large.select("node")).distinct().join(nodes, "node").where("rep is not null").select(F.col("rep").alias("doc_id"))
     sets, sets_path = materialize(src.join(need, "doc_id").mapInArrow(_sets(width, salt), "node long, rep long, hashes binary").dropDuplicates(["node"]), "ngram-sets")
@@ -365,7 +396,7 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     comp = connected_components(links)
     # Members of large groups that the first round left in another component than the rest of their group meet in
     # pairs of blocks; only what their parities allow becomes a pair.
-    placed = large.join(nodes.select("node", "rep", "mark"), "node").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "node", "size", "mark", F.coalesce("component", "rep").alias("comp"))
+    placed = large.join(nodes.select("node", "rep", "mark", F.col("n").cast("int").alias("size")), "node").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "node", "size", "mark", F.coalesce("component", "rep").alias("comp"))
     sizes = large.groupBy("sig").agg(F.count("*").alias("g"))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig").join(sizes, "sig")
     dealt = placed.join(mixed, "sig").withColumn("nb", F.ceil(F.col("g") / GROUP_BLOCK).cast("int")).withColumn("blk", F.expr("cast(pmod(xxhash64(node), nb) as int)"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from chronopath.llm.common import Bounded, drop_path, materialize, pack, shuffle_parts
 from chronopath.llm.induced import END, suffix_order
 
-WINDOW, GRAM, PIECE, SHARD_BYTES = 200, 32, 1 << 20, 16 << 20
+WINDOW, GRAM, PIECE, SHARD_BYTES, TASK_BYTES = 200, 32, 1 << 20, 1 << 20, 64 << 20
 U = np.uint64
 _POS = U(PIECE - 1)
 _TABLE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
@@ -350,7 +350,9 @@ def repeated_spans(docs: DataFrame, memory: int = 256 << 20, keep_text: bool = F
     anchors = keyed.where(f"octet_length(text) >= {WINDOW}").mapInArrow(_anchors(parts), f"bucket int, {blob(_A)}")
     status, status_path = materialize(anchors.repartition(shuffle_parts(spark), "bucket").mapInArrow(_statuses(parts), f"part int, kind int, {blob(_S)}, bytes long"), "suffix-status")
     total = status.where("kind = 1").agg(F.sum("bytes")).first()[0] or 0
+    # A task sorts its shards one after the other, so a worker holds the arrays of about a megabyte of contexts.
     shards = max(shuffle_parts(spark), total // SHARD_BYTES + 1)
+    tasks = max(shuffle_parts(spark), total // TASK_BYTES + 1)
     distinct = keyed.mapInArrow(_first_seen, "k1 long, k2 long, text string").withColumn("part", F.expr(f"cast(pmod(k1, {parts}) as int)"))
 
     def routed(packed: DataFrame, names: tuple, texts: DataFrame) -> DataFrame:
@@ -361,7 +363,7 @@ def repeated_spans(docs: DataFrame, memory: int = 256 << 20, keep_text: bool = F
     found = spark.createDataFrame([], f"part int, {blob(_R)}")
     if total:
         bodies = routed(status.where("kind = 1"), _S, distinct).mapInArrow(_fetch(shards), f"shard int, {blob(_C)}, body binary")
-        found, _ = materialize(bodies.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_sort(parts, memory), f"part int, {blob(_R)}"), "suffix-found")
+        found, _ = materialize(bodies.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_sort(parts, memory), f"part int, {blob(_R)}"), "suffix-found")
     runs = status.where("kind = 0").select("part", "kind", *_R).union(found.select("part", F.lit(0).alias("kind"), *_R))
     cleaned = routed(runs, _R, distinct).mapInArrow(_remove, "k1 long, k2 long, n_bytes long, n_removed long, n_spans int, kept_sha256 string, spans array<struct<s: long, e: long>>, kept string".replace("n_spans int", "n_spans long"))
     cleaned, _ = materialize(cleaned.select("k1", "k2", *made).withColumnsRenamed({c: "r_" + c for c in made}), "suffix-cleaned")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -66,6 +67,7 @@ _CC = re.compile(r"(?:this work is |this text is )?(?:licensed|released|distribu
 _SPDX = re.compile(r"spdx license identifier (.+)")
 _STOP = re.compile(r"(?:[.!?]|(?<!dentifier):)(?=\s|$)|\n\s*\n")
 _WORD = re.compile(r"[^\w+]+")
+_TOKEN = re.compile(r"[\w+]+")
 _WORDS = {"attribution": "by", "noncommercial": "nc", "sharealike": "sa", "noderivatives": "nd"}
 
 
@@ -83,6 +85,53 @@ def longest() -> int:
     return max(map(len, known())) + 8
 
 
+@cache
+def tree() -> dict:
+    """Known sentences word by word; the key "" marks the end of one."""
+    root: dict = {}
+    for s in known():
+        node = root
+        for w in s.split():
+            node = node.setdefault(w, {})
+        node[""] = {}
+    return root
+
+
+def ends(text: str, low: str) -> list[int]:
+    """Where sentences end: at each stop, save those inside a known sentence, which begins and ends one of its own.
+
+    A known sentence may hold stops ("free software: you can", "v. 2.0"). It counts from the start of a sentence or
+    line to the end of one.
+    """
+    stops = [m.end() for m in _STOP.finditer(text)]
+    edges = sorted({0, *stops, *(m.end() for m in re.finditer("\n", text)), len(text)})
+    out, took, upto = [], 0, 0
+    for start, nxt in zip(edges, edges[1:], strict=False):
+        if start < upto:
+            continue
+        node, last, hit = tree(), 0, None
+        for m in _TOKEN.finditer(low, start):
+            if last == 0 and m.start() >= nxt:
+                break
+            if "" in node and edges[bisect_right(edges, last)] <= m.start():
+                hit = last
+            node = node.get(m[0].replace("licence", "license"))
+            if node is None:
+                break
+            last = m.end()
+        else:
+            if node is not None and "" in node:
+                hit = last
+        at = bisect_right(stops, start)
+        if hit is None or at == len(stops) or stops[at] >= hit:
+            continue
+        out += stops[took:at]
+        took = bisect_left(stops, hit)
+        upto = edges[bisect_left(edges, hit)]
+        out += [start, upto]
+    return sorted({*out, *stops[took:], len(text)} - {0})
+
+
 def identify(sentence: str) -> str | None:
     """Identifier of a sentence: a known one, or ``cc:`` and ``spdx:`` with what they name."""
     n = normalise(sentence)
@@ -99,8 +148,8 @@ def identify(sentence: str) -> str | None:
 def sentences(text: str) -> Iterator[tuple[int, int, str | None]]:
     """(start, end, identifier) of the sentences that hold a trigger; None where a sentence isn't known.
 
-    A sentence ends with a stop before white space or with an empty line. Where its lines aren't known together, known
-    runs of whole lines in it count, longest first.
+    A sentence ends with a stop before white space or with an empty line, unless that is inside a known one. Where its
+    lines aren't known together, known runs of whole lines in it count, longest first.
     """
     low = text.lower()
     if len(low) != len(text):  # a few letters grow in lower case; offsets stay those of the text
@@ -108,7 +157,7 @@ def sentences(text: str) -> Iterator[tuple[int, int, str | None]]:
     if not any(t in low for t in TRIGGERS):
         return
     at = 0
-    for end in [*(m.end() for m in _STOP.finditer(text)), len(text)]:
+    for end in ends(text, low):
         start, at = at, end
         if start == end or not any(t in low[start:end] for t in TRIGGERS):
             continue

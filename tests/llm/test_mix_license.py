@@ -71,3 +71,25 @@ def test_real_lines(spark):
     lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
     for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect():
         assert got.licenses[r.doc_id] == ",".join(sorted(v for k, v in lines.items() if k in r.text))
+
+
+RUNNING = ["{}", "Some words here. {}. More words here.", "# A tool\n# {}\n# of mine"]
+
+
+@pytest.mark.parametrize("frame", RUNNING)
+def test_sentences_and_rules_in_running_text(frame):
+    for i, many in lic.SENTENCES.items():
+        for s in many:
+            assert i in [x for _, _, x in lic.sentences(frame.format(s))], s
+    for name, rule in lic.RULES:
+        text = frame.format(".\n".join(lic.SENTENCES[i][0] for i in rule))
+        assert [h[0] for h in lic.recognise(list(lic.sentences(text)))] == [name], rule
+
+
+def test_stops_inside_known_sentences(spark):
+    gpl, mpl = ". ".join(lic.SENTENCES[i][0] for i in ("gpl-free", "gpl-warranty")), ". ".join(lic.SENTENCES[i][0] for i in ("mpl-header", "mpl-copy"))
+    cases = [(gpl, ["GPL-3.0-or-later"]), (mpl + ".", ["MPL-2.0"]), ("// SPDX-License-Identifier: X\n// " + gpl.replace(" you", "\n// you"), ["GPL-3.0-or-later", "X"]), ("Intro: " + gpl + ". " + mpl, ["GPL-3.0-or-later", "MPL-2.0"]), ("This program is free software: you can do what you like.", [])]
+    got = lic.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {i: want for i, (_, want) in enumerate(cases)}
+    url = "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless"
+    assert [i for _, _, i in lic.sentences(url) if i] == ["apache-copy"]

@@ -61,9 +61,12 @@ RULES = [
     ("LGPL", ("lgpl-short",)), ("AGPL-3.0", ("agpl-short",)), ("MPL-2.0", ("mpl-header", "mpl-copy")), ("MPL-2.0", ("mpl-header",)), ("Unlicense", ("unlicense",)), ("CC0-1.0", ("cc0",)), ("Zlib", ("zlib-warranty", "zlib-grant")), ("BSL-1.0", ("boost-header",)), ("WTFPL", ("wtfpl",)),
 ]
 GAP = 2
-# Every known sentence holds one of these, in lower case.
+# Every sentence that can be identified holds one of these or of _SPREAD, in lower case.
 TRIGGERS = ("licen", "warrant", "copyright", "permission", "permitted", "redistribut", "public domain", "liable", "rights reserved", "mozilla", "mpl", "endorse", "verbatim", "spdx", "creativecommons", "creative commons")
 _CC = re.compile(r"(?:this work is |this text is )?(?:licensed|released|distributed|available) under (?:the |a )?(?:creative commons |cc )(by(?: nc)?(?: sa| nd)?|attribution(?: noncommercial)?(?: sharealike| noderivatives)?) ?(?:license )?([1-4] 0)?(?: international)?(?: license)?")
+# Words of a trigger can stand on different lines; the forms of _CC need no other trigger.
+_SPREAD = re.compile(r"(?:public[^\w+]+domain|rights[^\w+]+reserved|creative[^\w+]+commons|under[^\w+]+(?:(?:the|a)[^\w+]+)?cc)(?![\w+])")
+_RARE = ("domain", "reserved", "commons", "cc")
 _SPDX = re.compile(r"spdx license identifier (.+)")
 _STOP = re.compile(r"(?:[.!?]|(?<!dentifier):)(?=\s|$)|\n\s*\n")
 _WORD = re.compile(r"[^\w+]+")
@@ -132,6 +135,11 @@ def ends(text: str, low: str) -> list[int]:
     return sorted({*out, *stops[took:], len(text)} - {0})
 
 
+def triggered(low: str) -> bool:
+    """Whether a text in lower case holds a trigger."""
+    return any(t in low for t in TRIGGERS) or (any(t in low for t in _RARE) and _SPREAD.search(low) is not None)
+
+
 def identify(sentence: str) -> str | None:
     """Identifier of a sentence: a known one, or ``cc:`` and ``spdx:`` with what they name."""
     n = normalise(sentence)
@@ -154,12 +162,12 @@ def sentences(text: str) -> Iterator[tuple[int, int, str | None]]:
     low = text.lower()
     if len(low) != len(text):  # a few letters grow in lower case; offsets stay those of the text
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    if not any(t in low for t in TRIGGERS):
+    if not triggered(low):
         return
     at = 0
     for end in ends(text, low):
         start, at = at, end
-        if start == end or not any(t in low[start:end] for t in TRIGGERS):
+        if start == end or not triggered(low[start:end]):
             continue
         if end - start <= 2 * longest() and (i := identify(text[start:end])):
             yield start, end, i

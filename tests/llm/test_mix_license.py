@@ -93,3 +93,16 @@ def test_stops_inside_known_sentences(spark):
     assert {r.doc_id: r.licenses for r in got} == {i: want for i, (_, want) in enumerate(cases)}
     url = "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless"
     assert [i for _, _, i in lic.sentences(url) if i] == ["apache-copy"]
+
+
+def test_all_that_is_identified_passes_the_prefilter(spark):
+    kinds = {"CC BY-SA 4.0": "CC-BY-SA-4.0", "CC BY-NC 4.0": "CC-BY-NC-4.0", "CC-BY 4.0": "CC-BY-4.0", "Creative Commons Attribution-ShareAlike 3.0": "CC-BY-SA-3.0"}
+    forms = {f"{a}{verb} under {the}{k}{end}": v for a in ("", "This work is ", "This text is ") for verb in ("licensed", "released", "distributed", "available") for the in ("", "the ", "a ") for k, v in kinds.items() for end in ("", " International License")}
+    for s, want in forms.items():
+        for text in (s.capitalize(), "Words. " + s.replace(" ", "\n* ") + ". More."):
+            assert [i for _, _, i in lic.sentences(text) if i] == [f"cc:{want}"], text
+    for i, many in lic.SENTENCES.items():
+        for s in many:
+            assert i in [x for _, _, x in lic.sentences("Words. " + s.replace(" ", "\n * ") + ". More.")], s
+    assert lic.recognise(list(lic.sentences("Released under CC BY-SA 4.0.")))[0][0] == "CC-BY-SA-4.0"
+    assert list(lic.sentences("He got accepted under ccs, and his domain was public.")) == []

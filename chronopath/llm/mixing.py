@@ -7,18 +7,22 @@ tokens are the wanted part of all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopath.llm.common import materialize, small_batches, texts
+from chronopath.llm.common import drop_path, materialize, small_batches, texts
 from chronopath.llm.ngram_join import _K, mix, word_hashes
 from chronopath.llm.toxicity import _GAP
 
-TOPICS, DIMS, SAMPLE, MAX_CELLS = 8, 512, 3000, 1_000_000
+TOPICS, DIMS, ROUNDS, MAX_CELLS = 8, 512, 20, 1_000_000
+#: Fixed-point units of a profile's and a centre's numbers: their products sum up exactly in a double, in any order.
+UNIT, CENTRE_UNIT = 65535, 32767
+#: Partial results that a worker holds before it hands them on.
+HELD = 4096
 MARGINS = ("source", "lang", "topic")
 #: Without given targets a margin's shares are its token shares to this power, normalised.
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.7}
@@ -35,59 +39,133 @@ def profiles(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12), np.bincount(own, minlength=n)
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Topic centres of each language by spherical k-means, largest topic first.
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        raw, i = [t.encode("utf-8", "surrogatepass") for t in texts(b)], 0
+        while i < len(raw):
+            j, held = i, 0
+            while j < len(raw) and (j == i or held + len(raw[j]) < 1 << 20):
+                held += len(raw[j])
+                j += 1
+            x, n = profiles(raw[i:j])
+            part = b.slice(i, j - i)
+            x = np.rint(x * UNIT).astype(np.uint16)
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "source": part.column("source"), "lang": part.column("lang"), "n_tokens": pa.array(n.astype(np.int64)), "x": pa.array([v.tobytes() for v in x], pa.binary())})
+            i = j
 
-    Fitted on the ``sample`` documents of least doc_id hash (the bound of what is collected). Topics are numbered
-    within a language, since words divide languages before anything else and a topic that lies within one language
-    could not be raked beside it.
-    """
-    ids = [r[0] for r in docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, _ = profiles([t.encode("utf-8", "surrogatepass") for t in texts(b)])
-            yield pa.RecordBatch.from_pydict({"lang": b.column("lang"), "doc_id": b.column("doc_id").cast(pa.int64()), "x": pa.array([v.astype(np.float32).tobytes() for v in x], pa.binary())})
+def _by_lang(b: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, row numbers, profiles) of a batch's rows."""
+    x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.uint16).reshape(-1, DIMS)
+    lang = np.array([v if v is not None else NULL for v in b.column("lang").to_pylist()], object)
+    for name in sorted({*lang}):
+        at = np.flatnonzero(lang == name)
+        yield name, at, x[at].astype(np.float64)
+
+
+def _gather(held: DataFrame, part: Callable[[pa.RecordBatch], Iterable[tuple[str, int, int, bytes]]], merge: Callable) -> dict[tuple[str, int], tuple[int, bytes]]:
+    """The (n, v) that ``merge`` makes of all rows (language, k, n, v) of the batches, by language and k."""
+
+    def merged(rows: Iterable[tuple[str, int, int, bytes]]) -> Iterator[dict]:
+        got: dict[tuple[str, int], tuple[int, bytes]] = {}
+        for lang, k, n, v in rows:
+            got[lang, k] = merge(got[lang, k], (n, v)) if (lang, k) in got else (n, v)
+            if len(got) > HELD:
+                yield got
+                got = {}
+        if got:
+            yield got
+
+    def run(rows_of: Callable):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for got in merged(r for b in batches for r in rows_of(b)):
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in got], pa.string()), "k": pa.array([k[1] for k in got], pa.int32()), "n": pa.array([v[0] for v in got.values()], pa.int64()), "v": pa.array([v[1] for v in got.values()], pa.binary())})
+
+        return task
+
+    kind = "lang string, k int, n long, v binary"
+    rows = held.mapInArrow(run(part), kind).repartition("lang", "k").mapInArrow(run(lambda b: zip(*(c.to_pylist() for c in b.columns), strict=True)), kind)
+    out: dict[tuple[str, int], tuple[int, bytes]] = {}
+    for r in rows.collect():
+        new = r.n, bytes(r.v)
+        out[r.lang, r.k] = merge(out[r.lang, r.k], new) if (r.lang, r.k) in out else new
+    return out
 
-    got = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit(NULL)).alias("lang")).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "lang string, doc_id long, x binary").toArrow()
-    rows: dict[str, list] = {}
-    for lang, _, v in sorted(zip(*(got.column(c).to_pylist() for c in ("lang", "doc_id", "x")), strict=True)):
-        rows.setdefault(lang, []).append(np.frombuffer(v, np.float32))
-    return {lang: _centres(np.stack(v).astype(np.float64), topics) for lang, v in rows.items()}
 
+def _add(a: tuple[int, bytes], b: tuple[int, bytes]) -> tuple[int, bytes]:
+    return a[0] + b[0], (np.frombuffer(a[1], np.int64) + np.frombuffer(b[1], np.int64)).tobytes()
 
-def _centres(x: np.ndarray, topics: int) -> np.ndarray:
-    centres = x[:1]
-    for _ in range(1, min(topics, len(x))):  # the text least like those taken
-        centres = np.r_[centres, x[[int((x @ centres.T).max(1).argmin())]]]
-    for _ in range(20):
-        own = (x @ centres.T).argmax(1)
-        sums = np.stack([x[own == k].sum(0) if (own == k).any() else centres[k] for k in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return centres[np.argsort(-np.bincount((x @ centres.T).argmax(1), minlength=len(centres)), kind="stable")]
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    return np.rint(v / max(np.linalg.norm(v), 1e-12) * CENTRE_UNIT).astype(np.uint16)
+
+
+def _likeness(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return x @ centres.T.astype(np.float64)
+
+
+def fit_topics(held: DataFrame, topics: int = TOPICS) -> dict[str, np.ndarray]:
+    """Topic centres of each language by spherical k-means, largest topic first.
+
+    Fitted on all rows of ``held(doc_id, lang, x)`` that have words: Spark sums profiles and counts by language and
+    centre each round, so what is collected and sent is DIMS numbers a centre. Starts are the text of least doc_id and
+    then the texts least like those taken. All sums are exact, so the partitioning doesn't matter. Topics are numbered
+    within a language, since words divide languages before anything else and a topic that lies within one language
+    could not be raked beside it.
+    """
+    centres: dict[str, np.ndarray] = {}
+
+    def first(b: pa.RecordBatch) -> Iterator[tuple[str, int, int, bytes]]:
+        ids = b.column("doc_id").to_pylist()
+        for lang, at, x in _by_lang(b):
+            for i in np.flatnonzero(x.any(1)).tolist():
+                d = ids[at[i]]
+                yield lang, 0, (1 << 63) - 1 if d is None else d, x[i].astype(np.uint16).tobytes()
+
+    def farthest(b: pa.RecordBatch) -> Iterator[tuple[str, int, int, bytes]]:
+        for lang, _, x in _by_lang(b):
+            x = x[x.any(1)]
+            if len(x):
+                like = _likeness(x, centres[lang]).max(1)
+                for i in np.flatnonzero(like == like.min()).tolist():
+                    yield lang, 0, int(like[i]), x[i].astype(np.uint16).tobytes()
+
+    def sums(b: pa.RecordBatch) -> Iterator[tuple[str, int, int, bytes]]:
+        for lang, _, x in _by_lang(b):
+            x = x[x.any(1)]
+            if len(x):
+                own = _likeness(x, centres[lang]).argmax(1)
+                for k in np.unique(own).tolist():
+                    yield lang, k, int((own == k).sum()), x[own == k].sum(0).astype(np.int64).tobytes()
+
+    def taken(v: bytes) -> np.ndarray:
+        return _scaled(np.frombuffer(v, np.uint16).astype(np.float64))[None]
+
+    centres = {lang: taken(v) for (lang, _), (_, v) in _gather(held, first, min).items()}
+    for _ in range(1, topics if centres else 1):
+        centres = {lang: np.r_[centres[lang], taken(v)] for (lang, _), (_, v) in _gather(held, farthest, min).items()}
+    for _ in range(ROUNDS if centres else 0):
+        now = {lang: c.copy() for lang, c in centres.items()}
+        for (lang, k), (_, v) in _gather(held, sums, _add).items():
+            now[lang][k] = _scaled(np.frombuffer(v, np.int64).astype(np.float64))
+        settled = all((now[lang] == c).all() for lang, c in centres.items())
+        centres = now
+        if settled:
+            break
+    size = {lang: np.zeros(len(c), np.int64) for lang, c in centres.items()}
+    for (lang, k), (n, _) in (_gather(held, sums, _add) if centres else {}).items():
+        size[lang][k] = n
+    return {lang: c[np.argsort(-size[lang], kind="stable")] for lang, c in centres.items()}
 
 
 def _facts(centres: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, topic, words, i = [t.encode("utf-8", "surrogatepass") for t in texts(b)], [], [], 0
-            lang = np.array([v if v is not None else NULL for v in b.column("lang").to_pylist()], object)
-            while i < len(raw):
-                j, held = i, 0
-                while j < len(raw) and (j == i or held + len(raw[j]) < 1 << 20):
-                    held += len(raw[j])
-                    j += 1
-                x, n = profiles(raw[i:j])
-                own = np.zeros(j - i, np.int64)
-                for name in {*lang[i:j]} & {*centres}:
-                    at = np.flatnonzero(lang[i:j] == name)
-                    own[at] = (x[at] @ centres[name].T).argmax(1)
-                topic.append(own)
-                words.append(n)
-                i = j
-            cat = lambda v: np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "source": b.column("source"), "lang": b.column("lang"), "topic": pa.array([f"t{t}" for t in cat(topic)], pa.string()), "n_tokens": pa.array(cat(words))})
+            topic = np.zeros(b.num_rows, np.int64)
+            for lang, at, x in _by_lang(b):
+                if lang in centres:
+                    topic[at] = _likeness(x, centres[lang]).argmax(1)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "source": b.column("source"), "lang": b.column("lang"), "topic": pa.array([f"t{t}" for t in topic], pa.string()), "n_tokens": b.column("n_tokens")})
 
     return run
 
@@ -136,8 +214,9 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, dict[str, float]] | None
     """
     spark = docs.sparkSession
     small_batches(spark)
-    centres = fit_topics(docs, topics)
-    facts, _ = materialize(docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")).mapInArrow(_facts(centres), "doc_id long, source string, lang string, topic string, n_tokens long"), "mixing")
+    held, path = materialize(docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")).mapInArrow(_profiled, "doc_id long, source string, lang string, n_tokens long, x binary"), "mixing-profiles")
+    facts, _ = materialize(held.mapInArrow(_facts(fit_topics(held, topics)), "doc_id long, source string, lang string, topic string, n_tokens long"), "mixing")
+    drop_path(spark, path)
     cells = facts.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     rows = cells.limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:

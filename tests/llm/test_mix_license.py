@@ -41,6 +41,41 @@ def test_mixing_hard_rows(spark):
     assert mixing.mix_to_targets(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
+def test_topics_of_a_rare_language(spark):
+    """The rare language has the ids that a sample of least hash takes last; its two vocabularies are two topics."""
+    ids = [r.id for r in spark.range(4024).selectExpr("id", "xxhash64(id) as h").orderBy("h").collect()]
+    words = [["uno", "due", "tre", "quattro"], ["alpha", "beta", "gamma", "delta"]]
+    rows = [(d, f"the word {i % 50} and more", "en", "a") for i, d in enumerate(ids[:4000])] + [(d, " ".join(words[i % 2][: 2 + i % 3]), "xx", "a") for i, d in enumerate(ids[4000:])]
+    got = mixing.mix_to_targets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), topics=2)
+    topic = {r.doc_id: r.topic for r in got.where("lang = 'xx'").collect()}
+    halves = [{topic[d] for d in ids[4000 + k :: 2]} for k in (0, 1)]
+    assert sorted(map(sorted, halves)) == [["t0"], ["t1"]]
+
+
+def test_topics_are_those_of_all_rows(spark):
+    """Against k-means in memory over every row, however the rows are dealt."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source", "lang")
+    kind = "doc_id long, source string, lang string, n_tokens long, x binary"
+    held = docs.mapInArrow(mixing._profiled, kind).persist()
+    got = mixing.fit_topics(held, 3)
+    again = mixing.fit_topics(held.repartition(5, "doc_id"), 3)
+    rows = {}
+    for r in held.orderBy("doc_id").collect():
+        rows.setdefault(r.lang, []).append((r.doc_id, np.frombuffer(bytes(r.x), np.uint16)))
+    assert set(got) == set(rows) == set(again)
+    for lang, v in rows.items():
+        x = np.stack([a for _, a in v if a.any()]).astype(np.float64)
+        c = mixing._scaled(x[0])[None]
+        for _ in range(2):
+            like = (x @ c.T.astype(float)).max(1)
+            c = np.r_[c, mixing._scaled(min(x[like == like.min()].astype(np.uint16), key=lambda a: a.tobytes()).astype(float))[None]]
+        for _ in range(mixing.ROUNDS):
+            own = (x @ c.T.astype(float)).argmax(1)
+            c = np.stack([mixing._scaled(x[own == k].sum(0)) if (own == k).any() else c[k] for k in range(3)])
+        c = c[np.argsort(-np.bincount((x @ c.T.astype(float)).argmax(1), minlength=3), kind="stable")]
+        assert (got[lang] == c).all() and (again[lang] == c).all()
+
+
 def test_every_sentence_has_a_trigger_and_an_identifier():
     for i, many in lic.SENTENCES.items():
         for s in many:

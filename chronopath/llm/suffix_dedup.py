@@ -6,7 +6,8 @@
 2. Contexts that are equal as a whole are one class; a class of two or more is repeated as a whole.
 3. Where an anchor hash has several different contexts, they meet in a shard, one copy of each class, and an external
    induced sort (``induced.suffix_order``) puts the shard's suffixes in order with their common prefixes: windows whose
-   neighbours share 200 bytes are repeated.
+   neighbours share 200 bytes are repeated. Where an anchor's contexts are more than a shard should hold, their windows
+   are dealt one by one by a 128-bit hash of their 200 bytes instead, and equal ones are repeated.
 4. Each text's repeated windows are joined into runs and cut out.
 Positions travel as packed arrays dealt by a hash; texts are shuffled once per pass, equal texts once a task.
 """
@@ -140,8 +141,11 @@ def _read(batches: Iterator[pa.RecordBatch], names: tuple) -> dict[str, np.ndarr
 _S = ("k1", "k2", "pos", "n", "h", "flag")
 
 
-def _statuses(parts: int):
-    """kind 0: contexts repeated as a whole; kind 1: contexts whose suffixes have to be sorted (flag: also repeated as a whole)."""
+def _statuses(parts: int, hot: int = SHARD_BYTES):
+    """kind 0: contexts repeated as a whole; kind 1: contexts whose suffixes have to be sorted (flag: also repeated as a whole).
+
+    kind 2: as kind 1, of anchors whose different contexts have more than ``hot`` bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = _read(batches, _A)
@@ -161,7 +165,8 @@ def _statuses(parts: int):
         whole = np.bincount(c_id)[c_id] > 1
         many = np.bincount(h_id[new_c])[h_id] > 1
         x["flag"] = whole.astype(np.uint8)
-        for kind, at in ((0, np.flatnonzero(whole)), (1, np.flatnonzero(many & new_c))):
+        large = np.bincount(h_id[new_c], x["n"][new_c].astype(np.float64) + WINDOW)[h_id] > hot
+        for kind, at in ((0, np.flatnonzero(whole)), (1, np.flatnonzero(many & new_c & ~large)), (2, np.flatnonzero(many & new_c & large))):
             if len(at):
                 packed = list(pack(np.mod(x["k1"][at], parts).astype(np.int32), [x[c][at] for c in _S]))
                 sizes = [int(np.frombuffer(p[1][3], np.uint32).sum()) + WINDOW * (len(p[1][5])) for p in packed]
@@ -248,6 +253,52 @@ def _fetch(shards: int):
     return run
 
 
+_W = "w1 long, w2 long, k1 long, k2 long, pos long, weight int"
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of the contexts: hash, place, and 2 as the weight of those that are also repeated as a whole."""
+    x: dict = {}
+    served = set()
+    names = [c.split()[0] for c in _W.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.int32()]
+    rows: list[tuple] = []
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    for got, b in _routed(batches, _S):
+        if got is not None:
+            x = got
+            continue
+        for k1, k2, t in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), _raw(b), strict=True):
+            at = _slice(x, k1, k2)
+            if at.start == at.stop or (k1, k2) in served:
+                continue
+            served.add((k1, k2))
+            view = memoryview(t)
+            for p, n, f in zip(x["pos"][at].tolist(), x["n"][at].tolist(), x["flag"][at].tolist(), strict=True):
+                for i in range(p, p + n):
+                    d = xxhash.xxh3_128_digest(view[i : i + WINDOW])
+                    rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), k1, k2, i, 1 + f))
+                if len(rows) > 20_000:
+                    yield out()
+                    rows = []
+    if rows:
+        yield out()
+
+
+def _placed(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cols = [b.column(c).to_numpy().astype(_KIND[c]) for c in ("k1", "k2", "pos")]
+                cols.append(np.ones(b.num_rows, np.uint32))
+                yield _blob("part", list(pack(np.mod(cols[0], parts).astype(np.int32), cols)), _R)
+
+    return run
+
+
 _R = ("k1", "k2", "pos", "n")
 
 
@@ -333,13 +384,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in rows.items()})
 
 
-def repeated_spans(docs: DataFrame, memory: int = 256 << 20, keep_text: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, memory: int = 256 << 20, keep_text: bool = False, hot: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256, spans (array of byte ranges) and, if asked, kept text.
 
     ``docs`` needs ``text``; all its columns but the text are kept unless their names are among those above, which the
     results replace. A null text is empty. Matches never cross texts; equal texts are matches of each other, and so are
     overlapping strings of one text. Texts under 200 bytes lose nothing. ``kept`` decodes what is left, leaving out
     characters that a cut has split. ``memory`` bounds the sorter's queues in bytes; beyond it they go to scratch disk.
+    Anchors with more than ``hot`` bytes of different contexts are settled window by window, by joins.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark) * 2
@@ -348,8 +400,9 @@ def repeated_spans(docs: DataFrame, memory: int = 256 << 20, keep_text: bool = F
     keyed = docs.select(t).select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "text")
     blob = lambda names: ", ".join(f"{c} binary" for c in names)
     anchors = keyed.where(f"octet_length(text) >= {WINDOW}").mapInArrow(_anchors(parts), f"bucket int, {blob(_A)}")
-    status, status_path = materialize(anchors.repartition(shuffle_parts(spark), "bucket").mapInArrow(_statuses(parts), f"part int, kind int, {blob(_S)}, bytes long"), "suffix-status")
-    total = status.where("kind = 1").agg(F.sum("bytes")).first()[0] or 0
+    status, status_path = materialize(anchors.repartition(shuffle_parts(spark), "bucket").mapInArrow(_statuses(parts, hot), f"part int, kind int, {blob(_S)}, bytes long"), "suffix-status")
+    sizes = {r.kind: r.b for r in status.groupBy("kind").agg(F.sum("bytes").alias("b")).collect()}
+    total = sizes.get(1, 0)
     # A task sorts its shards one after the other, so a worker holds the arrays of about a megabyte of contexts.
     shards = max(shuffle_parts(spark), total // SHARD_BYTES + 1)
     tasks = max(shuffle_parts(spark), total // TASK_BYTES + 1)
@@ -364,6 +417,13 @@ def repeated_spans(docs: DataFrame, memory: int = 256 << 20, keep_text: bool = F
     if total:
         bodies = routed(status.where("kind = 1"), _S, distinct).mapInArrow(_fetch(shards), f"shard int, {blob(_C)}, body binary")
         found, _ = materialize(bodies.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_sort(parts, memory), f"part int, {blob(_R)}"), "suffix-found")
+    if sizes.get(2):
+        windows, windows_path = materialize(routed(status.where("kind = 2"), _S, distinct).mapInArrow(_windows, _W), "suffix-windows")
+        again = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("total")).where("total > 1").select("w1", "w2")
+        marked = windows.where("weight = 1").join(again, ["w1", "w2"], "left_semi").select("k1", "k2", "pos")
+        placed, _ = materialize(marked.mapInArrow(_placed(parts), f"part int, {blob(_R)}"), "suffix-placed")
+        found = found.union(placed)
+        drop_path(spark, windows_path)
     runs = status.where("kind = 0").select("part", "kind", *_R).union(found.select("part", F.lit(0).alias("kind"), *_R))
     cleaned = routed(runs, _R, distinct).mapInArrow(_remove, "k1 long, k2 long, n_bytes long, n_removed long, n_spans int, kept_sha256 string, spans array<struct<s: long, e: long>>, kept string".replace("n_spans int", "n_spans long"))
     cleaned, _ = materialize(cleaned.select("k1", "k2", *made).withColumnsRenamed({c: "r_" + c for c in made}), "suffix-cleaned")

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,3 +91,33 @@ def test_real_table(spark, sf):
     want = dict(zip([r.doc_id for r in docs], brute([r.text for r in docs]), strict=True))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op2_suffix_array_dedup(spark, f"/root/testdata/{sf}").collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("size", [60, 130, 199, 215])
+def test_hot_anchor_is_split(spark, size):
+    """A passage with different surroundings: no anchor leaves more than a shard to be sorted, and results stay exact."""
+    rng = np.random.default_rng(size)
+    passage = bytes(rng.integers(97, 123, size, np.uint8)).decode()
+    around = rng.integers(97, 123, (6000, 2, 250), np.uint8)
+    texts = [bytes(a).decode() + passage + bytes(b).decode() for a, b in around]
+    docs = pa.RecordBatch.from_pydict({"k1": pa.array(range(6000), pa.int64()), "k2": pa.array(range(6000), pa.int64()), "text": texts})
+    held: Counter = Counter()
+    for b in suffix_dedup._statuses(1)(b.drop_columns("bucket") for b in suffix_dedup._anchors(1)(iter([docs]))):
+        for kind, h, n in zip(*(b.column(c).to_pylist() for c in ("kind", "h", "n")), strict=True):
+            for a, k in zip(np.frombuffer(h, np.uint64).tolist(), np.frombuffer(n, np.uint32).tolist(), strict=True):
+                held[kind, a] += k + 200
+    assert max((v for (kind, _), v in held.items() if kind == 1), default=0) <= suffix_dedup.SHARD_BYTES
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda **k: sorted(map(tuple, suffix_dedup.repeated_spans(df, **k).select("doc_id", "n_removed", "kept_sha256").collect()))
+    assert rows() == rows(hot=1 << 60)  # all sorted
+
+
+def test_windows_one_by_one_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdeé "), 6))
+    base = [" ".join(word() for _ in range(60)) for _ in range(3)]
+    texts = ["".join(word() for _ in range(int(rng.integers(1, 40)))) + base[i % 3][int(rng.integers(0, 60)) :][: int(rng.integers(100, 350))] + "".join(word() for _ in range(20)) for i in range(60)]
+    texts += [texts[0], texts[1] + "x", "-" * 1000, "ab" * 300, None, base[0] * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_spans(df, hot=0).collect()}
+    assert got == dict(enumerate(brute(texts)))

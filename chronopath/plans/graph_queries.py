@@ -205,6 +205,12 @@ def i26_sampled(spark, sf):
     return A.answer("sampled", g, g.queries.where("src <> dst and (te - ts) % 10 = 0")).select("query_id", "s", "e", "s_inc", "e_inc", _text())
 
 
+def i26_all_sampled(spark, sf):
+    """Every query: also those whose last departure is off the grid or that start where they end."""
+    g = graph(spark, sf)
+    return A.answer("sampled", g, g.queries).select("query_id", "s", "e", "s_inc", "e_inc", _text())
+
+
 def demo_envelope(spark, sf):
     g = demo(spark)
     return E.envelope(P.profiles(g.edges, g.queries), g.queries).select("query_id", "s", "e", "s_inc", "e_inc", _text())
@@ -252,4 +258,4 @@ SELECT query_id, t::double AS s, coalesce(lead(t) OVER w, t)::double AS e, true
     "b33_horizon": sql(" SELECT query_id, CASE WHEN te + b <= 2880 THEN 'OK' ELSE 'OUT_OF_HORIZON' END AS status FROM (SELECT query_id, te, b FROM qs UNION ALL SELECT query_id + 100, te + 2400, b FROM qs)"),
     "demo_envelope": "SELECT 0 AS query_id, 420.0::double AS s, 430.0::double AS e, true AS s_inc, true AS e_inc, '0-1' AS path",
 }
-QUERIES = {f.__name__: f for f in (a14_graph_counts, b_edge_functions, e1_edge_summary, e2_partition, g3_cell_top_scores, i1_lower_bounds, i4_corridor, i7_paths, i13_point_labels, i14_latest_labels, i10_profile_at_grid, i12_replay, c14_envelope_at_grid, c16_fastest_at_grid, c14_envelope, c16_fastest_envelope, c7_undominated, c8_retained, e4_metrics, e5_agreement, b33_horizon, i23_best_point, i27_first_paths, g1_pivots, i26_sampled, demo_envelope)}
+QUERIES = {f.__name__: f for f in (a14_graph_counts, b_edge_functions, e1_edge_summary, e2_partition, g3_cell_top_scores, i1_lower_bounds, i4_corridor, i7_paths, i13_point_labels, i14_latest_labels, i10_profile_at_grid, i12_replay, c14_envelope_at_grid, c16_fastest_at_grid, c14_envelope, c16_fastest_envelope, c7_undominated, c8_retained, e4_metrics, e5_agreement, b33_horizon, i23_best_point, i27_first_paths, g1_pivots, i26_sampled, i26_all_sampled, demo_envelope)}

@@ -1,6 +1,9 @@
 """Queries without SQL against brute force over all that they should cover."""
 
+import pytest
+
 from chronopath import catalog
+from chronopath.plans.temporal_graph import QUERIES, graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,3 +16,39 @@ def test_candidates_of_every_customer(spark):
         poor = sum(d.c_acctbal < 0 and d.c_custkey != s.c_custkey for d in near)
         want[s.c_custkey] = min(3, len(near) - poor - 1), poor, len(near)
     assert {r.src: (r.accepted, r.poor, r.seen) for r in catalog.QUERIES["j1_all_candidates"](spark, SF).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def arcs(spark):
+    return [(r.arc_id, r.u, r.v, [(k.t, k.v) for k in r.knots], [(p.t0, p.t1, p.score) for p in r.pieces]) for r in graph(spark, SF).edges.collect()]
+
+
+def travel(knots, t):
+    return next(v0 + (v1 - v0) * (t - t0) / (t1 - t0) for (t0, v0), (t1, v1) in zip(knots, knots[1:], strict=False) if t0 <= t <= t1)
+
+
+def departures(ts, te):
+    return sorted({*range(ts, te + 1, 10), te})
+
+
+def best_path(arcs, src, dst, t, b):
+    stack, found = [((), (src,), float(t), 0)], []
+    while stack:
+        path, nodes, a, score = stack.pop()
+        if nodes[-1] == dst:
+            found.append((-score, round(a - t, 9), len(path), path))
+            continue
+        for i, u, v, knots, pieces in arcs:
+            if u == nodes[-1] and v not in nodes and (at := a + travel(knots, a)) - t <= b + 1e-9:
+                stack.append(((*path, i), (*nodes, v), at, score + next(s for t0, t1, s in pieces if t0 <= a < t1)))
+    return "-".join(map(str, min(found)[3])) if found else None
+
+
+def test_sampled_answers_of_every_query(spark, arcs):
+    got = {(r.query_id, r.s): (r.e, r.e_inc, r.path) for r in catalog.QUERIES["i26_all_sampled"](spark, SF).collect()}
+    want = {}
+    for q, src, dst, ts, te, b in QUERIES:
+        at = departures(ts, te)
+        for t, e in zip(at, [*at[1:], te], strict=True):
+            want[q, float(t)] = float(e), t == te, best_path(arcs, src, dst, t, b)
+    assert got == want

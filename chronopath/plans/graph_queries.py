@@ -112,15 +112,13 @@ def i7_paths(spark, sf):
 
 def i13_point_labels(spark, sf):
     g = graph(spark, sf)
-    q = g.queries.withColumn("b", F.lit(45))
-    out = P.point_labels(g.edges, q, q.select("query_id", F.col("ts").alias("t")))
+    out = P.point_labels(g.edges, g.queries, A.grid(g.queries, 10))
     return out.select("query_id", "t", F.col("node").cast("int").alias("node"), F.round("arrival", 6).alias("arrival"))
 
 
 def i14_latest_labels(spark, sf):
     g = graph(spark, sf)
-    q = g.queries.withColumn("b", F.lit(40))
-    out = P.latest_labels(g.edges, q, q.select("query_id", F.col("te").alias("deadline")))
+    out = P.latest_labels(g.edges, g.queries, g.queries.select("query_id", F.col("te").alias("deadline")))
     return out.select("query_id", "deadline", "node", F.round("departure", 6).alias("departure"))
 
 

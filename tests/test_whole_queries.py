@@ -52,3 +52,38 @@ def test_sampled_answers_of_every_query(spark, arcs):
         for t, e in zip(at, [*at[1:], te], strict=True):
             want[q, float(t)] = float(e), t == te, best_path(arcs, src, dst, t, b)
     assert got == want
+
+
+def latest(knots, d):
+    """Latest start that arrives by d; arrivals never fall."""
+    lo, hi = 0.0, knots[-1][0]
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if mid + travel(knots, mid) <= d else (lo, mid)
+    return lo
+
+
+def test_labels_within_the_queries_own_budgets(spark, arcs):
+    want, want_latest = {}, {}
+    for q, src, dst, ts, te, b in QUERIES:
+        for t in departures(ts, te):
+            best, front = {src: float(t)}, [src]
+            while front:
+                n = front.pop()
+                for _, u, v, knots, _ in arcs:
+                    if u == n and (a := best[u] + travel(knots, best[u])) <= t + b + 1e-9 and a < best.get(v, 1e9) - 1e-9:
+                        best[v] = a
+                        front.append(v)
+            want |= {(q, t, n): a for n, a in best.items()}
+        best, front = {dst: float(te)}, [dst]
+        while front:
+            n = front.pop()
+            for _, u, v, knots, _ in arcs:
+                if v == n and (s := latest(knots, best[v])) >= te - b - 1e-9 and s > best.get(u, -1) + 1e-9:
+                    best[u] = s
+                    front.append(u)
+        want_latest |= {(q, te, n): s for n, s in best.items()}
+    got = {(r.query_id, r.t, r.node): r.arrival for r in catalog.QUERIES["i13_point_labels"](spark, SF).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+    got = {(r.query_id, r.deadline, r.node): r.departure for r in catalog.QUERIES["i14_latest_labels"](spark, SF).collect()}
+    assert got == pytest.approx(want_latest, abs=1e-5)

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,11 +194,11 @@ def _routed(batches: Iterator[pa.RecordBatch], names: tuple) -> Iterator[tuple[d
     got: dict[str, list] = {c: [] for c in (*names, "kind")}
     told = False
     for b in batches:
-        packed = b.filter(pa.compute.is_valid(b.column("kind")))
+        packed = b.filter(pc.is_valid(b.column("kind")))
         for c in names:
             got[c] += [np.frombuffer(x, _KIND[c]) for x in packed.column("b_" + c).to_pylist()]
         got["kind"] += [np.full(len(x) // 8, k, np.uint8) for x, k in zip(packed.column("b_k1").to_pylist(), packed.column("kind").to_pylist(), strict=True)]
-        rest = b.filter(pa.compute.is_null(b.column("kind")))
+        rest = b.filter(pc.is_null(b.column("kind")))
         if rest.num_rows:
             if not told:
                 x = {c: np.concatenate(v) if v else np.empty(0, _KIND.get(c, np.uint8)) for c, v in got.items()}

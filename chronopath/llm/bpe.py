@@ -16,21 +16,23 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from chronopath.llm.common import small_batches, texts
+from chronopath.llm.common import CHUNK, chunks, small_batches, texts
 
 NEVER = 1 << 40
 #: White space of Unicode; str.split() also splits at \x1c-\x1f, which are ordinary characters to the tokenizer.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
-MEMO = 80_000  # words in each of a memo's two generations
+MEMO = 64 << 20  # bytes, about, of each of a memo's two generations
+LONG = 64  # symbols of a block of a long word
+_COST = 260  # of an entry, beside its key's characters
 _ENDS = frozenset(".,!?;:")
 
 
@@ -41,26 +43,25 @@ class Memo:
     """
 
     def __init__(self, limit: int = MEMO):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def get(self, words: set[str]) -> tuple[dict, list[str]]:
-        """(values of the words it knows, words that it doesn't)."""
-        young, old, known, new = self.young, self.old, {}, []
-        for w in words:
-            v = young.get(w)
+        self.limit, self.young, self.old, self.held = limit, {}, {}, 0
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Words without a value; those of the old generation move to the young one."""
+        if self.held > self.limit:
+            self.young, self.old, self.held = {}, self.young, 0
+        new, old = [], self.old
+        for w in words - self.young.keys():
+            v = old.get(w)
             if v is None:
-                v = old.get(w)
-                if v is None:
-                    new.append(w)
-                    continue
-                young[w] = v
-            known[w] = v
-        return known, new
-
-    def put(self, values: dict) -> None:
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
+                new.append(w)
+            else:
+                self.young[w] = v
+                self.held += _COST + len(w)
+        return new
+
+    def put(self, values: dict, size: int) -> None:
         self.young.update(values)
+        self.held += size + _COST * len(values)
 
 
 def default_path() -> str:
@@ -112,12 +113,26 @@ class Pairs:
         return out
 
 
+# What a file must say of its texts and pre-tokens, for this coder to be exact.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
+
 class WordBPE:
+    """Coder of a file of this kind: NFC, lower case, blanks dropped, byte symbols, word ends. Others are refused."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
+        for key, want, got in (("normalizer", NORMALIZER, spec["normalizer"]), ("pre_tokenizer", PRE_TOKENIZER, spec["pre_tokenizer"]), ("model", MODEL, {k: model.get(k) for k in MODEL}), ("decoder", None, spec["decoder"])):
+            if got != want:
+                raise ValueError(f"{path}: its {key} is not that of a word BPE file with lower case and word ends")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or "<" not in t["content"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: its added_tokens are not plain special strings in angle brackets")
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.library = Tokenizer.from_file(path)
@@ -132,6 +147,9 @@ class WordBPE:
         # How each token was made: rank of its merge (-1: a base symbol), left part, right part.
         self.made, self.lo, self.hi = np.full(n, -1, np.int64), np.arange(n), np.arange(n)
         self.made[merged[::-1]], self.lo[merged[::-1]], self.hi[merged[::-1]] = np.arange(len(merged))[::-1], left[::-1], right[::-1]
+        self.length = np.ones(n, np.int64)  # base symbols of each token
+        for t, i in self.vocab.items():
+            self.length[i] = len(t.removesuffix(self.suffix)) or 1
         self.chars = byte_characters()
         self.table = {i: c for i, c in enumerate(self.chars)}
         self.inner = np.array([self.vocab[c] for c in self.chars], np.int64)
@@ -142,7 +160,8 @@ class WordBPE:
         for t in self.vocab:
             if not (self.suffix and t.endswith(self.suffix)):
                 self.reach[t[:2]] = max(self.reach.get(t[:2], 0), len(t))
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.longest_end = max(map(len, self.ended))
+        self.split = regex.compile(PATTERN)
 
     def words(self, text: str) -> list[str]:
         if _ODD.search(text):
@@ -194,8 +213,8 @@ class WordBPE:
                 self.back[ord(c)] = i
         return self.back
 
-    def merge(self, sym: np.ndarray, own: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Merge all words together, one rank of each word a round; yield (symbols, words) of those that are done."""
+    def merge(self, sym: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Merge all sequences together, one rank of each a round, in place; yield (symbols, sequences) of those that are done."""
         while len(sym):
             joined = own[1:] == own[:-1]
             rank = np.full(len(sym), NEVER, np.int64)
@@ -222,30 +241,69 @@ class WordBPE:
             keep[k + 1] = False
             sym, own = sym[keep], own[keep]
 
+    def merged(self, sym: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, sequences) that merging leaves, in order."""
+        done = list(self.merge(sym, own))
+        ids, own = (np.concatenate([d[i] for d in done]) for i in (0, 1))
+        order = np.argsort(own, kind="stable")  # a sequence's symbols leave together, in their order
+        return ids[order], own[order]
+
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their words) by rank-synchronous merging.
+
+        A word of more than LONG symbols is merged in blocks, so that it doesn't take a round for each of its ranks.
+        Ids that all fit side by side are what merging the whole gives; where blocks don't fit, the tokens about their
+        border are merged anew together, more of them each time, until all fit.
+        """
+        if not words:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        sym, own = self.symbols(words)
+        first = np.searchsorted(own, np.arange(len(words)))
+        block = (np.arange(len(sym)) - first[own]) // LONG
+        new = np.r_[True, (own[1:] != own[:-1]) | (block[1:] != block[:-1])]
+        ids, part = self.merged(sym.copy(), np.cumsum(new) - 1)
+        word = own[new][part]
+        border = np.flatnonzero((part[1:] != part[:-1]) & (word[1:] == word[:-1]))
+        wide = 4
+        while len(border):
+            bad = border[~self.compatible(ids[border], ids[border + 1])]
+            if not len(bad):
+                break
+            begin, end = np.searchsorted(word, word[bad]), np.searchsorted(word, word[bad], "right")
+            lo, hi = np.maximum(bad - wide + 1, begin), np.minimum(bad + wide + 1, end)
+            # Windows that meet become one.
+            fresh = np.r_[True, (lo[1:] > np.maximum.accumulate(hi)[:-1]) | (word[bad][1:] != word[bad][:-1])]
+            lo, hi = lo[fresh], np.maximum.reduceat(hi, np.flatnonzero(fresh))
+            at = np.r_[0, np.cumsum(self.length[ids])]
+            size = at[hi] - at[lo]
+            inside = np.repeat(at[lo] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
+            got, which = self.merged(sym[inside], np.repeat(np.arange(len(lo)), size))
+            keep = np.ones(len(ids), bool)
+            keep[np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange(int((hi - lo).sum()))] = False
+            place = np.r_[np.flatnonzero(keep), lo[which]]
+            order = np.argsort(place, kind="stable")
+            window = np.r_[np.full(int(keep.sum()), -1), which][order]
+            ids, word = np.r_[ids[keep], got][order], np.r_[word[keep], word[lo][which]][order]
+            border = np.flatnonzero((window[1:] != window[:-1]) & (word[1:] == word[:-1]))
+            wide *= 2
+        return ids, word
+
     def count_symbols(self, words: list[str]) -> np.ndarray:
         """Tokens of each word by rank-synchronous merging."""
-        out = np.zeros(len(words), np.int64)
-        if words:
-            for _, own in self.merge(*self.symbols(words), len(words)):
-                out += np.bincount(own, minlength=len(words))
-        return out
+        return np.bincount(self.tokens(words)[1], minlength=len(words))
 
-    def exact(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in words]
-        if words:
-            for sym, own in self.merge(*self.symbols(words), len(words)):
-                cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
-                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    out[own[a]] = sym[a:b].tolist()
-        return out
+    def exact(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word by merging."""
+        ids, word = self.tokens(words)
+        return np.split(ids, np.cumsum(np.bincount(word, minlength=len(words)))[:-1]) if words else []
 
     def longest_match(self, word: str) -> list[int]:
-        out, p, n, inner, ended, reach = [], 0, len(word), self.vocab, self.ended, self.reach
+        out, p, n, inner, ended, reach, most = [], 0, len(word), self.vocab, self.ended, self.reach, self.longest_end
         while True:
-            t = ended.get(word[p:] if p else word)
-            if t is not None:
+            if n - p <= most and (t := ended.get(word[p:] if p else word)) is not None:
                 out.append(t)
                 return out
+            t = None
             e = min(n - 1, p + reach.get(word[p : p + 2], 1))
             while e > p + 1 and (t := inner.get(word[p:e])) is None:
                 e -= 1
@@ -277,11 +335,11 @@ class WordBPE:
             right[live] = np.where(undo, b, self.lo[b])
         return ok
 
-    def speculate(self, words: list[str]) -> tuple[list[list[int]], int]:
-        """Ids of each word, and how many words had to be merged exactly."""
-        got = [self.longest_match(w) for w in words]
+    def speculate(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids of all words, how many of them each word has, and how many words had to be merged exactly."""
+        got = list(map(self.longest_match, words))
         size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for g in got for i in g), np.int64, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(got), np.int64, int(size.sum()))
         own = np.repeat(np.arange(len(got)), size)
         good = np.ones(len(got), bool)
         if len(flat):
@@ -292,9 +350,23 @@ class WordBPE:
             fits = self.compatible(key >> 32, key & 0xFFFFFFFF)[back]
             good[own[at[~fits]]] = False
         bad = np.flatnonzero(~good)
-        for i, ids in zip(bad.tolist(), self.exact([words[i] for i in bad.tolist()]), strict=True):
-            got[i] = ids
-        return got, len(bad)
+        if len(bad):
+            ids = self.exact([words[i] for i in bad.tolist()])
+            n = np.array([len(x) for x in ids])
+            flat, own = np.r_[flat[good[own]], np.concatenate(ids)], np.r_[own[good[own]], np.repeat(bad, n)]
+            flat = flat[np.argsort(own, kind="stable")]
+            size[bad] = n
+        return flat, size, len(bad)
+
+    def said(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Texts of ids, each with a blank behind, in UTF-8, and where each begins (and the last ends)."""
+        if not hasattr(self, "_said"):
+            raw = [(self.text.get(i, "") + " ").encode() for i in range(len(self.made))]
+            self._said = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+        table, edge = self._said
+        size = edge[ids + 1] - edge[ids]
+        at = np.r_[0, np.cumsum(size)]
+        return table[np.repeat(edge[ids] - at[:-1], size) + np.arange(at[-1])].tobytes(), at
 
     def sound(self) -> np.ndarray:
         """Of each token: whether merging its own text gives the token back, that is, whether its two halves face
@@ -307,12 +379,12 @@ class WordBPE:
                 t = self.text[i]
                 (ended if self.suffix and t.endswith(self.suffix) and len(t) > len(self.suffix) else inner).append(i)
             got = self.exact([self.text[i][: -len(self.suffix)] for i in ended])
-            ok[[i for i, g in zip(ended, got, strict=True) if g == [i]]] = True
+            ok[[i for i, g in zip(ended, got, strict=True) if len(g) == 1 and g[0] == i]] = True
             # Without a word end: merge the text with the end symbol as an inner one.
             last, self.last = self.last, self.inner
             got = self.exact([self.text[i] for i in inner])
             self.last = last
-            ok[[i for i, g in zip(inner, got, strict=True) if g == [i]]] = True
+            ok[[i for i, g in zip(inner, got, strict=True) if len(g) == 1 and g[0] == i]] = True
             self._sound = ok
         return self._sound
 
@@ -327,34 +399,26 @@ def coder(path: str) -> WordBPE:
 
 
 def _prepared(c: WordBPE, memo: Memo, value, batch: list[str]) -> Iterator[tuple[list[str], dict]]:
-    """Words of each text, with the values of all of them; about 1 MB of text at a time."""
-    i = 0
-    while i < len(batch):
-        j, held, part = i, 0, []
-        while j < len(batch) and (j == i or held + len(batch[j]) < 1 << 20):
-            part.append(c.words(batch[j]))
-            held += len(batch[j])
-            j += 1
-        known, new = memo.get(set().union(*part))
-        made = value(new)
-        memo.put(made)
-        known.update(made)
+    """Words of each text, with the values of all of them; a chunk of text at a time."""
+    for i, j in chunks(batch, 4 * CHUNK):
+        part = [c.words(t) for t in batch[i:j]]
+        new = memo.missing(set().union(*part))
+        memo.put(*value(new))
         for p in part:
-            yield p, known
-        i = j
+            yield p, memo.young
 
 
 def _count(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, memo = coder(path), Memo()
 
-        def value(new: list[str]) -> dict:
+        def value(new: list[str]) -> tuple[dict, int]:
             pre = [c.pretokens(w) for w in new]
             flat = [p for w in pre for p in w if isinstance(p, str)]
             n = c.count_symbols(flat)
             own = np.fromiter((i for i, w in enumerate(pre) for p in w if isinstance(p, str)), np.int64, len(flat))
             total = np.bincount(own, n, len(new)) if len(flat) else np.zeros(len(new))
-            return {w: int(total[i]) + sum(not isinstance(p, str) for p in pre[i]) for i, w in enumerate(new)}
+            return {w: int(total[i]) + sum(not isinstance(p, str) for p in pre[i]) for i, w in enumerate(new)}, sum(map(len, new))
 
         for b in batches:
             t = texts(b)
@@ -374,31 +438,40 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
     return docs.select("doc_id", "text").mapInArrow(_count(path or default_path(), limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def _code(path: str, ids: bool):
+def _code(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, memo = coder(path), Memo()
 
-        def value(new: list[str]) -> dict:
-            pre = [c.pretokens(w) for w in new]
-            got = iter(c.speculate([p for w in pre for p in w if isinstance(p, str)])[0])
-            out = {}
-            for w, parts in zip(new, pre, strict=True):
-                one = [i for p in parts for i in (next(got) if isinstance(p, str) else [p])]
-                out[w] = struct.pack(f"<{len(one)}I", *one), " ".join([c.text[i] for i in one])
-            return out
+        def value(new: list[str]) -> tuple[dict, int]:
+            pre = list(map(c.pretokens, new))
+            own = np.repeat(np.arange(len(new)), np.fromiter(map(len, pre), np.int64, len(new)))
+            parts = list(chain.from_iterable(pre))
+            word = np.fromiter((isinstance(p, str) for p in parts), bool, len(parts))
+            if word.all():
+                ids, size, _ = c.speculate(parts)
+            else:  # special tokens stand between
+                some, n, _ = c.speculate([p for p in parts if isinstance(p, str)])
+                size = np.ones(len(parts), np.int64)
+                size[word] = n
+                ids, mine = np.empty(int(size.sum()), np.int64), np.repeat(word, size)
+                ids[mine], ids[~mine] = some, [p for p in parts if not isinstance(p, str)]
+            edge = np.r_[0, np.cumsum(np.bincount(own, size, len(new)).astype(np.int64))]
+            said, at = c.said(ids)
+            raw, cut, where = ids.astype("<u4").tobytes(), (edge * 4).tolist(), at[edge].tolist()
+            return {w: (raw[cut[i] : cut[i + 1]], said[where[i] : where[i + 1]]) for i, w in enumerate(new)}, len(raw) + len(said) + sum(map(len, new))
 
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if ids else ()))}
+            out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if with_ids else ()))}
             for words, known in _prepared(c, memo, value, texts(b)):
                 pairs = list(map(known.__getitem__, words))
                 raw = b"".join([p[0] for p in pairs])
-                said = " ".join([p[1] for p in pairs if p[1]])
+                said = b"".join([p[1] for p in pairs])[:-1]
                 out["n_tokens"].append(len(raw) // 4)
                 out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
-                if ids:
+                out["decoded_sha256"].append(hashlib.sha256(said).hexdigest())
+                if with_ids:
                     out["ids"].append(np.frombuffer(raw, np.uint32).astype(np.int32))
-                    out["decoded"].append(said)
+                    out["decoded"].append(said.decode())
             kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), **{k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()}})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,34 +14,56 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder from ``spark.checkpoint.dir``; where it is unset (tests on one machine) a temporary folder is set."""
+    """Folder from ``spark.checkpoint.dir``; where it is unset a temporary folder is set, on one machine only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="chronopath-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` texts: what a Python worker holds stays a few megabytes however many rows a task has."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, rows)
+BATCH_ROWS = 200
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Arrow batches of at most ``rows`` texts, for results that run later under the caller's session.
+
+    Spark bounds batches by rows alone, so a worker holds ``rows`` times the length of the texts that stand together.
+    """
+    if int(spark.conf.get(_ROWS_KEY)) > rows or int(spark.conf.get(_ROWS_KEY)) <= 0:
+        spark.conf.set(_ROWS_KEY, rows)
 
 
 def materialize(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder and reread it: cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and reread it: cuts lineage and survives lost executors.
+
+    Arrow batches are small while it is written; the session's own setting comes back afterwards.
+    """
     spark = df.sparkSession
-    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_ROWS_KEY)
+    small_batches(spark)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ROWS_KEY, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table written by ``materialize`` once nothing reads it any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop_path(spark: SparkSession, *paths: str) -> None:
+    """Delete tables written by ``materialize`` once nothing reads them any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let the driver notice plans that nothing refers to any more, so that their shuffle files are deleted now."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -52,6 +75,21 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+CHUNK = 1 << 18  # bytes or characters of text that are worked on at a time: arrays stay in the caches and workers small
+
+
+def chunks(many: list, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges [i, j) of consecutive texts with about ``limit`` bytes or characters in all, one longer text alone."""
+    i = 0
+    while i < len(many):
+        j, held = i, 0
+        while j < len(many) and (j == i or held + len(many[j]) < limit):
+            held += len(many[j]) + 1
+            j += 1
+        yield i, j
+        i = j
+
+
 def pack(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
     """Sort parallel arrays by bucket and yield each bucket's raw bytes, a few large rows instead of many small ones."""
     order = np.argsort(bucket, kind="stable")
@@ -79,7 +117,12 @@ def _fingerprint(df: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """Component of every node of ``edges(a, b)``: rows ``(node, component)``, component = smallest node reachable.
+    """Component of every node of ``edges(a, b)``: rows ``(node, component)``, component = smallest node reachable."""
+    return components(edges)[0]
+
+
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """``connected_components`` and the folder of the one table that it reads, to be dropped by the caller.
 
     Alternates large-star and small-star rounds until the stars stop changing. Each half round is a partial
     ``min`` and an equi-join (skewed hubs are split by adaptive execution); every round is written to the shared
@@ -104,4 +147,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    both = cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return both, path

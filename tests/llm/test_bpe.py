@@ -1,6 +1,8 @@
 """Word BPE against the tokenizers library."""
 
 import hashlib
+import json
+import time
 
 import numpy as np
 import pytest
@@ -20,9 +22,11 @@ def library():
 def code(text):
     c = bpe.coder(bpe.default_path())
     pre = [p for w in c.words(text) for p in c.pretokens(w)]
-    ids = iter(c.speculate([p for p in pre if isinstance(p, str)])[0])
+    ids, size, _ = c.speculate([p for p in pre if isinstance(p, str)])
     counts = c.count_symbols([p for p in pre if isinstance(p, str)])
-    out = [i for p in pre for i in (next(ids) if isinstance(p, str) else [p])]
+    assert counts.tolist() == size.tolist()
+    parts = iter(np.split(ids, np.cumsum(size)[:-1]) if len(size) else [])
+    out = [i for p in pre for i in (next(parts).tolist() if isinstance(p, str) else [p])]
     assert int(counts.sum()) + sum(not isinstance(p, str) for p in pre) == len(out)
     return out
 
@@ -52,7 +56,7 @@ def test_compatibility_is_that_of_merging():
     a, b = rng.choice(ids, 3000), rng.choice(ends, 3000)
     got = c.compatible(a, b)
     want = c.exact([c.text[x] + c.text[y][:-4] for x, y in zip(a, b, strict=True)])
-    assert got.tolist() == [w == [x, y] for w, x, y in zip(want, a, b, strict=True)]
+    assert got.tolist() == [w.tolist() == [x, y] for w, x, y in zip(want, a, b, strict=True)]
 
 
 def test_queries_on_a_table(spark, library):
@@ -77,3 +81,36 @@ def test_real_table(spark, library):
         e = library.encode(r.text, add_special_tokens=False)
         assert got[r.doc_id].n_tokens == len(e.ids) == counted[r.doc_id]
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest()
+
+
+def test_very_long_words(library):
+    """Five megabytes without a blank: time grows in proportion, ids are the library's where that can be asked."""
+    rng = np.random.default_rng(6)
+    c = bpe.coder(bpe.default_path())
+    some = "".join(rng.choice(list("etaoinshrdlu"), 40_000))
+    assert code(some) == library.encode(some, add_special_tokens=False).ids
+    for word in ("".join(rng.choice(list("etaoinshrdlucmfwyp"), 5_000_000)), "a" * 5_000_000, "漢字" * 300_000):
+        began = time.process_time()
+        pre = c.pretokens(word)
+        ids, size, _ = c.speculate(pre)
+        assert int(c.count_symbols(pre).sum()) == len(ids) == int(size.sum())
+        assert "".join([c.text[i] for i in ids.tolist()]).replace("</w>", "") == "".join(pre)
+        assert time.process_time() - began < 90
+
+
+def test_memo_keeps_its_bytes():
+    memo = bpe.Memo(limit=10_000)
+    for k in range(50):
+        words = {f"w{i}" for i in range(k * 5, k * 5 + 20)}
+        new = memo.missing(words)
+        memo.put({w: w for w in new}, sum(map(len, new)))
+        assert all(memo.young[w] == w for w in words) and len(memo.young) + len(memo.old) < 120
+
+
+def test_other_files_are_refused(tmp_path):
+    spec = json.load(open(bpe.default_path(), encoding="utf-8"))
+    for key, value in (("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"})):
+        path = tmp_path / f"{key}.json"
+        path.write_text(json.dumps(spec | {key: value}))
+        with pytest.raises(ValueError, match=key):
+            bpe.WordBPE(str(path))

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from chronopath.llm.common import drop_path, materialize, small_batches, texts
+from chronopath.llm.common import chunks, drop_path, materialize, small_batches, texts
 from chronopath.llm.ngram_join import _K, mix, word_hashes
 from chronopath.llm.toxicity import _GAP
 
@@ -41,17 +42,12 @@ def profiles(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        raw, i = [t.encode("utf-8", "surrogatepass") for t in texts(b)], 0
-        while i < len(raw):
-            j, held = i, 0
-            while j < len(raw) and (j == i or held + len(raw[j]) < 1 << 20):
-                held += len(raw[j])
-                j += 1
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts(b)]
+        for i, j in chunks(raw):
             x, n = profiles(raw[i:j])
             part = b.slice(i, j - i)
             x = np.rint(x * UNIT).astype(np.uint16)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "source": part.column("source"), "lang": part.column("lang"), "n_tokens": pa.array(n.astype(np.int64)), "x": pa.array([v.tobytes() for v in x], pa.binary())})
-            i = j
 
 
 def _by_lang(b: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -158,14 +154,19 @@ def fit_topics(held: DataFrame, topics: int = TOPICS) -> dict[str, np.ndarray]:
     return {lang: c[np.argsort(-size[lang], kind="stable")] for lang, c in centres.items()}
 
 
+def _nearest(b: pa.RecordBatch, centres: dict[str, np.ndarray]) -> np.ndarray:
+    """Topic of each row of ``(lang, x)``."""
+    topic = np.zeros(b.num_rows, np.int64)
+    for lang, at, x in _by_lang(b):
+        if lang in centres:
+            topic[at] = _likeness(x, centres[lang]).argmax(1)
+    return topic
+
+
 def _facts(centres: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            topic = np.zeros(b.num_rows, np.int64)
-            for lang, at, x in _by_lang(b):
-                if lang in centres:
-                    topic[at] = _likeness(x, centres[lang]).argmax(1)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "source": b.column("source"), "lang": b.column("lang"), "topic": pa.array([f"t{t}" for t in topic], pa.string()), "n_tokens": b.column("n_tokens")})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "source": b.column("source"), "lang": b.column("lang"), "topic": pa.array([f"t{t}" for t in _nearest(b, centres)], pa.string()), "n_tokens": b.column("n_tokens")})
 
     return run
 
@@ -203,20 +204,15 @@ def calibrate(weight: np.ndarray, tokens: np.ndarray, part: float) -> np.ndarray
     return np.where(weight > 0, 1.0, 0.0)
 
 
-def mix_to_targets(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, part: float = 0.5, topics: int = TOPICS, seed: int = 1) -> DataFrame:
-    """``(doc_id, source, lang, topic, n_tokens, weight, probability, selected)`` of each row of ``docs``.
+def _draw(seed: int):
+    """A number in (0, 1) from doc_id and seed alone."""
+    return F.expr(f"(shiftrightunsigned(xxhash64(coalesce(doc_id, 0L), {seed}L), 11) + 0.5D) / 9007199254740992D")
 
-    ``docs(doc_id, text, lang, source)``, other columns ignored. Targets map ``source``, ``lang`` and ``topic`` to
-    shares; a margin without targets is smoothed by TEMPERATURE. Null sources and languages are values of their own.
-    Tokens are words; texts without words (null, empty) have weight and probability of their cell, and 0 where the cell
-    has no tokens. Draws depend on doc_id and seed alone (null: one draw for all). Cells are counted in Spark; their
-    table comes to the driver only while it has at most MAX_CELLS rows, and more is an error that names the bound.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    held, path = materialize(docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")).mapInArrow(_profiled, "doc_id long, source string, lang string, n_tokens long, x binary"), "mixing-profiles")
-    facts, _ = materialize(held.mapInArrow(_facts(fit_topics(held, topics)), "doc_id long, source string, lang string, topic string, n_tokens long"), "mixing")
-    drop_path(spark, path)
+
+def _cells(held: DataFrame, centres: dict[str, np.ndarray], targets: dict[str, dict[str, float]] | None, part: float) -> tuple[DataFrame, DataFrame, str]:
+    """(topics of all texts, cells with weight and probability, folder of the first)."""
+    spark = held.sparkSession
+    facts, path = materialize(held.mapInArrow(_facts(centres), "doc_id long, source string, lang string, topic string, n_tokens long"), "mixing")
     cells = facts.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     rows = cells.limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
@@ -232,11 +228,59 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, dict[str, float]] | None
     weight = np.where(tokens > 0, share / np.maximum(tokens / max(tokens.sum(), 1e-300), 1e-300), 0.0)
     probability = calibrate(weight, tokens, part)
     table = spark.createDataFrame([(r.source, r.lang, r.topic, float(w), float(p)) for r, w, p in zip(rows, weight, probability, strict=True)], "s string, l string, t string, weight double, probability double")
-    if len(rows) <= 10_000:
-        table = F.broadcast(table)
-    out = facts.join(table, facts.source.eqNullSafe(F.col("s")) & facts.lang.eqNullSafe(F.col("l")) & (facts.topic == F.col("t")), "left")
-    draw = F.expr(f"(shiftrightunsigned(xxhash64(coalesce(doc_id, 0L), {seed}L), 11) + 0.5D) / 9007199254740992D")
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("selected"))
+    return facts, F.broadcast(table) if len(rows) <= 10_000 else table, path
+
+
+def _with_cell(rows: DataFrame, table: DataFrame, names: tuple[str, str, str] = MARGINS) -> DataFrame:
+    s, l, t = names
+    return rows.join(table, rows[s].eqNullSafe(F.col("s")) & rows[l].eqNullSafe(F.col("l")) & (rows[t] == F.col("t")), "left")
+
+
+def _profiles_of(docs: DataFrame) -> tuple[DataFrame, str]:
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")).mapInArrow(_profiled, "doc_id long, source string, lang string, n_tokens long, x binary"), "mixing-profiles")
+
+
+def mix_to_targets(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, part: float = 0.5, topics: int = TOPICS, seed: int = 1) -> DataFrame:
+    """``(doc_id, source, lang, topic, n_tokens, weight, probability, selected)`` of each row of ``docs``.
+
+    ``docs(doc_id, text, lang, source)``, other columns ignored. Targets map ``source``, ``lang`` and ``topic`` to
+    shares; a margin without targets is smoothed by TEMPERATURE. Null sources and languages are values of their own.
+    Tokens are words; texts without words (null, empty) have weight and probability of their cell, and 0 where the cell
+    has no tokens. Draws depend on doc_id and seed alone (null: one draw for all). Cells are counted in Spark; their
+    table comes to the driver only while it has at most MAX_CELLS rows, and more is an error that names the bound.
+    """
+    held, path = _profiles_of(docs)
+    facts, table, _ = _cells(held, fit_topics(held, topics), targets, part)
+    drop_path(docs.sparkSession, path)
+    out = _with_cell(facts, table)
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", (_draw(seed) < F.col("probability")).alias("selected"))
+
+
+def _topics(centres: dict[str, np.ndarray]):
+    """Whole rows with the topic of their text, by the profiles that the centres were fitted on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, lang = [t.encode("utf-8", "surrogatepass") for t in texts(b)], b.column("_lang")
+            for i, j in chunks(raw):
+                x = np.rint(profiles(raw[i:j])[0] * UNIT).astype(np.uint16)
+                of = pa.RecordBatch.from_pydict({"lang": lang.slice(i, j - i), "x": pa.array([v.tobytes() for v in x], pa.binary())})
+                yield b.slice(i, j - i).append_column("_topic", pa.array([f"t{t}" for t in _nearest(of, centres)], pa.string()))
+
+    return run
+
+
+def draw_to_targets(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, part: float = 0.5, topics: int = TOPICS, seed: int = 1) -> DataFrame:
+    """Rows of ``docs`` that ``mix_to_targets`` selects, with all their columns; each row is drawn by its own cell, so
+    rows that share a doc_id have one draw and may have two probabilities. Texts are not shuffled."""
+    held, path = _profiles_of(docs)
+    centres = fit_topics(held, topics)
+    _, table, facts_path = _cells(held, centres, targets, part)
+    drop_path(docs.sparkSession, path, facts_path)
+    small_batches(docs.sparkSession)
+    keyed = docs.withColumns({"_source": F.col("source").cast("string"), "_lang": F.col("lang").cast("string")})
+    schema = StructType([*keyed.schema.fields, StructField("_topic", StringType())])
+    return _with_cell(keyed.mapInArrow(_topics(centres), schema), table, ("_source", "_lang", "_topic")).where(_draw(seed) < F.col("probability")).select(*docs.columns)
 
 
 def op9_mix_to_targets(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronopath.functions.profiles import within_budget
+from chronopath.functions.temporal import abs_linear_integral, canonical
 
 
 def pieces(candidates: DataFrame, queries: DataFrame) -> DataFrame:
@@ -111,23 +112,61 @@ def retain(covered: DataFrame, k: int) -> DataFrame:
 
 
 def metrics(won: DataFrame) -> DataFrame:
-    """Coverage, integrals, distinct paths and changes of each query's winners."""
-    w = Window.partitionBy("query_id").orderBy("lo", "hi")
-    x = won.withColumn("_ch", (~F.lag("path").over(w).eqNullSafe(F.col("path")) & (F.row_number().over(w) > 1)).cast("int"))
-    width = F.col("hi") - F.col("lo")
-    return x.groupBy("query_id").agg(
-        F.round(F.sum(F.when(F.col("path").isNotNull(), width)), 6).alias("covered"), F.round(F.sum(F.col("score") * width), 6).alias("score_integral"), F.round(F.sum((F.col("travel_lo") + F.col("travel_hi")) / 2 * width), 6).alias("travel_integral"),
-        F.count_distinct("path").alias("n_paths"), F.sum("_ch").alias("n_changes"), F.round(F.avg(F.size("path")), 6).alias("avg_edges"),
+    """What each query's winners amount to: measures with and without a path, coverage, segments, paths, changes,
+    lengths, averages over the time that has a path, best score. Points count only for the best score and for a query
+    whose whole departure range is one point."""
+    width, found = F.col("hi") - F.col("lo"), F.col("path").isNotNull()
+    one = won.groupBy("query_id").agg(
+        F.sum(width).alias("_t"), F.sum(F.when(found, width).otherwise(0.0)).alias("_c"), F.max(found).alias("feasible"), F.count_distinct("path").alias("n_paths"),
+        F.sum(F.when(found, F.col("score") * width)).alias("_s"), F.sum(F.when(found, (F.col("travel_lo") + F.col("travel_hi")) / 2 * width)).alias("_v"), F.max(F.when(found, F.col("score"))).alias("best_score"),
+    )
+    long = F.col("e") - F.col("s")
+    two = merge_segments(won).groupBy("query_id").agg(F.count("*").alias("n_segments"), F.coalesce(F.min(F.when(long > 0, long)), F.lit(0.0)).alias("_min"))
+    return one.join(two, "query_id").select(
+        "query_id", "feasible", F.round("_c", 6).alias("covered"), F.round(F.col("_t") - F.col("_c"), 6).alias("uncovered"), F.round(F.when(F.col("_t") == 0, F.col("feasible").cast("double")).otherwise(F.try_divide("_c", "_t")), 6).alias("coverage"),
+        "n_segments", "n_paths", (F.col("n_segments") - 1).alias("n_changes"), F.round(F.col("_t") / F.col("n_segments"), 6).alias("avg_length"), F.round("_min", 6).alias("min_length"),
+        F.round(F.try_divide("_s", "_c"), 6).alias("avg_score"), F.round(F.try_divide("_v", "_c"), 6).alias("avg_travel"), "best_score",
     )
 
 
-def agreement(won: DataFrame, reference: DataFrame) -> DataFrame:
-    """Share of time in which winners agree with a reference's, score regret and the largest gap, over common cells."""
-    r = reference.select("query_id", F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"), F.col("path").alias("r_path"), F.col("score").alias("r_score"))
-    j = won.join(r, "query_id").withColumn("a", F.greatest("lo", "r_lo")).withColumn("z", F.least("hi", "r_hi")).where("a < z")
-    width = F.col("z") - F.col("a")
-    gap = F.coalesce("r_score", F.lit(0)) - F.coalesce("score", F.lit(0))
-    return j.groupBy("query_id").agg(
-        F.round(F.sum(F.when(F.col("path").eqNullSafe(F.col("r_path")), width).otherwise(0)) / F.sum(width), 6).alias("path_agreement"), F.round(F.sum(F.when(gap == 0, width).otherwise(0)) / F.sum(width), 6).alias("score_agreement"),
-        F.round(F.sum(gap * width), 6).alias("score_regret"), F.max(gap).alias("max_gap"),
+def quality(won: DataFrame, reference: DataFrame) -> DataFrame:
+    """How a candidate's winners compare with a reference's over the same departures, cell by common cell.
+
+    Both sides cover each query's range without gaps (path null: none). Cells meet by one sweep over both sides'
+    borders. Scores are compared where the reference has a path (the candidate counts 0 where it has none): regret is
+    what the reference scores more, over the reference's score (at least 1); gaps are absolute. Travel times are
+    compared where both have a path and equal scores. Breakpoints are the starts of segments but the first.
+    """
+    columns = ["path", "score", "travel_lo", "travel_hi", "lo", "hi"]
+    w = Window.partitionBy("query_id").orderBy("t")
+    filled = w.rowsBetween(Window.unboundedPreceding, 0)
+    marks = None
+    for i, side in enumerate((won, reference)):
+        one = side.where("lo < hi").select("query_id", F.col("lo").alias("t"), "hi", *[F.struct(*columns).alias("_" + "ab"[k]) if k == i else F.lit(None).alias("_" + "ab"[k]) for k in (0, 1)])
+        marks = one if marks is None else marks.unionByName(one)
+    swept = marks.groupBy("query_id", "t").agg(F.max("hi").alias("hi"), F.first("_a", ignorenulls=True).alias("_a"), F.first("_b", ignorenulls=True).alias("_b"))
+    swept = swept.withColumn("a", F.last("_a", ignorenulls=True).over(filled)).withColumn("b", F.last("_b", ignorenulls=True).over(filled)).withColumn("z", F.coalesce(F.lead("t").over(w), "hi"))
+    at = lambda s, t: F.col(f"{s}.travel_lo") + F.try_divide((F.col(f"{s}.travel_hi") - F.col(f"{s}.travel_lo")) * (F.col(t) - F.col(f"{s}.lo")), F.col(f"{s}.hi") - F.col(f"{s}.lo"))
+    x = swept.select(
+        "query_id", "t", "z", (F.col("z") - F.col("t")).alias("w"), F.col("a.path").isNotNull().alias("fa"), F.col("b.path").isNotNull().alias("fb"), F.col("a.path").eqNullSafe(F.col("b.path")).alias("same"),
+        F.col("b.score").alias("rs"), F.when(F.col("a.path").isNotNull(), F.col("a.score")).otherwise(0).alias("cs"), (at("a", "t") - at("b", "t")).alias("d0"), (at("a", "z") - at("b", "z")).alias("d1"),
+    ).withColumn("gap", F.abs(F.col("rs") - F.col("cs")))
+    obs, tie = F.col("fb"), F.col("fb") & F.col("fa") & (F.col("rs") == F.col("cs"))
+    on = lambda c, v: F.sum(F.when(c, v).otherwise(0.0))
+    sums = x.groupBy("query_id").agg(
+        F.sum("w").alias("_t"), on(F.col("same"), F.col("w")).alias("_ag"), on(F.col("fa") != F.col("fb"), F.col("w")).alias("_fd"), on(obs, F.col("w")).alias("_ob"), on(tie, F.col("w")).alias("_sa"),
+        on(obs, F.greatest(F.col("rs") - F.col("cs"), F.lit(0)) * F.col("w")).alias("_rn"), on(obs, F.greatest(F.col("rs"), F.lit(1)) * F.col("w")).alias("_rd"), on(obs, F.col("gap") * F.col("w")).alias("_ga"),
+        F.max(F.when(obs, F.col("gap"))).alias("max_gap"), on(tie, abs_linear_integral(F.col("d0"), F.col("d1"), F.col("w"))).alias("_tg"),
+    )
+    gaps = x.where("fb").groupBy("query_id", "gap").agg(F.sum("w").alias("_w")).withColumn("_c", F.sum("_w").over(Window.partitionBy("query_id").orderBy("gap"))).withColumn("_o", F.sum("_w").over(Window.partitionBy("query_id")))
+    p95 = gaps.where(F.col("_c") >= 0.95 * F.col("_o") - 1e-9).groupBy("query_id").agg(F.min("gap").alias("p95_gap"))
+    starts = lambda side: merge_segments(side).withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("s", "e"))).where("_r > 1").select("query_id", canonical(F.col("s")).alias("s")).distinct()
+    breaks = starts(won).withColumn("a", F.lit(1)).join(starts(reference).withColumn("b", F.lit(1)), ["query_id", "s"], "full").groupBy("query_id").agg(F.count("a").alias("_na"), F.count("b").alias("_nb"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("_nc"))
+    out = sums.join(p95, "query_id", "left").join(breaks, "query_id", "left").fillna(0, ["_na", "_nb", "_nc"])
+    share = lambda a, b, other: F.round(F.coalesce(F.try_divide(a, b), F.lit(other)), 6)
+    return out.select(
+        "query_id", share("_ag", "_t", 0.0).alias("path_agreement"), share("_sa", "_ob", 1.0).alias("score_agreement"), share("_fd", "_t", 0.0).alias("feasibility_disagreement"),
+        share("_nc", "_na", 1.0).alias("breakpoint_precision"), share("_nc", "_nb", 1.0).alias("breakpoint_recall"), ((F.col("_na") == F.col("_nc")) & (F.col("_nb") == F.col("_nc"))).alias("same_breakpoints"),
+        share("_rn", "_rd", 0.0).alias("score_regret"), F.round(100 * F.coalesce(F.try_divide("_rn", "_rd"), F.lit(0.0)), 6).alias("score_gap_percent"), F.round(F.try_divide("_ga", "_ob"), 6).alias("mean_gap"), "max_gap", "p95_gap",
+        F.round(F.try_divide("_tg", "_sa"), 6).alias("tie_travel_gap"), (F.col("_nb") - F.col("_nc")).alias("missed_switches"),
     )

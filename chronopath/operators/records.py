@@ -64,20 +64,24 @@ def average_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def signed_rank(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Wilcoxon signed-rank: W+, W-, rank-biserial effect and the normal p-value with tie correction; zeros are left out."""
-    d = df.withColumn("_d", F.col(x) - F.col(y)).where("_d <> 0").withColumn("_a", F.abs("_d"))
-    r = average_rank(d, keys, "_a")
-    ties = d.groupBy(*keys, "_a").agg(F.count("*").alias("_t")).groupBy(*keys).agg(F.sum(F.pow("_t", F.lit(3)) - F.col("_t")).alias("_ties"))
+    """Wilcoxon signed-rank of each group: n pairs that differ, W+, W-, rank-biserial effect, two-sided normal p-value.
+
+    z = (min(W+, W-) - n(n+1)/4 + 1/2) / sqrt(n(n+1)(2n+1)/24): a continuity term, no correction of ties. Equal pairs are
+    left out; a group of nothing else has no p and effect 0.
+    """
+    every = df.withColumn("_d", F.col(x) - F.col(y)).withColumn("_a", F.abs("_d"))
+    r = average_rank(every.where("_d <> 0"), keys, "_a")
     s = r.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("avg_rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("_d") < 0, F.col("avg_rank")).otherwise(0.0)).alias("w_minus"))
+    alike = every.groupBy(*keys).agg(F.count(F.when(F.col("_d") != 0, 1)).alias("_n")).where("_n = 0").select(*keys, F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("w_plus"), F.lit(0.0).alias("w_minus"))
 
     @F.udf("double", useArrow=True)
     def tail(z: float) -> float | None:  # one value a group: erfc has no SQL function
         return None if z is None else math.erfc(abs(z) / math.sqrt(2))
 
     n = F.col("n")
-    var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0
-    out = s.join(ties, keys) if keys else s.crossJoin(ties)
-    return out.withColumn("effect", F.round((F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus")), 6)).withColumn("z", F.try_divide(F.col("w_plus") - n * (n + 1) / 4.0, F.sqrt(var))).withColumn("p", F.round(tail("z"), 6)).drop("_ties", "z")
+    z = F.try_divide(F.least("w_plus", "w_minus") - n * (n + 1) / 4.0 + 0.5, F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0))
+    effect = F.coalesce(F.try_divide(F.col("w_plus") - F.col("w_minus"), F.col("w_plus") + F.col("w_minus")), F.lit(0.0))
+    return s.unionByName(alike).withColumn("effect", F.round(effect, 6)).withColumn("z", z).withColumn("p", F.round(tail("z"), 6)).drop("z")
 
 
 def holm(df: DataFrame, keys: list[str], p: str, order: str) -> DataFrame:

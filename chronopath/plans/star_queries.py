@@ -96,7 +96,9 @@ def e15_signed_rank(spark, sf):
 
 def e15_signed_rank_p(spark, sf):
     x = _t(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.sum(F.when(F.col("l_returnflag") == "A", 1).otherwise(0)).alias("x"), F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("y"))
-    return R.signed_rank(x.withColumn("g", F.col("l_suppkey") % 3), ["g"], "x", "y")
+    x = x.withColumn("g", F.col("l_suppkey") % 3)
+    alike = x.where("g = 0").withColumn("g", F.lit(9).cast("long")).withColumn("y", F.col("x"))  # a group without a difference
+    return R.signed_rank(x.unionByName(alike), ["g"], "x", "y").select("g", "n", "effect", F.coalesce("p", F.lit(-1.0)).alias("p"))
 
 
 def e14_bootstrap(spark, sf):
@@ -265,6 +267,7 @@ SELECT k, pos AS s, coalesce(lead(pos) OVER w, e) AS e, ai AS s_inc, CASE WHEN l
     "e12_histogram": "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority), 6) AS share FROM orders GROUP BY 1, 2",
     "e6_weighted_percentile": "WITH x AS (SELECT l_returnflag, l_extendedprice AS v, sum(CAST(l_quantity AS bigint)) AS w FROM lineitem GROUP BY 1, 2), c AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY v) AS c, sum(w) OVER (PARTITION BY l_returnflag) AS t FROM x) SELECT l_returnflag, min(v) AS weighted_percentile FROM c WHERE c >= 0.5 * t GROUP BY 1",
     "e15_signed_rank": f"WITH d AS ({_PAIR}), z AS (SELECT *, abs(d) AS a FROM d WHERE d <> 0), r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY a) + (count(*) OVER (PARTITION BY g, a) - 1) / 2.0 AS k FROM z), s AS (SELECT g, count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN k ELSE 0 END) AS double) AS w_plus, CAST(sum(CASE WHEN d < 0 THEN k ELSE 0 END) AS double) AS w_minus FROM r GROUP BY g) SELECT g, n, w_plus, w_minus, round((w_plus - w_minus) / (w_plus + w_minus), 6) AS effect FROM s",
+    "e15_signed_rank_p": f"WITH d AS ({_PAIR}), z AS (SELECT *, abs(d) AS a FROM d WHERE d <> 0), r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY a) + (count(*) OVER (PARTITION BY g, a) - 1) / 2.0 AS k FROM z), s AS (SELECT g, count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN k ELSE 0 END) AS double) AS wp, CAST(sum(CASE WHEN d < 0 THEN k ELSE 0 END) AS double) AS wm FROM r GROUP BY g), x AS (SELECT *, abs((least(wp, wm) - n * (n + 1) / 4.0::double + 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::double)) / sqrt(2.0::double) AS x FROM s) SELECT g, n, round((wp - wm) / (wp + wm), 6) AS effect, round(1 - (SELECT sum(pow(-1, j) * pow(x.x, 2 * j + 1) / (gamma(j + 1.0) * (2 * j + 1))) FROM range(0, 80) r(j)) * 2 / sqrt(pi()), 6) AS p FROM x UNION ALL SELECT 9, 0, 0.0, -1.0",
     "e16_holm": "WITH x AS (SELECT s_suppkey % 4 AS g, s_suppkey, (s_suppkey * 7919 % 1000) / 20000.0::double AS p FROM supplier), y AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY g) - row_number() OVER (PARTITION BY g ORDER BY p, s_suppkey) + 1) * p) AS st FROM x) SELECT g, s_suppkey, round(max(st) OVER (PARTITION BY g ORDER BY p, s_suppkey ROWS UNBOUNDED PRECEDING), 6) AS holm FROM y",
     "e17_speedup": "WITH x AS (SELECT l_suppkey, l_linenumber, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2) SELECT x.l_suppkey, x.l_linenumber, round(b.v / x.v, 6) AS speedup, round(b.v / x.v / x.l_linenumber, 6) AS efficiency FROM x JOIN x b ON x.l_suppkey = b.l_suppkey AND b.l_linenumber = 1",
     "e20_kaplan_meier": "WITH t AS (SELECT l_returnflag, CAST(l_quantity AS bigint) AS t, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS d, count(*) AS n FROM lineitem GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY l_returnflag ORDER BY t DESC) AS r FROM t), s AS (SELECT *, sum(CASE WHEN d = r THEN -1e9 ELSE ln(greatest(1 - d / r, 1e-300)) END) OVER (PARTITION BY l_returnflag ORDER BY t) AS s FROM r) SELECT l_returnflag, min(CASE WHEN s <= ln(0.5) + 1e-12 THEN t END) AS km_median FROM s GROUP BY 1",

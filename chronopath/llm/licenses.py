@@ -38,7 +38,17 @@ SENTENCES = {
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
     "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
-    "lgpl-short": ["Licensed under the GNU Lesser General Public License, version 3", "Licensed under the GNU Lesser General Public License, version 2.1"],
+    "lgpl3-short": ["Licensed under the GNU Lesser General Public License, version 3"],
+    "lgpl21-short": ["Licensed under the GNU Lesser General Public License, version 2.1"],
+    "lgpl21-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "lgpl-warranty": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
+    "agpl3-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "epl-header": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "artistic-grant": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"],
+    "postgres-grant": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"],
+    "0bsd-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "bsd-advert": ["All advertising materials mentioning features or use of this software must display the following acknowledgement"],
     "agpl-short": ["Licensed under the GNU Affero General Public License, version 3"],
     "mpl-header": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"],
@@ -53,16 +63,28 @@ SENTENCES = {
 # Ordered rules. The longest one that matches from a sentence on wins; its sentences may have up to GAP
 # other known ones between them.
 RULES = [
-    ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")), ("MIT", ("mit-grant", "mit-notice")), ("MIT", ("released-mit",)), ("ISC", ("isc-grant", "isc-warranty")), ("ISC", ("isc-grant",)),
+    ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")), ("MIT", ("mit-grant", "mit-notice")), ("MIT", ("mit-grant",)), ("MIT", ("released-mit",)), ("ISC", ("isc-grant", "isc-warranty")), ("ISC", ("isc-grant",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")), ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty")), ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty")), ("BSD", ("released-bsd",)), ("BSD-3-Clause", ("released-bsd3",)), ("BSD", ("bsd-grant",)),
     ("Apache-2.0", ("apache-header", "apache-comply", "apache-copy", "apache-asis")), ("Apache-2.0", ("apache-header", "apache-comply")), ("Apache-2.0", ("apache-header",)), ("Apache-2.0", ("apache-short",)),
     ("GPL-3.0", ("gpl-3-short",)), ("GPL-2.0", ("gpl-2-short",)), ("GPL-3.0-or-later", ("gpl-free", "gpl-warranty")), ("GPL-3.0-or-later", ("gpl-free",)), ("GPL-2.0-or-later", ("gpl2-free", "gpl-warranty")), ("GPL-2.0-or-later", ("gpl2-free",)),
-    ("LGPL", ("lgpl-short",)), ("AGPL-3.0", ("agpl-short",)), ("MPL-2.0", ("mpl-header", "mpl-copy")), ("MPL-2.0", ("mpl-header",)), ("Unlicense", ("unlicense",)), ("CC0-1.0", ("cc0",)), ("Zlib", ("zlib-warranty", "zlib-grant")), ("BSL-1.0", ("boost-header",)), ("WTFPL", ("wtfpl",)),
+    ("LGPL-3.0", ("lgpl3-short",)), ("LGPL-2.1", ("lgpl21-short",)), ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-warranty")), ("LGPL-2.1-or-later", ("lgpl21-free",)), ("LGPL-3.0-or-later", ("lgpl3-free", "gpl-warranty")), ("LGPL-3.0-or-later", ("lgpl3-free",)), ("AGPL-3.0", ("agpl-short",)), ("AGPL-3.0-or-later", ("agpl3-free", "gpl-warranty")), ("AGPL-3.0-or-later", ("agpl3-free",)), ("EPL-2.0", ("epl-header",)), ("PostgreSQL", ("postgres-grant",)), ("0BSD", ("0bsd-grant",)), ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse")), ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert")), ("MPL-2.0", ("mpl-header", "mpl-copy")), ("MPL-2.0", ("mpl-header",)), ("Unlicense", ("unlicense",)), ("CC0-1.0", ("cc0",)), ("Zlib", ("zlib-warranty", "zlib-grant")), ("BSL-1.0", ("boost-header",)), ("WTFPL", ("wtfpl",)),
 ]
 GAP = 2
 # Every sentence that can be identified holds one of these or of _SPREAD, in lower case.
-TRIGGERS = ("licen", "warrant", "copyright", "permission", "permitted", "redistribut", "public domain", "liable", "rights reserved", "mozilla", "mpl", "endorse", "verbatim", "spdx", "creativecommons", "creative commons")
+TRIGGERS = ("licen", "warrant", "copyright", "permission", "permitted", "redistribut", "public domain", "liable", "rights reserved", "mozilla", "mpl", "endorse", "verbatim", "spdx", "gpl", "advertising", "creativecommons", "creative commons")
+# Names of licences, normalised and without "license" at the end, as a notice may name them.
+NAMES = {
+    "mit": "MIT", "expat": "MIT", "isc": "ISC", "bsd": "BSD", "bsd 2 clause": "BSD-2-Clause", "2 clause bsd": "BSD-2-Clause", "simplified bsd": "BSD-2-Clause", "bsd 3 clause": "BSD-3-Clause", "3 clause bsd": "BSD-3-Clause", "new bsd": "BSD-3-Clause", "modified bsd": "BSD-3-Clause",
+    "apache": "Apache", "apache 2 0": "Apache-2.0", "apache version 2 0": "Apache-2.0", "apache license version 2 0": "Apache-2.0", "apache license 2 0": "Apache-2.0", "apache license": "Apache",
+    "gnu general public": "GPL", "gnu gpl": "GPL", "gpl": "GPL", "gplv2": "GPL-2.0", "gpl v2": "GPL-2.0", "gpl 2 0": "GPL-2.0", "gplv3": "GPL-3.0", "gpl v3": "GPL-3.0", "gpl 3 0": "GPL-3.0", "gnu gplv2": "GPL-2.0", "gnu gplv3": "GPL-3.0", "gnu gpl v3": "GPL-3.0", "gnu gpl v2": "GPL-2.0",
+    "gnu general public license version 2": "GPL-2.0", "gnu general public license version 3": "GPL-3.0", "gnu general public license v2 0": "GPL-2.0", "gnu general public license v3 0": "GPL-3.0", "gnu general public license v2": "GPL-2.0", "gnu general public license v3": "GPL-3.0", "gnu general public license": "GPL",
+    "lgpl": "LGPL", "lgplv2 1": "LGPL-2.1", "lgpl 2 1": "LGPL-2.1", "lgplv3": "LGPL-3.0", "lgpl 3 0": "LGPL-3.0", "gnu lgpl": "LGPL", "gnu lesser general public license version 2 1": "LGPL-2.1", "gnu lesser general public license version 3": "LGPL-3.0", "gnu lesser general public license v2 1": "LGPL-2.1", "gnu lesser general public license v3 0": "LGPL-3.0", "gnu lesser general public": "LGPL",
+    "agpl": "AGPL", "agplv3": "AGPL-3.0", "agpl 3 0": "AGPL-3.0", "gnu agplv3": "AGPL-3.0", "gnu affero general public license version 3": "AGPL-3.0", "gnu affero general public license v3 0": "AGPL-3.0", "gnu affero general public": "AGPL",
+    "mozilla public license 2 0": "MPL-2.0", "mozilla public license version 2 0": "MPL-2.0", "mozilla public": "MPL", "mpl 2 0": "MPL-2.0", "eclipse public license 2 0": "EPL-2.0", "eclipse public license 1 0": "EPL-1.0", "boost software license 1 0": "BSL-1.0", "boost software license version 1 0": "BSL-1.0", "boost software": "BSL-1.0",
+    "zlib": "Zlib", "unlicense": "Unlicense", "artistic license 2 0": "Artistic-2.0", "postgresql": "PostgreSQL", "wtfpl": "WTFPL", "zero clause bsd": "0BSD",
+}
+_NAMED = re.compile(r"(?:(?:this|the) (?:[a-z]+ ){1,3}(?:is|are) |it is |all code is )?(?:dual )?(?:licensed|released|distributed|available|published|provided|covered)(?: to you)? (?:under|by) (?:the terms of )?(?:the |a |an )?(.+?)(?: license)?")
 _CC = re.compile(r"(?:this work is |this text is )?(?:licensed|released|distributed|available) under (?:the |a )?(?:creative commons |cc )(by(?: nc)?(?: sa| nd)?|attribution(?: noncommercial)?(?: sharealike| noderivatives)?) ?(?:license )?([1-4] 0)?(?: international)?(?: license)?")
 # Words of a trigger can stand on different lines; the forms of _CC need no other trigger.
 _SPREAD = re.compile(r"(?:public[^\w+]+domain|rights[^\w+]+reserved|creative[^\w+]+commons|under[^\w+]+(?:(?:the|a)[^\w+]+)?cc)(?![\w+])")
@@ -141,7 +163,7 @@ def triggered(low: str) -> bool:
 
 
 def identify(sentence: str) -> str | None:
-    """Identifier of a sentence: a known one, or ``cc:`` and ``spdx:`` with what they name."""
+    """Identifier of a sentence: a known one, or ``cc:``, ``spdx:`` and ``name:`` with what they name."""
     n = normalise(sentence)
     if i := known().get(n):
         return i
@@ -150,6 +172,8 @@ def identify(sentence: str) -> str | None:
         return "cc:" + "-".join(["CC", *(p.upper() for p in parts), *([m[2].replace(" ", ".")] if m[2] else [])])
     if m := _SPDX.fullmatch(n):
         return "spdx:" + sentence.split(":", 1)[-1].strip(" */#\t\n.")
+    if (m := _NAMED.fullmatch(n)) and m[1] in NAMES:
+        return "name:" + NAMES[m[1]]
     return None
 
 
@@ -169,24 +193,33 @@ def sentences(text: str) -> Iterator[tuple[int, int, str | None]]:
         start, at = at, end
         if start == end or not triggered(low[start:end]):
             continue
-        if end - start <= 2 * longest() and (i := identify(text[start:end])):
+        if i := identify(text[start:end]):
             yield start, end, i
             continue
+        # Lines that hold words; how long they are is counted after normalising, so blanks and marks don't matter.
         cuts = [start, *(start + m.end() for m in re.finditer("\n", text[start:end])), end]
+        lines = [(a, b, n) for a, b in zip(cuts, cuts[1:], strict=False) if (n := len(normalise(text[a:b])))]
         k, any_known = 0, False
-        while k < len(cuts) - 1:
-            size = 1
-            while k + size < len(cuts) and cuts[k + size] - cuts[k] <= 2 * longest():
+        while k < len(lines):
+            size, held = 1, lines[k][2]
+            while k + size < len(lines) and held + 1 + lines[k + size][2] <= longest():
+                held += 1 + lines[k + size][2]
                 size += 1
-            hit = next(((m, i) for m in range(size - 1, 0, -1) if (i := identify(text[cuts[k] : cuts[k + m]]))), None)
+            hit = next(((m, i) for m in range(size, 0, -1) if (i := identify(text[lines[k][0] : lines[k + m - 1][1]]))), None)
             if hit:
-                yield cuts[k], cuts[k + hit[0]], hit[1]
+                yield lines[k][0], lines[k + hit[0] - 1][1], hit[1]
                 any_known = True
             k += hit[0] if hit else 1
         if not any_known:
             yield start, end, None
 
 
+@cache
+def rules_from(first: str) -> list[tuple[str, tuple[str, ...]]]:
+    """Rules that begin with a sentence, the longest first."""
+    return sorted((r for r in RULES if r[1][0] == first), key=lambda r: -len(r[1]))
+
+
 def recognise(found: list[tuple[int, int, str | None]]) -> list[tuple[str, int, int]]:
     """Licences that ordered rules find in a text's identified sentences: (licence, start, end)."""
     ids = [(s, e, i) for s, e, i in found if i]
@@ -194,10 +227,10 @@ def recognise(found: list[tuple[int, int, str | None]]) -> list[tuple[str, int,
     while k < len(ids):
         s, e, i = ids[k]
         best = None
-        if i.startswith(("cc:", "spdx:")):
+        if i.startswith(("cc:", "spdx:", "name:")):
             best = i.split(":", 1)[1], k
         else:
-            for name, rule in sorted(RULES, key=lambda r: -len(r[1])):
+            for name, rule in rules_from(i):
                 at = k
                 for step, want in enumerate(rule):
                     if not step and ids[k][2] == want:

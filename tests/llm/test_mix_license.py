@@ -141,3 +141,34 @@ def test_all_that_is_identified_passes_the_prefilter(spark):
             assert i in [x for _, _, x in lic.sentences("Words. " + s.replace(" ", "\n * ") + ". More.")], s
     assert lic.recognise(list(lic.sentences("Released under CC BY-SA 4.0.")))[0][0] == "CC-BY-SA-4.0"
     assert list(lic.sentences("He got accepted under ccs, and his domain was public.")) == []
+
+
+def brute_license(text):
+    """Straight from the tables: every stretch of whole lines or sentences, normalised, against every known sentence."""
+    words = lic.normalise(text)
+    found = {i: [m for s in many for m in [words.find(lic.normalise(s))] if m >= 0] for i, many in lic.SENTENCES.items()}
+    return {i for i, at in found.items() if at}
+
+
+@pytest.mark.parametrize("lay", ["{}", "{}.", " * {}", "\n\n{}\n\n"])
+def test_known_sentences_against_brute_force(lay):
+    """One known sentence at a time in plain text, laid out in ever odder ways: what the plain search finds is found."""
+    for i, many in lic.SENTENCES.items():
+        for s in many:
+            for shaped in (s, s.replace(" ", "\n"), "\n".join((" " * 24).join(s.split()[k : k + 2]) for k in range(0, len(s.split()), 2)), s.upper()):
+                text = "Words that say nothing.\n\n" + lay.format(shaped) + "\n\nMore of them."
+                assert i in brute_license(text)
+                assert i in [x for _, _, x in lic.sentences(text)], (i, shaped[:80])
+
+
+def test_named_licences():
+    cases = {
+        "This file is licensed under the MIT License.": "MIT", "Released under the BSD 3-Clause License.": "BSD-3-Clause", "It is distributed under the terms of the GNU General Public License v3.0.": "GPL-3.0", "This library is available under the LGPL-2.1 license.": "LGPL-2.1",
+        "Licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1", "The source code is published under the Apache License 2.0.": "Apache-2.0", "Distributed under GPLv3.": "GPL-3.0", "This software is licensed under the Mozilla Public License 2.0.": "MPL-2.0",
+    }
+    for text, want in cases.items():
+        assert [h[0] for h in lic.recognise(list(lic.sentences("Some words. " + text + " More.")))] == [want], text
+    assert lic.recognise(list(lic.sentences("He was released under the cover of night. She is licensed under state law."))) == []
+    grant = lic.SENTENCES["mit-grant"][0].split()
+    spread = "\n".join((" " * 24).join(grant[k : k + 2]) for k in range(0, len(grant), 2))
+    assert [h[0] for h in lic.recognise(list(lic.sentences(spread + ":\n\nText.")))] == ["MIT"]

@@ -1,9 +1,12 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests.
 
 A text's paragraphs (lines, cut again after sentence ends) are hashed to digests; each digest is added to one cell in
-each third of a table, with its checksum. The difference of two tables peels: a cell that holds one digest gives it
-up, and it is taken out of its other cells. What peels on either side tells how many paragraphs each text has alone,
-and with the set sizes the Jaccard likeness. Where a table doesn't peel wholly, both are built anew four times larger.
+each third of a table, with its checksum. A text's table has the least size at which it peels alone, so it lists all its
+digests; sizes double, and a table folds to any smaller size. Two tables are folded to the smaller one's size and
+subtracted, and the difference peels: a cell that holds one digest gives it up, and it is taken out of its other cells.
+What peels on either side tells how many paragraphs each text has alone, and with the set sizes the Jaccard likeness.
+Where the difference doesn't peel wholly, the larger tables are taken: each is listed and the lists are compared. So the
+likeness comes from the two fingerprints and from nothing else.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from chronopath.llm.common import shuffle_parts, small_batches
 
-CELLS, LARGEST = 36, 36 * 4**9
+CELLS = 36
 U = np.uint64
 _END = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 
@@ -47,10 +50,13 @@ def _check(key: np.ndarray) -> np.ndarray:
 
 def _cells(key: np.ndarray, cells: int) -> list[np.ndarray]:
     third = cells // 3
-    return [(_mix(key, 11 + i + cells) % U(third)).astype(np.int64) + i * third for i in range(3)]
+    return [(_mix(key, 11 + i) % U(third)).astype(np.int64) + i * third for i in range(3)]
 
 
-def tables(sets: list[np.ndarray], cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def tables(sets: list[np.ndarray], cells: int) -> Table:
     """(counts, digest sums, checksum sums), one row of cells for each set; sums are modulo 2^64."""
     n = len(sets)
     key = np.concatenate(sets) if n else np.empty(0, U)
@@ -64,11 +70,16 @@ def tables(sets: list[np.ndarray], cells: int) -> tuple[np.ndarray, np.ndarray,
     return count.reshape(n, cells), keys.reshape(n, cells), check.reshape(n, cells)
 
 
-def peel(count: np.ndarray, keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Peel differences of tables, all rows together: (left only, right only, whole)."""
+def fold(table: Table, cells: int) -> Table:
+    """Tables as they would be with fewer cells; their number must divide the present one."""
+    return tuple(x.reshape(len(x), 3, -1, cells // 3).sum(2, dtype=x.dtype).reshape(len(x), cells) for x in table)
+
+
+def peel(count: np.ndarray, keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Peel differences of tables, all rows together: (rows, digests, signs) that came out, and which rows are empty now."""
     n, cells = count.shape
     count, keys, check = count.copy().ravel(), keys.copy().ravel(), check.copy().ravel()
-    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    out: list[list[np.ndarray]] = [[], [], []]
     look = np.arange(n * cells)
     while len(look):
         one = look[np.abs(count[look]) == 1]
@@ -79,8 +90,8 @@ def peel(count: np.ndarray, keys: np.ndarray, check: np.ndarray) -> tuple[np.nda
         row = one // cells
         _, first = np.unique(np.stack([row.astype(U), key]), axis=1, return_index=True) if len(one) > 1 else (None, np.arange(len(one)))
         row, sign, key = row[first], sign[first], key[first]
-        np.add.at(left, row, sign > 0)
-        np.add.at(right, row, sign < 0)
+        for to, v in zip(out, (row, key, sign), strict=True):
+            to.append(v)
         touched = []
         c = _check(key)
         for at in _cells(key, cells):
@@ -91,40 +102,76 @@ def peel(count: np.ndarray, keys: np.ndarray, check: np.ndarray) -> tuple[np.nda
             touched.append(p)
         look = np.unique(np.concatenate(touched)) if len(row) else np.empty(0, np.int64)
     whole = ~((count != 0) | (keys != 0) | (check != 0)).reshape(n, cells).any(1)
-    return left, right, whole
+    row, key, sign = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+    return row, key, sign, whole
+
+
+def sketches(sets: list[np.ndarray], cells: int = CELLS) -> list[Table]:
+    """Of each set the table of the least size, ``cells`` or a doubling of it, that peels alone."""
+    out: list = [None] * len(sets)
+    size = np.full(len(sets), cells)
+    n = np.array([len(s) for s in sets], np.int64)
+    while (small := size < 1.25 * n).any():  # less never peels
+        size[small] *= 2
+    live = np.arange(len(sets))
+    while len(live):
+        failed = []
+        for c in np.unique(size[live]).tolist():
+            at = live[size[live] == c]
+            t = tables([sets[i] for i in at.tolist()], c)
+            whole = peel(*t)[3]
+            for k in np.flatnonzero(whole).tolist():
+                out[at[k]] = tuple(x[k : k + 1] for x in t)
+            failed.append(at[~whole])
+        live = np.concatenate(failed)
+        size[live] *= 2
+    return out
 
 
-def likeness(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
-    """Jaccard likeness of pairs of digest sets through their tables, larger ones where smaller ones don't peel."""
-    out, live, size = np.ones(len(a)), np.arange(len(a)), cells
-    while len(live):
-        x, y = [a[i] for i in live], [b[i] for i in live]
-        ta, tb = tables(x, size), tables(y, size)
-        left, right, whole = peel(*(p - q for p, q in zip(ta, tb, strict=True)))
-        if size >= LARGEST:  # beyond any document; the sets themselves decide what is left
-            for k in np.flatnonzero(~whole):
-                both = len(np.intersect1d(x[k], y[k]))
-                left[k], right[k] = len(x[k]) - both, len(y[k]) - both
-            whole[:] = True
-        na, nb = (np.array([len(s) for s in z]) for z in (x, y))
-        union = na + right
-        out[live[whole]] = np.where(union > 0, (na - left) / np.maximum(union, 1), 1.0)[whole]
-        live, size = live[~whole], size * 4
+def listed(table: Table) -> np.ndarray:
+    """Digests of one table that peels alone."""
+    return peel(*table)[1].astype(U)
+
+
+def likeness(a: list[Table], b: list[Table]) -> np.ndarray:
+    """Jaccard likeness of pairs of tables: their difference at the smaller size, or both listed where that doesn't peel."""
+    out = np.ones(len(a))
+    size = np.array([min(x[0].shape[1], y[0].shape[1]) for x, y in zip(a, b, strict=True)], np.int64)
+    for c in np.unique(size).tolist():
+        at = np.flatnonzero(size == c)
+        x, y = ([np.concatenate(p) for p in zip(*(fold(z[i], c) for i in at.tolist()), strict=True)] for z in (a, b))
+        row, _, sign, whole = peel(*(p - q for p, q in zip(x, y, strict=True)))
+        left, right = (np.bincount(row[sign == s].astype(np.int64), minlength=len(at)) for s in (1, -1))
+        n = x[0].sum(1) // 3
+        union = n + right
+        out[at] = np.where(union > 0, (n - left) / np.maximum(union, 1), 1.0)
+        for k in at[~whole].tolist():
+            p, q = listed(a[k]), listed(b[k])
+            both = len(np.intersect1d(p, q))
+            out[k] = both / (len(p) + len(q) - both)
     return out
 
 
-def serialize(count: np.ndarray, keys: np.ndarray, check: np.ndarray) -> list[str]:
+_CELL = np.dtype([("n", "<i4"), ("k", "<u8"), ("c", "<u8")])
+
+
+def serialize(table: Table) -> str:
     """A table as text: cells of count (4 bytes), digest sum (8), checksum sum (8), little-endian, in base64."""
-    cell = np.empty(count.shape, np.dtype([("n", "<i4"), ("k", "<u8"), ("c", "<u8")]))
-    cell["n"], cell["k"], cell["c"] = count, keys, check
-    return [base64.b64encode(r.tobytes()).decode() for r in cell]
+    cell = np.empty(table[0].shape[1], _CELL)
+    cell["n"], cell["k"], cell["c"] = (x[0] for x in table)
+    return base64.b64encode(cell.tobytes()).decode()
 
 
-def parse(fingerprint: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cell = np.frombuffer(base64.b64decode(fingerprint), np.dtype([("n", "<i4"), ("k", "<u8"), ("c", "<u8")]))
+def parse(fingerprint: str) -> Table:
+    cell = np.frombuffer(base64.b64decode(fingerprint), _CELL)
     return cell["n"].astype(np.int64)[None], cell["k"].copy()[None], cell["c"].copy()[None]
 
 
+def likeness_of(a: str, b: str) -> float:
+    """Likeness of two fingerprints."""
+    return float(likeness([parse(a)], [parse(b)])[0])
+
+
 def edit(text: str, following: str) -> str:
     """The last half of the code points replaced by the first as many of the next document."""
     k = len(text) // 2
@@ -136,18 +183,12 @@ def _run(cells: int):
         ids = [p[0] for p in part]
         text, following = [p[1] for p in part], [p[2] for p in part]
         edited = [edit(t, f) for t, f in zip(text, following, strict=True)]
-        memo: dict[str, np.ndarray] = {}
-
-        def of(t: str) -> np.ndarray:
-            if t not in memo:
-                memo[t] = digests(t)
-            return memo[t]
-
-        a, nxt = [of(t) for t in text], [of(t) for t in following]
-        b = [digests(t) for t in edited]
+        every = list({*text, *following, *edited})
+        of = dict(zip(every, sketches([digests(t) for t in every], cells), strict=True))
+        a, b, nxt = ([of[t] for t in x] for x in (text, edited, following))
         return pa.RecordBatch.from_pydict({
             "doc_id": pa.array(ids, pa.int64()), "n_chars": pa.array([len(t) for t in text], pa.int64()), "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
-            "fingerprint": pa.array(serialize(*tables(a, cells))), "edited_fingerprint": pa.array(serialize(*tables(b, cells))), "near_edited": pa.array(likeness(a, b, cells)), "near_next": pa.array(likeness(a, nxt, cells)),
+            "fingerprint": pa.array(list(map(serialize, a))), "edited_fingerprint": pa.array(list(map(serialize, b))), "near_edited": pa.array(likeness(a, b)), "near_next": pa.array(likeness(a, nxt)),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +208,17 @@ def _run(cells: int):
     return run
 
 
+def _place(bounds: list[int]) -> str:
+    """Number of the range of doc_id among sorted bounds (-1: null), in two steps of about the root of their number."""
+    if not bounds:
+        return "if(doc_id is null, -1, 0)"
+    step = max(1, round(len(bounds) ** 0.5))
+    rough = ", ".join(f"{b}L" for b in bounds[::step])
+    fine = ", ".join(f"array({', '.join(f'{b}L' for b in bounds[i : i + step])})" for i in range(0, len(bounds), step))
+    first = f"size(filter(array({rough}), b -> b <= doc_id))"
+    return f"if(doc_id is null, -1, get(transform(array({first}), c -> if(c = 0, 0, (c - 1) * {step} + size(filter(get(array({fine}), c - 1), b -> b <= doc_id)))), 0))"
+
+
 def fingerprints(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """Fingerprints of each text of ``docs(doc_id, text)`` and of its edited text, and what they tell of likeness.
 
@@ -181,7 +233,7 @@ def fingerprints(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     parts = shuffle_parts(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = sorted({int(b) for b in src.approxQuantile("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 0.25 / (4 * parts))})
-    place = F.expr(f"if(doc_id is null, -1, size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b <= doc_id)))") if bounds else F.expr("if(doc_id is null, -1, 0)")
+    place = F.expr(_place(bounds))
     # One row a range: its first document goes to the range above as well, the topmost's to the lowest.
     tops = sorted((r.bucket, r.top) for r in src.select("doc_id", place.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
     dealt = src.withColumn("bucket", place).withColumn("ghost", F.lit(0))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopath.llm.common import small_batches, texts
+from chronopath.llm.common import chunks, drop_path, materialize, small_batches, texts
 from chronopath.llm.ngram_join import _K, mix, word_hashes
 
 #: Bounds of the training sample (by least hash of doc_id) and of the model.
@@ -84,42 +84,28 @@ class Model:
         return -np.expm1(-self.leak - np.bincount(owner, np.logaddexp(0, z), n))
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], toxic: np.ndarray, weight: np.ndarray) -> Model:
-    """Fit by Adam over the whole sample. docs: (word hashes, pair hashes, sentence starts) of each text."""
-    if not len(docs) or toxic.min() == toxic.max():  # nothing to tell apart: the share of toxic labels
-        share = float(np.clip(toxic.mean() if len(docs) else 0.0, 0, 1 - 1e-9))
+@dataclass
+class Sample:
+    """Labelled texts as the features that the model may use: of each text, (feature, sentence) of every occurrence."""
+
+    feature: list[np.ndarray]
+    sentence: list[np.ndarray]
+    n_sentences: list[int]
+    toxic: np.ndarray
+    weight: np.ndarray
+
+
+def train(keys: np.ndarray, docs: Sample) -> Model:
+    """Fit by Adam over the whole sample; keys: sorted hashes of the features."""
+    toxic, weight = docs.toxic, docs.weight
+    if not len(toxic) or toxic.min() == toxic.max():  # nothing to tell apart: the share of toxic labels
+        share = float(np.clip(toxic.mean() if len(toxic) else 0.0, 0, 1 - 1e-9))
         return Model(np.empty(0, U), np.empty(0), -40.0, float(-np.log1p(-share)))
-    which = [np.unique(np.concatenate([w, p[p != 0]])) for w, p, _ in docs]
-    flat, owner = np.concatenate(which), np.repeat(np.arange(len(docs)), [len(x) for x in which])
-    keys, back = np.unique(flat, return_inverse=True)
-    df = np.bincount(back, minlength=len(keys))
-    pos = np.bincount(back, toxic[owner], len(keys))
-    share = toxic.mean()
-    z = (pos - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
-    z[df < LEAST_DOCS] = -np.inf
-    del which, flat, owner, back
-    # Features that speak for toxicity or against it; ties by hash.
-    best = np.argsort(-np.abs(np.where(np.isinf(z), 0, z)), kind="stable")[:FEATURES]
-    keys = np.sort(keys[best[~np.isinf(z[best])]])
-
-    def index(h: np.ndarray) -> np.ndarray:
-        k = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-        return np.where(keys[k] == h, k, len(keys)) if len(keys) else np.zeros(len(h), np.int64)
-
-    words = np.cumsum([0] + [len(w) for w, _, _ in docs])
-    start = np.concatenate([s + o for (_, _, s), o in zip(docs, words[:-1], strict=True)]).astype(np.int64)
-    own = np.repeat(np.arange(len(docs)), [len(s) for _, _, s in docs])
-    sent = np.repeat(np.arange(len(start)), np.diff(np.r_[start, words[-1]]))
-    parts = []
-    for i in (0, 1):
-        at = np.cumsum([0] + [len(d[i]) for d in docs])
-        for k, d in enumerate(docs):
-            x = index(d[i])
-            hit = np.flatnonzero(x < len(keys))
-            parts.append((x[hit].astype(np.int32), sent[at[k] + hit].astype(np.int32)))
-    f, s = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    del parts, sent
-    n, y = len(docs), toxic.astype(np.float64)
+    size = np.array(docs.n_sentences, np.int64)
+    start = np.zeros(int(size.sum()))
+    own = np.repeat(np.arange(len(size)), size)
+    f, s = np.concatenate(docs.feature), np.concatenate([x + o for x, o in zip(docs.sentence, np.r_[0, np.cumsum(size)[:-1]].tolist(), strict=True)])
+    n, y = len(toxic), toxic.astype(np.float64)
     theta = np.r_[np.zeros(len(keys)), -5.0, -3.0]  # weights, bias, log leak
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     total = weight.sum()
@@ -135,30 +121,68 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], toxic: np.ndarr
     return Model(keys, theta[:-2], float(theta[-2]), float(np.exp(theta[-1])))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, documents, toxic documents) of each batch."""
     for b in batches:
-        got = [bags([t.encode("utf-8", "surrogatepass")]) for t in texts(b)]
-        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "toxic": b.column("toxic").cast(pa.int32()), **{c: pa.array([x.tobytes() for x in v], pa.binary()) for c, v in (("word", [g.word for g in got]), ("pair", [g.pair for g in got]), ("start", [g.start.astype(np.int32) for g in got]))}})
+        toxic, which = np.asarray(b.column("toxic"), dtype=np.int64), []
+        for t in texts(b):
+            x = bags([t.encode("utf-8", "surrogatepass")])
+            which.append(np.unique(np.concatenate([x.word, x.pair[x.pair != 0]])))
+        keys, back = np.unique(np.concatenate(which), return_inverse=True)
+        own = np.repeat(toxic, [len(w) for w in which])
+        yield pa.RecordBatch.from_pydict({"feature": pa.array(keys.view(np.int64)), "df": pa.array(np.bincount(back, minlength=len(keys)).astype(np.int64)), "pos": pa.array(np.bincount(back, own, len(keys)).astype(np.int64))})
+
+
+def _indexed(keys: np.ndarray):
+    """Of each text the (feature, sentence) of every word and pair that is a feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {"feature": [], "sentence": [], "n_sentences": []}
+            for t in texts(b):
+                x = bags([t.encode("utf-8", "surrogatepass")])
+                sent = np.repeat(np.arange(len(x.start)), np.diff(np.r_[x.start, len(x.word)]))
+                h, of = np.concatenate([x.word, x.pair]), np.concatenate([sent, sent])
+                k = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+                hit = np.flatnonzero(keys[k] == h) if len(keys) else np.empty(0, np.int64)
+                out["feature"].append(k[hit].astype(np.int32).tobytes())
+                out["sentence"].append(of[hit].astype(np.int32).tobytes())
+                out["n_sentences"].append(len(x.start))
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "n_sentences": pa.array(out["n_sentences"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in ("feature", "sentence")}})
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     """Model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)`` (null labels or ids don't count; of several
-    labels of a document the largest counts). At most ``max_toxic`` and ``max_clean`` documents are drawn, those with
-    the least hash of doc_id, and weighted to the shares that they were drawn from; their features come to the driver."""
-    small_batches(docs.sparkSession)
+    labels of a document the largest counts).
+
+    At most ``max_toxic`` and ``max_clean`` documents are drawn, those with the least hash of doc_id, and weighted to
+    the shares that they were drawn from. Features are counted over the sample by Spark; the driver gets the FEATURES
+    that speak most for toxicity or against it (of at least LEAST_DOCS documents) and where they occur.
+    """
+    spark = docs.sparkSession
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r.n for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     drawn = None
     for y, most in ((1, max_toxic), (0, max_clean)):
         part = one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         drawn = part if drawn is None else drawn.union(part)
-    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in drawn.collect()], "doc_id long, toxic int")
-    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "doc_id long, toxic int, word binary, pair binary, start binary").toArrow()
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "word", "pair", "start", "toxic")), strict=True))
-    got = [(np.frombuffer(w, U), np.frombuffer(p, U), np.frombuffer(s, np.int32)) for _, w, p, s, _ in rows]
+    chosen = spark.createDataFrame([tuple(r) for r in drawn.collect()], "doc_id long, toxic int")
+    sample, path = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+    n, pos = sample.agg(F.count("*"), F.sum("toxic")).first()
+    keys = np.empty(0, U)
+    if pos and pos < n:
+        share = F.lit(pos / n)
+        counts = sample.mapInArrow(_counted, "feature long, df long, pos long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos")).where(F.col("df") >= LEAST_DOCS)
+        z = F.abs((F.col("pos") - F.col("df") * share) / F.sqrt(F.col("df") * share * (1 - share) + 1e-9))
+        keys = np.sort(np.array([r.feature for r in counts.orderBy(z.desc(), "feature").limit(FEATURES).collect()], np.int64).view(U))
+    table = sample.mapInArrow(_indexed(keys), "doc_id long, toxic int, n_sentences int, feature binary, sentence binary").toArrow()
+    drop_path(spark, path)
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "feature", "sentence", "n_sentences", "toxic")), strict=True))
     toxic = np.array([r[-1] for r in rows], np.int64)
     shares = {y: sizes.get(y, 0) / max(1, min(sizes.get(y, 0), most)) for y, most in ((1, max_toxic), (0, max_clean))}
-    return train(got, toxic, np.array([shares[int(y)] for y in toxic]))
+    return train(keys, Sample([np.frombuffer(r[1], np.int32) for r in rows], [np.frombuffer(r[2], np.int32) for r in rows], [r[3] for r in rows], toxic, np.array([shares[int(y)] for y in toxic])))
 
 
 def _score(model: Model, locate: bool):
@@ -167,12 +191,7 @@ def _score(model: Model, locate: bool):
             raw = [t.encode("utf-8", "surrogatepass") for t in texts(b)]
             score: list[float] = []
             spans: list[list] = []
-            i = 0
-            while i < len(raw):
-                j, held = i, 0
-                while j < len(raw) and (j == i or held + len(raw[j]) < 1 << 20):
-                    held += len(raw[j])
-                    j += 1
+            for i, j in chunks(raw):
                 x = bags(raw[i:j])
                 z = model.sentences(x)
                 score += model.documents(z, x.owner, j - i).tolist()
@@ -181,7 +200,6 @@ def _score(model: Model, locate: bool):
                     for k in np.flatnonzero(z >= 0).tolist():
                         found[x.owner[k]].append({"start": int(x.span[k, 0]), "end": int(x.span[k, 1]), "score": float(1 / (1 + np.exp(-z[k])))})
                     spans += found
-                i = j
             cols = {"doc_id": b.column("doc_id").cast(pa.int64()), "score": pa.array(score, pa.float64())}
             if locate:
                 cols["offending"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))
@@ -206,6 +224,22 @@ def score(docs: DataFrame, model: Model, locate: bool = True) -> DataFrame:
     return out.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *(["offending"] if locate else []))
 
 
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs`` whose text scores under 0.5, with all their columns; each row is judged by its own text, whatever
+    its doc_id. Null and empty texts get the leak's score. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, keep = [t.encode("utf-8", "surrogatepass") for t in texts(b)], []
+            for i, j in chunks(raw):
+                x = bags(raw[i:j])
+                keep += (model.documents(model.sentences(x), x.owner, j - i) < 0.5).tolist()
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, locate: bool = True) -> DataFrame:
     """Scores of all documents by a model learnt from the labelled rows that are not held out."""
     return score(docs, fit(docs, labels.where(f"not {HELD_OUT}")), locate)

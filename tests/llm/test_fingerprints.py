@@ -16,15 +16,22 @@ def test_likeness_is_jaccard(groups):
     a = [np.array(sorted(x | c), np.uint64) for x, _, c in groups]
     b = [np.array(sorted(y | c), np.uint64) for _, y, c in groups]
     want = [len({*p.tolist()} & {*q.tolist()}) / len({*p.tolist()} | {*q.tolist()}) if len(p) + len(q) else 1.0 for p, q in zip(a, b, strict=True)]
-    assert fp.likeness(a, b).tolist() == pytest.approx(want)
+    x, y = fp.sketches(a), fp.sketches(b)
+    assert fp.likeness(x, y).tolist() == pytest.approx(want)
+    assert [fp.likeness_of(fp.serialize(p), fp.serialize(q)) for p, q in zip(x, y, strict=True)] == pytest.approx(want)
+    assert [sorted(fp.listed(t).tolist()) for t in x] == [p.tolist() for p in a]
 
 
-def test_peeling_recovers_counts_from_serialized_tables():
+def test_peeling_recovers_what_differs_from_serialized_tables():
+    """Few differences between large sets peel at any folding that has room for them; many need the whole tables."""
     rng = np.random.default_rng(0)
-    common, x, y = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (500, 7, 4))
-    a, b = (fp.parse(fp.serialize(*fp.tables([np.concatenate([common, z])], fp.CELLS))[0]) for z in (x, y))
-    left, right, whole = fp.peel(*(p - q for p, q in zip(a, b, strict=True)))
-    assert (left[0], right[0], whole[0]) == (7, 4, True)
+    common, x, y, z = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (500, 7, 4, 3000))
+    a, b, c = (fp.parse(fp.serialize(fp.sketches([np.concatenate([common, w])])[0])) for w in (x, y, z))
+    for cells in (36, 72, a[0].shape[1]):
+        row, key, sign, whole = fp.peel(*(p - q for p, q in zip(fp.fold(a, cells), fp.fold(b, cells), strict=True)))
+        assert whole[0] and sorted(key[sign > 0].tolist()) == x.tolist() and sorted(key[sign < 0].tolist()) == y.tolist()
+        assert all((p == q).all() for p, q in zip(fp.fold(a, cells), fp.tables([np.concatenate([common, x])], cells), strict=True))
+    assert fp.likeness([a], [c])[0] == pytest.approx(500 / 3507)
 
 
 def check(spark, rows, df):
@@ -41,6 +48,11 @@ def check(spark, rows, df):
         want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), round(jac(sets(t), sets(e)), 9), round(jac(sets(t), sets(n)), 9)))
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
     assert sorted([(r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got], key=key) == sorted(want, key=key)
+    unique = [r for r in got if sum(i == r.doc_id for i, _ in rows) == 1 and r.doc_id is not None]
+    for r, after in zip(unique, unique[1:], strict=False):
+        assert fp.likeness_of(r.fingerprint, r.edited_fingerprint) == r.near_edited
+        if len(unique) == len(got):
+            assert fp.likeness_of(r.fingerprint, after.fingerprint) == r.near_next
     for r in got:
         t = next((x or "" for i, x in rows if i == r.doc_id and len(x or "") == r.n_chars), "")
         if r.doc_id is not None and sum(i == r.doc_id for i, _ in rows) == 1:

@@ -182,6 +182,18 @@ def travel_at_most(arrival: Column, budget: Column) -> Column:
     return F.filter(F.transform(segments(arrival), clip), lambda x: x.isNotNull())
 
 
+def joined(intervals: Column) -> Column:
+    """Closed intervals ``struct<s, e>`` in order, those that touch made one."""
+    empty = F.array().cast("array<struct<s: double, e: double>>")
+
+    def grown(done: Column, x: Column) -> Column:
+        last, more = F.get(done, F.size(done) - 1), F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))
+        longer = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when(last["e"] >= x["s"], longer).otherwise(F.concat(done, more))
+
+    return F.aggregate(intervals, empty, grown)
+
+
 def arrival_at_most(knots: Column, limit: Column) -> Column:
     """Closed intervals of each segment where t + v(t) <= limit."""
     def clip(s):

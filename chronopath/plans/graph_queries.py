@@ -10,6 +10,7 @@ from chronopath.operators import algorithms as A
 from chronopath.operators import envelopes as E
 from chronopath.operators import paths as P
 from chronopath.plans.temporal_graph import demo, graph, sql
+from chronopath.plans.temporal_graph import release as release_graphs
 
 _HELD: dict[tuple, DataFrame] = {}
 
@@ -22,6 +23,13 @@ def _held(spark, sf, name, make):
     return _HELD[key]
 
 
+def release(spark) -> None:
+    """Let go of all that queries of this session share; the next one works it out anew."""
+    for key in [k for k in _HELD if k[0] == spark.sparkContext.applicationId]:
+        _HELD.pop(key).unpersist()
+    release_graphs(spark)
+
+
 def _bounds(spark, sf):
     g = graph(spark, sf)
     return _held(spark, sf, "bounds", lambda: P.both_bounds(g.edges, g.queries))

@@ -69,6 +69,14 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return _HELD[key]
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the graphs that a session keeps."""
+    for key in [k for k in _HELD if k[0] == spark.sparkContext.applicationId]:
+        g = _HELD.pop(key)
+        for df in (g.edges, g.knots, g.scores):
+            df.unpersist()
+
+
 def demo(spark: SparkSession) -> Graph:
     """Five arcs over four nodes with one preferred stretch of time: a graph small enough to check by hand."""
     rows = [(0, 1, 2, 10.0, 8), (1, 2, 4, 10.0, 0), (2, 1, 3, 5.0, 5), (3, 3, 4, 40.0, 0), (4, 1, 4, 25.0, 0)]

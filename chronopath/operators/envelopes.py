@@ -90,25 +90,57 @@ def at_points(segments: DataFrame, points: DataFrame) -> DataFrame:
     return points.join(segments, "query_id").where(hit).select("query_id", "t", "path")
 
 
+def distinct_candidates(candidates: DataFrame) -> DataFrame:
+    """Without candidates that agree in query, path, domain, arrival and score; the columns decide, not their order."""
+    keys = [c for c in ("query_id", "path", "s", "e", "arrival", "pieces", "a0", "a1", "score") if c in candidates.columns]
+    return candidates.dropDuplicates(keys)
+
+
 def undominated(covered: DataFrame) -> DataFrame:
     """Paths of each cell that no other beats safely: equal arrival, at least the score, fewer edges or smaller path.
 
-    Paths with different arrivals never dominate each other, however early they are.
+    Paths with different arrivals never dominate each other, however early they are. For whole paths only: one that is
+    still to be extended needs its own nodes and pivots looked at as well, which this doesn't do.
     """
     w = Window.partitionBy("query_id", "lo", "hi", F.round("travel_lo", 9), F.round("travel_hi", 9)).orderBy(F.col("score").desc(), "n_edges", "path")
     return covered.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def cell_integrals(covered: DataFrame, queries: DataFrame) -> DataFrame:
+    """``covered`` with what retention compares: average travel time over the cell (trapezoid), least slack against the
+    budget, the time that the path covers in all its cells, and how many inner vertices it has. Queries ``(query_id, b)``."""
+    total = covered.groupBy("query_id", "path").agg(F.sum(F.col("hi") - F.col("lo")).alias("coverage"))
+    x = covered.join(total, ["query_id", "path"]).join(queries.select("query_id", "b"), "query_id")
+    return x.withColumn("avg_travel", (F.col("travel_lo") + F.col("travel_hi")) / 2).withColumn("min_slack", F.col("b") - F.greatest("travel_lo", "travel_hi")).withColumn("inner", F.greatest(F.col("n_edges") - 1, F.lit(0))).drop("b")
+
+
 def retain(covered: DataFrame, k: int) -> DataFrame:
-    """At most k paths of each cell: champion by score, the earliest, the one with least slack spent, then by score."""
-    by = lambda *o: F.row_number().over(Window.partitionBy("query_id", "lo", "hi").orderBy(*o))
-    champion = by(F.col("score").desc(), F.round("travel", 9), "n_edges", "path")
-    earliest = by(F.round("travel", 9), F.col("score").desc(), "n_edges", "path")
-    loosest = by(F.round(F.greatest("travel_lo", "travel_hi"), 9), F.col("score").desc(), "n_edges", "path")
-    ranked = covered.withColumn("_a", champion).withColumn("_b", earliest).withColumn("_c", loosest)
-    role = F.when(F.col("_a") == 1, 0).when(F.col("_b") == 1, 1).when(F.col("_c") == 1, 2).otherwise(3)
-    kept = ranked.withColumn("role", role).withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "lo", "hi").orderBy("role", "_a")))
-    return kept.where(F.col("_k") <= k).drop("_a", "_b", "_c", "_k")
+    """At most k paths of each cell, from ``cell_integrals``: champion, earliest, widest coverage, fewest inner vertices,
+    then the best of the rest; ``role`` 0 to 4. Cells with k paths or fewer keep them all.
+
+    Orders: champion by score, travel at the middle; earliest by average travel, score; coverage by coverage, score,
+    average travel; fewest by inner vertices, average travel, score; the rest by score, average travel, slack, coverage,
+    inner vertices. Ties in all go to fewer edges, then the smaller path.
+    """
+    cell = ["query_id", "lo", "hi"]
+    by = lambda *o: F.row_number().over(Window.partitionBy(*cell).orderBy(*o, "n_edges", "path"))
+    score, early = F.col("score").desc(), F.round("avg_travel", 9)
+    ranks = [by(score, F.round("travel", 9)), by(early, score), by(F.col("coverage").desc(), score, early), by("inner", early, score)]
+    ranked = covered.withColumns({f"_o{i}": r for i, r in enumerate(ranks)}).withColumn("_fill", by(score, early, F.col("min_slack").desc(), F.col("coverage").desc(), "inner"))
+    role = F.lit(4)
+    for i in (3, 2, 1, 0):
+        role = F.when(F.col(f"_o{i}") == 1, i).otherwise(role)
+    kept = ranked.withColumn("role", role).withColumn("_k", F.row_number().over(Window.partitionBy(*cell).orderBy("role", "_fill")))
+    return kept.where(F.col("_k") <= k).drop("_fill", "_k", *[f"_o{i}" for i in range(4)])
+
+
+def compress(covered: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Frontier compression of whole paths: dominated ones go, then each cell keeps k; ``(query_id, path, s, e, role)`` are
+    the maximal runs of cells in which a path is kept, with the least of its roles."""
+    kept = retain(cell_integrals(undominated(covered), queries), k)
+    w = Window.partitionBy("query_id", "path").orderBy("lo", "hi")
+    runs = kept.withColumn("_n", (F.coalesce(F.lag("hi").over(w) < F.col("lo"), F.lit(True))).cast("int")).withColumn("_run", F.sum("_n").over(w))
+    return runs.groupBy("query_id", "path", "_run").agg(F.min("lo").alias("s"), F.max("hi").alias("e"), F.min("role").alias("role")).drop("_run")
 
 
 def metrics(won: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def c7_undominated(spark, sf):
 
 
 def c8_retained(spark, sf):
-    return E.retain(_covered(spark, sf), 4).groupBy("query_id", "role").agg(F.count("*").alias("n"))
+    return E.retain(E.cell_integrals(_covered(spark, sf), graph(spark, sf).queries), 4).groupBy("query_id", "role").agg(F.count("*").alias("n"))
 
 
 def e4_metrics(spark, sf):

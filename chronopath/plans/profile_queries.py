@@ -41,6 +41,42 @@ def c15_merged_assignments(spark, sf):
     return E.merge_segments(_candidate(spark, sf)).select("query_id", "s", "e", F.coalesce(F.get("path", F.lit(0)), F.lit(-1)).alias("path"))
 
 
+def _candidates(spark, sf):
+    """Line numbers as paths in each supplier's 24 cells."""
+    x = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy((F.col("l_suppkey") % 50).alias("query_id"), (F.col("l_orderkey") % 24).alias("i"), F.col("l_linenumber").cast("int").alias("p"))
+    x = x.agg((F.count("*") % 3).alias("score"), (F.max("l_partkey") % 6).cast("double").alias("travel_lo"), (F.min("l_partkey") % 6).cast("double").alias("travel_hi"))
+    return x.select("query_id", (F.col("i") * 10).cast("double").alias("lo"), (F.col("i") * 10 + 10).cast("double").alias("hi"), F.array("p").alias("path"), (F.col("p") % 3 + 1).alias("n_edges"), "score", ((F.col("travel_lo") + F.col("travel_hi")) / 2).alias("travel"), "travel_lo", "travel_hi")
+
+
+def _budgets(spark, sf):
+    return _candidates(spark, sf).select("query_id").distinct().withColumn("b", F.lit(8.0))
+
+
+def _kept(df, *columns):
+    return df.select("query_id", "lo", "hi", F.get("path", F.lit(0)).alias("path"), *columns)
+
+
+def c7_safe_dominance(spark, sf):
+    return _kept(E.undominated(_candidates(spark, sf)), "score")
+
+
+def c8_retained_roles(spark, sf):
+    return _kept(E.retain(E.cell_integrals(_candidates(spark, sf), _budgets(spark, sf)), 3), "role")
+
+
+def c9_cell_integrals(spark, sf):
+    return _kept(E.cell_integrals(_candidates(spark, sf), _budgets(spark, sf)), "avg_travel", "min_slack", "coverage", "inner")
+
+
+def c10_distinct_candidates(spark, sf):
+    x = _candidates(spark, sf).withColumnRenamed("lo", "s").withColumnRenamed("hi", "e")
+    return E.distinct_candidates(x.unionByName(x).drop("travel", "travel_lo", "travel_hi", "n_edges")).select("query_id", "s", "e", F.get("path", F.lit(0)).alias("path"), "score")
+
+
+def c12_compressed(spark, sf):
+    return E.compress(_candidates(spark, sf), _budgets(spark, sf), 2).select("query_id", F.get("path", F.lit(0)).alias("path"), "s", "e", "role")
+
+
 def _sql(name, flag, n, scale, seven):
     return f"""{name}_x AS (SELECT l_suppkey % 50 AS q, l_orderkey % {n} AS i, max(l_linenumber) AS p, count(*) % 4 AS score, CAST(max(l_quantity) AS double) AS v0, CAST(min(l_quantity) AS double) AS v1 FROM lineitem WHERE l_returnflag = '{flag}' AND l_partkey % 7 < {seven} GROUP BY 1, 2),
 {name} AS (SELECT q, CAST(i * {scale} AS double) AS lo, CAST((i + 1) * {scale} AS double) AS hi, p, score, v0, v1 FROM (SELECT q, i FROM (SELECT DISTINCT l_suppkey % 50 AS q FROM lineitem) CROSS JOIN (SELECT unnest(range({n})) AS i)) LEFT JOIN {name}_x USING (q, i)),
@@ -50,7 +86,18 @@ def _sql(name, flag, n, scale, seven):
 
 
 _A, _B = _sql("a", "A", 24, 10, 1), _sql("b", "R", 16, 15, 2)
+_CAND = """c AS (SELECT l_suppkey % 50 AS q, CAST(l_orderkey % 24 * 10 AS double) AS lo, CAST(l_orderkey % 24 * 10 + 10 AS double) AS hi, l_linenumber AS p, l_linenumber % 3 + 1 AS ne, count(*) % 3 AS score, CAST(max(l_partkey) % 6 AS double) AS v0, CAST(min(l_partkey) % 6 AS double) AS v1 FROM lineitem GROUP BY ALL),
+m AS (SELECT *, (v0 + v1) / 2 AS av, 8.0 - greatest(v0, v1) AS slack, sum(hi - lo) OVER (PARTITION BY q, p) AS cover, ne - 1 AS inn FROM {src})"""
+_DOM = "u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, lo, v0, v1 ORDER BY score DESC, ne, p) AS r FROM c) WHERE r = 1)"
+_ROLE = """o AS (SELECT *, row_number() OVER (w ORDER BY score DESC, av, ne, p) AS a, row_number() OVER (w ORDER BY av, score DESC, ne, p) AS b, row_number() OVER (w ORDER BY cover DESC, score DESC, av, ne, p) AS d, row_number() OVER (w ORDER BY inn, av, score DESC, ne, p) AS e, row_number() OVER (w ORDER BY score DESC, av, slack DESC, cover DESC, inn, ne, p) AS f FROM m WINDOW w AS (PARTITION BY q, lo, hi)),
+k AS (SELECT *, CASE WHEN a = 1 THEN 0 WHEN b = 1 THEN 1 WHEN d = 1 THEN 2 WHEN e = 1 THEN 3 ELSE 4 END AS role FROM o), z AS (SELECT *, row_number() OVER (PARTITION BY q, lo, hi ORDER BY role, f) AS n FROM k)"""
 SQL = {
+    "c7_safe_dominance": f"WITH {_CAND.format(src='c')}, {_DOM} SELECT q AS query_id, lo, hi, p AS path, score FROM u",
+    "c8_retained_roles": f"WITH {_CAND.format(src='c')}, {_ROLE} SELECT q AS query_id, lo, hi, p AS path, role FROM z WHERE n <= 3",
+    "c9_cell_integrals": f"WITH {_CAND.format(src='c')} SELECT q AS query_id, lo, hi, p AS path, av AS avg_travel, slack AS min_slack, cover AS coverage, inn AS inner FROM m".replace("AS inner", 'AS "inner"'),
+    "c10_distinct_candidates": f"WITH {_CAND.format(src='c')} SELECT q AS query_id, lo AS s, hi AS e, p AS path, score FROM c",
+    "c12_compressed": f"""WITH {_CAND.format(src='u').replace("FROM lineitem GROUP BY ALL),", "FROM lineitem GROUP BY ALL), " + _DOM + ",")}, {_ROLE}, g AS (SELECT *, lo - 10 * row_number() OVER (PARTITION BY q, p ORDER BY lo) AS run FROM z WHERE n <= 2)
+SELECT q AS query_id, p AS path, min(lo) AS s, max(hi) AS e, min(role) AS role FROM g GROUP BY q, p, run""",
     "c15_merged_assignments": f"WITH {_A} SELECT q AS query_id, s, e, coalesce(p, -1) AS path FROM a_s",
     "e4_profile_metrics": f"""WITH {_A}, o AS (SELECT q, sum(hi - lo) AS t, sum(CASE WHEN p IS NOT NULL THEN hi - lo ELSE 0 END) AS c, count(p) > 0 AS f, count(DISTINCT p) AS paths, sum(score * (hi - lo)) AS s, sum((v0 + v1) / 2 * (hi - lo)) AS v, max(score) AS best FROM a GROUP BY q), g AS (SELECT q, count(*) AS n, min(e - s) AS least FROM a_s GROUP BY q)
 SELECT q AS query_id, f AS feasible, round(c, 6) AS covered, round(t - c, 6) AS uncovered, round(c / t, 6) AS coverage, n AS n_segments, paths AS n_paths, n - 1 AS n_changes, round(t / n, 6) AS avg_length, round(least, 6) AS min_length, coalesce(round(s / nullif(c, 0), 6), -1) AS avg_score, coalesce(round(v / nullif(c, 0), 6), -1) AS avg_travel, coalesce(best, -1) AS best_score FROM o JOIN g USING (q)""",
@@ -61,4 +108,4 @@ g AS (SELECT q, gap, sum(w) OVER (PARTITION BY q ORDER BY gap) AS c, sum(w) OVER
 n AS (SELECT q, (SELECT count(*) FROM a_s x WHERE x.q = sm.q AND run > 1) AS na, (SELECT count(*) FROM b_s x WHERE x.q = sm.q AND run > 1) AS nb, (SELECT count(*) FROM a_s x JOIN b_s y ON x.q = y.q AND x.s = y.s AND x.run > 1 AND y.run > 1 WHERE x.q = sm.q) AS nc FROM sm)
 SELECT q AS query_id, round(ag / t, 6) AS path_agreement, coalesce(round(sc / nullif(o, 0), 6), 1) AS score_agreement, round(fd / t, 6) AS feasibility_disagreement, coalesce(round(nc / nullif(na, 0), 6), 1) AS breakpoint_precision, coalesce(round(nc / nullif(nb, 0), 6), 1) AS breakpoint_recall, na = nc AND nb = nc AS same_breakpoints, coalesce(round(rn / nullif(rd, 0), 6), 0) AS score_regret, coalesce(round(100 * rn / nullif(rd, 0), 6), 0) AS score_gap_percent, coalesce(round(ga / nullif(o, 0), 6), -1) AS mean_gap, coalesce(mg, -1) AS max_gap, coalesce(p95, -1) AS p95_gap, coalesce(round(tg / nullif(sc, 0), 6), -1) AS tie_travel_gap, nb - nc AS missed_switches FROM sm LEFT JOIN p USING (q) JOIN n USING (q)""",
 }
-QUERIES = {f.__name__: f for f in (e4_profile_metrics, e5_quality, c15_merged_assignments)}
+QUERIES = {n: f for n, f in list(globals().items()) if n in SQL}

@@ -143,6 +143,21 @@ def write_queries(df: DataFrame, path: str) -> None:
     df.orderBy("query_id").coalesce(1).write.json(path, mode="overwrite")
 
 
+def write_metrics(df: DataFrame, path: str) -> None:
+    """Point metrics as CSV with a header, one part in query order."""
+    df.orderBy("query_id").coalesce(1).write.csv(path, header=True, mode="overwrite")
+
+
+def debug_json(df: DataFrame) -> DataFrame:
+    """Each row as one JSON document, nulls written out."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def read_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    """CSV pages of a folder, every column as text."""
+    return spark.read.csv(folder, header=True, inferSchema=False)
+
+
 def append_records(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("append").format(fmt).option("header", True).save(path)
 
@@ -153,18 +168,21 @@ def pending(plan: DataFrame, done: DataFrame, key: str = "run_id") -> DataFrame:
 
 
 def read_dimacs(spark: SparkSession, graph: str, coordinates: str | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """DIMACS text: arcs ``(line, u, v, cost)`` of a .gr file and nodes ``(node_id, x, y)`` of a .co file."""
-    parts = lambda p, kind: spark.read.text(p).where(F.col("value").startswith(f"{kind} ")).select(F.split("value", r"\s+").alias("p"))
-    arcs = parts(graph, "a").select(F.col("p")[1].cast("int").alias("u"), F.col("p")[2].cast("int").alias("v"), F.col("p")[3].cast("long").alias("cost"))
+    """DIMACS text: arcs ``(at, u, v, cost)`` of a .gr file, ``at`` their place in it, and nodes ``(node_id, x, y)`` of a .co file."""
+    def parts(path: str, kind: str) -> DataFrame:
+        lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"))
+        return lines.where(F.col("value").startswith(f"{kind} ")).select("at", F.split("value", r"\s+").alias("p"))
+
+    arcs = parts(graph, "a").select("at", F.col("p")[1].cast("int").alias("u"), F.col("p")[2].cast("int").alias("v"), F.col("p")[3].cast("long").alias("cost"))
     nodes = parts(coordinates, "v").select(F.col("p")[1].cast("int").alias("node_id"), F.col("p")[2].cast("long").alias("x"), F.col("p")[3].cast("long").alias("y")) if coordinates else None
     return arcs, nodes
 
 
 def join_dimacs(distance: DataFrame, travel: DataFrame, unit: int = 10) -> DataFrame:
-    """Arcs of a distance and a travel-time file: the k-th arc of an (u, v) pair in one is the k-th in the other."""
-    w = lambda c: Window.partitionBy("u", "v").orderBy(c)
-    d = distance.withColumn("k", F.row_number().over(w("cost"))).withColumnRenamed("cost", "distance")
-    t = travel.withColumn("k", F.row_number().over(w("cost"))).withColumnRenamed("cost", "ticks")
+    """Arcs of a distance and a travel-time file: the k-th arc of an (u, v) pair in one file is the k-th in the other."""
+    w = Window.partitionBy("u", "v").orderBy("at")  # parallel arcs of one pair only
+    d = distance.withColumn("k", F.row_number().over(w)).select("u", "v", "k", F.col("cost").alias("distance"))
+    t = travel.withColumn("k", F.row_number().over(w)).select("u", "v", "k", F.col("cost").alias("ticks"))
     j = d.join(t, ["u", "v", "k"], "full")
     _none(j.where("distance is null or ticks is null"), "arcs in one file only")
     return j.select("u", "v", "distance", (F.col("ticks") / unit / 60).alias("base_travel_time"))

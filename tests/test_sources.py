@@ -66,6 +66,14 @@ def test_queries_dimacs_and_pending(spark, tmp_path):
     d, n = G.read_dimacs(spark, str(tmp_path / "d.gr"), str(tmp_path / "d.co"))
     t, _ = G.read_dimacs(spark, str(tmp_path / "t.gr"))
     assert sorted(map(tuple, G.join_dimacs(d, t).collect())) == [(1, 2, 50, 1.0), (2, 3, 70, 2.0)] and n.first().x == -7
+    # Of two parallel arcs the longer is the faster: place in the file decides, not cost.
+    (tmp_path / "d2.gr").write_text("p sp 2 2\na 1 2 90\na 1 2 50\n")
+    (tmp_path / "t2.gr").write_text("p sp 2 2\na 1 2 600\na 1 2 1200\n")
+    two = G.join_dimacs(*(G.read_dimacs(spark, str(tmp_path / f))[0] for f in ("d2.gr", "t2.gr")))
+    assert sorted(map(tuple, two.collect())) == [(1, 2, 50, 2.0), (1, 2, 90, 1.0)]
+    G.write_metrics(spark.createDataFrame([("q2", 1.5), ("q1", 2.0)], "query_id string, travel double"), str(tmp_path / "m"))
+    assert [tuple(r) for r in G.read_schedule(spark, str(tmp_path / "m")).collect()] == [("q1", "2.0"), ("q2", "1.5")]
+    assert json.loads(G.debug_json(spark.createDataFrame([(1, None)], "a int, b string")).first().json) == {"a": 1, "b": None}
     plan = spark.createDataFrame([("a",), ("b",)], "run_id string")
     G.append_records(plan.where("run_id = 'a'"), str(tmp_path / "rec"))
     assert [r.run_id for r in G.pending(plan, spark.read.json(str(tmp_path / "rec"))).collect()] == ["b"]

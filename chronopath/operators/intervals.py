@@ -14,6 +14,32 @@ def _alive(df: DataFrame) -> DataFrame:
     return df.where((F.col("s") < F.col("e")) | ((F.col("s") == F.col("e")) & F.col("s_inc") & F.col("e_inc")))
 
 
+def _width(*sides: DataFrame) -> float:
+    """Twice the mean length of all intervals: the width of the stretches in which they are looked for."""
+    both = None
+    for x in sides:
+        one = x.select((F.col("e") - F.col("s")).cast("double").alias("n"))
+        both = one if both is None else both.unionByName(one)
+    mean = both.agg(F.avg("n")).first()[0]
+    return 2 * mean if mean else 1.0
+
+
+def _stretch(column: str, width: float):
+    return F.floor(F.col(column) / F.lit(width))
+
+
+def _meeting(a: DataFrame, r: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """Pairs of a's rows (s, e) and r's (r_s, r_e) of a key that touch.
+
+    Both sides are dealt to the stretches of time that they reach, about one and a half each on average, so a key's
+    intervals meet those nearby and not all others; a pair counts in the first stretch that both reach.
+    """
+    left = a.withColumn("_q", F.explode(F.sequence(_stretch("s", width), _stretch("e", width))))
+    right = r.withColumn("_q", F.explode(F.sequence(_stretch("r_s", width), _stretch("r_e", width))))
+    first = F.greatest(_stretch("s", width), _stretch("r_s", width))
+    return left.join(right, [*keys, "_q"]).where("s <= r_e and r_s <= e").where(F.col("_q") == first).drop("_q")
+
+
 def merge(df: DataFrame, keys: list[str]) -> DataFrame:
     """Union into disjoint intervals; touching ones join where either side owns the point."""
     w = Window.partitionBy(*keys).orderBy("s", F.col("s_inc").desc(), "e", "e_inc")
@@ -27,7 +53,7 @@ def merge(df: DataFrame, keys: list[str]) -> DataFrame:
 def intersect(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Pairwise intersections of a key's intervals; equal ends are owned if both own them."""
     r = b.select(*keys, *[F.col(c).alias("r_" + c) for c in ("s", "e", "s_inc", "e_inc")])
-    j = a.join(r, keys).where("s <= r_e and r_s <= e")
+    j = _meeting(a, r, keys, _width(a, b))
     s_inc = F.when(F.col("s") == F.col("r_s"), F.col("s_inc") & F.col("r_s_inc")).when(F.col("s") > F.col("r_s"), F.col("s_inc")).otherwise(F.col("r_s_inc"))
     e_inc = F.when(F.col("e") == F.col("r_e"), F.col("e_inc") & F.col("r_e_inc")).when(F.col("e") < F.col("r_e"), F.col("e_inc")).otherwise(F.col("r_e_inc"))
     rest = [c for c in a.columns if c not in (*keys, "s", "e", "s_inc", "e_inc")]
@@ -37,10 +63,8 @@ def intersect(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def subtract(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """What of a's disjoint intervals b doesn't cover; cut points change owner."""
     cuts = merge(b, keys).select(*keys, *[F.col(c).alias("r_" + c) for c in ("s", "e", "s_inc", "e_inc")])
-    touch = (F.col("r_s") <= F.col("e")) & (F.col("s") <= F.col("r_e"))
-    j = a.alias("a").join(cuts, keys, "left").withColumn("hit", F.coalesce(touch, F.lit(False)))
     own = [*keys, "s", "e", "s_inc", "e_inc"]
-    hits = j.where("hit")
+    hits = _meeting(a, cuts, keys, _width(a, b))
     w = Window.partitionBy(*own).orderBy("r_s")
     prev_e, prev_inc = F.lag("r_e").over(w), F.lag("r_e_inc").over(w)
     # A cut at an interval's own end leaves the point only to an interval that owned it.
@@ -60,7 +84,9 @@ def split(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     no key's cuts are gathered in one value.
     """
     own = [c for c in df.columns]
-    inside = df.join(cuts.distinct(), keys).where("s < cut and cut < e").select(*own, F.col("cut").alias("_at"), F.lit(True).alias("_at_inc"))
+    width = _width(df)
+    reach = df.withColumn("_q", F.explode(F.sequence(_stretch("s", width), _stretch("e", width))))
+    inside = reach.join(cuts.distinct().withColumn("_q", _stretch("cut", width)), [*keys, "_q"]).where("s < cut and cut < e").select(*own, F.col("cut").alias("_at"), F.lit(True).alias("_at_inc"))
     marks = df.select(*own, F.col("s").alias("_at"), F.col("s_inc").alias("_at_inc")).union(inside)
     w = Window.partitionBy(*own).orderBy("_at")
     cell = marks.withColumn("_to", F.lead("_at").over(w)).select(*[c for c in own if c not in ("s", "e", "s_inc", "e_inc")], F.col("_at").alias("s"), F.coalesce("_to", "e").alias("e"), F.col("_at_inc").alias("s_inc"), F.when(F.col("_to").isNull(), F.col("e_inc")).otherwise(F.lit(False)).alias("e_inc"))
@@ -70,8 +96,10 @@ def split(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
 def contains(df: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """Points ``(keys…, t)`` that lie in some interval of their key."""
     hit = (F.col("s") < F.col("t")) & (F.col("t") < F.col("e")) | (F.col("t") == F.col("s")) & F.col("s_inc") | (F.col("t") == F.col("e")) & F.col("e_inc")
-    p = points.select(*[F.col(k).alias("_" + k) for k in keys], "t")
-    on = [F.col("_" + k) == F.col(k) for k in keys]
+    width = _width(df)
+    p = points.select(*[F.col(k).alias("_" + k) for k in keys], "t", _stretch("t", width).alias("_at"))
+    df = df.withColumn("_q", F.explode(F.sequence(_stretch("s", width), _stretch("e", width))))
+    on = [F.col("_at") == F.col("_q"), *[F.col("_" + k) == F.col(k) for k in keys]]
     cond = on[0]
     for c in on[1:]:
         cond &= c

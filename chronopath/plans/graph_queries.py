@@ -252,6 +252,14 @@ FROM edges e JOIN knots k ON k.arc_id = e.arc_id AND k.k = 4 JOIN knots n ON n.a
     "i4_corridor": sql(_WALKS + " SELECT q.query_id, e.arc_id, q.b - a.from_src - l.lb - z.to_dst AS slack FROM qs q JOIN bnd a ON a.query_id = q.query_id JOIN edges e ON e.u = a.node JOIN lows l ON l.arc_id = e.arc_id JOIN bnd z ON z.query_id = q.query_id AND z.node = e.v WHERE e.u <> e.v AND q.b - a.from_src - l.lb - z.to_dst >= 0", True),
     "i7_paths": sql(_ENUM + " SELECT query_id, array_to_string(path, '-') AS path, cost FROM full_p UNION ALL SELECT query_id, '', 0.0 FROM qs WHERE src = dst", True),
     "i27_first_paths": sql(_ENUM + " SELECT query_id, path, cost, k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cost, n, path) AS k FROM (SELECT query_id, array_to_string(path, '-') AS path, len(path) AS n, cost FROM full_p UNION ALL SELECT query_id, '', 0, 0.0 FROM qs WHERE src = dst)) WHERE k <= 3", True),
+    "i13_point_labels": sql(""", seg AS (SELECT a.arc_id, a.t AS t0, a.tau AS v0, b.t AS t1, b.tau AS v1 FROM knots a JOIN knots b ON b.arc_id = a.arc_id AND b.k = a.k + 1),
+lab(query_id, t, b, node, nodes, arrival) AS (SELECT query_id, unnest(list_distinct(list_append(range(ts, te + 1, 10), te))) AS t, b, src, [src], CAST(t AS double) FROM qs
+  UNION ALL SELECT l.query_id, l.t, l.b, e.v, list_append(l.nodes, e.v), l.arrival + v0 + (v1 - v0) * (l.arrival - t0) / 120 FROM lab l JOIN edges e ON e.u = l.node JOIN seg s ON s.arc_id = e.arc_id AND s.t0 <= l.arrival AND l.arrival < s.t1 WHERE NOT list_contains(l.nodes, e.v) AND l.arrival + v0 + (v1 - v0) * (l.arrival - t0) / 120 <= l.t + l.b)
+SELECT query_id, t, node, round(min(arrival), 6) AS arrival FROM lab GROUP BY ALL""", True),
+    "i14_latest_labels": sql(""", seg AS (SELECT a.arc_id, a.t AS t0, a.t + a.tau AS a0, b.t AS t1, b.t + b.tau AS a1 FROM knots a JOIN knots b ON b.arc_id = a.arc_id AND b.k = a.k + 1),
+lab(query_id, deadline, b, node, nodes, departure) AS (SELECT query_id, te, b, dst, [dst], CAST(te AS double) FROM qs
+  UNION ALL SELECT l.query_id, l.deadline, l.b, e.u, list_append(l.nodes, e.u), t0 + (l.departure - a0) * 120 / (a1 - a0) FROM lab l JOIN edges e ON e.v = l.node JOIN seg s ON s.arc_id = e.arc_id AND s.a0 <= l.departure AND l.departure < s.a1 WHERE NOT list_contains(l.nodes, e.u) AND t0 + (l.departure - a0) * 120 / (a1 - a0) >= l.deadline - l.b)
+SELECT query_id, deadline, node, round(max(departure), 6) AS departure FROM lab GROUP BY ALL""", True),
     "i10_profile_at_grid": sql(_AT + " SELECT query_id, t, path, arrival, score FROM got", True),
     "i12_replay": sql(_AT + " SELECT query_id, t, path, arrival, score FROM got", True),
     "c14_envelope_at_grid": sql(_AT + " SELECT query_id, t, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id, t ORDER BY score DESC, arrival, n, p) AS k FROM got) WHERE k = 1", True),

@@ -80,3 +80,34 @@ def test_demo_and_same_place(spark):
     q = spark.createDataFrame([(0, 1, 4, 420, 430, 60), (1, 1, 4, 425, 430, 22), (2, 4, 1, 420, 430, 60), (3, 2, 2, 420, 430, 5)], "query_id int, src int, dst int, ts int, te int, b int")
     got = {r.query_id: (r.s, r.e, r.path) for r in E.envelope(P.profiles(g.edges, q), q).collect()}
     assert got == {0: (420.0, 430.0, [0, 1]), 1: (425.0, 430.0, [0, 1]), 2: (420.0, 430.0, None), 3: (420.0, 430.0, [])}
+
+
+def test_flat_preimages_and_point_domains(spark):
+    """Flat parts of an arrival belong to a preimage as a whole; functions of one knot are points."""
+    from pyspark.sql import functions as F
+
+    from chronopath.functions import temporal as T
+
+    df = spark.createDataFrame([([(0.0, 5.0), (10.0, 5.0), (20.0, 15.0)], [(3.0, 7.0)])], "f array<struct<t: double, v: double>>, p array<struct<t: double, v: double>>")
+    lit = lambda x: F.lit(float(x))
+    r = df.select(
+        T.preimage(F.col("f"), lit(5), lit(5)).alias("flat"), T.preimage(F.col("f"), lit(5), lit(10)).alias("rise"), T.preimage(F.col("f"), lit(16), lit(20)).alias("none"), T.preimage(F.col("p"), lit(7), lit(8)).alias("point"),
+        T.joined(F.array(*[F.struct(lit(a).alias("s"), lit(b).alias("e")) for a, b in ((0, 2), (2, 3), (5, 6))])).alias("joined"),
+    ).first()
+    assert tuple(r.flat) == (0.0, 10.0) and tuple(r.rise) == (0.0, 15.0) and r.none is None and tuple(r.point) == (3.0, 3.0)
+    assert [tuple(x) for x in r.joined] == [(0.0, 3.0), (5.0, 6.0)]
+
+
+def test_stitch_refuses_what_is_not_simple(spark):
+    from chronopath.operators.stitch import stitch
+    from chronopath.plans.temporal_graph import demo
+
+    g = demo(spark)
+    kind = "query_id int, path array<int>, nodes array<int>, arrival array<struct<t: double, v: double>>, pieces array<struct<t0: double, t1: double, score: bigint>>, pivots array<int>"
+    at = lambda nodes, path, cost: (0, path, nodes, [(0.0, cost), (1400.0, 1400.0 + cost)], [(0.0, 1400.0, 1)], [])
+    left = spark.createDataFrame([at([1, 2], [0], 10.0), at([4, 2], [9], 10.0), at([1], [], 0.0)], kind)
+    right = spark.createDataFrame([at([4], [], 0.0), at([4, 1], [8], 5.0), at([4, 5], [7], 5.0)], kind)
+    budget = spark.createDataFrame([(0, 24.0)], "query_id int, b double")
+    got = {tuple(r.path): (r.s, r.e, r.pivots) for r in stitch(left, g.edges, right, budget).collect()}
+    assert set(got) == {(0, 1)} | {p for p in got if p == (4,)}  # 1-2-4 in 20 minutes; by way of 5 it takes 25; 4 or 1 would come twice
+    assert got[0, 1][2] == [1] and got[0, 1][0] == 0.0

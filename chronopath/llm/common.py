@@ -116,6 +116,41 @@ def _fingerprint(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node of its component) of the components that the edges (a, b) make."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    p, q = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[p], root[q])
+        if (root[p] == low).all() and (root[q] == low).all():
+            break
+        for i in (root[p], root[q], p, q):
+            np.minimum.at(root, i, low)
+        while (root[root] != root).any():
+            root = root[root]
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[own], nodes[root[own]]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``stars`` of a task's edges (u, v), a million of them at a time."""
+    held: list[np.ndarray] = []
+
+    def out():
+        x = np.concatenate(held, axis=1)
+        u, v = stars(x[0], x[1])
+        return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    for b in batches:
+        held.append(np.stack([np.asarray(b.column(c), dtype=np.int64) for c in ("u", "v")]))
+        if sum(x.shape[1] for x in held) >= 1_000_000:
+            yield out()
+            held = []
+    if held:
+        yield out()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Component of every node of ``edges(a, b)``: rows ``(node, component)``, component = smallest node reachable."""
     return components(edges)[0]
@@ -124,12 +159,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> tuple[DataFrame, str]:
     """``connected_components`` and the folder of the one table that it reads, to be dropped by the caller.
 
-    Alternates large-star and small-star rounds until the stars stop changing. Each half round is a partial
+    Every task first joins what its own edges join, which leaves a star for each of its components. Then it alternates large-star and small-star rounds until the stars stop changing. Each half round is a partial
     ``min`` and an equi-join (skewed hubs are split by adaptive execution); every round is written to the shared
     folder. Nulls and self loops are ignored; no edges give no rows.
     """
     spark = edges.sparkSession
-    cur = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    cur = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().mapInArrow(_stars, "u long, v long").distinct()
     cur, path = materialize(cur, "cc")
     before = _fingerprint(cur)
     while before[0]:

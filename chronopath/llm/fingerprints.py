@@ -88,7 +88,8 @@ def peel(count: np.ndarray, keys: np.ndarray, check: np.ndarray) -> tuple[np.nda
         sure = _check(key) == np.where(sign > 0, check[one], U(0) - check[one])
         one, sign, key = one[sure], sign[sure], key[sure]
         row = one // cells
-        _, first = np.unique(np.stack([row.astype(U), key]), axis=1, return_index=True) if len(one) > 1 else (None, np.arange(len(one)))
+        # One digest may stand alone in several cells of a row; what a collision hides comes out in the next round.
+        _, first = np.unique(_mix(key, 3) + row.astype(U) * U(0x9E3779B97F4A7C15), return_index=True)
         row, sign, key = row[first], sign[first], key[first]
         for to, v in zip(out, (row, key, sign), strict=True):
             to.append(v)
@@ -106,9 +107,10 @@ def peel(count: np.ndarray, keys: np.ndarray, check: np.ndarray) -> tuple[np.nda
     return row, key, sign, whole
 
 
-def sketches(sets: list[np.ndarray], cells: int = CELLS) -> list[Table]:
-    """Of each set the table of the least size, ``cells`` or a doubling of it, that peels alone."""
+def sketches(sets: list[np.ndarray], cells: int = CELLS) -> tuple[list[Table], list[np.ndarray]]:
+    """Of each set the table of the least size, ``cells`` or a doubling of it, that peels alone, and what comes out."""
     out: list = [None] * len(sets)
+    lists: list = [None] * len(sets)
     size = np.full(len(sets), cells)
     n = np.array([len(s) for s in sets], np.int64)
     while (small := size < 1.25 * n).any():  # less never peels
@@ -119,36 +121,43 @@ def sketches(sets: list[np.ndarray], cells: int = CELLS) -> list[Table]:
         for c in np.unique(size[live]).tolist():
             at = live[size[live] == c]
             t = tables([sets[i] for i in at.tolist()], c)
-            whole = peel(*t)[3]
+            row, key, _, whole = peel(*t)
+            order = np.lexsort((key, row))
+            keys, cut = key[order].astype(U), np.searchsorted(row[order], np.arange(len(at) + 1)).tolist()
             for k in np.flatnonzero(whole).tolist():
-                out[at[k]] = tuple(x[k : k + 1] for x in t)
+                out[at[k]], lists[at[k]] = tuple(x[k : k + 1] for x in t), keys[cut[k] : cut[k + 1]]
             failed.append(at[~whole])
         live = np.concatenate(failed)
         size[live] *= 2
-    return out
+    return out, lists
 
 
 def listed(table: Table) -> np.ndarray:
-    """Digests of one table that peels alone."""
-    return peel(*table)[1].astype(U)
+    """Sorted digests of one table that peels alone."""
+    return np.sort(peel(*table)[1].astype(U))
+
 
+def likeness(a: list[Table], b: list[Table], lists: tuple[list, list] | None = None) -> np.ndarray:
+    """Jaccard likeness of pairs of tables: their difference at the smaller size, or both listed where that doesn't peel.
 
-def likeness(a: list[Table], b: list[Table]) -> np.ndarray:
-    """Jaccard likeness of pairs of tables: their difference at the smaller size, or both listed where that doesn't peel."""
+    ``lists``: what the tables give when they peel alone, where that is known already.
+    """
     out = np.ones(len(a))
     size = np.array([min(x[0].shape[1], y[0].shape[1]) for x, y in zip(a, b, strict=True)], np.int64)
     for c in np.unique(size).tolist():
         at = np.flatnonzero(size == c)
-        x, y = ([np.concatenate(p) for p in zip(*(fold(z[i], c) for i in at.tolist()), strict=True)] for z in (a, b))
+        x, y = ([np.concatenate(p) for p in zip(*(z[i] if z[i][0].shape[1] == c else fold(z[i], c) for i in at.tolist()), strict=True)] for z in (a, b))
         row, _, sign, whole = peel(*(p - q for p, q in zip(x, y, strict=True)))
         left, right = (np.bincount(row[sign == s].astype(np.int64), minlength=len(at)) for s in (1, -1))
         n = x[0].sum(1) // 3
         union = n + right
         out[at] = np.where(union > 0, (n - left) / np.maximum(union, 1), 1.0)
         for k in at[~whole].tolist():
-            p, q = listed(a[k]), listed(b[k])
-            both = len(np.intersect1d(p, q))
-            out[k] = both / (len(p) + len(q) - both)
+            p, q = (lists[0][k], lists[1][k]) if lists else (listed(a[k]), listed(b[k]))
+            both = np.concatenate([p, q])
+            both.sort(kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            out[k] = common / (len(both) - common)
     return out
 
 
@@ -184,11 +193,13 @@ def _run(cells: int):
         text, following = [p[1] for p in part], [p[2] for p in part]
         edited = [edit(t, f) for t, f in zip(text, following, strict=True)]
         every = list({*text, *following, *edited})
-        of = dict(zip(every, sketches([digests(t) for t in every], cells), strict=True))
-        a, b, nxt = ([of[t] for t in x] for x in (text, edited, following))
+        made, lists = sketches([digests(t) for t in every], cells)
+        of = {t: i for i, t in enumerate(every)}
+        a, b, nxt = ([made[of[t]] for t in x] for x in (text, edited, following))
+        la, lb, ln = ([lists[of[t]] for t in x] for x in (text, edited, following))
         return pa.RecordBatch.from_pydict({
             "doc_id": pa.array(ids, pa.int64()), "n_chars": pa.array([len(t) for t in text], pa.int64()), "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
-            "fingerprint": pa.array(list(map(serialize, a))), "edited_fingerprint": pa.array(list(map(serialize, b))), "near_edited": pa.array(likeness(a, b)), "near_next": pa.array(likeness(a, nxt)),
+            "fingerprint": pa.array(list(map(serialize, a))), "edited_fingerprint": pa.array(list(map(serialize, b))), "near_edited": pa.array(likeness(a, b, (la, lb))), "near_next": pa.array(likeness(a, nxt, (la, ln))),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

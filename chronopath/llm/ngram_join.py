@@ -17,9 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopath.llm.common import Bounded, connected_components, drop_path, materialize, pack, shuffle_parts, texts
+from chronopath.llm.common import Bounded, chunks, components, drop_path, forget_shuffles, materialize, pack, shuffle_parts, texts
 
 BAND_RATIO, EXPECTED_ROWS, SMALL_GROUP, GROUP_BLOCK = 1.4, 1e6, 8, 4096
+#: Bytes of a bucket of signatures and of a block's sets; a member's likely pairs in the first round.
+BUCKET_BYTES, BLOCK_BYTES, LIKELY = 8 << 20, 4 << 20, 256
 U = np.uint64
 _K = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)]
 
@@ -54,12 +56,8 @@ def word_hashes(buf: np.ndarray, blanks: np.ndarray = _BLANK) -> tuple[np.ndarra
 def shingle_sets(texts: list[str], width: int = 3) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word shingles."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    out, i = [], 0
-    while i < len(raw):  # about a megabyte at a time, so that arrays stay in the caches
-        j, held = i, 0
-        while j < len(raw) and (j == i or held + len(raw[j]) < 1 << 20):
-            held += len(raw[j]) + 1
-            j += 1
+    out = []
+    for i, j in chunks(raw):
         edges = np.cumsum([0] + [len(r) + 1 for r in raw[i:j]])
         start, h = word_hashes(np.frombuffer(b"\n".join([*raw[i:j], b""]), np.uint8))
         first = np.searchsorted(start, edges)
@@ -77,7 +75,6 @@ def shingle_sets(texts: list[str], width: int = 3) -> list[np.ndarray]:
                 out.append(one)
             else:
                 out.append(np.empty(0, U))
-        i = j
     return out
 
 
@@ -148,9 +145,9 @@ def signatures(x: np.ndarray, num: int = 90, den: int = 100) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U)
 
 
-def parity(x: np.ndarray) -> bytes:
+def parity(x: np.ndarray, least: int | None = None) -> bytes:
     """Parity of the number of shingles in each of 2^k bins: where two of these differ in more bins than H, so do the sets."""
-    bins = 1 << max(6, (8 * (len(x) // 9 + 1) - 1).bit_length())
+    bins = 1 << max(6, ((least or 8 * (len(x) // 9 + 1)) - 1).bit_length())
     return np.packbits(np.bincount((x & U(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8) & 1).tobytes()
 
 
@@ -168,22 +165,25 @@ def size_code(n: int) -> int:
     return min(255, int(math.log(n) * 10))
 
 
-def digest(x: np.ndarray, salt: int) -> int:
-    return xxhash.xxh3_64_intdigest(x.tobytes(), salt) - (1 << 63)
+def digest(x: np.ndarray) -> tuple[int, int]:
+    """128-bit digest of a set, as two signed numbers: the first is its address, both together its identity."""
+    h = xxhash.xxh3_128_intdigest(x.tobytes())
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _facts(width: int, salt: int):
+def _facts(width: int):
     """Size, digest and parities of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = shingle_sets(texts(b), width)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "n_shingles": pa.array([len(v) for v in x], pa.int64()), "node": pa.array([digest(v, salt) if len(v) else None for v in x], pa.int64()), "mark": pa.array([parity(v) if len(v) else None for v in x], pa.binary())})
+            d = [digest(v) if len(v) else (None, None) for v in x]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "n_shingles": pa.array([len(v) for v in x], pa.int64()), "node": pa.array([v[0] for v in d], pa.int64()), "chk": pa.array([v[1] for v in d], pa.int64()), "mark": pa.array([parity(v) if len(v) else None for v in x], pa.binary())})
 
     return run
 
 
-def _sign(width: int, num: int, den: int, buckets: int, salt: int):
+def _sign(width: int, num: int, den: int, buckets: int):
     """Packed signatures for each bucket. A second pass over the texts, so that signatures lie on disk once, as the
     shuffle's files, and not in a table as well."""
 
@@ -198,7 +198,7 @@ def _sign(width: int, num: int, den: int, buckets: int, salt: int):
 
         for b in batches:
             for x in shingle_sets(texts(b), width):
-                node = digest(x, salt) if len(x) else None
+                node = digest(x) if len(x) else None
                 if node is None or node in seen:  # equal sets sign once a worker
                     continue
                 seen.room(1)
@@ -206,7 +206,7 @@ def _sign(width: int, num: int, den: int, buckets: int, salt: int):
                 s = signatures(x, num, den)
                 if len(s):
                     sigs.append(s)
-                    owners.append(np.full(len(s), node, np.int64))
+                    owners.append(np.full(len(s), node[0], np.int64))
                     lens.append(np.full(len(s), size_code(len(x)), np.uint8))
                     held += len(s)
             if held > 500_000:
@@ -219,16 +219,10 @@ def _sign(width: int, num: int, den: int, buckets: int, salt: int):
 
 
 def _meet(num: int, den: int):
-    """Candidate pairs of a bucket: all pairs of a small group; of a large one its pairs with its smallest node, and its members."""
+    """Candidate pairs of each bucket, rows sorted by bucket: all pairs of a small group; of a large one its pairs with
+    its smallest node, and its members. One bucket is held at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, who, size = [], [], []
-        for b in batches:
-            for c, to, kind in (("sig", sig, U), ("who", who, np.int64), ("len", size, np.uint8)):
-                to += [np.frombuffer(v, kind) for v in b.column(c).to_pylist()]
-        if not sig:
-            return
-        sig, who, size = np.concatenate(sig), np.concatenate(who), np.concatenate(size)
+    def bucket(sig: np.ndarray, who: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         # Only signatures that occur again matter; sorting those alone by node as well keeps this cheap.
         order = np.argsort(sig, kind="stable")
         s = sig[order]
@@ -266,6 +260,24 @@ def _meet(num: int, den: int):
                 m = len(a[lo : lo + 100_000])
                 yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(m, kind, np.int32)), "a": pa.array(a[lo : lo + 100_000]), "b": pa.array(c[lo : lo + 100_000])})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [], [])
+
+        def joined():
+            return (np.concatenate(x) for x in held)
+
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("bucket", "sig", "who", "len")), strict=True)
+            for k, *cells in rows:
+                if k != key:
+                    if held[0]:
+                        yield from bucket(*joined())
+                    key, held = k, ([], [], [])
+                for to, v, kind in zip(held, cells, (U, np.int64, np.uint8), strict=True):
+                    to.append(np.frombuffer(v, kind))
+        if held[0]:
+            yield from bucket(*joined())
+
     return run
 
 
@@ -284,40 +296,49 @@ def _may_link(num: int, den: int):
     return run
 
 
-def _cross(num: int, den: int):
-    """Pairs across components in large signature groups, block against block, that sizes and parities don't rule out."""
+def forest(sets: list[np.ndarray], comp: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between the components of some sets, verified, until the sets' links join no others: at most one for each
+    set, whatever the number of pairs. Only pairs across components are compared."""
+    size = np.array([len(x) for x in sets])
+    _, lab = np.unique(comp, return_inverse=True)
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    edge = np.r_[0, np.cumsum(size)]
+    held, out = np.zeros(int(flat.max(initial=0)) + 1, bool), []
+    for i in range(len(sets)):
+        cand = np.flatnonzero((lab != lab[i]) & (den * np.minimum(size, size[i]) >= num * np.maximum(size, size[i])))
+        cand = cand[cand > i]
+        if not len(cand):
+            continue
+        mine = flat[edge[i] : edge[i + 1]]
+        held[mine] = True
+        for lo in range(0, len(cand), 512):
+            c = cand[lo : lo + 512]
+            c = c[lab[c] != lab[i]]
+            if not len(c):
+                continue
+            at = np.concatenate([flat[edge[k] : edge[k + 1]] for k in c.tolist()])
+            common = np.add.reduceat(held[at], np.r_[0, np.cumsum(size[c])[:-1]], dtype=np.int64)
+            linked = c[den * common >= num * (size[i] + size[c] - common)]
+            _, first = np.unique(lab[linked], return_index=True)
+            out += [(i, int(k)) for k in linked[first]]
+            lab[np.isin(lab, lab[linked])] = lab[i]
+        held[mine] = False
+    return out
 
-    def pairs(g: dict, same_block: bool) -> np.ndarray:
-        node, comp, size, blk = (np.array(g[c]) for c in ("node", "comp", "size", "blk"))
-        mark = _folded(g["mark"], min(map(len, g["mark"])))
-        out = []
-        for a in range(0, len(node), 256):
-            i = slice(a, a + 256)
-            ok = (comp[i, None] != comp) & (node[i, None] < node) if same_block else (comp[i, None] != comp) & (blk[i, None] < blk)
-            ok &= den * np.minimum(size[i, None], size) >= num * np.maximum(size[i, None], size)
-            p, q = np.nonzero(ok)
-            p += a
-            for lo in range(0, len(p), 200_000):
-                x, y = p[lo : lo + 200_000], q[lo : lo + 200_000]
-                differ = np.bitwise_count(mark[x] ^ mark[y]).sum(1, dtype=np.int64)
-                near = differ <= (size[x] + size[y]) * (den - num) // (den + num)
-                out.append(np.stack([node[x[near]], node[y[near]]], 1))
-        return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+def _tied(num: int, den: int):
+    """Links between components in blocks of large groups, at most one for each member; rows sorted by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, g, seen = None, None, Bounded(300_000)
+        key, g = None, {}
 
         def done():
-            p = pairs(g, key[1] == key[2])
-            new = [t for t in map(tuple, np.sort(p, axis=1).tolist()) if t not in seen]
-            seen.room(len(new))
-            seen.update(dict.fromkeys(new))
-            new = np.array(new, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_pydict({"a": pa.array(new[:, 0]), "b": pa.array(new[:, 1])})
+            pairs = forest([np.frombuffer(x, U) for x in g["hashes"]], np.array(g["comp"]), num, den)
+            return pa.RecordBatch.from_pydict({"a": pa.array([g["rep"][i] for i, _ in pairs], pa.int64()), "b": pa.array([g["rep"][j] for _, j in pairs], pa.int64())})
 
         for b in batches:
-            cols = {c: b.column(c).to_pylist() for c in ("node", "comp", "size", "mark", "blk")}
-            for r, k in enumerate(zip(*(b.column(c).to_pylist() for c in ("sig", "i", "j")), strict=True)):
+            cols = {c: b.column(c).to_pylist() for c in ("rep", "comp", "hashes")}
+            for r, k in enumerate(zip(*(b.column(c).to_pylist() for c in ("top", "blk")), strict=True)):
                 if k != key:
                     if g:
                         yield done()
@@ -330,11 +351,125 @@ def _cross(num: int, den: int):
     return run
 
 
-def _sets(width: int, salt: int):
+def _sharp(num: int, den: int):
+    """Wider parities for members of large groups: pairs that these don't rule out are nearly all linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [np.frombuffer(v, U) for v in b.column("hashes").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "rep": b.column("rep"), "size": pa.array([len(v) for v in x], pa.int32()), "sharp": pa.array([parity(v, 16 * (max_difference(2 * len(v), num, den) + 1)) for v in x], pa.binary())})
+
+    return run
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], columns: tuple) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """Rows sorted by (top, i, j), one block at a time."""
+    key, g = None, {}
+    for b in batches:
+        cols = {c: b.column(c).to_pylist() for c in columns}
+        ks = np.stack([np.asarray(b.column(c), dtype=np.int64) for c in ("top", "i", "j")], 1)
+        cuts = np.flatnonzero(np.r_[True, (ks[1:] != ks[:-1]).any(1), True]) if len(ks) else []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            k = tuple(ks[s].tolist())
+            if k != key:
+                if g:
+                    yield key, g
+                key, g = k, {c: [] for c in cols}
+            for c, v in cols.items():
+                g[c] += v[s:e]
+    if g:
+        yield key, g
+
+
+def _alive(num: int, den: int):
+    """Members of a block that sizes and parities leave any partner in another component: chance meetings end here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops, nodes = [], []
+
+        def out():
+            return pa.RecordBatch.from_pydict({"top": pa.array(np.concatenate(tops), pa.int64()), "node": pa.array(np.concatenate(nodes), pa.int64())})
+
+        for (top, i, j), g in _blocks(batches, ("node", "size", "mark", "comp", "blk")):
+            node, comp, size, blk = (np.array(g[c]) for c in ("node", "comp", "size", "blk"))
+            mark = _folded(g["mark"], min(map(len, g["mark"])))
+            alive = np.zeros(len(node), bool)
+            step = max(1, (1 << 20) // (len(node) * mark.shape[1]))
+            for a in range(0, len(node), step):
+                r = slice(a, a + step)
+                ok = (comp[r, None] != comp) & (den * np.minimum(size[r, None], size) >= num * np.maximum(size[r, None], size))
+                if i != j:
+                    ok &= blk[r, None] != blk
+                ok &= np.bitwise_count(mark[r, None] ^ mark[None]).sum(2, dtype=np.int64) <= (size[r, None] + size) * (den - num) // (den + num)
+                alive[r] |= ok.any(1)
+            if alive.any():
+                nodes.append(node[alive])
+                tops.append(np.full(len(nodes[-1]), top))
+            if len(nodes) >= 1000:
+                yield out()
+                tops, nodes = [], []
+        if nodes:
+            yield out()
+
+    return run
+
+
+def _cross(num: int, den: int, most: int):
+    """Pairs across components among the members of all groups about one class, block against block, that sizes and
+    parities don't rule out.
+
+    Of each member that is not of its block's largest component the ``most`` likeliest pairs, and a row (null, null)
+    where that left some out.
+    """
+
+    def pairs(g: dict, same_block: bool) -> tuple[np.ndarray, bool]:
+        node, comp, size, blk = (np.array(g[c]) for c in ("node", "comp", "size", "blk"))
+        mark = _folded(g["sharp"], min(map(len, g["sharp"])))
+        _, lab, many = np.unique(comp, return_inverse=True, return_counts=True)
+        weight = many[lab]
+        out, cut = [], False
+        for i in np.flatnonzero(weight < weight.max()) if (weight < weight.max()).any() else range(len(node)):
+            # Each pair counts from the side of the smaller component, of equal ones from the smaller node's side.
+            ok = (comp != comp[i]) & ((weight > weight[i]) | ((weight == weight[i]) & (node > node[i])))
+            ok &= den * np.minimum(size[i], size) >= num * np.maximum(size[i], size)
+            if not same_block:
+                ok &= blk != blk[i]
+            q = np.flatnonzero(ok)
+            if not len(q):
+                continue
+            differ = np.bitwise_count(mark[q] ^ mark[i]).sum(1, dtype=np.int64)
+            near = differ <= (size[i] + size[q]) * (den - num) // (den + num)
+            q, differ = q[near], differ[near]
+            if len(q) > most:
+                cut = True
+                q = q[np.lexsort((node[q], differ))[:most]]
+            out.append(np.stack([np.full(len(q), node[i]), node[q]], 1))
+        return (np.concatenate(out) if out else np.empty((0, 2), np.int64)), cut
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Bounded(300_000)
+        for key, g in _blocks(batches, ("node", "comp", "size", "sharp", "blk")):
+            p, cut = pairs(g, key[1] == key[2])
+            new = [t for t in map(tuple, np.sort(p, axis=1).tolist()) if t not in seen]
+            seen.room(len(new))
+            seen.update(dict.fromkeys(new))
+            if new or cut:
+                a, b = ([t[k] for t in new] + [None] * cut for k in (0, 1))
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _sets(width: int):
+    """Sets of the documents that stand for their sets; a row of the same doc_id with another text is left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = shingle_sets(texts(b), width)
-            yield pa.RecordBatch.from_pydict({"node": pa.array([digest(v, salt) for v in x], pa.int64()), "rep": b.column("doc_id").cast(pa.int64()), "hashes": pa.array([v.tobytes() for v in x], pa.binary())})
+            want = list(zip(b.column("node").to_pylist(), b.column("chk").to_pylist(), strict=True))
+            keep = [i for i, v in enumerate(x) if len(v) and digest(v) == want[i]]
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_pydict({"node": b.column("node").take(at), "chk": b.column("chk").take(at), "rep": b.column("doc_id").cast(pa.int64()).take(at), "hashes": pa.array([x[i].tobytes() for i in keep], pa.binary())})
 
     return run
 
@@ -355,60 +490,140 @@ def _exact(num: int, den: int):
     return run
 
 
+class _Classes:
+    """Links found so far and the components that they make; old tables go as soon as new ones stand."""
+
+    def __init__(self, spark):
+        self.spark, self.links, self.paths = spark, None, []
+        self.comp, self.at = None, None
+
+    def add(self, links: DataFrame, path: str) -> None:
+        self.paths.append(path)
+        self.links = links if self.links is None else self.links.union(links)
+        old = self.at
+        forget_shuffles(self.spark)
+        self.comp, self.at = components(self.links)
+        if old:
+            drop_path(self.spark, old)
+        forget_shuffles(self.spark)
+
+    def of(self, rows: DataFrame, rep: str, name: str) -> DataFrame:
+        """``rows`` with the component of their column ``rep``."""
+        return rows.join(self.comp.select(F.col("node").alias(rep), F.col("component").alias("_c")), rep, "left").withColumn(name, F.coalesce("_c", rep)).drop("_c")
+
+
 def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Classes of documents linked by shingle sets with ``den * |A and B| >= num * |A or B|``.
 
     ``docs(doc_id, text)``, other columns ignored; rows ``(doc_id, n_shingles, component_id)``, one per input row,
     component_id the smallest doc_id reachable by links, itself included. Words are runs outside ASCII white space,
     A-Z lower-cased; with fewer words than ``width`` the whole sequence is the one shingle; null, empty or blank texts
-    have no shingles and link with nothing. A null doc_id keeps its row; its text takes part as that of id null.
-    Documents with equal sets are one class, signed once; large signature groups are joined to one member first and
-    only members that stay apart are compared with the rest of the group, so near copies cost no all-pairs work.
+    have no shingles and link with nothing. A null doc_id keeps its row; its set counts where another row with a doc_id
+    has the same set, and else links with nothing (component_id null). Rows that share a doc_id are one document.
+    Documents with equal sets are one class, signed once. Pairs are verified where they can still join two classes:
+    first one pair of each set, then what is left across classes. Members of large signature groups are tied to their
+    group's smallest one, then to each other inside blocks, and what stays apart meets in pairs of blocks, a few likely
+    pairs of each member at a time until none is left, so near copies cost no all-pairs output.
     """
     spark = docs.sparkSession
-    src = docs.select("doc_id", "text")
-    buckets = shuffle_parts(spark) * 4
-    salt = 0
-    while True:
-        facts, facts_path = materialize(src.mapInArrow(_facts(width, salt), "doc_id long, n_shingles long, node long, mark binary"), "ngram-facts")
-        nodes, nodes_path = materialize(facts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.max("n_shingles").alias("n2"), F.first("mark").alias("mark")), "ngram-nodes")
-        if not nodes.where("n <> n2").limit(1).count():  # a digest shared by sets of different sizes: hash anew
-            break
-        drop_path(spark, facts_path)
-        drop_path(spark, nodes_path)
-        salt += 1
-    packed = src.mapInArrow(_sign(width, num, den, buckets, salt), "bucket int, sig binary, who binary, len binary").repartition(shuffle_parts(spark), "bucket")
-    met, _ = materialize(packed.mapInArrow(_meet(num, den), "kind int, a long, b long"), "ngram-met")
-    pairs, _ = materialize(met.where("kind = 0").select("a", "b").distinct(), "ngram-pairs")
-
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = shuffle_parts(spark)
+    facts, facts_path = materialize(src.mapInArrow(_facts(width), "doc_id long, n_shingles long, node long, chk long, mark binary"), "ngram-facts")
+    total = facts.agg(F.sum("n_shingles")).first()[0] or 0
+    nodes, nodes_path = materialize(facts.where("node is not null").groupBy("node", "chk").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("mark").alias("mark")), "ngram-nodes")
+    # About a signature and a half for each difference that is allowed, 17 bytes each; buckets of some megabytes.
+    buckets = max(parts * 4, total * (den - num) // den * 25 // BUCKET_BYTES + 1)
+    packed = src.mapInArrow(_sign(width, num, den, buckets), "bucket int, sig binary, who binary, len binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    met, met_path = materialize(packed.mapInArrow(_meet(num, den), "kind int, a long, b long"), "ngram-met")
+    del packed
     one, two = (nodes.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("mark").alias("m" + k)) for k in "ab")
-    likely, _ = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_may_link(num, den), "a long, b long"), "ngram-likely")
+    pairs = met.where("kind = 0").select("a", "b").distinct()
+    likely, likely_path = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_may_link(num, den), "a long, b long").distinct(), "ngram-likely")
     large = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"))
+    del pairs
+    forget_shuffles(spark)
     # The sets of all that may still be compared, from one more pass over their texts.
-    need = likely.select(F.col("a").alias("node")).union(likely.select("b")).union(large.select("node")).distinct().join(nodes, "node").where("rep is not null").select(F.col("rep").alias("doc_id"))
-    sets, sets_path = materialize(src.join(need, "doc_id").mapInArrow(_sets(width, salt), "node long, rep long, hashes binary").dropDuplicates(["node"]), "ngram-sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    need = likely.select(F.col("a").alias("node")).union(likely.select("b")).union(large.select("node")).distinct().join(nodes, "node").where("rep is not null").select(F.col("rep").alias("doc_id"), "node", "chk")
+    sets = src.join(need, "doc_id").select("doc_id", "text", "node", "chk").mapInArrow(_sets(width), "node long, chk long, rep long, hashes binary")
+    if facts.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count():  # else none comes twice
+        sets = sets.dropDuplicates(["node", "chk"])
+    sets, sets_path = materialize(sets, "ngram-sets")
+    forget_shuffles(spark)
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, str]:
         one, two = (sets.select(F.col("node").alias(k), F.col("rep").alias("r" + k), F.col("hashes").alias("h" + k)) for k in "ab")
-        return materialize(pairs.join(one, "a").join(two, "b").select("ra", "rb", "ha", "hb").mapInArrow(_exact(num, den), "a long, b long"), "ngram-links")[0]
-
-    links = verified(likely)
-    comp = connected_components(links)
-    # Members of large groups that the first round left in another component than the rest of their group meet in
-    # pairs of blocks; only what their parities allow becomes a pair.
-    placed = large.join(nodes.select("node", "rep", "mark", F.col("n").cast("int").alias("size")), "node").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "node", "size", "mark", F.coalesce("component", "rep").alias("comp"))
-    sizes = large.groupBy("sig").agg(F.count("*").alias("g"))
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig").join(sizes, "sig")
-    dealt = placed.join(mixed, "sig").withColumn("nb", F.ceil(F.col("g") / GROUP_BLOCK).cast("int")).withColumn("blk", F.expr("cast(pmod(xxhash64(node), nb) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
-    dealt = dealt.select("sig", "i", "j", "node", "size", "mark", "comp", "blk").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    rest, _ = materialize(dealt.mapInArrow(_cross(num, den), "a long, b long").distinct(), "ngram-rest")
+        return materialize(pairs.join(one, "a").join(two, "b").select("ra", "rb", "ha", "hb").mapInArrow(_exact(num, den), "a long, b long").distinct(), "ngram-links")  # few rows, so few files
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs of nodes that are in different classes as yet."""
+        reps = nodes.where("rep is not null").select("node", "rep")
+        for k in "ab":
+            pairs = classes.of(pairs.join(reps.withColumnsRenamed({"node": k, "rep": "r" + k}), k), "r" + k, "c" + k)
+        return pairs.where("ca <> cb").select("a", "b").distinct()
+
+    classes = _Classes(spark)
+    classes.add(*verified(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+    rest, rest_path = materialize(apart(likely), "ngram-rest")
+    drop_path(spark, likely_path)
+    forget_shuffles(spark)
     if rest.limit(1).count():
-        comp = connected_components(links.union(verified(rest)))
-    drop_path(spark, sets_path)
-    reps = nodes.select("node", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
-    out = facts.join(reps, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        classes.add(*verified(rest))
+    drop_path(spark, rest_path)
+    forget_shuffles(spark)
+
+    if large.limit(1).count():
+
+        def dealt(rows: DataFrame) -> DataFrame:
+            """Rows in pairs of blocks (i, j) of their class's members, each pair of blocks together."""
+            blocks = rows.groupBy("top").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("nb"))
+            out = rows.join(blocks, "top").withColumn("blk", F.expr("cast(pmod(xxhash64(node), nb) as int)"))
+            out = out.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
+            return out.drop("rep", "nb", "other").repartition("top", "i", "j").sortWithinPartitions("top", "i", "j")
+
+        # Groups that hold several classes, by their largest class: those about one class hold nearly the same members,
+        # which meet once for all of them. Narrow parities end all meetings by chance.
+        facts_of = nodes.where("rep is not null").select("node", "rep", F.col("n").cast("int").alias("size"))
+        placed = classes.of(large.join(facts_of, "node"), "rep", "comp")
+        held = placed.groupBy("sig", "comp").agg(F.count("*").alias("n"))
+        several = held.groupBy("sig").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("m.comp").alias("top"))
+        about, about_path = materialize(placed.join(several, "sig").select("top", "node", "rep", "size", "comp").distinct(), "ngram-about")
+        forget_shuffles(spark)
+        narrow = dealt(about.join(nodes.select("node", "rep", "mark"), ["node", "rep"]))
+        alive, alive_path = materialize(narrow.mapInArrow(_alive(num, den), "top long, node long").distinct().join(facts_of, "node"), "ngram-alive")
+        drop_path(spark, about_path, met_path)
+        forget_shuffles(spark)
+        members, members_path = materialize(alive.select("node").distinct().join(sets, "node").mapInArrow(_sharp(num, den), "node long, rep long, size int, sharp binary").repartition("node"), "ngram-members")
+
+        def apart_still() -> DataFrame:
+            """Members (top, node, rep, size, comp) about a class that are not all of one class yet."""
+            now = classes.of(alive, "rep", "comp")
+            mixed = now.groupBy("top").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("top")
+            return now.join(mixed, "top")
+
+        # Every member goes once to one of these, and there into one block of bounded size.
+        now = apart_still()
+        sizes = now.groupBy("top").agg(F.count("*").alias("g"), F.sum("size").alias("all"))
+        chosen = now.join(sizes, "top").groupBy("node", "rep", "comp").agg(F.max(F.struct("g", "top", "all")).alias("m"))
+        chosen = chosen.select("node", "rep", "comp", "m.top", F.expr(f"cast(pmod(xxhash64(node), ceil(m.all * 8 / {BLOCK_BYTES})) as int)").alias("blk"))
+        own = chosen.join(sets.select("node", "rep", "hashes"), ["node", "rep"]).select("top", "blk", "rep", "comp", "hashes").repartition("top", "blk").sortWithinPartitions("top", "blk")
+        classes.add(*materialize(own.mapInArrow(_tied(num, den), "a long, b long").distinct(), "ngram-links"))
+        most, again = LIKELY, True
+        while again:
+            wide = dealt(apart_still().join(members.select("node", "rep", "sharp"), ["node", "rep"]))
+            found, found_path = materialize(wide.mapInArrow(_cross(num, den, most), "a long, b long").distinct(), "ngram-found")
+            forget_shuffles(spark)
+            some = found.where("a is not null")
+            if some.limit(1).count():
+                classes.add(*verified(some))
+            again = found.where("a is null").limit(1).count() > 0
+            drop_path(spark, found_path)
+            most *= 8
+        drop_path(spark, alive_path, members_path)
+    reps = classes.of(nodes.where("rep is not null").select("node", "chk", "rep"), "rep", "component_id").drop("rep")
+    out = facts.join(reps, ["node", "chk"], "left")
+    out, _ = materialize(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "ngram-classes")
+    drop_path(spark, facts_path, nodes_path, sets_path, met_path, classes.at, *classes.paths)
+    return out
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

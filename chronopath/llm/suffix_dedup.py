@@ -414,21 +414,23 @@ def repeated_spans(docs: DataFrame, memory: int = 256 << 20, keep_text: bool = F
         both = left.unionByName(texts, allowMissingColumns=True).select("part", "kind", *["b_" + c for c in names], "k1", "k2", "text")
         return both.repartition(shuffle_parts(spark), "part").sortWithinPartitions(F.col("kind").asc_nulls_last())
 
-    found = spark.createDataFrame([], f"part int, {blob(_R)}")
+    found, done = spark.createDataFrame([], f"part int, {blob(_R)}"), [status_path]
     if total:
         bodies = routed(status.where("kind = 1"), _S, distinct).mapInArrow(_fetch(shards), f"shard int, {blob(_C)}, body binary")
-        found, _ = materialize(bodies.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_sort(parts, memory), f"part int, {blob(_R)}"), "suffix-found")
+        found, found_path = materialize(bodies.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_sort(parts, memory), f"part int, {blob(_R)}"), "suffix-found")
+        done.append(found_path)
     if sizes.get(2):
         windows, windows_path = materialize(routed(status.where("kind = 2"), _S, distinct).mapInArrow(_windows, _W), "suffix-windows")
         again = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("total")).where("total > 1").select("w1", "w2")
         marked = windows.where("weight = 1").join(again, ["w1", "w2"], "left_semi").select("k1", "k2", "pos")
-        placed, _ = materialize(marked.mapInArrow(_placed(parts), f"part int, {blob(_R)}"), "suffix-placed")
+        placed, placed_path = materialize(marked.mapInArrow(_placed(parts), f"part int, {blob(_R)}"), "suffix-placed")
         found = found.union(placed)
         drop_path(spark, windows_path)
+        done.append(placed_path)
     runs = status.where("kind = 0").select("part", "kind", *_R).union(found.select("part", F.lit(0).alias("kind"), *_R))
     cleaned = routed(runs, _R, distinct).mapInArrow(_remove, "k1 long, k2 long, n_bytes long, n_removed long, n_spans int, kept_sha256 string, spans array<struct<s: long, e: long>>, kept string".replace("n_spans int", "n_spans long"))
     cleaned, _ = materialize(cleaned.select("k1", "k2", *made).withColumnsRenamed({c: "r_" + c for c in made}), "suffix-cleaned")
-    drop_path(spark, status_path)
+    drop_path(spark, *done)
     rest = [c for c in docs.columns if c != "text" and c not in made]
     ids = docs.select(*rest, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k1"), F.xxhash64(F.lit(7), F.coalesce("text", F.lit(""))).alias("_k2"))
     cleaned = cleaned.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})

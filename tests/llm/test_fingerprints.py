@@ -16,7 +16,9 @@ def test_likeness_is_jaccard(groups):
     a = [np.array(sorted(x | c), np.uint64) for x, _, c in groups]
     b = [np.array(sorted(y | c), np.uint64) for _, y, c in groups]
     want = [len({*p.tolist()} & {*q.tolist()}) / len({*p.tolist()} | {*q.tolist()}) if len(p) + len(q) else 1.0 for p, q in zip(a, b, strict=True)]
-    x, y = fp.sketches(a), fp.sketches(b)
+    (x, lx), (y, ly) = fp.sketches(a), fp.sketches(b)
+    assert fp.likeness(x, y, (lx, ly)).tolist() == pytest.approx(want)
+    assert [t.tolist() for t in lx] == [p.tolist() for p in a]
     assert fp.likeness(x, y).tolist() == pytest.approx(want)
     assert [fp.likeness_of(fp.serialize(p), fp.serialize(q)) for p, q in zip(x, y, strict=True)] == pytest.approx(want)
     assert [sorted(fp.listed(t).tolist()) for t in x] == [p.tolist() for p in a]
@@ -26,7 +28,7 @@ def test_peeling_recovers_what_differs_from_serialized_tables():
     """Few differences between large sets peel at any folding that has room for them; many need the whole tables."""
     rng = np.random.default_rng(0)
     common, x, y, z = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (500, 7, 4, 3000))
-    a, b, c = (fp.parse(fp.serialize(fp.sketches([np.concatenate([common, w])])[0])) for w in (x, y, z))
+    a, b, c = (fp.parse(fp.serialize(fp.sketches([np.concatenate([common, w])])[0][0])) for w in (x, y, z))
     for cells in (36, 72, a[0].shape[1]):
         row, key, sign, whole = fp.peel(*(p - q for p, q in zip(fp.fold(a, cells), fp.fold(b, cells), strict=True)))
         assert whole[0] and sorted(key[sign > 0].tolist()) == x.tolist() and sorted(key[sign < 0].tolist()) == y.tolist()

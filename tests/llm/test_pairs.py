@@ -74,6 +74,59 @@ def test_embedding_blocks_lose_nothing(spark, monkeypatch):
     assert (got.n_links == 59).all() and (got.component_id == 0).all()
 
 
+@pytest.mark.parametrize("dims,rows", [(16, 300), (64, 5_000), (64, 10**6), (64, 10**9), (768, 10**4), (768, 10**9)])
+def test_recall_at_the_threshold(dims, rows):
+    """Planted pairs at cosine 0.93, under the plan for tables of any size."""
+    rng = np.random.default_rng(dims + rows)
+    hashes, tables, probes = embedding_dedup.plan(rows, 1 << (dims - 1).bit_length())
+    a, b = rng.normal(size=(2, 600, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.931 * a + np.sqrt(1 - 0.931**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (embedding_dedup.bucket_keys(v, hashes, tables, probes) for v in (a, b))
+    assert (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3)).mean() >= 0.98
+
+
+def test_planted_pairs_in_the_real_table(spark):
+    """The table's own vectors and, of each of the first 300, one at cosine 0.935 and one at 0.925: nothing else changes."""
+    rng = np.random.default_rng(3)
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    more = []
+    for i, v, lab in rows[:300]:
+        v = np.array(v, np.float64) / np.linalg.norm(v)
+        w = rng.normal(size=len(v))
+        w -= (v * w).sum() * v
+        w /= np.linalg.norm(w)
+        more += [(10_000_000 + 2 * i + k, (c * v + np.sqrt(1 - c * c) * w).tolist(), lab) for k, c in enumerate((0.935, 0.925))]
+    every = rows + more
+    links = brute_vectors(every, 0.93)
+    n = defaultdict(int)
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(every, "vec_id long, embedding array<double>, label long")).toPandas().set_index("vec_id")
+    assert all(got.n_links[i] <= n[i] for i in got.index) and got.n_links.sum() >= 0.98 * 2 * len(links) and len(links) >= 300
+
+
+def test_large_buckets_count_each_pair_once(spark, monkeypatch):
+    """Dense groups: pairs share small and large buckets, in several tables."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(6, 32))
+    rows = [(i, (base[i % 6] + rng.normal(size=32) * 0.12).tolist(), i % 2) for i in range(500)]
+    monkeypatch.setattr(embedding_dedup, "SMALL", 5)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    monkeypatch.setattr(embedding_dedup, "HOT", 3)
+    rows += [(1000 + i, rows[0][1], 0) for i in range(9)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).toPandas().set_index("vec_id")
+    n, links = defaultdict(int), brute_vectors(rows, 0.93)
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+    comp = smallest([r[0] for r in rows], links)
+    assert all(got.n_links[i] <= n[i] for i in got.index) and got.n_links.sum() >= 0.995 * 2 * len(links)
+    assert np.mean([got.component_id[i] == comp[i] for i in got.index]) > 0.99
+
+
 def brute_sets(rows, width=3, num=90, den=100):
     sets = []
     for _, t in rows:

@@ -71,15 +71,43 @@ def test_run_is_the_stages_in_a_row(spark, stages):
     assert got == {i: r.ids_sha256 for i, r in rows(stages[5]).items()}
 
 
+HARD = [
+    (1, None, "en", "a", None), (2, "", None, "a", 0), (None, "some text here and some more", "en", None, 14), (3, "same words again and again", "en", "b", 26), (4, "same words again and again", "en", "b", 26),
+    (5, "x" * 200_000, "de", "b", 200_000), (None, "some text here and some more", "en", "b", 14), (6, "one text of a shared id", "en", "b", 1), (6, "another text of the shared id", "en", "b", 1), (6, "one text of a shared id", "en", "b", 1),
+    (7, "same words again and again", "en", "b", 26), (8, None, "en", "a", None), (8, None, "en", "a", None),
+]
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_hard_rows(spark, tmp_path):
-    docs = [(1, None, "en", "a", None), (2, "", None, "a", 0), (None, "some text here", "en", None, 14), (3, "same words again and again", "en", "b", 26), (4, "same words again and again", "en", "b", 26), (5, "x" * 200_000, "de", "b", 200_000)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    df = spark.createDataFrame(HARD, KIND).selectExpr("*", "1 as _row", "'x' as topic", "2 as k1").drop("_row")
     spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for some in (df, df.limit(0)):
-        cur = some
+        cur, sizes = some, []
         for name, stage in cp.STAGES:
             cur, _ = materialize(stage(spark, cur, str(tmp_path)), f"hard-{name}")
-        assert cur.count() <= 6
+            assert name == "bpe" or cur.columns == df.columns
+            sizes.append(cur.count())
+        assert sizes[0] == (13 if some is df else 0) and sizes[-1] <= sizes[2] <= sizes[1]
+
+
+def test_toxic_rows_go_whatever_their_id(spark, tmp_path):
+    rows = [(i, "you are a vile worthless idiot and scum" if i % 4 == 0 else f"a calm report about trains and rivers {i}", "en", "a", 1) for i in range(400)]
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = [(None, rows[0][1], "en", "a", 1), (None, rows[1][1], "en", "a", 1), (3, rows[0][1], "en", "a", 1)]
+    left = [(r.doc_id, r.text) for r in cp.toxicity(spark, spark.createDataFrame(rows + more, KIND), str(tmp_path)).collect()]
+    assert sorted(left, key=str) == sorted([(r[0], r[1]) for r in rows + more if "vile" not in r[1]], key=str)
+
+
+def test_near_duplicates_of_hard_ids(spark):
+    got = sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, spark.createDataFrame(HARD, KIND), SF).collect()), key=str)
+    assert got == sorted({(1, None), (2, ""), (None, "some text here and some more"), (3, "same words again and again"), (5, "x" * 200_000), (6, "one text of a shared id"), (6, "another text of the shared id"), (8, None)}, key=str)
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], KIND).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
 
 
 def test_registered():

@@ -10,14 +10,15 @@ Format of a frame (little-endian):
     (blocks + 1) x u64   first word of each block
     words x u64  Simple-8b words
 
-A word has a selector in its top four bits and 60 bits of equal fields, the first id lowest. Selectors 2-15 take 120
-fields of 0 bits (all ids 0) down to one of 60; selector 0 is a run of 240 zeros; selector 1 is the escape: the next word is one id as
-it is (ids of 2^60 and more). Blocks start on a word of their own, so they are coded and decoded side by side.
+A word has a selector in its top four bits and 60 bits of equal fields, the first id lowest. Selectors 3-15 take 60
+fields of 1 bit down to one of 60, selector 2 two of 30; selector 0 is a run of 240 zeros; selector 1, a shorter run of
+zeros elsewhere, is the escape here: the next word is one id as it is (ids of 2^60 and more). Blocks start on a word of their own, so they are coded and decoded side by side.
 Frames travel through Spark's own writers, so a lost executor leaves no half file and any store works.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -28,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronopath.llm.bpe import byte_characters
 from chronopath.llm.common import materialize, shuffle_parts, texts
 
 MAGIC, BLOCK, FRAME_IDS, END_ID = b"S8BTOK01", 1024, 1 << 20, 2
 U = np.uint64
 #: Fixed values of the format: fields and bits a field of each selector (selector 1: escape).
-COUNT = np.array([240, 1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 1], np.int64)
-BITS = np.array([0, 64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 60], np.int64)
-# Two fields of 30 bits have no selector of their own here: 20 bits hold every id below 1,048,576.
+COUNT = np.array([240, 1, 2, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 1], np.int64)
+BITS = np.array([0, 64, 30, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 60], np.int64)
 
 
 def encode_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +59,7 @@ def encode_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.nd
         m = reach[w].copy()
         m[:, :-w] = np.maximum(m[:, :-w], reach[w][:, w:])
         reach[w * 2], w = m, w * 2
-    for s in range(15, -1, -1):  # widest fields first, so that fuller words overwrite
+    for s in np.argsort(COUNT, kind="stable").tolist():  # widest fields first, so that fuller words overwrite
         if s == 1:
             continue
         c, k = int(COUNT[s]), 1 << (int(COUNT[s]).bit_length() - 1)
@@ -151,6 +152,10 @@ def unpack_frame(frame: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(doc, null, strict=True)], length, decode_words(w, offsets, n, block)
 
 
+# Fixed value: what the file must say of its pre-tokens for the rank coder's pattern to be the same.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+
 @cache
 def byte_coder(json_path: str, rank_path: str):
     """Coder of texts for the byte-level file: the vocabulary's rank file does the work (about five times faster and
@@ -160,9 +165,16 @@ def byte_coder(json_path: str, rank_path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
+    spec = json.load(open(json_path, encoding="utf-8"))
+    if spec["normalizer"] or spec["pre_tokenizer"] != PRE_TOKENIZER:
+        raise ValueError(f"{json_path} cuts texts in another way than the rank coder does")
     library = Tokenizer.from_file(json_path)
     specials = [t.content for t in library.get_added_tokens_decoder().values()]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(rank_path, "rb"))}
+    chars = byte_characters()
+    specials_of = {t["content"] for t in spec["added_tokens"]}
+    if {t: i for t, i in spec["model"]["vocab"].items() if t not in specials_of} != {"".join([chars[b] for b in raw]): i for raw, i in ranks.items()}:
+        raise ValueError(f"{json_path} and {rank_path} are not one vocabulary")
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 

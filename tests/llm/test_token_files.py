@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -39,3 +40,27 @@ def test_files_hold_the_library_ids(spark):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert tf.read_token_files(tf.write_token_files(df.limit(0))[0]).count() == 0
+
+
+def test_two_fields_of_thirty_bits():
+    """Ids of 20 to 30 bits travel two a word."""
+    ids = np.random.default_rng(4).integers(1 << 21, 1 << 30, 1000).astype(np.uint64)
+    words, offsets = tf.encode_words(ids)
+    assert len(words) == 500 and (tf.decode_words(words, offsets, 1000) == ids).all()
+    mixed = np.concatenate([ids[:7], np.arange(50), np.zeros(300), ids[7:9], [1 << 59], [(1 << 63) + 5]]).astype(np.uint64)
+    words, offsets = tf.encode_words(mixed)
+    assert (tf.decode_words(words, offsets, len(mixed)) == mixed).all()
+
+
+def test_files_that_disagree_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec | {"pre_tokenizer": {"type": "Whitespace"}}))
+    with pytest.raises(ValueError, match="another way"):
+        tf.byte_coder(str(other), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    with pytest.raises(ValueError, match="not one vocabulary"):
+        tf.byte_coder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

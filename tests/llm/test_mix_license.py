@@ -172,3 +172,52 @@ def test_named_licences():
     grant = lic.SENTENCES["mit-grant"][0].split()
     spread = "\n".join((" " * 24).join(grant[k : k + 2]) for k in range(0, len(grant), 2))
     assert [h[0] for h in lic.recognise(list(lic.sentences(spread + ":\n\nText.")))] == ["MIT"]
+
+
+def test_weights_and_draws_against_brute_force(spark):
+    """Raking cell by cell in dictionaries, the factor of the probabilities by halving, draws by their sums."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mixing.mix_to_targets(docs).toPandas()
+    cells = got.groupby(list(mixing.MARGINS), dropna=False).n_tokens.sum().to_dict()
+    total = sum(cells.values())
+    share = {c: n / total for c, n in cells.items()}
+    targets = []
+    for k, m in enumerate(mixing.MARGINS):
+        raw = {}
+        for c, n in cells.items():
+            raw[c[k]] = raw.get(c[k], 0) + n
+        raw = {v: n ** mixing.TEMPERATURE[m] for v, n in raw.items()}
+        targets.append({v: n / sum(raw.values()) for v, n in raw.items()})
+    for _ in range(400):
+        for k, want in enumerate(targets):
+            now = {}
+            for c, x in share.items():
+                now[c[k]] = now.get(c[k], 0) + x
+            share = {c: x * want[c[k]] / now[c[k]] for c, x in share.items()}
+    weight = {c: share[c] / (cells[c] / total) for c in cells}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        if sum(n * min(1.0, mid * weight[c]) for c, n in cells.items()) < 0.5 * total:
+            low = mid
+        else:
+            high = mid
+    for r in got.itertuples():
+        c = (r.source, r.lang, r.topic)
+        assert r.weight == pytest.approx(weight[c], rel=1e-6) and r.probability == pytest.approx(min(1.0, low * weight[c]), rel=1e-6)
+    for k, m in enumerate(mixing.MARGINS):
+        mass = (got.n_tokens * got.weight).groupby(got[m]).sum() / total
+        assert all(mass[v] == pytest.approx(x, abs=1e-6) for v, x in targets[k].items())
+    spread = np.sqrt((got.n_tokens**2 * got.probability * (1 - got.probability)).sum())
+    assert abs(got.n_tokens[got.selected].sum() - (got.n_tokens * got.probability).sum()) < 4 * spread
+    assert got.selected[got.probability >= 1].all() and not got.selected[got.probability <= 0].any()
+
+
+def test_many_sources_and_whole_rows(spark):
+    """Several hundred sources; the rows that are drawn carry all their columns."""
+    rows = [(i, f"word{i % 7} and more of it {i}", ["en", "de"][i % 2], f"s{i % 400}", i) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, extra long").selectExpr("*", "1 as topic")
+    got = mixing.mix_to_targets(docs).collect()
+    drawn = mixing.draw_to_targets(docs).collect()
+    assert len({r.source for r in got}) == 400 and {r.doc_id for r in drawn} == {r.doc_id for r in got if r.selected}
+    assert all(tuple(r) == (*rows[r.doc_id], 1) for r in drawn)

@@ -8,7 +8,14 @@ from chronopath.functions import temporal as T
 from chronopath.plans.temporal_graph import graph, sql
 
 _L = F.lit
-K, P = F.col("knots"), F.col("pieces")
+
+
+def K():
+    return F.col("knots")
+
+
+def P():
+    return F.col("pieces")
 
 
 def _edges(spark, sf):
@@ -53,89 +60,89 @@ def b7_fifo(spark, sf):
 
 
 def b8_restrict(spark, sf):
-    return _rows(_edges(spark, sf), T.restrict(K, _L(150.0), _L(500.0))).select("arc_id", "x.t", F.round("x.v", 6).alias("v"))
+    return _rows(_edges(spark, sf), T.restrict(K(), _L(150.0), _L(500.0))).select("arc_id", "x.t", F.round("x.v", 6).alias("v"))
 
 
 def b9_arrival_by(spark, sf):
-    return _rows(_edges(spark, sf), T.arrival_at_most(K, _L(600.0))).select("arc_id", "x.s", F.round("x.e", 6).alias("e"))
+    return _rows(_edges(spark, sf), T.arrival_at_most(K(), _L(600.0))).select("arc_id", "x.s", F.round("x.e", 6).alias("e"))
 
 
 def b11_score_max_on(spark, sf):
     e = _edges(spark, sf)
-    return e.select("arc_id", T.score_max(P, _L(130.0), _L(370.0)).alias("inner"), T.score_max(P, _L(240.0), _L(240.0)).alias("at_cut"), T.score_max(P, _L(2880.0), _L(2880.0)).alias("at_end"))
+    return e.select("arc_id", T.score_max(P(), _L(130.0), _L(370.0)).alias("inner"), T.score_max(P(), _L(240.0), _L(240.0)).alias("at_cut"), T.score_max(P(), _L(2880.0), _L(2880.0)).alias("at_end"))
 
 
 def b12_positive_domain(spark, sf):
-    return _rows(_edges(spark, sf), T.positive_domain(P)).select("arc_id", "x.s", "x.e")
+    return _rows(_edges(spark, sf), T.positive_domain(P())).select("arc_id", "x.s", "x.e")
 
 
 def b12_positive_in(spark, sf):
-    return _edges(spark, sf).select("arc_id", T.positive_in(P, _L(300.0), _L(500.0)).alias("positive"))
+    return _edges(spark, sf).select("arc_id", T.positive_in(P(), _L(300.0), _L(500.0)).alias("positive"))
 
 
 def b13_score_add(spark, sf):
-    return _rows(_pairs(spark, sf), T.score_add(P, F.col("pieces2"))).select("arc_id", "x.t0", "x.t1", "x.score")
+    return _rows(_pairs(spark, sf), T.score_add(P(), F.col("pieces2"))).select("arc_id", "x.t0", "x.t1", "x.score")
 
 
 def b14_score_compose(spark, sf):
     """Score of the next arc when it is entered behind this one."""
-    x = _t(_pairs(spark, sf).withColumn("c", T.score_compose(F.col("pieces2"), T.to_arrival(_early(K)))))
+    x = _t(_pairs(spark, sf).withColumn("c", T.score_compose(F.col("pieces2"), T.to_arrival(_early(K())))))
     return x.select("arc_id", "t", T.score_at(F.col("c"), F.col("t")).alias("score"))
 
 
 def b15_one_sided(spark, sf):
     """Score at an instant and just before it."""
     x = _edges(spark, sf).withColumn("t", F.explode(F.array(*[_L(float(t)) for t in (0, 60, 120, 240, 2880)])))
-    return x.select("arc_id", "t", T.score_at(P, F.col("t")).alias("at"), F.coalesce(T.score_before(P, F.col("t")), _L(-1)).alias("before"))
+    return x.select("arc_id", "t", T.score_at(P(), F.col("t")).alias("at"), F.coalesce(T.score_before(P(), F.col("t")), _L(-1)).alias("before"))
 
 
 def b16_compose(spark, sf):
-    x = _t(_pairs(spark, sf).withColumn("c", T.compose(T.to_arrival(F.col("knots2")), T.to_arrival(_early(K)))))
+    x = _t(_pairs(spark, sf).withColumn("c", T.compose(T.to_arrival(F.col("knots2")), T.to_arrival(_early(K())))))
     return x.select("arc_id", "t", F.round(T.value_at(F.col("c"), F.col("t")), 6).alias("arrival"))
 
 
 def b17_preimage(spark, sf):
     """Departures that arrive within [600, 700]."""
-    x = _edges(spark, sf).select("arc_id", T.preimage(T.to_arrival(K), _L(600.0), _L(700.0)).alias("x"))
+    x = _edges(spark, sf).select("arc_id", T.preimage(T.to_arrival(K()), _L(600.0), _L(700.0)).alias("x"))
     return x.select("arc_id", F.round("x.s", 6).alias("s"), F.round("x.e", 6).alias("e"))
 
 
 def b18_image(spark, sf):
-    x = _edges(spark, sf).select("arc_id", T.image(T.to_arrival(T.restrict(K, _L(150.0), _L(500.0)))).alias("x"))
+    x = _edges(spark, sf).select("arc_id", T.image(T.to_arrival(T.restrict(K(), _L(150.0), _L(500.0)))).alias("x"))
     return x.select("arc_id", F.round("x.lo", 6).alias("lo"), F.round("x.hi", 6).alias("hi"))
 
 
 def b19_budget_domain(spark, sf):
-    return _rows(_edges(spark, sf), T.travel_at_most(T.to_arrival(K), F.col("lb") + 4)).select("arc_id", F.round("x.s", 6).alias("s"), F.round("x.e", 6).alias("e"))
+    return _rows(_edges(spark, sf), T.travel_at_most(T.to_arrival(K()), F.col("lb") + 4)).select("arc_id", F.round("x.s", 6).alias("s"), F.round("x.e", 6).alias("e"))
 
 
 def b20_pointwise_min(spark, sf):
-    x = _t(_pairs(spark, sf).withColumn("c", T.pointwise_min(K, F.col("knots2"))))
+    x = _t(_pairs(spark, sf).withColumn("c", T.pointwise_min(K(), F.col("knots2"))))
     return x.select("arc_id", "t", F.round(T.value_at(F.col("c"), F.col("t")), 6).alias("least"))
 
 
 def b21_order(spark, sf):
     k2 = F.col("knots2")
-    return _pairs(spark, sf).select("arc_id", T.no_later_than(K, k2).alias("no_later"), T.same_values(K, k2).alias("same"))
+    return _pairs(spark, sf).select("arc_id", T.no_later_than(K(), k2).alias("no_later"), T.same_values(K(), k2).alias("same"))
 
 
 def b22_extremes_on(spark, sf):
-    x = T.restrict(K, _L(150.0), _L(500.0))
+    x = T.restrict(K(), _L(150.0), _L(500.0))
     return _edges(spark, sf).select("arc_id", F.round(T.min_value(x), 6).alias("least"), F.round(T.max_value(x), 6).alias("most"))
 
 
 def b23_compact(spark, sf):
     """Knots that bend, after middles of all segments were put in."""
-    middle = F.transform(T.segments(K), lambda s: F.struct(((s["t0"] + s["t1"]) / 2).alias("t"), ((s["v0"] + s["v1"]) / 2).alias("v")))
-    return _rows(_edges(spark, sf), T.compact(F.array_sort(F.concat(K, middle)))).select("arc_id", "x.t", "x.v")
+    middle = F.transform(T.segments(K()), lambda s: F.struct(((s["t0"] + s["t1"]) / 2).alias("t"), ((s["v0"] + s["v1"]) / 2).alias("v")))
+    return _rows(_edges(spark, sf), T.compact(F.array_sort(F.concat(K(), middle)))).select("arc_id", "x.t", "x.v")
 
 
 def b25_score_restrict(spark, sf):
-    return _rows(_edges(spark, sf), T.score_restrict(P, _L(130.0), _L(370.0))).select("arc_id", "x.t0", "x.t1", "x.score")
+    return _rows(_edges(spark, sf), T.score_restrict(P(), _L(130.0), _L(370.0))).select("arc_id", "x.t0", "x.t1", "x.score")
 
 
 def b27_thin(spark, sf):
-    return _edges(spark, sf).select("arc_id", F.size(T.thin(K, 3)).cast("long").alias("n"), F.round(T.thinning_error(K, 3), 6).alias("error"))
+    return _edges(spark, sf).select("arc_id", F.size(T.thin(K(), 3)).cast("long").alias("n"), F.round(T.thinning_error(K(), 3), 6).alias("error"))
 
 
 def b29_grid(spark, sf):
@@ -150,7 +157,7 @@ def b30_loopless(spark, sf):
 
 def e7_absolute_gap(spark, sf):
     """Integral of the absolute difference between an arc's travel time and the next arc's."""
-    x = _pairs(spark, sf).select("arc_id", F.posexplode(F.transform(K, lambda k, i: (k["v"] - F.get(F.col("knots2"), i)["v"]))).alias("k", "d"))
+    x = _pairs(spark, sf).select("arc_id", F.posexplode(F.transform(K(), lambda k, i: (k["v"] - F.get(F.col("knots2"), i)["v"]))).alias("k", "d"))
     y = x.join(x.select("arc_id", (F.col("k") - 1).alias("k"), F.col("d").alias("d1")), ["arc_id", "k"])
     return y.groupBy("arc_id").agg(F.round(F.sum(T.abs_linear_integral(F.col("d"), F.col("d1"), _L(120.0))), 4).alias("gap"))
 

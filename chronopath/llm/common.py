@@ -112,8 +112,10 @@ class Bounded(dict):
             self.clear()
 
 
-def _fingerprint(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every larger node has one edge and no smaller node is a larger one as well: nothing is left to join."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").limit(1).count()
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,15 +161,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> tuple[DataFrame, str]:
     """``connected_components`` and the folder of the one table that it reads, to be dropped by the caller.
 
-    Every task first joins what its own edges join, which leaves a star for each of its components. Then it alternates large-star and small-star rounds until the stars stop changing. Each half round is a partial
-    ``min`` and an equi-join (skewed hubs are split by adaptive execution); every round is written to the shared
-    folder. Nulls and self loops are ignored; no edges give no rows.
+    Every task first joins what its own edges join, which leaves a star for each of its components. Then large-star and
+    small-star rounds alternate until all edges are stars. Each half round is a partial ``min`` and an equi-join (skewed
+    hubs are split by adaptive execution); every round is written to the shared folder. Nulls and self loops are
+    ignored; no edges give no rows.
     """
     spark = edges.sparkSession
-    cur = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().mapInArrow(_stars, "u long, v long").distinct()
+    cur = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    # Fewer tasks than the shuffle has join more each; they read in bounded chunks.
+    cur = cur.coalesce(max(8, shuffle_parts(spark) // 8)).mapInArrow(_stars, "u long, v long").distinct()
     cur, path = materialize(cur, "cc")
-    before = _fingerprint(cur)
-    while before[0]:
+    while not _is_star_forest(cur):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -176,11 +180,7 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = moved.union(low.select("u", F.col("m").alias("v"))).distinct()
         nxt, new_path = materialize(nxt, "cc")
-        after = _fingerprint(nxt)
         drop_path(spark, path)
         cur, path = nxt, new_path
-        if after == before:
-            break
-        before = after
     both = cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     return both, path

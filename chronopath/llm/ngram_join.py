@@ -501,7 +501,6 @@ class _Classes:
         self.paths.append(path)
         self.links = links if self.links is None else self.links.union(links)
         old = self.at
-        forget_shuffles(self.spark)
         self.comp, self.at = components(self.links)
         if old:
             drop_path(self.spark, old)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from chronopath.llm.bpe import op6_bpe_encode_decode, op7_token_counts
+from chronopath.llm.conversation_repair import SQL as _CONVERSATION_REPAIR
+from chronopath.llm.conversation_repair import op12_conversation_repair
 from chronopath.llm.embedding_dedup import op1_embedding_dedup
 from chronopath.llm.filter_audit import SQL as _FILTER_AUDIT
 from chronopath.llm.filter_audit import op13_filter_audit
@@ -16,7 +18,7 @@ from chronopath.llm.suffix_dedup import op2_suffix_array_dedup
 from chronopath.llm.token_files import op4_token_files
 from chronopath.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_array_dedup, op3_document_fingerprints, op4_token_files, op5_toxicity, op6_bpe_encode_decode, op7_token_counts, op8_ngram_jaccard_join, op9_mix_to_targets, op10_license_scan, op11_line_dedup, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_array_dedup, op3_document_fingerprints, op4_token_files, op5_toxicity, op6_bpe_encode_decode, op7_token_counts, op8_ngram_jaccard_join, op9_mix_to_targets, op10_license_scan, op11_line_dedup, op12_conversation_repair, op13_filter_audit)}
 #: Over whole tables. The SQL of op2 and op8 compares all windows and all pairs that share a shingle.
 SQL: dict[str, str] = {
     "op1_embedding_dedup": """WITH RECURSIVE g AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -41,5 +43,6 @@ r AS (SELECT doc_id AS n, doc_id AS m FROM documents UNION SELECT r.n, l.b FROM
 k AS (SELECT n, min(m) AS m FROM r GROUP BY n)
 SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, CAST(k.m AS bigint) AS component_id FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN k ON k.n = t.doc_id""",
     "op11_line_dedup": _LINE_DEDUP,
+    "op12_conversation_repair": _CONVERSATION_REPAIR,
     "op13_filter_audit": _FILTER_AUDIT,
 }

@@ -72,6 +72,26 @@ def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(cols)
 
 
+def _pieces_of(bounds: np.ndarray, score: np.ndarray) -> list[dict]:
+    return [{"t0": x, "t1": y, "score": z} for x, y, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), score.tolist(), strict=True)]
+
+
+def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace ``arrival`` and ``pieces`` by those after all arcs of ``_ks`` and ``_ps``, in order."""
+    for b in batches:
+        arrival, pieces = [], []
+        for a, p, ks, ss in zip(*(b.column(c).to_pylist() for c in ("arrival", "pieces", "_ks", "_ps")), strict=True):
+            state = *_knots(a), *_steps(p)
+            for k, s in zip(ks, ss, strict=True):
+                state = extend(*state, *_knots(k), *_steps(s))
+            arrival.append([{"t": x, "v": y} for x, y in zip(state[0].tolist(), state[1].tolist(), strict=True)])
+            pieces.append(_pieces_of(state[2], state[3]))
+        cols = {c: b.column(c) for c in b.schema.names if c not in ("arrival", "pieces", "_ks", "_ps")}
+        cols["arrival"] = pa.array(arrival, pa.list_(pa.struct([("t", pa.float64()), ("v", pa.float64())])))
+        cols["pieces"] = pa.array(pieces, pa.list_(pa.struct([("t0", pa.float64()), ("t1", pa.float64()), ("score", pa.int64())])))
+        yield pa.RecordBatch.from_pydict(cols)
+
+
 def within_budget(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Linear pieces ``(query_id, path, s, e, a0, a1, score)`` of profiles whose travel time stays within ``b``."""
     for r in batches:
@@ -87,5 +107,5 @@ def within_budget(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 rows[name] += x[ok].tolist()
             rows["query_id"] += [q] * len(ok)
             rows["path"] += [path] * len(ok)
-        kinds = {"query_id": pa.int32(), "path": pa.list_(pa.int32()), "score": pa.int64()}
+        kinds = {"query_id": r.schema.field("query_id").type, "path": pa.list_(pa.int32()), "score": pa.int64()}
         yield pa.RecordBatch.from_pydict({k: pa.array(x, kinds.get(k, pa.float64())) for k, x in rows.items()})

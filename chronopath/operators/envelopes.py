@@ -18,7 +18,7 @@ from chronopath.functions.temporal import abs_linear_integral, canonical
 def pieces(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """Pieces of candidate profiles that keep travel time within the budget."""
     c = candidates.join(queries.select("query_id", "b"), "query_id").select("query_id", "path", "arrival", "pieces", "b")
-    parts = c.mapInArrow(within_budget, "query_id int, path array<int>, s double, e double, a0 double, a1 double, score bigint")
+    parts = c.mapInArrow(within_budget, f"query_id {dict(c.dtypes)['query_id']}, path array<int>, s double, e double, a0 double, a1 double, score bigint")
     return parts.withColumn("n_edges", F.size("path"))
 
 
@@ -99,13 +99,29 @@ def distinct_candidates(candidates: DataFrame) -> DataFrame:
 def undominated(covered: DataFrame) -> DataFrame:
     """Paths of each cell that no other beats safely: equal arrival, at least the score, fewer edges or smaller path.
 
-    Paths with different arrivals never dominate each other, however early they are. For whole paths only: one that is
-    still to be extended needs its own nodes and pivots looked at as well, which this doesn't do.
+    Paths with different arrivals never dominate each other, however early they are. For whole paths only; those still
+    to be extended go by ``open_undominated``.
     """
     w = Window.partitionBy("query_id", "lo", "hi", F.round("travel_lo", 9), F.round("travel_hi", 9)).orderBy(F.col("score").desc(), "n_edges", "path")
     return covered.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def open_undominated(covered: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Paths of each cell that no other beats wherever both can still go: equal arrival, at least the score (the same
+    score: fewer edges, then the smaller path), and no node that the beaten one has not visited as well.
+
+    ``nodes(query_id, path, nodes)`` tells the nodes of each path; pivots count by being part of ``query_id``, or are
+    nodes' arcs that both have. Paths meet by cell and arrival only. Beating is transitive, so all that are beaten go at
+    once.
+    """
+    key = ["query_id", "lo", "hi", "_a", "_z"]
+    one = covered.withColumn("_a", F.round("travel_lo", 9)).withColumn("_z", F.round("travel_hi", 9)).join(nodes, ["query_id", "path"])
+    other = one.select(*key, F.col("path").alias("o_path"), F.col("score").alias("o_score"), F.col("n_edges").alias("o_edges"), F.col("nodes").alias("o_nodes"))
+    better = (F.col("o_score") > F.col("score")) | ((F.col("o_score") == F.col("score")) & (F.struct("o_edges", "o_path") < F.struct("n_edges", "path")))
+    beaten = one.join(other, key).where((F.col("path") != F.col("o_path")) & better & (F.size(F.array_except("o_nodes", "nodes")) == 0)).select("query_id", "lo", "hi", "path").distinct()
+    return one.join(beaten, ["query_id", "lo", "hi", "path"], "left_anti").drop("_a", "_z", "nodes")
+
+
 def cell_integrals(covered: DataFrame, queries: DataFrame) -> DataFrame:
     """``covered`` with what retention compares: average travel time over the cell (trapezoid), least slack against the
     budget, the time that the path covers in all its cells, and how many inner vertices it has. Queries ``(query_id, b)``."""

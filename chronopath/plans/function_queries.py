@@ -182,7 +182,7 @@ SQL = {
     "b17_preimage": sql(_SEG + " SELECT arc_id, round(min(CASE WHEN t0 + v0 >= 600 THEN t0 WHEN t1 + v1 >= 600 THEN t0 + (600 - t0 - v0) * 120 / (120 + v1 - v0) END), 6) AS s, round(max(CASE WHEN t1 + v1 <= 700 THEN t1 WHEN t0 + v0 <= 700 THEN t0 + (700 - t0 - v0) * 120 / (120 + v1 - v0) END), 6) AS e FROM seg GROUP BY 1"),
     "b18_image": sql(_CUT + " SELECT arc_id, round(min(t + v), 6) AS lo, round(max(t + v), 6) AS hi FROM cut GROUP BY 1"),
     "b19_budget_domain": sql(_SEG + ", c AS (SELECT s.*, l.lb + 4 AS b FROM seg s JOIN lows l USING (arc_id)) SELECT arc_id, round(CASE WHEN v0 <= b THEN t0 ELSE t0 + (b - v0) * 120 / (v1 - v0) END, 6) AS s, round(CASE WHEN v1 <= b THEN t1 ELSE t0 + (b - v0) * 120 / (v1 - v0) END, 6) AS e FROM c WHERE v0 <= b OR v1 <= b"),
-    "b20_pointwise_min": sql(_AT + " SELECT a.arc_id, a.t, round(least(a.v, b.v), 6) AS least FROM val a JOIN val b ON b.arc_id = a.arc_id + 1 AND b.t = a.t"),
+    "b20_pointwise_min": sql(" SELECT e.arc_id, CAST(d.t AS double) AS t, round(least(a.tau + (b.tau - a.tau) * (d.t - a.t) / 120, x.tau + (y.tau - x.tau) * (d.t - x.t) / 120), 6) AS least FROM edges e CROSS JOIN (SELECT unnest(range(0, 2601, 37)) AS t) d JOIN knots a ON a.arc_id = e.arc_id AND a.k = d.t // 120 JOIN knots b ON b.arc_id = e.arc_id AND b.k = d.t // 120 + 1 JOIN knots x ON x.arc_id = e.arc_id + 1 AND x.k = d.t // 120 JOIN knots y ON y.arc_id = e.arc_id + 1 AND y.k = d.t // 120 + 1"),
     "b21_order": sql(" SELECT a.arc_id, bool_and(a.tau <= b.tau) AS no_later, bool_and(a.tau = b.tau) AS same FROM knots a JOIN knots b ON b.arc_id = a.arc_id + 1 AND b.k = a.k GROUP BY 1"),
     "b22_extremes_on": sql(_CUT + " SELECT arc_id, round(min(v), 6) AS least, round(max(v), 6) AS most FROM cut GROUP BY 1"),
     "b23_compact": sql(", w AS (SELECT *, lag(tau) OVER o AS p, lead(tau) OVER o AS n FROM knots WINDOW o AS (PARTITION BY arc_id ORDER BY k)) SELECT arc_id, t, tau AS v FROM w WHERE p IS NULL OR n IS NULL OR tau - p <> n - tau"),

@@ -207,11 +207,6 @@ def g1_pivots(spark, sf):
     return A.pivots(g, g.queries, P.corridor(g.edges, g.queries, _bounds(spark, sf)), 4)
 
 
-def i26_sampled(spark, sf):
-    g = graph(spark, sf)
-    return A.answer("sampled", g, g.queries.where("src <> dst and (te - ts) % 10 = 0")).select("query_id", "s", "e", "s_inc", "e_inc", _text())
-
-
 def i26_all_sampled(spark, sf):
     """Every query: also those whose last departure is off the grid or that start where they end."""
     g = graph(spark, sf)
@@ -240,6 +235,8 @@ rep AS (SELECT f.query_id, d.t, d.b, f.path, 1 AS i, d.t::double AS a, 0::bigint
   FROM rep r JOIN knots k ON k.arc_id = r.path[r.i] AND k.k = CAST(floor(r.a / 120) AS int) JOIN knots n ON n.arc_id = k.arc_id AND n.k = k.k + 1 JOIN scores s ON s.arc_id = k.arc_id AND s.k = k.k WHERE r.i <= len(r.path)),
 got AS (SELECT query_id, t, array_to_string(path, '-') AS path, len(path) AS n, path AS p, round(a, 6) AS arrival, score FROM rep WHERE i = len(path) + 1 AND round(a, 6) - t <= b)"""
 
+_WITH_END = _AT.replace("unnest(range(ts, te + 1, 10)) AS t", "unnest(list_distinct(list_append(range(ts, te + 1, 10), te))) AS t")
+
 SQL = {
     "a14_graph_counts": sql(" SELECT count(*) AS arcs, count(DISTINCT u) AS tails, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM scores s WHERE s.arc_id = e.arc_id AND score > 0) THEN 1 ELSE 0 END) AS bigint) AS scored, CAST(0 AS bigint) AS not_fifo FROM edges e"),
     "b_edge_functions": sql(""" SELECT e.arc_id, round(k.tau + (n.tau - k.tau) * 7.5 / 120, 6) AS travel, round(487.5 + k.tau + (n.tau - k.tau) * 7.5 / 120, 6) AS arrival, l.lb AS least, s.score, (SELECT max(score) FROM scores x WHERE x.arc_id = e.arc_id) AS best,
@@ -268,9 +265,9 @@ SELECT query_id, deadline, node, round(max(departure), 6) AS departure FROM lab
     "g1_pivots": sql(_WALKS + """, cor AS (SELECT q.query_id, q.ts, q.te, q.b, e.arc_id, q.b - a.from_src - l.lb - z.to_dst AS slack FROM qs q JOIN bnd a ON a.query_id = q.query_id JOIN edges e ON e.u = a.node JOIN lows l ON l.arc_id = e.arc_id JOIN bnd z ON z.query_id = q.query_id AND z.node = e.v WHERE e.u <> e.v),
 x AS (SELECT query_id, arc_id, slack, max(score) AS best, CAST(sum(least(t1, te + b) - greatest(t0, ts)) AS double) AS covered FROM cor JOIN scores USING (arc_id) WHERE slack >= 0 AND score > 0 AND greatest(t0, ts) < least(t1, te + b) GROUP BY 1, 2, 3)
 SELECT query_id, arc_id, best, covered, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, covered DESC, slack DESC, arc_id) AS rank FROM x) WHERE rank <= 4""", True),
-    "i26_sampled": sql(_AT + """, won AS (SELECT query_id, t, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id, t ORDER BY score DESC, arrival, n, p) AS k FROM got) WHERE k = 1)
-SELECT query_id, t::double AS s, coalesce(lead(t) OVER w, t)::double AS e, true AS s_inc, lead(t) OVER w IS NULL AS e_inc, path FROM (SELECT DISTINCT query_id, t FROM dep JOIN qs USING (query_id) WHERE src <> dst AND (te - ts) % 10 = 0) LEFT JOIN won USING (query_id, t) WINDOW w AS (PARTITION BY query_id ORDER BY t)""", True),
+    "i26_all_sampled": sql(_WITH_END + """, won AS (SELECT query_id, t, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id, t ORDER BY score DESC, arrival, n, p) AS k FROM got) WHERE k = 1 UNION ALL SELECT query_id, t, '' FROM dep JOIN qs USING (query_id) WHERE src = dst)
+SELECT query_id, t::double AS s, coalesce(lead(t) OVER w, t)::double AS e, true AS s_inc, lead(t) OVER w IS NULL AS e_inc, path FROM (SELECT DISTINCT query_id, t FROM dep) LEFT JOIN won USING (query_id, t) WINDOW w AS (PARTITION BY query_id ORDER BY t)""", True),
     "b33_horizon": sql(" SELECT query_id, CASE WHEN te + b <= 2880 THEN 'OK' ELSE 'OUT_OF_HORIZON' END AS status FROM (SELECT query_id, te, b FROM qs UNION ALL SELECT query_id + 100, te + 2400, b FROM qs)"),
     "demo_envelope": "SELECT 0 AS query_id, 420.0::double AS s, 430.0::double AS e, true AS s_inc, true AS e_inc, '0-1' AS path",
 }
-QUERIES = {f.__name__: f for f in (a14_graph_counts, b_edge_functions, e1_edge_summary, e2_partition, g3_cell_top_scores, i1_lower_bounds, i4_corridor, i7_paths, i13_point_labels, i14_latest_labels, i10_profile_at_grid, i12_replay, c14_envelope_at_grid, c16_fastest_at_grid, c14_envelope, c16_fastest_envelope, c7_undominated, c8_retained, e4_metrics, e5_agreement, b33_horizon, i23_best_point, i27_first_paths, g1_pivots, i26_sampled, i26_all_sampled, demo_envelope)}
+QUERIES = {f.__name__: f for f in (a14_graph_counts, b_edge_functions, e1_edge_summary, e2_partition, g3_cell_top_scores, i1_lower_bounds, i4_corridor, i7_paths, i13_point_labels, i14_latest_labels, i10_profile_at_grid, i12_replay, c14_envelope_at_grid, c16_fastest_at_grid, c14_envelope, c16_fastest_envelope, c7_undominated, c8_retained, e4_metrics, e5_agreement, b33_horizon, i23_best_point, i27_first_paths, g1_pivots, i26_all_sampled, demo_envelope)}

@@ -13,5 +13,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="chronopath-"))
     return df.checkpoint(eager=True)

@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 from chronopath.operators import envelopes as E
 
 
-def _profile(spark, sf, flag, n, scale, seven):
-    """Winners over [0, 240) in ``n`` cells of each supplier: the path is a line number, none where no line is there."""
-    x = spark.read.parquet(f"{sf}/lineitem.parquet").where((F.col("l_returnflag") == flag) & (F.col("l_partkey") % 7 < seven))
-    x = x.groupBy((F.col("l_suppkey") % 50).alias("query_id"), (F.col("l_orderkey") % n).alias("i")).agg(F.max("l_linenumber").alias("p"), (F.count("*") % 4).alias("score"), F.max("l_quantity").cast("double").alias("travel_lo"), F.min("l_quantity").cast("double").alias("travel_hi"))
+def _profile(spark, sf, side, n, scale):
+    """Winners over [0, 240) in ``n`` cells of each supplier: the path is a line number, none where four divides how
+    many lines there are. ``side`` picks the parts by parity, of which one makes the candidate and the other the
+    reference; without it all count."""
+    x = spark.read.parquet(f"{sf}/lineitem.parquet").where("true" if side is None else f"l_partkey % 2 = {side}")
+    x = x.groupBy((F.col("l_suppkey") % 50).alias("query_id"), (F.col("l_orderkey") % n).alias("i")).agg(F.when(F.count("*") % 4 != 0, F.max("l_linenumber")).alias("p"), (F.count("*") % 4).alias("score"), F.max("l_quantity").cast("double").alias("travel_lo"), F.min("l_quantity").cast("double").alias("travel_hi"))
     every = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_suppkey") % 50).alias("query_id")).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("i", F.col("i").cast("long"))
     y = every.join(x, ["query_id", "i"], "left")
-    return y.select("query_id", (F.col("i") * scale).cast("double").alias("lo"), ((F.col("i") + 1) * scale).cast("double").alias("hi"), F.when(F.col("p").isNotNull(), F.array(F.col("p").cast("int"))).alias("path"), "score", "travel_lo", "travel_hi")
+    return y.select("query_id", (F.col("i") * scale).cast("double").alias("lo"), ((F.col("i") + 1) * scale).cast("double").alias("hi"), F.when(F.col("p").isNotNull(), F.array(F.col("p").cast("int"))).alias("path"), *[F.when(F.col("p").isNotNull(), F.col(c)).alias(c) for c in ("score", "travel_lo", "travel_hi")])
+
+
+def _whole(spark, sf):
+    return _profile(spark, sf, None, 24, 10)
 
 
 def _candidate(spark, sf):
-    return _profile(spark, sf, "A", 24, 10, 1)
+    return _profile(spark, sf, 0, 24, 10)
 
 
 def _reference(spark, sf):
-    return _profile(spark, sf, "R", 16, 15, 2)
+    return _profile(spark, sf, 1, 16, 15)
 
 
 def _plain(df, *columns):
@@ -30,7 +36,7 @@ def _plain(df, *columns):
 
 
 def e4_profile_metrics(spark, sf):
-    return _plain(E.metrics(_candidate(spark, sf)), "avg_score", "avg_travel", "best_score")
+    return _plain(E.metrics(_whole(spark, sf)), "avg_score", "avg_travel", "best_score")
 
 
 def e5_quality(spark, sf):
@@ -38,7 +44,7 @@ def e5_quality(spark, sf):
 
 
 def c15_merged_assignments(spark, sf):
-    return E.merge_segments(_candidate(spark, sf)).select("query_id", "s", "e", F.coalesce(F.get("path", F.lit(0)), F.lit(-1)).alias("path"))
+    return E.merge_segments(_whole(spark, sf)).select("query_id", "s", "e", F.coalesce(F.get("path", F.lit(0)), F.lit(-1)).alias("path"))
 
 
 def _candidates(spark, sf):
@@ -77,15 +83,15 @@ def c12_compressed(spark, sf):
     return E.compress(_candidates(spark, sf), _budgets(spark, sf), 2).select("query_id", F.get("path", F.lit(0)).alias("path"), "s", "e", "role")
 
 
-def _sql(name, flag, n, scale, seven):
-    return f"""{name}_x AS (SELECT l_suppkey % 50 AS q, l_orderkey % {n} AS i, max(l_linenumber) AS p, count(*) % 4 AS score, CAST(max(l_quantity) AS double) AS v0, CAST(min(l_quantity) AS double) AS v1 FROM lineitem WHERE l_returnflag = '{flag}' AND l_partkey % 7 < {seven} GROUP BY 1, 2),
+def _sql(name, where, n, scale):
+    return f"""{name}_x AS (SELECT l_suppkey % 50 AS q, l_orderkey % {n} AS i, CASE WHEN count(*) % 4 <> 0 THEN max(l_linenumber) END AS p, CASE WHEN count(*) % 4 <> 0 THEN count(*) % 4 END AS score, CASE WHEN count(*) % 4 <> 0 THEN CAST(max(l_quantity) AS double) END AS v0, CASE WHEN count(*) % 4 <> 0 THEN CAST(min(l_quantity) AS double) END AS v1 FROM lineitem WHERE {where} GROUP BY 1, 2),
 {name} AS (SELECT q, CAST(i * {scale} AS double) AS lo, CAST((i + 1) * {scale} AS double) AS hi, p, score, v0, v1 FROM (SELECT q, i FROM (SELECT DISTINCT l_suppkey % 50 AS q FROM lineitem) CROSS JOIN (SELECT unnest(range({n})) AS i)) LEFT JOIN {name}_x USING (q, i)),
 {name}_n AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(p) OVER w IS DISTINCT FROM p THEN 1 ELSE 0 END AS new FROM {name} WINDOW w AS (PARTITION BY q ORDER BY lo)),
 {name}_r AS (SELECT *, sum(new) OVER (PARTITION BY q ORDER BY lo) AS run FROM {name}_n),
 {name}_s AS (SELECT q, run, min(lo) AS s, max(hi) AS e, max(p) AS p FROM {name}_r GROUP BY q, run)"""
 
 
-_A, _B = _sql("a", "A", 24, 10, 1), _sql("b", "R", 16, 15, 2)
+_A, _B, _W = _sql("a", "l_partkey % 2 = 0", 24, 10), _sql("b", "l_partkey % 2 = 1", 16, 15), _sql("a", "true", 24, 10)
 _CAND = """c AS (SELECT l_suppkey % 50 AS q, CAST(l_orderkey % 24 * 10 AS double) AS lo, CAST(l_orderkey % 24 * 10 + 10 AS double) AS hi, l_linenumber AS p, l_linenumber % 3 + 1 AS ne, count(*) % 3 AS score, CAST(max(l_partkey) % 6 AS double) AS v0, CAST(min(l_partkey) % 6 AS double) AS v1 FROM lineitem GROUP BY ALL),
 m AS (SELECT *, (v0 + v1) / 2 AS av, 8.0 - greatest(v0, v1) AS slack, sum(hi - lo) OVER (PARTITION BY q, p) AS cover, ne - 1 AS inn FROM {src})"""
 _DOM = "u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, lo, v0, v1 ORDER BY score DESC, ne, p) AS r FROM c) WHERE r = 1)"
@@ -98,8 +104,8 @@ SQL = {
     "c10_distinct_candidates": f"WITH {_CAND.format(src='c')} SELECT q AS query_id, lo AS s, hi AS e, p AS path, score FROM c",
     "c12_compressed": f"""WITH {_CAND.format(src='u').replace("FROM lineitem GROUP BY ALL),", "FROM lineitem GROUP BY ALL), " + _DOM + ",")}, {_ROLE}, g AS (SELECT *, lo - 10 * row_number() OVER (PARTITION BY q, p ORDER BY lo) AS run FROM z WHERE n <= 2)
 SELECT q AS query_id, p AS path, min(lo) AS s, max(hi) AS e, min(role) AS role FROM g GROUP BY q, p, run""",
-    "c15_merged_assignments": f"WITH {_A} SELECT q AS query_id, s, e, coalesce(p, -1) AS path FROM a_s",
-    "e4_profile_metrics": f"""WITH {_A}, o AS (SELECT q, sum(hi - lo) AS t, sum(CASE WHEN p IS NOT NULL THEN hi - lo ELSE 0 END) AS c, count(p) > 0 AS f, count(DISTINCT p) AS paths, sum(score * (hi - lo)) AS s, sum((v0 + v1) / 2 * (hi - lo)) AS v, max(score) AS best FROM a GROUP BY q), g AS (SELECT q, count(*) AS n, min(e - s) AS least FROM a_s GROUP BY q)
+    "c15_merged_assignments": f"WITH {_W} SELECT q AS query_id, s, e, coalesce(p, -1) AS path FROM a_s",
+    "e4_profile_metrics": f"""WITH {_W}, o AS (SELECT q, sum(hi - lo) AS t, sum(CASE WHEN p IS NOT NULL THEN hi - lo ELSE 0 END) AS c, count(p) > 0 AS f, count(DISTINCT p) AS paths, sum(score * (hi - lo)) AS s, sum((v0 + v1) / 2 * (hi - lo)) AS v, max(score) AS best FROM a GROUP BY q), g AS (SELECT q, count(*) AS n, min(e - s) AS least FROM a_s GROUP BY q)
 SELECT q AS query_id, f AS feasible, round(c, 6) AS covered, round(t - c, 6) AS uncovered, round(c / t, 6) AS coverage, n AS n_segments, paths AS n_paths, n - 1 AS n_changes, round(t / n, 6) AS avg_length, round(least, 6) AS min_length, coalesce(round(s / nullif(c, 0), 6), -1) AS avg_score, coalesce(round(v / nullif(c, 0), 6), -1) AS avg_travel, coalesce(best, -1) AS best_score FROM o JOIN g USING (q)""",
     "e5_quality": f"""WITH {_A}, {_B}, j AS (SELECT a.q, greatest(a.lo, b.lo) AS t, least(a.hi, b.hi) AS z, a.p AS pa, b.p AS pb, a.score AS sa, b.score AS sb, a.v0 + (a.v1 - a.v0) * (greatest(a.lo, b.lo) - a.lo) / 10 AS x0, a.v0 + (a.v1 - a.v0) * (least(a.hi, b.hi) - a.lo) / 10 AS x1, b.v0 + (b.v1 - b.v0) * (greatest(a.lo, b.lo) - b.lo) / 15 AS y0, b.v0 + (b.v1 - b.v0) * (least(a.hi, b.hi) - b.lo) / 15 AS y1 FROM a JOIN b ON a.q = b.q AND a.lo < b.hi AND b.lo < a.hi),
 k AS (SELECT *, z - t AS w, coalesce(sa, 0) AS cs, pb IS NOT NULL AS ob, pb IS NOT NULL AND pa IS NOT NULL AND sa = sb AS tie, x0 - y0 AS d0, x1 - y1 AS d1 FROM j),

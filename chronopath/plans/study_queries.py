@@ -65,7 +65,7 @@ def e27_progress(spark, sf):
 
 def d18_merge_reused(spark, sf):
     x = _t(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return S.merge_reused(x.where("o_orderkey % 3 = 0"), x.where("o_orderkey % 3 = 1"), ["o_orderkey"])
+    return S.merge_reused(x.where("o_orderkey % 3 = 0"), x.where("o_orderkey % 3 <> 0"), ["o_orderkey"])
 
 
 def d20_flatten(spark, sf):
@@ -181,7 +181,7 @@ SQL = {
 SELECT level, n, n_done, round(tr, 5) AS timeout_rate, round(s, 5) AS score, round(bs, 5) AS base_score, round(t, 5) AS travel, round(bt, 5) AS base_travel, round(q1, 5) AS q1, round(median, 5) AS median, round(q3, 5) AS q3, round(s - bs, 5) AS score_gain, round(100 * (s - bs) / bs, 5) AS score_gain_percent, round(100 * (t - bt) / bt, 5) AS travel_premium_percent FROM x""",
     "e26_level_change": f"WITH {_CASE} SELECT count(*) AS n, round(avg(b.score - a.score), 6) AS mean_change, round(avg(CASE WHEN b.score >= a.score THEN 1.0 ELSE 0.0 END), 6) AS monotone_share FROM c a JOIN c b USING (l_orderkey) WHERE a.level = 1 AND b.level = 2 AND a.flag <> 'R' AND b.flag <> 'R'",
     "e27_progress": "SELECT c_mktsegment, count(*) AS planned, count(o_orderstatus) AS recorded, count(*) - count(o_orderkey) AS left_over, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS n_f, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS n_o, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS n_p FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
-    "d18_merge_reused": "SELECT o_orderkey, o_custkey, CASE o_orderkey % 3 WHEN 0 THEN 'FRESH' ELSE 'REUSED' END AS origin FROM orders WHERE o_orderkey % 3 < 2",
+    "d18_merge_reused": "SELECT o_orderkey, o_custkey, CASE o_orderkey % 3 WHEN 0 THEN 'FRESH' ELSE 'REUSED' END AS origin FROM orders",
     "d20_flatten": "SELECT o_orderkey AS run_o_orderkey, o_custkey AS run_who_cust, o_orderstatus AS run_who_state, o_totalprice AS price FROM orders",
     "d14_semi_matched": "SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
     "d15_unmatched_parts": "SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",

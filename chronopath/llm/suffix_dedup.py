@@ -1,5 +1,7 @@
 """Suffix-array dedup: removes every byte that a 200-byte string covers which also starts anywhere else.
 
+0. A text that occurs more than once is removed as a whole if it has 200 bytes; copies are counted by their hashes, and a
+   task goes through a text once, however often it has it.
 1. Anchors. The least 32-gram hash among the 169 that a 200-byte window holds depends on the window alone, so equal
    windows have equal anchors. Windows of a text that share their anchor make a *context* (about 284 bytes). A context
    whose anchor hash occurs nowhere else holds no repeated window.
@@ -109,7 +111,7 @@ _A = ("h", "ctx", "k1", "k2", "pos", "n")
 
 def _anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _first_seen(batches):
             raw = _raw(b)
             k1, k2 = (np.asarray(b.column(c), dtype=np.int64) for c in ("k1", "k2"))
             got: list[list[np.ndarray]] = [[] for _ in _A]
@@ -167,7 +169,12 @@ def _statuses(parts: int, hot: int = SHARD_BYTES):
         many = np.bincount(h_id[new_c])[h_id] > 1
         x["flag"] = whole.astype(np.uint8)
         large = np.bincount(h_id[new_c], x["n"][new_c].astype(np.float64) + WINDOW)[h_id] > hot
-        for kind, at in ((0, np.flatnonzero(whole)), (1, np.flatnonzero(many & new_c & ~large)), (2, np.flatnonzero(many & new_c & large))):
+        # Copies of a text that other tasks had as well have the same place; it is told once.
+        place = np.flatnonzero(whole)
+        by = np.lexsort((x["pos"][place], x["k2"][place], x["k1"][place]))
+        place = place[by]
+        place = place[np.r_[True, (x["k1"][place][1:] != x["k1"][place][:-1]) | (x["k2"][place][1:] != x["k2"][place][:-1]) | (x["pos"][place][1:] != x["pos"][place][:-1])]] if len(place) else place
+        for kind, at in ((0, place), (1, np.flatnonzero(many & new_c & ~large)), (2, np.flatnonzero(many & new_c & large))):
             if len(at):
                 packed = list(pack(np.mod(x["k1"][at], parts).astype(np.int32), [x[c][at] for c in _S]))
                 sizes = [int(np.frombuffer(p[1][3], np.uint32).sum()) + WINDOW * (len(p[1][5])) for p in packed]
@@ -429,6 +436,9 @@ def repeated_spans(docs: DataFrame, memory: int = 256 << 20, keep_text: bool = F
         done.append(placed_path)
     runs = status.where("kind = 0").select("part", "kind", *_R).union(found.select("part", F.lit(0).alias("kind"), *_R))
     cleaned = routed(runs, _R, distinct).mapInArrow(_remove, "k1 long, k2 long, n_bytes long, n_removed long, n_spans int, kept_sha256 string, spans array<struct<s: long, e: long>>, kept string".replace("n_spans int", "n_spans long"))
+    often = keyed.where(f"octet_length(text) >= {WINDOW}").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("k1", "k2", F.lit(True).alias("_often"))
+    gone = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "spans": F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e"))), "kept": F.lit("")}
+    cleaned = cleaned.join(often, ["k1", "k2"], "left").withColumns({c: F.when(F.col("_often"), v).otherwise(F.col(c)) for c, v in gone.items()})
     cleaned, _ = materialize(cleaned.select("k1", "k2", *made).withColumnsRenamed({c: "r_" + c for c in made}), "suffix-cleaned")
     drop_path(spark, *done)
     rest = [c for c in docs.columns if c != "text" and c not in made]

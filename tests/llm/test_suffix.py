@@ -121,3 +121,25 @@ def test_windows_one_by_one_against_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_spans(df, hot=0).collect()}
     assert got == dict(enumerate(brute(texts)))
+
+
+def test_copies_of_one_text_are_told_once(spark):
+    """Many copies of a text give no more rows of positions than two of them, in one part or several."""
+    from chronopath.llm.suffix_dedup import _A, _S, _anchors, _statuses
+
+    import numpy as np
+
+    def told(n):
+        text = "".join(chr(97 + i * i % 23) for i in range(3000)) + "tail" * 20
+        docs = spark.range(n).selectExpr("xxhash64('a') as k1", "xxhash64('b') as k2", f"'{text}' as text").repartition(4)
+        blob = lambda names: ", ".join(f"{c} binary" for c in names)
+        packed = docs.mapInArrow(_anchors(4), f"bucket int, {blob(_A)}").repartition(4, "bucket").mapInArrow(_statuses(4), f"part int, kind int, {blob(_S)}, bytes long")
+        return sum(len(np.frombuffer(r.pos, np.uint32)) for r in packed.where("kind = 0").collect())
+
+    assert 0 < told(20_000) <= told(8) <= 2 * told(20_000)
+
+
+def test_hot_text_and_its_parts(spark):
+    hot = "x1y2" * 100 + "the middle of the text " * 20
+    texts = [hot] * 300 + [hot[100:700], "short", "short", hot[:199], None, ""]
+    compare(spark, texts)

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 
 from chronopath.llm.common import small_batches, texts
 
-# Sentences of public licences, by identifier. Case, punctuation and line breaks don't count.
+# Sentences of public licences, by identifier. Case, punctuation and line breaks don't count; <name> stands
+# for a name of one to NAME_WORDS words.
 SENTENCES = {
     "released-mit": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "This software is released under the MIT License", "Licensed under the MIT license"],
     "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"],
@@ -24,8 +25,8 @@ SENTENCES = {
     "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
-    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "bsd-warranty": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"],
+    "bsd-endorse": ["Neither the name of <name> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "Neither the name of <name> may be used to endorse or promote products derived from this software without specific prior written permission", "The name of <name> may not be used to endorse or promote products derived from this software without specific prior written permission", "The names of its contributors may not be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-warranty": ["THIS SOFTWARE IS PROVIDED BY <name> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"],
     "released-bsd": ["Licensed under the BSD License", "Released under the BSD License"],
     "released-bsd3": ["Licensed under the BSD 3-Clause License", "Released under the BSD 3-Clause License"],
     "apache-short": ["Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0", "This work is licensed under the Apache License, Version 2.0"],
@@ -35,15 +36,24 @@ SENTENCES = {
     "apache-asis": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
     "gpl-3-short": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0"],
     "gpl-2-short": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2"],
-    "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
-    "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
+    "gpl-free": ["<name> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "gpl2-free": ["<name> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "gpl-warranty": ["<name> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
     "lgpl3-short": ["Licensed under the GNU Lesser General Public License, version 3"],
     "lgpl21-short": ["Licensed under the GNU Lesser General Public License, version 2.1"],
-    "lgpl21-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
-    "lgpl3-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "lgpl-warranty": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
-    "agpl3-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "lgpl21-free": ["<name> is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3-free": ["<name> is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl3-free": ["<name> is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "gpl2-only": ["<name> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "<name> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License", "<name> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2, as published by the Free Software Foundation"],
+    "gpl3-only": ["<name> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License", "<name> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"],
+    "apache-title": ["Apache License Version 2.0, January 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Apache License Version 2.0, January 2004 https://www.apache.org/licenses/"],
+    "gpl3-title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "gpl2-title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "lgpl3-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "lgpl21-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "agpl3-title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "mpl-title": ["Mozilla Public License Version 2.0"],
+    "boost-title": ["Boost Software License - Version 1.0 - August 17th, 2003"],
     "epl-header": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
     "artistic-grant": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"],
     "postgres-grant": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"],
@@ -67,10 +77,15 @@ RULES = [
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")), ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty")), ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty")), ("BSD", ("released-bsd",)), ("BSD-3-Clause", ("released-bsd3",)), ("BSD", ("bsd-grant",)),
     ("Apache-2.0", ("apache-header", "apache-comply", "apache-copy", "apache-asis")), ("Apache-2.0", ("apache-header", "apache-comply")), ("Apache-2.0", ("apache-header",)), ("Apache-2.0", ("apache-short",)),
-    ("GPL-3.0", ("gpl-3-short",)), ("GPL-2.0", ("gpl-2-short",)), ("GPL-3.0-or-later", ("gpl-free", "gpl-warranty")), ("GPL-3.0-or-later", ("gpl-free",)), ("GPL-2.0-or-later", ("gpl2-free", "gpl-warranty")), ("GPL-2.0-or-later", ("gpl2-free",)),
-    ("LGPL-3.0", ("lgpl3-short",)), ("LGPL-2.1", ("lgpl21-short",)), ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-warranty")), ("LGPL-2.1-or-later", ("lgpl21-free",)), ("LGPL-3.0-or-later", ("lgpl3-free", "gpl-warranty")), ("LGPL-3.0-or-later", ("lgpl3-free",)), ("AGPL-3.0", ("agpl-short",)), ("AGPL-3.0-or-later", ("agpl3-free", "gpl-warranty")), ("AGPL-3.0-or-later", ("agpl3-free",)), ("EPL-2.0", ("epl-header",)), ("PostgreSQL", ("postgres-grant",)), ("0BSD", ("0bsd-grant",)), ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse")), ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert")), ("MPL-2.0", ("mpl-header", "mpl-copy")), ("MPL-2.0", ("mpl-header",)), ("Unlicense", ("unlicense",)), ("CC0-1.0", ("cc0",)), ("Zlib", ("zlib-warranty", "zlib-grant")), ("BSL-1.0", ("boost-header",)), ("WTFPL", ("wtfpl",)),
+    ("GPL-3.0", ("gpl3-title",)), ("GPL-2.0", ("gpl2-title",)), ("LGPL-3.0", ("lgpl3-title",)), ("LGPL-2.1", ("lgpl21-title",)), ("AGPL-3.0", ("agpl3-title",)), ("MPL-2.0", ("mpl-title",)), ("BSL-1.0", ("boost-title",)), ("Apache-2.0", ("apache-title",)), ("GPL-2.0", ("gpl2-only", "gpl-warranty")), ("GPL-2.0", ("gpl2-only",)), ("GPL-3.0", ("gpl3-only", "gpl-warranty")), ("GPL-3.0", ("gpl3-only",)), ("GPL-3.0", ("gpl-3-short",)), ("GPL-2.0", ("gpl-2-short",)), ("GPL-3.0-or-later", ("gpl-free", "gpl-warranty")), ("GPL-3.0-or-later", ("gpl-free",)), ("GPL-2.0-or-later", ("gpl2-free", "gpl-warranty")), ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("LGPL-3.0", ("lgpl3-short",)), ("LGPL-2.1", ("lgpl21-short",)), ("LGPL-2.1-or-later", ("lgpl21-free", "gpl-warranty")), ("LGPL-2.1-or-later", ("lgpl21-free",)), ("LGPL-3.0-or-later", ("lgpl3-free", "gpl-warranty")), ("LGPL-3.0-or-later", ("lgpl3-free",)), ("AGPL-3.0", ("agpl-short",)), ("AGPL-3.0-or-later", ("agpl3-free", "gpl-warranty")), ("AGPL-3.0-or-later", ("agpl3-free",)), ("EPL-2.0", ("epl-header",)), ("PostgreSQL", ("postgres-grant",)), ("0BSD", ("0bsd-grant",)), ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse")), ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert")), ("MPL-2.0", ("mpl-header", "mpl-copy")), ("MPL-2.0", ("mpl-header",)), ("Unlicense", ("unlicense",)), ("CC0-1.0", ("cc0",)), ("Zlib", ("zlib-warranty", "zlib-grant")), ("BSL-1.0", ("boost-header",)), ("WTFPL", ("wtfpl",)),
 ]
 GAP = 2
+# Licences that are told by a clause that is missing: no unknown sentence may stand inside the match or right after it.
+STRICT = {"BSD-2-Clause"}
+NAME_WORDS = 12
+# One of these is in every sentence with a name in it, normalised.
+NAMED_WORDS = ("to endorse or promote", "software is provided by", "is free software", "is distributed in the hope")
 # Every sentence that can be identified holds one of these or of _SPREAD, in lower case.
 TRIGGERS = ("licen", "warrant", "copyright", "permission", "permitted", "redistribut", "public domain", "liable", "rights reserved", "mozilla", "mpl", "endorse", "verbatim", "spdx", "gpl", "advertising", "creativecommons", "creative commons")
 # Names of licences, normalised and without "license" at the end, as a notice may name them.
@@ -100,28 +115,65 @@ def normalise(sentence: str) -> str:
     return _WORD.sub(" ", sentence.lower().replace("licence", "license")).strip()
 
 
+def _parts(sentence: str) -> list[str]:
+    return [normalise(p) for p in sentence.split("<name>")]
+
+
 @cache
 def known() -> dict[str, str]:
-    return {normalise(s): i for i, many in SENTENCES.items() for s in many}
+    return {normalise(s): i for i, many in SENTENCES.items() for s in many if "<name>" not in s}
+
+
+@cache
+def named() -> list[tuple[re.Pattern, str]]:
+    """Sentences with a name in them, as patterns of normalised text."""
+    some = rf"(?:[\w+]+ ){{0,{NAME_WORDS - 1}}}?[\w+]+"
+    with_name = [(" * ".join(_parts(s)).split(), i) for i, many in SENTENCES.items() for s in many if "<name>" in s]
+    return [(re.compile(" ".join((f"({some})" if not k else some) if w == "*" else re.escape(w) for k, w in enumerate(words)) + ("" if words[0] == "*" else "()")), i) for words, i in with_name]
 
 
 @cache
 def longest() -> int:
-    return max(map(len, known())) + 8
+    return max(len(normalise(s)) for many in SENTENCES.values() for s in many) + 8 * NAME_WORDS
 
 
 @cache
 def tree() -> dict:
-    """Known sentences word by word; the key "" marks the end of one."""
+    """Known sentences word by word; the key "" marks the end of one, "*" stands for a name."""
     root: dict = {}
-    for s in known():
+    for s in (s for many in SENTENCES.values() for s in many):
         node = root
-        for w in s.split():
+        for w in " * ".join(_parts(s)).split():
             node = node.setdefault(w, {})
         node[""] = {}
     return root
 
 
+class Walk:
+    """Where the words so far can be in the tree: names make several places possible, each with the words they have left."""
+
+    def __init__(self):
+        self.at: list[tuple[dict, int]] = [(tree(), 0)]
+
+    def step(self, word: str, new_line: bool) -> None:
+        first, out = tree().get("*"), []
+        for node, name in self.at:
+            if name:  # inside a name: it may go on (one at the start only on its line), or the word after it has come
+                if name > 1 and not (new_line and node is first):
+                    out.append((node, name - 1))
+                if (n := node.get(word)) is not None:
+                    out.append((n, 0))
+                continue
+            if (n := node.get(word)) is not None:
+                out.append((n, 0))
+            if (n := node.get("*")) is not None:
+                out.append((n, NAME_WORDS))
+        self.at = out
+
+    def ended(self) -> bool:
+        return any("" in node and not name for node, name in self.at)
+
+
 def ends(text: str, low: str) -> list[int]:
     """Where sentences end: at each stop, save those inside a known sentence, which begins and ends one of its own.
 
@@ -134,18 +186,18 @@ def ends(text: str, low: str) -> list[int]:
     for start, nxt in zip(edges, edges[1:], strict=False):
         if start < upto:
             continue
-        node, last, hit = tree(), 0, None
+        walk, last, hit = Walk(), 0, None
         for m in _TOKEN.finditer(low, start):
             if last == 0 and m.start() >= nxt:
                 break
-            if "" in node and edges[bisect_right(edges, last)] <= m.start():
+            if walk.ended() and edges[bisect_right(edges, last)] <= m.start():
                 hit = last
-            node = node.get(m[0].replace("licence", "license"))
-            if node is None:
+            walk.step(m[0].replace("licence", "license"), "\n" in low[last : m.start()] if last else False)
+            if not walk.at:
                 break
             last = m.end()
         else:
-            if node is not None and "" in node:
+            if walk.ended():
                 hit = last
         at = bisect_right(stops, start)
         if hit is None or at == len(stops) or stops[at] >= hit:
@@ -167,6 +219,10 @@ def identify(sentence: str) -> str | None:
     n = normalise(sentence)
     if i := known().get(n):
         return i
+    if len(n) <= longest() and any(w in n for w in NAMED_WORDS):
+        for pattern, i in named():
+            if (m := pattern.fullmatch(n)) and (not m[1] or len(m[1].split()) <= len(normalise(sentence.strip().split("\n", 1)[0]).split())):
+                return i  # a name at the start keeps to its line
     if m := _CC.fullmatch(n):
         parts = [_WORDS.get(w, w) for w in m[1].split()]
         return "cc:" + "-".join(["CC", *(p.upper() for p in parts), *([m[2].replace(" ", ".")] if m[2] else [])])
@@ -220,9 +276,18 @@ def rules_from(first: str) -> list[tuple[str, tuple[str, ...]]]:
     return sorted((r for r in RULES if r[1][0] == first), key=lambda r: -len(r[1]))
 
 
+def _interrupted(ids: list, unknown: list[int], k: int, at: int) -> bool:
+    """Whether an unknown sentence stands between the first and last of a match, or between it and the next known one
+    where the match doesn't end with the warranty."""
+    last = ids[at + 1][0] if at + 1 < len(ids) and ids[at][2] != "bsd-warranty" else ids[at][0] if ids[at][2] == "bsd-warranty" else float("inf")
+    first = bisect_left(unknown, ids[k][0])
+    return first < len(unknown) and unknown[first] < last
+
+
 def recognise(found: list[tuple[int, int, str | None]]) -> list[tuple[str, int, int]]:
     """Licences that ordered rules find in a text's identified sentences: (licence, start, end)."""
     ids = [(s, e, i) for s, e, i in found if i]
+    unknown = [s for s, _, i in found if not i]
     out, k = [], 0
     while k < len(ids):
         s, e, i = ids[k]
@@ -240,7 +305,7 @@ def recognise(found: list[tuple[int, int, str | None]]) -> list[tuple[str, int,
                         at = None
                         break
                     at = nxt
-                if at is not None:
+                if at is not None and not (name in STRICT and _interrupted(ids, unknown, k, at)):
                     best = name, at
                     break
         if best:
@@ -270,7 +335,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     licenses: distinct names in order; n_known and n_unknown count the sentences with licence words that have an
     identifier and that don't; spans are character ranges of each find. Whole texts are read; null and empty ones hold
-    nothing; other columns are ignored; a null doc_id keeps its row. No shuffle.
+    nothing; other columns are ignored; a null doc_id keeps its row, and repeated rows are each scanned. A task holds one
+    text at a time, however long. No shuffle.
     """
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, licenses array<string>, n_known long, n_unknown long, spans array<struct<license: string, start: long, end: long>>")

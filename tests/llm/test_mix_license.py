@@ -221,3 +221,78 @@ def test_many_sources_and_whole_rows(spark):
     drawn = mixing.draw_to_targets(docs).collect()
     assert len({r.source for r in got}) == 400 and {r.doc_id for r in drawn} == {r.doc_id for r in got if r.selected}
     assert all(tuple(r) == (*rows[r.doc_id], 1) for r in drawn)
+
+
+BSD_HEAD = """Copyright (c) 2009, {h}. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+"""
+BSD_NAMES = """   * Neither the name of {h} nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+"""
+BSD_OTHER = "   * Nobody may use our names to endorse anything made of it without our written permission.\n"
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY {h} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL {h} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL DAMAGES.
+"""
+
+
+@pytest.mark.parametrize("holder", ["Google Inc.", "the University of California", "the copyright holder", "THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "Foo Ltd. and Bar e. V."])
+def test_whole_bsd_texts_with_any_holder(holder):
+    from chronopath.llm.licenses import recognise, sentences
+
+    named = lambda *parts: [x[0] for x in recognise(list(sentences("Some words.\n\n" + "".join(parts).format(h=holder) + "\nMore words.")))]
+    assert named(BSD_HEAD, BSD_NAMES, BSD_END) == ["BSD-3-Clause"]
+    assert named(BSD_HEAD, BSD_END) == named(BSD_HEAD) == ["BSD-2-Clause"]
+    assert named(BSD_HEAD, BSD_OTHER, BSD_END) == named(BSD_HEAD, BSD_OTHER) == ["BSD"]  # a clause that isn't known: not the two-clause one
+
+
+@pytest.mark.parametrize(
+    "text, licence",
+    [
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS", "Apache-2.0"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", "GPL-3.0"),
+        ("Foo Bar is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n", "GPL-3.0-or-later"),
+        ("The Foo library, v1.2, is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "GPL-2.0"),
+        ("gnu libfoo is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+    ],
+)
+def test_heads_and_notices_with_names(text, licence):
+    from chronopath.llm.licenses import recognise, sentences
+
+    assert [x[0] for x in recognise(list(sentences(text)))] == [licence]
+
+
+def slow_identify(words):
+    """Known sentences by trying every way to give names their words."""
+    from chronopath.llm.licenses import NAME_WORDS, SENTENCES, _parts
+
+    def fits(want, have):
+        if not want:
+            return not have
+        if want[0] == "*":
+            return any(fits(want[1:], have[n:]) for n in range(1, min(NAME_WORDS, len(have)) + 1))
+        return bool(have) and want[0] == have[0] and fits(want[1:], have[1:])
+
+    return {i for i, many in SENTENCES.items() for s in many if fits(" * ".join(_parts(s)).split(), words)}
+
+
+def test_names_against_brute_force():
+    from chronopath.llm.licenses import SENTENCES, identify, normalise
+
+    for i, many in SENTENCES.items():
+        for s in many:
+            for name in ("Foo", "nor the names of", "a " * 12, "a " * 13, ""):
+                got = identify(s.replace("<name>", name))
+                want = slow_identify(normalise(s.replace("<name>", name)).split())
+                assert (got in want) if want else (got is None or ":" in got), (i, name, got, want)

@@ -246,4 +246,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, locate: bool = True) -> DataFra
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
-    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), locate=False)
+    """``offending``: byte ranges ``start-end`` of the sentences that the score comes from, with commas between."""
+    found = toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    ranges = F.array_join(F.transform("offending", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"), ranges.alias("offending"))

@@ -37,11 +37,18 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(_ROWS_KEY, rows)
 
 
-def materialize(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
+def few(rows: int, a_task: int, least: int = 8) -> int:
+    """Tasks for so many rows, whatever the session's number of shuffle partitions is."""
+    return max(least, rows // a_task + 1)
+
+
+def materialize(df: DataFrame, name: str = "t", tasks: int | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and reread it: cuts lineage and survives lost executors.
 
-    Arrow batches are small while it is written; the session's own setting comes back afterwards.
+    Arrow batches are small while it is written; the session's own setting comes back afterwards. ``tasks`` is an upper
+    bound of tasks and files: tables of few rows need no more.
     """
+    df = df.coalesce(tasks) if tasks else df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_ROWS_KEY)
@@ -112,10 +119,10 @@ class Bounded(dict):
             self.clear()
 
 
-def _is_star_forest(edges: DataFrame) -> bool:
+def _is_star_forest(edges: DataFrame, tasks: int) -> bool:
     """Whether every larger node has one edge and no smaller node is a larger one as well: nothing is left to join."""
     ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
-    return not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").limit(1).count()
+    return not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).coalesce(tasks).where("up > 1 or (up = 1 and down = 1)").limit(1).count()
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,16 +177,18 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
     cur = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     # Fewer tasks than the shuffle has join more each; they read in bounded chunks.
     cur = cur.coalesce(max(8, shuffle_parts(spark) // 8)).mapInArrow(_stars, "u long, v long").distinct()
-    cur, path = materialize(cur, "cc")
-    while not _is_star_forest(cur):
+    cur, path = materialize(cur, "cc", max(8, shuffle_parts(spark) // 8))
+    # The rounds make many small stages: their tasks follow the number of edges, which never grows.
+    tasks = few(cur.count(), 100_000)
+    while not _is_star_forest(cur, tasks):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(tasks)
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
         # Small star over the rows (u larger, v smaller): all smaller neighbours and u itself move to the smallest.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = moved.union(low.select("u", F.col("m").alias("v"))).distinct()
-        nxt, new_path = materialize(nxt, "cc")
+        nxt, new_path = materialize(nxt, "cc", tasks)
         drop_path(spark, path)
         cur, path = nxt, new_path
     both = cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

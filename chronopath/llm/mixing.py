@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from chronopath.llm.common import chunks, drop_path, materialize, small_batches, texts
+from chronopath.llm.common import chunks, drop_path, few, materialize, small_batches, texts
 from chronopath.llm.ngram_join import _K, mix, word_hashes
 from chronopath.llm.toxicity import _GAP
 
@@ -80,7 +80,7 @@ def _gather(held: DataFrame, part: Callable[[pa.RecordBatch], Iterable[tuple[str
         return task
 
     kind = "lang string, k int, n long, v binary"
-    rows = held.mapInArrow(run(part), kind).repartition("lang", "k").mapInArrow(run(lambda b: zip(*(c.to_pylist() for c in b.columns), strict=True)), kind)
+    rows = held.mapInArrow(run(part), kind).repartition("lang", "k").coalesce(held.rdd.getNumPartitions()).mapInArrow(run(lambda b: zip(*(c.to_pylist() for c in b.columns), strict=True)), kind)
     out: dict[tuple[str, int], tuple[int, bytes]] = {}
     for r in rows.collect():
         new = r.n, bytes(r.v)
@@ -110,6 +110,7 @@ def fit_topics(held: DataFrame, topics: int = TOPICS) -> dict[str, np.ndarray]:
     could not be raked beside it.
     """
     centres: dict[str, np.ndarray] = {}
+    held = held.coalesce(few(held.count(), 2_000))  # dozens of passes over a table that is small beside the texts
 
     def first(b: pa.RecordBatch) -> Iterator[tuple[str, int, int, bytes]]:
         ids = b.column("doc_id").to_pylist()

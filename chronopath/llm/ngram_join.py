@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopath.llm.common import Bounded, chunks, components, drop_path, forget_shuffles, materialize, pack, shuffle_parts, texts
+from chronopath.llm.common import Bounded, chunks, components, drop_path, few, forget_shuffles, materialize, pack, shuffle_parts, texts
 
 BAND_RATIO, EXPECTED_ROWS, SMALL_GROUP, GROUP_BLOCK = 1.4, 1e6, 8, 4096
 #: Bytes of a bucket of signatures and of a block's sets; a member's likely pairs in the first round.
@@ -537,7 +537,9 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     del packed
     one, two = (nodes.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("mark").alias("m" + k)) for k in "ab")
     pairs = met.where("kind = 0").select("a", "b").distinct()
-    likely, likely_path = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_may_link(num, den), "a long, b long").distinct(), "ngram-likely")
+    t = few(met.count(), 10_000)
+    likely, likely_path = materialize(pairs.join(one, "a").coalesce(t).join(two, "b").coalesce(t).select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_may_link(num, den), "a long, b long").distinct(), "ngram-likely", t)
+    t = few(likely.count(), 2_000)  # tasks of what follows, which compares pairs
     large = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"))
     del pairs
     forget_shuffles(spark)
@@ -549,24 +551,24 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     sets, sets_path = materialize(sets, "ngram-sets")
     forget_shuffles(spark)
 
-    def verified(pairs: DataFrame) -> tuple[DataFrame, str]:
+    def verified(pairs: DataFrame, t: int) -> tuple[DataFrame, str]:
         one, two = (sets.select(F.col("node").alias(k), F.col("rep").alias("r" + k), F.col("hashes").alias("h" + k)) for k in "ab")
-        return materialize(pairs.join(one, "a").join(two, "b").select("ra", "rb", "ha", "hb").mapInArrow(_exact(num, den), "a long, b long").distinct(), "ngram-links")  # few rows, so few files
+        return materialize(pairs.join(one, "a").coalesce(t).join(two, "b").coalesce(t).select("ra", "rb", "ha", "hb").mapInArrow(_exact(num, den), "a long, b long").distinct(), "ngram-links", t)
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs of nodes that are in different classes as yet."""
         reps = nodes.where("rep is not null").select("node", "rep")
         for k in "ab":
-            pairs = classes.of(pairs.join(reps.withColumnsRenamed({"node": k, "rep": "r" + k}), k), "r" + k, "c" + k)
+            pairs = classes.of(pairs.join(reps.withColumnsRenamed({"node": k, "rep": "r" + k}), k).coalesce(t), "r" + k, "c" + k).coalesce(t)
         return pairs.where("ca <> cb").select("a", "b").distinct()
 
     classes = _Classes(spark)
-    classes.add(*verified(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
-    rest, rest_path = materialize(apart(likely), "ngram-rest")
+    classes.add(*verified(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), t))
+    rest, rest_path = materialize(apart(likely), "ngram-rest", t)
     drop_path(spark, likely_path)
     forget_shuffles(spark)
     if rest.limit(1).count():
-        classes.add(*verified(rest))
+        classes.add(*verified(rest, t))
     drop_path(spark, rest_path)
     forget_shuffles(spark)
 
@@ -582,22 +584,23 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
         # Groups that hold several classes, by their largest class: those about one class hold nearly the same members,
         # which meet once for all of them. Narrow parities end all meetings by chance.
         facts_of = nodes.where("rep is not null").select("node", "rep", F.col("n").cast("int").alias("size"))
-        placed = classes.of(large.join(facts_of, "node"), "rep", "comp")
+        t = few(large.count(), 20_000)
+        placed = classes.of(large.join(facts_of, "node").coalesce(t), "rep", "comp").coalesce(t)
         held = placed.groupBy("sig", "comp").agg(F.count("*").alias("n"))
         several = held.groupBy("sig").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("m.comp").alias("top"))
-        about, about_path = materialize(placed.join(several, "sig").select("top", "node", "rep", "size", "comp").distinct(), "ngram-about")
+        about, about_path = materialize(placed.join(several, "sig").select("top", "node", "rep", "size", "comp").coalesce(t).distinct(), "ngram-about", t)
         forget_shuffles(spark)
         narrow = dealt(about.join(nodes.select("node", "rep", "mark"), ["node", "rep"]))
-        alive, alive_path = materialize(narrow.mapInArrow(_alive(num, den), "top long, node long").distinct().join(facts_of, "node"), "ngram-alive")
+        alive, alive_path = materialize(narrow.mapInArrow(_alive(num, den), "top long, node long").distinct().coalesce(t).join(facts_of, "node"), "ngram-alive", t)
         drop_path(spark, about_path, met_path)
         forget_shuffles(spark)
         members, members_path = materialize(alive.select("node").distinct().join(sets, "node").mapInArrow(_sharp(num, den), "node long, rep long, size int, sharp binary").repartition("node"), "ngram-members")
 
         def apart_still() -> DataFrame:
             """Members (top, node, rep, size, comp) about a class that are not all of one class yet."""
-            now = classes.of(alive, "rep", "comp")
-            mixed = now.groupBy("top").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("top")
-            return now.join(mixed, "top")
+            now = classes.of(alive, "rep", "comp").coalesce(t)
+            mixed = now.groupBy("top").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("top").coalesce(t)
+            return now.join(mixed, "top").coalesce(t)
 
         # Every member goes once to one of these, and there into one block of bounded size.
         now = apart_still()
@@ -605,15 +608,15 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
         chosen = now.join(sizes, "top").groupBy("node", "rep", "comp").agg(F.max(F.struct("g", "top", "all")).alias("m"))
         chosen = chosen.select("node", "rep", "comp", "m.top", F.expr(f"cast(pmod(xxhash64(node), ceil(m.all * 8 / {BLOCK_BYTES})) as int)").alias("blk"))
         own = chosen.join(sets.select("node", "rep", "hashes"), ["node", "rep"]).select("top", "blk", "rep", "comp", "hashes").repartition("top", "blk").sortWithinPartitions("top", "blk")
-        classes.add(*materialize(own.mapInArrow(_tied(num, den), "a long, b long").distinct(), "ngram-links"))
+        classes.add(*materialize(own.mapInArrow(_tied(num, den), "a long, b long").distinct(), "ngram-links", t))
         most, again = LIKELY, True
         while again:
             wide = dealt(apart_still().join(members.select("node", "rep", "sharp"), ["node", "rep"]))
-            found, found_path = materialize(wide.mapInArrow(_cross(num, den, most), "a long, b long").distinct(), "ngram-found")
+            found, found_path = materialize(wide.mapInArrow(_cross(num, den, most), "a long, b long").distinct(), "ngram-found", t)
             forget_shuffles(spark)
             some = found.where("a is not null")
             if some.limit(1).count():
-                classes.add(*verified(some))
+                classes.add(*verified(some, few(found.count(), 2_000)))
             again = found.where("a is null").limit(1).count() > 0
             drop_path(spark, found_path)
             most *= 8

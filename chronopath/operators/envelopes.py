@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 from chronopath.functions.profiles import within_budget
 from chronopath.functions.temporal import abs_linear_integral, canonical
 
+#: Decimals at which travel times are the same: fewer than those of the cells' ends, so that these don't part equal lines.
+SAME = 7
+
 
 def pieces(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """Pieces of candidate profiles that keep travel time within the budget."""
@@ -102,7 +105,7 @@ def undominated(covered: DataFrame) -> DataFrame:
     Paths with different arrivals never dominate each other, however early they are. For whole paths only; those still
     to be extended go by ``open_undominated``.
     """
-    w = Window.partitionBy("query_id", "lo", "hi", F.round("travel_lo", 9), F.round("travel_hi", 9)).orderBy(F.col("score").desc(), "n_edges", "path")
+    w = Window.partitionBy("query_id", "lo", "hi", F.round("travel_lo", SAME), F.round("travel_hi", SAME)).orderBy(F.col("score").desc(), "n_edges", "path")
     return covered.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
@@ -115,7 +118,7 @@ def open_undominated(covered: DataFrame, nodes: DataFrame) -> DataFrame:
     once.
     """
     key = ["query_id", "lo", "hi", "_a", "_z"]
-    one = covered.withColumn("_a", F.round("travel_lo", 9)).withColumn("_z", F.round("travel_hi", 9)).join(nodes, ["query_id", "path"])
+    one = covered.withColumn("_a", F.round("travel_lo", SAME)).withColumn("_z", F.round("travel_hi", SAME)).join(nodes, ["query_id", "path"])
     other = one.select(*key, F.col("path").alias("o_path"), F.col("score").alias("o_score"), F.col("n_edges").alias("o_edges"), F.col("nodes").alias("o_nodes"))
     better = (F.col("o_score") > F.col("score")) | ((F.col("o_score") == F.col("score")) & (F.struct("o_edges", "o_path") < F.struct("n_edges", "path")))
     beaten = one.join(other, key).where((F.col("path") != F.col("o_path")) & better & (F.size(F.array_except("o_nodes", "nodes")) == 0)).select("query_id", "lo", "hi", "path").distinct()

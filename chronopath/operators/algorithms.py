@@ -1,6 +1,6 @@
 """Ways to answer profile queries, by name: each takes a graph, queries and options and gives segments.
 
-All share the corridor and the exact profiles; they differ in which candidates they admit and how they assign them.
+They differ in which candidates they admit and how they find and assign them.
 """
 
 from __future__ import annotations
@@ -14,21 +14,30 @@ from pyspark.sql.window import Window
 
 from chronopath.functions import temporal as T
 from chronopath.operators import envelopes as E
+from chronopath.operators import frontier as FR
+from chronopath.operators import interval_labels as L
 from chronopath.operators import paths as P
+from chronopath.plans.materialize import checkpoint
 from chronopath.plans.temporal_graph import Graph
 
 
 @dataclass(frozen=True)
 class Options:
-    """step: minutes of a departure grid; k: paths kept; max_paths: cap of the anytime search; pivots: score arcs kept."""
+    """step: minutes of a departure grid; k: paths kept; pivots: score arcs kept; theta, connectors, width, kept: caps of
+    the layered search (``frontier.Bounded``); width and rounds: open paths of a query that a round of the anytime search
+    extends, and its rounds."""
 
     step: int = 10
     k: int = 3
-    max_paths: int = 1000
     pivots: int = 4
+    theta: int = 2
+    connectors: int = 8
+    width: int = 256
+    kept: int = 8
+    rounds: int = 100
 
     def __post_init__(self):
-        if min(self.step, self.k, self.max_paths, self.pivots) < 1:
+        if self.theta < 0 or min(self.step, self.k, self.pivots, self.connectors, self.width, self.kept, self.rounds) < 1:
             raise ValueError("options must be positive")
 
 
@@ -70,8 +79,20 @@ def exhaustive(g: Graph, queries: DataFrame, o: Options) -> DataFrame:
 
 
 def all_fastest(g: Graph, queries: DataFrame, o: Options) -> DataFrame:
-    """The exact fastest envelope; scores don't count."""
-    return E.envelope(P.profiles(g.edges, queries), queries, fastest=True)
+    """The exact fastest envelope from interval labels; scores don't count, and budgets don't either."""
+    return L.all_fastest(g.edges, queries)[0]
+
+
+def layered(g: Graph, queries: DataFrame, o: Options) -> DataFrame:
+    """The envelope over the paths that the layered search finds within its caps."""
+    bounds = checkpoint(P.both_bounds(g.edges, queries))
+    caps = FR.Bounded(o.theta, o.pivots, o.connectors, o.width, o.kept)
+    return E.envelope(FR.layered(g.edges, queries, pivots(g, queries, P.corridor(g.edges, queries, bounds), o.pivots), bounds, caps).candidates, queries)
+
+
+def exact_labels(g: Graph, queries: DataFrame, o: Options) -> DataFrame:
+    """The exact envelope by labels that are dropped where another beats them for good."""
+    return E.envelope(FR.labels_exact(g.edges, queries, checkpoint(P.both_bounds(g.edges, queries))), queries)
 
 
 def first_paths(g: Graph, queries: DataFrame, o: Options) -> DataFrame:
@@ -80,8 +101,9 @@ def first_paths(g: Graph, queries: DataFrame, o: Options) -> DataFrame:
 
 
 def anytime(g: Graph, queries: DataFrame, o: Options) -> DataFrame:
-    """The envelope over at most ``max_paths`` paths a query: a cap on paths, not on time, so that answers repeat."""
-    return E.envelope(cheapest(P.profiles(g.edges, queries), o.max_paths), queries)
+    """What a best-first search has found after ``rounds``: a cap on work, not on time, so that answers repeat."""
+    *_, committed = FR.anytime(g.edges, queries, checkpoint(P.both_bounds(g.edges, queries)), o.width, o.rounds)
+    return E.envelope(committed, queries)
 
 
 def through_pivots(g: Graph, queries: DataFrame, o: Options) -> DataFrame:
@@ -110,7 +132,7 @@ def interval_best(g: Graph, queries: DataFrame, o: Options) -> DataFrame:
     return m.select("query_id", t.alias("s"), t.alias("e"), F.lit(True).alias("s_inc"), F.lit(True).alias("e_inc"), "m.path")
 
 
-REGISTRY: dict[str, Callable[[Graph, DataFrame, Options], DataFrame]] = {f.__name__: f for f in (exhaustive, all_fastest, first_paths, anytime, through_pivots, sampled, interval_best)}
+REGISTRY: dict[str, Callable[[Graph, DataFrame, Options], DataFrame]] = {f.__name__: f for f in (exhaustive, all_fastest, layered, exact_labels, first_paths, anytime, through_pivots, sampled, interval_best)}
 
 
 def answer(name: str, g: Graph, queries: DataFrame, options: Options | None = None) -> DataFrame:

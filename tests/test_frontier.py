@@ -161,3 +161,49 @@ def test_stream_keeps_a_frontier(spark, tmp_path):
     got = I.frontier(spark, str(tmp_path / "out"), 1)
     want = I.insert(parts.limit(0), parts, budgets, 1000)
     assert flat(got.where("s < e")) == flat(want.where("s < e")) and got.count()
+
+
+def test_every_algorithm_answers_the_demo(spark):
+    from chronopath.plans.temporal_graph import demo
+
+    g = demo(spark)
+    got = {name: [(r.s, r.e, r.path) for r in A.answer(name, g, g.queries, A.Options(pivots=2)).collect()] for name in ("layered", "exact_labels", "anytime", "all_fastest")}
+    assert got["all_fastest"] == [(420.0, 430.0, [0, 1])]
+    assert all(v == [(420.0, 430.0, [0, 1])] for v in got.values())
+    with pytest.raises(ValueError):
+        A.Options(width=0)
+
+
+def test_budgets_of_fastest_profiles(spark):
+    from chronopath.operators import budgets as B
+
+    arcs, edges, queries, bounds, exact, _ = setup(spark, 0)
+    got = {r.query_id: (r.least, r.most) for r in B.fastest_range(edges, queries).collect()}
+    found = all_paths(arcs, 1, 4)
+    times = [float(min(walk(arcs, p, t / 8)[0] for p in found)) - t / 8 for t in range(65)]
+    assert got[0][0] <= min(times) + 1e-9 and got[0][1] >= max(times) - 1e-9 and got[0][1] - max(times) < 0.5
+    assert got[1] == (0.0, 0.0) and got[3] == (None, None)  # where it starts; nowhere to be reached
+    v = {(r.query_id, r.variant): r for r in B.variants(spark.createDataFrame([(0, 10.0, 20.0), (1, 10.0, 10.5), (2, 7.0, 7.0), (3, None, None)], "query_id int, least double, most double"), 0.25, 0.1).collect()}
+    assert {k: (r.budget, r.full, r.mixed) for k, r in v.items()} == {
+        (0, "MAIN"): (25.0, True, False), (0, "TIGHT"): (11.0, False, True), (1, "MAIN"): (13.125, True, False), (1, "TIGHT"): (10.125, False, True), (2, "MAIN"): (8.75, True, False), (2, "TIGHT"): (7.7, True, False),
+    }
+
+
+def test_gates_name_what_is_wrong(spark):
+    from chronopath.operators import validate as V
+
+    good = [(0.0, 3.0), (10.0, 3.0), (30.0, 2.0)]
+    static = [(0, 1, 2, 3.0), (1, 2, 3, 3.0), (2, 3, 4, 3.0)]
+    scores = [(0, [(0.0, 5.0, 1), (5.0, 30.0, 0)])]
+    arcs = lambda rows: spark.createDataFrame(rows, "arc_id int, u int, v int, base double")
+    functions = lambda rows: spark.createDataFrame(rows, "arc_id int, u int, v int, base double, knots array<struct<t: double, v: double>>")
+    pieces = lambda rows: spark.createDataFrame(rows, "arc_id int, pieces array<struct<t0: double, t1: double, score: bigint>>")
+    bad = lambda s, f, p: {r.gate: r.first_bad for r in V.payload(arcs(s), functions(f), pieces(p), 30.0, 5).collect() if r.failed}
+    fine = [(*a, good) for a in static]
+    assert bad(static, fine, scores) == {}
+    f = [fine[0], (1, 2, 9, 4.0, [(0.0, 9.0), (2.0, 3.0), (2.0, -1.0)]), (5, 1, 1, 1.0, None)]
+    assert bad(static, f, [(0, [(0.0, 4.0, 9), (5.0, 31.0, -1)])]) == {"arc_ids": 5, "functions": 2, "endpoints": 1, "base_times": 1, "two_knots": 2, "minutes_rise": 1, "travel_positive": 1, "fifo": 1, "support": 1, "score_contiguous": 0, "score_range": 0, "score_support": 0}
+    gates = V.payload(arcs(static), functions(f), pieces(scores), 30.0, 5)
+    with pytest.raises(ValueError, match="arc_ids: 1 of 4"):
+        V.require(gates)
+    assert {(r.gate, r.checked) for r in V.payload(arcs([]), functions([]), pieces([]), 30.0, 5).collect()} == {(g, 0) for g in V.GATES}

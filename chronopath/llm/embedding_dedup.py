@@ -252,7 +252,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     that links with nothing (component_id null). Vector ids are taken to be unique; rows that share one and differ in
     vector or label are vectors of their own with the same number, and linked with each other by it.
     """
-    spark = vectors.sparkSession
+    spark, kind = vectors.sparkSession, dict(vectors.dtypes)["label"]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"labels must be whole numbers, not {kind}")
     e = F.col("embedding")
     ok = "vec_id is not null and label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
     src = vectors.select("vec_id", F.col("label").cast("long").alias("label"), e.cast("array<double>").alias("embedding"))

@@ -20,6 +20,8 @@ from chronopath.llm.ngram_join import _K, mix, word_hashes
 from chronopath.llm.toxicity import _GAP
 
 TOPICS, DIMS, ROUNDS, MAX_CELLS = 8, 512, 20, 1_000_000
+#: Languages whose topics are fitted; TOPICS centres of 4 kB each are held at the driver and sent to every task.
+MAX_LANGS = 2_000
 #: Fixed-point units of a profile's and a centre's numbers: their products sum up exactly in a double, in any order.
 UNIT, CENTRE_UNIT = 65535, 32767
 #: Partial results that a worker holds before it hands them on.
@@ -110,6 +112,8 @@ def fit_topics(held: DataFrame, topics: int = TOPICS) -> dict[str, np.ndarray]:
     could not be raked beside it.
     """
     centres: dict[str, np.ndarray] = {}
+    if (langs := held.select("lang").distinct().limit(MAX_LANGS + 1).count()) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages ({langs} seen): map rare ones to one name first")
     held = held.coalesce(few(held.count(), 2_000))  # dozens of passes over a table that is small beside the texts
 
     def first(b: pa.RecordBatch) -> Iterator[tuple[str, int, int, bytes]]:

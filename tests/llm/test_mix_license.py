@@ -296,3 +296,12 @@ def test_names_against_brute_force():
                 got = identify(s.replace("<name>", name))
                 want = slow_identify(normalise(s.replace("<name>", name)).split())
                 assert (got in want) if want else (got is None or ":" in got), (i, name, got, want)
+
+
+def test_too_many_languages_are_refused_before_topics_are_fitted(spark, monkeypatch):
+    from chronopath.llm import mixing
+
+    monkeypatch.setattr(mixing, "MAX_LANGS", 3)
+    held = spark.createDataFrame([(i, f"l{i}", b"\0" * (2 * mixing.DIMS)) for i in range(4)], "doc_id long, lang string, x binary")
+    with pytest.raises(ValueError, match="languages"):
+        mixing.fit_topics(held)

@@ -184,3 +184,10 @@ def test_real_tables(spark):
     got = ngram_join.op8_ngram_jaccard_join(spark, "/root/testdata/sf0.001").toPandas()
     assert dict(zip(got.doc_id, got.component_id, strict=True)) == smallest([r[0] for r in rows], links)
     pd.testing.assert_index_equal(pd.Index(sorted(got.doc_id)), pd.Index(sorted(r[0] for r in rows)))
+
+
+def test_labels_that_are_no_numbers_are_refused(spark):
+    from chronopath.llm.embedding_dedup import near_duplicates
+
+    with pytest.raises(ValueError, match="whole numbers"):
+        near_duplicates(spark.createDataFrame([(1, [1.0], "a")], "vec_id long, embedding array<double>, label string"))

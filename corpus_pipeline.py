@@ -34,9 +34,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumns(keys)
     order = [F.col("_i").asc_nulls_last(), "_a", "_b", "_n"]
     ids = keyed.select(*keys).distinct().repartitionByRange(shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
-    ids, _ = materialize(ids.withColumn("_row", F.monotonically_increasing_id()).withColumnsRenamed({k: "r" + k for k in keys}), "pipeline-rows")
+    ids, ids_path = materialize(ids.withColumn("_row", F.monotonically_increasing_id()).withColumnsRenamed({k: "r" + k for k in keys}), "pipeline-rows")
     same = F.col("_i").eqNullSafe(F.col("r_i")) & (F.col("_a") == F.col("r_a")) & (F.col("_b") == F.col("r_b")) & (F.col("_n") == F.col("r_n"))
-    return materialize(keyed.join(ids, same).select(*docs.columns, "_row").dropDuplicates(["_row"]), "pipeline-numbered")[0]
+    out, _ = materialize(keyed.join(ids, same).select(*docs.columns, "_row").dropDuplicates(["_row"]), "pipeline-numbered")
+    drop_path(docs.sparkSession, ids_path)
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

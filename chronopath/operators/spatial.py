@@ -51,3 +51,109 @@ def match(edges: DataFrame, lines: DataFrame, radius: float, max_angle: float) -
     """Edges ``(edge, ax, ay, …)`` with lines ``(line, bx, by, angle)`` near them, scored by distance and direction."""
     j = within(edges, lines, radius).withColumn("turn", angle_between(F.col("edge_angle"), F.col("line_angle"))).where(F.col("turn") <= max_angle)
     return j.withColumn("match_score", F.round(0.7 * (1 - F.col("distance") / radius) + 0.3 * (1 - F.col("turn") / max_angle), 6))
+
+
+def segments(lines: DataFrame, line_id: str, p: str, longest: float | None = None) -> DataFrame:
+    """Segments ``(<line_id>, <p>x0, <p>y0, <p>x1, <p>y1, <p>off, <p>len)`` of ``lines(<line_id>, points array<struct<x, y>>)``.
+
+    off is where the segment begins along the line; those longer than ``longest`` are cut into equal parts; steps of no
+    length are left out.
+    """
+    steps = F.zip_with(F.slice("points", F.lit(1), F.greatest(F.size("points") - 1, F.lit(0))), F.slice("points", F.lit(2), F.greatest(F.size("points") - 1, F.lit(0))), lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1"), F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2)).alias("len")))
+    s = lines.select(line_id, F.posexplode(steps).alias("i", "s")).select(line_id, "i", "s.*")
+    off = F.coalesce(F.sum("len").over(Window.partitionBy(line_id).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    s = s.withColumn("off", off).where("len > 0")
+    parts = F.greatest(F.ceil(F.col("len") / longest), F.lit(1)).cast("int") if longest else F.lit(1)
+    s = s.withColumn("n", parts).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / F.col("n")
+    return s.select(line_id, at("x0", "x1", F.col("k")).alias(p + "x0"), at("y0", "y1", F.col("k")).alias(p + "y0"), at("x0", "x1", F.col("k") + 1).alias(p + "x1"), at("y0", "y1", F.col("k") + 1).alias(p + "y1"), (F.col("off") + F.col("len") * F.col("k") / F.col("n")).alias(p + "off"), (F.col("len") / F.col("n")).alias(p + "len"))
+
+
+def segment_distance(a: list[Column], b: list[Column]) -> Column:
+    """Distance of two segments ``[x0, y0, x1, y1]``: 0 where they cross, else that of an end from the other one."""
+    side = lambda s, x, y: (s[2] - s[0]) * (y - s[1]) - (s[3] - s[1]) * (x - s[0])
+    cross = (side(a, b[0], b[1]) * side(a, b[2], b[3]) < 0) & (side(b, a[0], a[1]) * side(b, a[2], a[3]) < 0)
+    ends = [point_to_segment(s[i], s[i + 1], *t) for s, t in ((a, b), (b, a)) for i in (0, 2)]
+    return F.when(cross, 0.0).otherwise(F.least(*ends))
+
+
+def near_part(p: list[Column], s: list[Column], r: float) -> Column:
+    """``struct<lo, hi>``: the stretch of segment p, as parts of its length, that is at most r from segment s; null if none.
+
+    What is near a segment is convex, so there is one stretch: of the strip beside it and the discs about its ends.
+    """
+    dx, dy = p[2] - p[0], p[3] - p[1]
+    sx, sy = s[2] - s[0], s[3] - s[1]
+    size = F.sqrt(sx * sx + sy * sy)
+
+    def disc(cx: Column, cy: Column) -> tuple[Column, Column]:
+        a, b, c = dx * dx + dy * dy, (p[0] - cx) * dx + (p[1] - cy) * dy, (p[0] - cx) * (p[0] - cx) + (p[1] - cy) * (p[1] - cy) - r * r
+        root = F.when(b * b - a * c >= 0, F.sqrt(F.greatest(b * b - a * c, F.lit(0.0))))
+        return (-b - root) / a, (-b + root) / a
+
+    def band(c0: Column, c1: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+        one, two = F.try_divide(lo - c0, c1), F.try_divide(hi - c0, c1)
+        flat = (c0 >= lo) & (c0 <= hi)
+        return F.when(c1 == 0, F.when(flat, 0.0)).otherwise(F.least(one, two)), F.when(c1 == 0, F.when(flat, 1.0)).otherwise(F.greatest(one, two))
+
+    along = band((p[0] - s[0]) * sx / size + (p[1] - s[1]) * sy / size, (dx * sx + dy * sy) / size, F.lit(0.0), size)
+    aside = band(((p[0] - s[0]) * sy - (p[1] - s[1]) * sx) / size, (dx * sy - dy * sx) / size, F.lit(-float(r)), F.lit(float(r)))
+    ok = along[0].isNotNull() & aside[0].isNotNull()
+    strip = F.when(ok, F.greatest(along[0], aside[0])), F.when(ok, F.least(along[1], aside[1]))
+    cut = [(F.greatest(lo, F.lit(0.0)), F.least(hi, F.lit(1.0)), lo.isNotNull() & hi.isNotNull()) for lo, hi in (strip, disc(s[0], s[1]), disc(s[2], s[3]))]
+    lo, hi = F.least(*[F.when(ok & (a <= b), a) for a, b, ok in cut]), F.greatest(*[F.when(ok & (a <= b), b) for a, b, ok in cut])
+    return F.when(lo.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
+
+
+def _box(s: DataFrame, p: str, width: float, more: int) -> DataFrame:
+    """Each segment in the cells that its bounding box, widened by ``more`` cells, touches."""
+    lo, hi = (lambda a, b: _cell(F.least(a, b), width) - more), (lambda a, b: _cell(F.greatest(a, b), width) + more)
+    x, y = (F.explode(F.sequence(lo(p + c + "0", p + c + "1"), hi(p + c + "0", p + c + "1"))) for c in "xy")
+    return s.withColumn("_cx", x).withColumn("_cy", y)
+
+
+def line_pairs(edges: DataFrame, shapes: DataFrame, radius: float) -> DataFrame:
+    """``(arc_id, shape, distance, overlap)`` of edges and shapes at most ``radius`` apart: least distance, and the part
+    of the edge's length that lies within the radius of the shape.
+
+    ``edges(arc_id, points)``, ``shapes(shape, points)``. Segments are cut to the radius and meet in grid cells, so long
+    lines meet only where they are near each other.
+    """
+    a, b = segments(edges, "arc_id", "p", radius), segments(shapes, "shape", "s", radius)
+    total = a.groupBy("arc_id").agg(F.sum("plen").alias("length"))
+    met = _box(a, "p", radius, 0).join(_box(b, "s", radius, 1), ["_cx", "_cy"]).drop("_cx", "_cy").distinct()
+    p, s = ([F.col(x + c) for c in ("x0", "y0", "x1", "y1")] for x in "ps")
+    met = met.withColumn("distance", segment_distance(p, s)).where(F.col("distance") <= radius).withColumn("near", near_part(p, s, radius))
+    stretch = F.when(F.col("near").isNotNull(), F.struct((F.col("poff") + F.col("near.lo") * F.col("plen")).alias("lo"), (F.col("poff") + F.col("near.hi") * F.col("plen")).alias("hi")))
+    both = met.groupBy("arc_id", "shape").agg(F.min("distance").alias("distance"), F.array_sort(F.collect_list(stretch)).alias("near"))
+    zero = F.struct(F.lit(float("-inf")).alias("end"), F.lit(0.0).alias("sum"))
+    covered = F.aggregate("near", zero, lambda z, x: F.struct(F.greatest(z["end"], x["hi"]).alias("end"), (z["sum"] + F.greatest(x["hi"] - F.greatest(z["end"], x["lo"]), F.lit(0.0))).alias("sum")))["sum"]
+    return both.join(total, "arc_id").select("arc_id", "shape", "distance", F.least(F.lit(1.0), covered / F.col("length")).alias("overlap"))
+
+
+def _turn(a: Column, b: Column) -> Column:
+    """Degrees between the directions from first to last point of two lines."""
+    way = lambda q: bearing(F.get(q, F.lit(0))["x"], F.get(q, F.lit(0))["y"], F.element_at(q, -1)["x"], F.element_at(q, -1)["y"])
+    return angle_between(way(a), way(b))
+
+
+def ordered_arcs(edges: DataFrame, shapes: DataFrame, radius: float, overlap: float, max_angle: float) -> DataFrame:
+    """Arcs along each shape: ``(shape, arc_id, arc_order, distance, overlap, turn, position)``.
+
+    Kept are arcs at most ``radius`` from the shape, of which at least the part ``overlap`` lies that near, and whose
+    direction differs by at most ``max_angle`` degrees. position is where the shape is nearest to the arc's midpoint;
+    arc_order counts from 0 by position, then arc. Lines of fewer than two different points match nothing.
+    """
+    near = line_pairs(edges, shapes, radius).where(F.col("overlap") >= overlap)
+    both = near.join(edges.select("arc_id", F.col("points").alias("_e")), "arc_id").join(shapes.select("shape", F.col("points").alias("_s")), "shape").withColumn("turn", _turn(F.col("_e"), F.col("_s"))).where(F.col("turn") <= max_angle).drop("_e", "_s")
+    own = segments(edges, "arc_id", "p")
+    half = own.join(own.groupBy("arc_id").agg((F.sum("plen") / 2).alias("_h")), "arc_id").where("poff <= _h and _h <= poff + plen")
+    t = (F.col("_h") - F.col("poff")) / F.col("plen")
+    middle = half.groupBy("arc_id").agg(F.min_by(F.struct((F.col("px0") + t * (F.col("px1") - F.col("px0"))).alias("x"), (F.col("py0") + t * (F.col("py1") - F.col("py0"))).alias("y")), "poff").alias("m"))
+    s = segments(shapes, "shape", "s")
+    dx, dy = F.col("sx1") - F.col("sx0"), F.col("sy1") - F.col("sy0")
+    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("m.x") - F.col("sx0")) * dx + (F.col("m.y") - F.col("sy0")) * dy) / (dx * dx + dy * dy)))
+    at = both.join(middle, "arc_id").join(s, "shape").withColumn("_d", F.round(point_to_segment(F.col("m.x"), F.col("m.y"), F.col("sx0"), F.col("sy0"), F.col("sx1"), F.col("sy1")), 9)).withColumn("_p", F.col("soff") + along * F.col("slen"))
+    found = at.groupBy("shape", "arc_id", "distance", "overlap", "turn").agg(F.min(F.struct("_d", "_p"))["_p"].alias("position"))
+    w = Window.partitionBy("shape").orderBy(F.round("position", 6), "arc_id")
+    return found.withColumn("arc_order", F.row_number().over(w).cast("long") - 1)

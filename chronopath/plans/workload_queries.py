@@ -35,6 +35,17 @@ def d10_match(spark, sf):
     return S.match(a, b, 150.0, 45.0).select("s_suppkey", "c_custkey", "match_score")
 
 
+def d11_ordered_arcs(spark, sf):
+    """Suppliers as bent edges along the lines that every twenty customers make."""
+    a, b = _points(spark, sf)
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ax, ay, k = F.col("ax"), F.col("ay"), F.col("s_suppkey") % 7 - 3
+    edges = a.select(F.col("s_suppkey").alias("arc_id"), F.array(point(ax, ay), point(ax + 90, ay + k * 40.0), point(ax + 200, ay + k * 70.0)).alias("points"))
+    shapes = b.groupBy(F.floor(F.col("c_custkey") / 20).alias("shape")).agg(F.sort_array(F.collect_list(F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("points"))
+    out = S.ordered_arcs(edges, shapes, 150.0, 0.2, 60.0)
+    return out.select("shape", "arc_id", "arc_order", *[F.round(c, 4).alias(c) for c in ("distance", "overlap", "turn", "position")])
+
+
 def j8_nested_scores(spark, sf):
     x = _t(spark, sf, "part").select("p_partkey")
     return W.nested_selection(x, "p_partkey", 1009, [50, 200], 389, 71)
@@ -85,4 +96,4 @@ SQL = {
     "j14_stratified": "SELECT o_orderpriority, o_orderstatus, least(5, count(*)) AS n FROM orders GROUP BY 1, 2",
     "j10_neighbourhood": sql(", n0 AS (SELECT 1 AS node), n1 AS (SELECT node FROM n0 UNION SELECT v FROM edges JOIN n0 ON u = node), n2 AS (SELECT node FROM n1 UNION SELECT v FROM edges JOIN n1 ON u = node), m AS (SELECT node, row_number() OVER (ORDER BY node) AS i FROM n2) SELECT arc_id, a.i AS new_u, b.i AS new_v FROM edges JOIN m a ON u = a.node JOIN m b ON v = b.node"),
 }
-QUERIES = {f.__name__: f for f in (d10_within, d13_nearest, d10_match, j8_nested_scores, j2_budgets, j5_bands, j1_all_candidates, j14_stratified, j7_travel_functions, j10_neighbourhood)}
+QUERIES = {f.__name__: f for f in (d10_within, d13_nearest, d10_match, d11_ordered_arcs, j8_nested_scores, j2_budgets, j5_bands, j1_all_candidates, j14_stratified, j7_travel_functions, j10_neighbourhood)}

@@ -220,3 +220,10 @@ def disjoint_pairs(pairs: DataFrame, band: str, a: str, b: str, order: list[Colu
     if won is None:
         return spark.createDataFrame([], pairs.schema)
     return won.withColumn("_k", F.row_number().over(Window.partitionBy(band).orderBy("_o"))).where(F.col("_k") <= quota).drop("_k", "_o")
+
+
+def stable_order(candidates: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``place``: each group's candidates ``(path, s, e, arrival, pieces, pivots)`` in one order whatever the
+    partitioning: by start, path, end, arrival, score pieces, how many pivots, and the pivots."""
+    order = ["s", "path", "e", "arrival", "pieces", F.size("pivots"), F.array_sort("pivots")]
+    return candidates.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))

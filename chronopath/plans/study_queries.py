@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronopath.functions import fields as X
 from chronopath.functions import temporal as T
 from chronopath.operators import stitch as ST
 from chronopath.operators import studies as S
@@ -172,7 +173,44 @@ def d6_stitch(spark, sf):
 _RUN = "r AS (SELECT l_suppkey, l_orderkey % 12 AS axis, l_linenumber AS method, max(l_extendedprice) AS time, max(l_returnflag) AS flag, count(*) AS memory FROM lineitem GROUP BY 1, 2, 3), p AS (SELECT r.l_suppkey, r.axis, r.method, r.time AS value, b.time AS reference, CASE WHEN b.time > 0 THEN r.time / b.time END AS ratio FROM r JOIN r b ON r.l_suppkey = b.l_suppkey AND r.axis = b.axis AND b.method = 1 WHERE r.method <> 1)"
 _CASE = "c AS (SELECT l_suppkey, l_orderkey, l_linenumber AS level, l_returnflag AS flag, CAST(l_quantity AS double) AS score, CAST(l_quantity * 0.9 AS double) AS base, CAST(l_extendedprice AS double) AS travel, CAST(l_extendedprice * 0.8 AS double) AS least FROM lineitem)"
 _PAIRED = "AVG(CASE WHEN flag <> 'R' THEN {} END)"
+def f_known_attributes(spark, sf):
+    """Segments with holes: one in five is missing in one way or another, one has blanks about it."""
+    x = _t(spark, sf, "customer").select("c_custkey", F.expr("CASE c_custkey % 5 WHEN 0 THEN array('nan', ' None', 'NULL ', '', NULL)[c_custkey % 25 div 5] WHEN 1 THEN concat('  ', c_mktsegment, ' ') ELSE c_mktsegment END").alias("raw"))
+    return x.select("c_custkey", X.known(F.col("raw")).alias("segment"))
+
+
+def f_schedule_times(spark, sf):
+    """Orders as trips of a service day, some after midnight, some malformed."""
+    x = _t(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.expr("CASE WHEN o_orderkey % 17 = 0 THEN 'soon' WHEN o_orderkey % 19 = 0 THEN '8:75:00' ELSE concat(o_orderkey % 30, ':', lpad(o_orderkey % 60, 2, '0'), IF(o_orderkey % 3 = 0, '', ':30')) END").alias("text"))
+    return x.select("o_orderkey", F.coalesce(F.unix_timestamp(X.schedule_time(F.col("o_orderdate"), F.col("text"))), F.lit(-1)).alias("at"))
+
+
+def f_encoded_lines(spark, sf):
+    """Lines of customers' places, encoded and decoded: their points to five decimals."""
+    x = _t(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 20).alias("line"), "c_custkey", ((F.col("c_custkey") * 6007 % 360000) / 1000.0 - 180).alias("x"), ((F.col("c_custkey") * 3001 % 180000) / 1000.0 - 90).alias("y"))
+    lines = x.groupBy("line").agg(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))  # twenty each
+    back = lines.select("line", F.posexplode(X.decode_line(X.encode_line(F.col("points")))).alias("i", "p"))
+    return back.select("line", F.col("i").cast("long").alias("i"), F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"))
+
+
+def f_event_properties(spark, sf):
+    """Properties of events as maps, counted by key."""
+    x = _t(spark, sf, "events").select("event_type", F.explode(F.from_json("props", "map<string, bigint>")).alias("key", "value"))
+    return x.groupBy("event_type", "key").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def g6_stable_order(spark, sf):
+    """Lines of an order as candidates: those that agree in the first keys are told apart by the later ones."""
+    x = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") % 2).alias("s"), F.array((F.col("l_partkey") % 2).cast("int")).alias("path"), (F.col("l_discount") * 100 % 3).cast("int").alias("e"), F.array((F.col("l_tax") * 100 % 2).cast("int")).alias("arrival"), F.array((F.col("l_suppkey") % 3).cast("int")).alias("pieces"), F.sequence(F.col("l_linenumber"), F.lit(8)).alias("pivots"))
+    return S.stable_order(x, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "place")
+
+
 SQL = {
+    "f_known_attributes": "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'UNKNOWN' ELSE c_mktsegment END AS segment FROM customer",
+    "f_schedule_times": "SELECT o_orderkey, CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 THEN CAST(epoch(date_trunc('day', o_orderdate)) AS bigint) + o_orderkey % 30 * 3600 + o_orderkey % 60 * 60 + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 30 END ELSE -1 END AS at FROM orders",
+    "f_encoded_lines": "SELECT c_custkey // 20 AS line, row_number() OVER (PARTITION BY c_custkey // 20 ORDER BY c_custkey) - 1 AS i, round(c_custkey * 6007 % 360000 / 1000.0 - 180, 5) AS x, round(c_custkey * 3001 % 180000 / 1000.0 - 90, 5) AS y FROM customer",
+    "f_event_properties": "SELECT event_type, u.k AS key, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.' || u.k) AS bigint)) AS bigint) AS total FROM events, unnest(json_keys(props)) AS u(k) GROUP BY 1, 2",
+    "g6_stable_order": "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity % 2, l_partkey % 2, CAST(trunc(l_discount * 100 % 3) AS int), CAST(trunc(l_tax * 100 % 2) AS int), l_suppkey % 3, l_linenumber DESC) AS place FROM lineitem",
     "d16_matched_pairs": f"WITH {_RUN} SELECT l_suppkey, axis, method, round(value, 4) AS value, round(reference, 4) AS reference, round(ratio, 6) AS ratio FROM p",
     "d16_planned": "SELECT c_custkey, count(o_orderkey) > 0 AS recorded, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "e18_matched_medians": f"WITH {_RUN} SELECT method, count(*) AS paired_units, round(median(ratio), 6) AS median_ratio, round(median(value), 4) AS median_value FROM p GROUP BY 1",

@@ -7,33 +7,24 @@ from pyspark.sql import functions as F
 
 from chronopath.functions import temporal as T
 from chronopath.functions.profiles import ARRIVAL, PIECES, grow
+from chronopath.operators import cells as C
 from chronopath.plans.materialize import checkpoint
 
 
-def lower_bounds(edges: DataFrame, starts: DataFrame, forward: bool = True) -> DataFrame:
+def lower_bounds(edges: DataFrame, starts: DataFrame, forward: bool = True, cells: DataFrame | None = None, without: DataFrame | None = None) -> DataFrame:
     """Least static cost to (or from, not ``forward``) every node that ``starts(query_id, node, b)`` reaches within b.
 
-    Rows ``(query_id, node, cost, hops, arc_id)``; ties by hops, then by the last arc. Each round relaxes only the
-    nodes that got cheaper; a round is one join on the node and one aggregation on (query, node).
+    Rows ``(query_id, node, cost, hops, arc_id)``; ties by hops, then by the last arc. Settled cell by cell
+    (``cells.spread``, with its ``cells`` and ``without``); walking the last arcs back gives the way.
     """
-    a, z = ("u", "v") if forward else ("v", "u")
-    arcs = edges.select(F.col(a).alias("node"), F.col(z).alias("_to"), "lb", F.col("arc_id").alias("_arc"))
-    best = starts.select("query_id", "node", "b", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(-1).alias("arc_id"))
-    best = checkpoint(best.distinct())
-    changed = best
-    while changed.limit(1).count():
-        step = changed.join(arcs, "node").select("query_id", F.col("_to").alias("node"), "b", (F.col("cost") + F.col("lb")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("_arc").alias("arc_id")).where("cost <= b")
-        both = best.withColumn("_old", F.lit(True)).unionByName(step.withColumn("_old", F.lit(False)))
-        new = both.groupBy("query_id", "node", "b").agg(F.min(F.struct("cost", "hops", "arc_id", (~F.col("_old")).alias("new"))).alias("m"))
-        new = checkpoint(new.select("query_id", "node", "b", "m.cost", "m.hops", "m.arc_id", "m.new"))
-        changed, best = new.where("new").drop("new"), new.drop("new")
-    return best.drop("b")
-
-
-def both_bounds(edges: DataFrame, queries: DataFrame) -> DataFrame:
+    first = starts.select("query_id", "node", F.lit(0.0).alias("cost"), F.col("b").alias("limit"))
+    return C.spread(edges, first, ["query_id"], "least", forward, cells, without).withColumn("node", F.col("node").cast(dict(edges.dtypes)["u"]))
+
+
+def both_bounds(edges: DataFrame, queries: DataFrame, cells: DataFrame | None = None, without: DataFrame | None = None) -> DataFrame:
     """``(query_id, node, from_src, to_dst)`` of nodes that lie on some walk within budget."""
-    fwd = lower_bounds(edges, queries.select("query_id", F.col("src").alias("node"), "b"))
-    rev = lower_bounds(edges, queries.select("query_id", F.col("dst").alias("node"), "b"), forward=False)
+    fwd = lower_bounds(edges, queries.select("query_id", F.col("src").alias("node"), "b"), True, cells, without)
+    rev = lower_bounds(edges, queries.select("query_id", F.col("dst").alias("node"), "b"), False, cells, without)
     return fwd.select("query_id", "node", F.col("cost").alias("from_src")).join(rev.select("query_id", "node", F.col("cost").alias("to_dst")), ["query_id", "node"])
 
 
@@ -83,34 +74,21 @@ def profiles(edges: DataFrame, queries: DataFrame, bounds: DataFrame | None = No
     return done
 
 
-def point_labels(edges: DataFrame, queries: DataFrame, departures: DataFrame) -> DataFrame:
+def point_labels(edges: DataFrame, queries: DataFrame, departures: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Earliest arrivals ``(query_id, t, node, arrival)`` from each query's source for departures ``(query_id, t)``.
 
-    Relaxes (query, departure, node) labels until none improves; arrivals beyond t + b are dropped. FIFO arcs make an
-    earlier label never worse.
+    Arrivals beyond t + b are dropped. FIFO arcs make an earlier label never worse.
     """
-    arcs = edges.select(F.col("u").alias("node"), F.col("v").alias("_to"), F.col("knots").alias("_k"))
-    best = checkpoint(departures.join(queries.select("query_id", F.col("src").alias("node"), "b"), "query_id").select("query_id", "t", "node", "b", F.col("t").cast("double").alias("arrival")))
-    changed = best
-    while changed.limit(1).count():
-        step = changed.join(arcs, "node").select("query_id", "t", F.col("_to").alias("node"), "b", T.arrival_at(F.col("_k"), F.col("arrival")).alias("arrival")).where("arrival <= t + b")
-        both = best.withColumn("new", F.lit(False)).unionByName(step.withColumn("new", F.lit(True)))
-        m = checkpoint(both.groupBy("query_id", "t", "node", "b").agg(F.min(F.struct("arrival", "new")).alias("m")).select("query_id", "t", "node", "b", "m.arrival", "m.new"))
-        changed, best = m.where("new").drop("new"), m.drop("new")
-    return best.drop("b")
-
-
-def latest_labels(edges: DataFrame, queries: DataFrame, deadlines: DataFrame) -> DataFrame:
+    first = departures.join(queries.select("query_id", F.col("src").alias("node"), "b"), "query_id").select("query_id", "t", "node", F.col("t").cast("double").alias("cost"), (F.col("t") + F.col("b")).alias("limit"))
+    found = C.spread(edges, first, ["query_id", "t"], "arrival", True, cells)
+    return found.select("query_id", "t", F.col("node").cast(dict(edges.dtypes)["u"]).alias("node"), F.col("cost").alias("arrival"))
+
+
+def latest_labels(edges: DataFrame, queries: DataFrame, deadlines: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Latest departures ``(query_id, deadline, node, departure)`` that still reach each query's destination in time."""
-    arcs = edges.select(F.col("v").alias("node"), F.col("u").alias("_to"), F.col("knots").alias("_k"))
-    best = checkpoint(deadlines.join(queries.select("query_id", F.col("dst").alias("node"), "b"), "query_id").select("query_id", "deadline", "node", "b", F.col("deadline").cast("double").alias("departure")))
-    changed = best
-    while changed.limit(1).count():
-        step = changed.join(arcs, "node").select("query_id", "deadline", F.col("_to").alias("node"), "b", T.latest_departure(F.col("_k"), F.col("departure")).alias("departure")).where("departure >= deadline - b")
-        both = best.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False)))
-        m = checkpoint(both.groupBy("query_id", "deadline", "node", "b").agg(F.max(F.struct("departure", "old")).alias("m")).select("query_id", "deadline", "node", "b", "m.departure", "m.old"))
-        changed, best = m.where("not old").drop("old"), m.drop("old")
-    return best.drop("b")
+    first = deadlines.join(queries.select("query_id", F.col("dst").alias("node"), "b"), "query_id").select("query_id", "deadline", "node", (-F.col("deadline").cast("double")).alias("cost"), (F.col("b") - F.col("deadline")).alias("limit"))
+    found = C.spread(edges, first, ["query_id", "deadline"], "departure", False, cells)
+    return found.select("query_id", "deadline", F.col("node").cast(dict(edges.dtypes)["u"]).alias("node"), (-F.col("cost")).alias("departure"))
 
 
 def replay_at(edges: DataFrame, paths: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def neighbourhood(edges: DataFrame, start: DataFrame, hops: int) -> tuple[DataFr
         step = front.join(edges.select(F.col("u").alias("node"), F.col("v").alias("to")), "node").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(h))
         front = checkpoint(step)
         seen = seen.unionByName(front)
-    nodes = seen.withColumn("new_id", F.row_number().over(Window.orderBy("node")))
+    nodes = global_rank(seen, ["node"]).withColumn("new_id", F.col("rank") + 1).drop("rank")
     a = nodes.select(F.col("node").alias("u"), F.col("new_id").alias("new_u"))
     b = nodes.select(F.col("node").alias("v"), F.col("new_id").alias("new_v"))
     return nodes, edges.join(a, "u").join(b, "v")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronopath.functions import temporal as T
 from chronopath.operators import algorithms as A
+from chronopath.operators import cells as C
 from chronopath.operators import envelopes as E
 from chronopath.operators import paths as P
 from chronopath.plans.temporal_graph import demo, graph, sql
@@ -109,6 +110,21 @@ def i1_lower_bounds(spark, sf):
     return _bounds(spark, sf).select("query_id", F.col("node").cast("int").alias("node"), "from_src", "to_dst")
 
 
+def i2_cell_labels(spark, sf):
+    """Least labels with their last arcs, over cells of five nodes whose borders exchange labels."""
+    g = graph(spark, sf)
+    cells = C.by_number(g.edges.select(F.col("u").alias("node")).union(g.edges.select("v")).distinct(), 5)
+    out = P.lower_bounds(g.edges, g.queries.select("query_id", F.col("src").alias("node"), "b"), True, cells)
+    return out.select("query_id", "node", "cost", "hops", "arc_id")
+
+
+def i3_bounds_without_arcs(spark, sf):
+    """Each query without a fifth of the arcs, its own."""
+    g = graph(spark, sf)
+    barred = g.queries.select("query_id").join(g.edges.select("arc_id"), F.col("arc_id") % 5 == F.col("query_id"))
+    return P.both_bounds(g.edges, g.queries, without=barred).select("query_id", "node", "from_src", "to_dst")
+
+
 def i4_corridor(spark, sf):
     g = graph(spark, sf)
     return P.corridor(g.edges, g.queries, _bounds(spark, sf))
@@ -246,6 +262,9 @@ FROM edges e JOIN knots k ON k.arc_id = e.arc_id AND k.k = 4 JOIN knots n ON n.a
     "e2_partition": sql(" SELECT cell, CAST(sum(CASE WHEN cell = z THEN 1 ELSE 0 END) AS bigint) AS inside, CAST(sum(CASE WHEN cell <> z THEN 1 ELSE 0 END) AS bigint) AS leaving, count(DISTINCT CASE WHEN cell <> z THEN u END) AS border FROM (SELECT u, CAST((u - 1) // 5 AS bigint) AS cell, (v - 1) // 5 AS z FROM edges) GROUP BY cell"),
     "g3_cell_top_scores": sql(" SELECT * FROM (SELECT CAST((u - 1) // 5 AS bigint) AS cell, arc_id, best, row_number() OVER (PARTITION BY (u - 1) // 5 ORDER BY best DESC, arc_id) AS rank FROM (SELECT arc_id, max(score) AS best FROM scores WHERE score > 0 AND t0 < 660 AND t1 > 420 GROUP BY 1) JOIN edges USING (arc_id)) WHERE rank <= 2"),
     "i1_lower_bounds": sql(_WALKS + " SELECT query_id, node, from_src, to_dst FROM bnd", True),
+    "i2_cell_labels": sql(""", fw(query_id, node, c, h, a, b) AS (SELECT query_id, src, 0.0::double, 0, -1, b FROM qs UNION SELECT f.query_id, e.v, f.c + l.lb, f.h + 1, e.arc_id, f.b FROM fw f JOIN edges e ON e.u = f.node JOIN lows l ON l.arc_id = e.arc_id WHERE f.c + l.lb <= f.b)
+SELECT query_id, node, c AS cost, h AS hops, a AS arc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node ORDER BY c, h, a) AS k FROM fw) WHERE k = 1""", True),
+    "i3_bounds_without_arcs": sql(_WALKS.replace("WHERE f.c", "WHERE e.arc_id % 5 <> f.query_id AND f.c") + " SELECT query_id, node, from_src, to_dst FROM bnd", True),
     "i4_corridor": sql(_WALKS + " SELECT q.query_id, e.arc_id, q.b - a.from_src - l.lb - z.to_dst AS slack FROM qs q JOIN bnd a ON a.query_id = q.query_id JOIN edges e ON e.u = a.node JOIN lows l ON l.arc_id = e.arc_id JOIN bnd z ON z.query_id = q.query_id AND z.node = e.v WHERE e.u <> e.v AND q.b - a.from_src - l.lb - z.to_dst >= 0", True),
     "i7_paths": sql(_ENUM + " SELECT query_id, array_to_string(path, '-') AS path, cost FROM full_p UNION ALL SELECT query_id, '', 0.0 FROM qs WHERE src = dst", True),
     "i27_first_paths": sql(_ENUM + " SELECT query_id, path, cost, k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cost, n, path) AS k FROM (SELECT query_id, array_to_string(path, '-') AS path, len(path) AS n, cost FROM full_p UNION ALL SELECT query_id, '', 0, 0.0 FROM qs WHERE src = dst)) WHERE k <= 3", True),
@@ -270,4 +289,4 @@ SELECT query_id, t::double AS s, coalesce(lead(t) OVER w, t)::double AS e, true
     "b33_horizon": sql(" SELECT query_id, CASE WHEN te + b <= 2880 THEN 'OK' ELSE 'OUT_OF_HORIZON' END AS status FROM (SELECT query_id, te, b FROM qs UNION ALL SELECT query_id + 100, te + 2400, b FROM qs)"),
     "demo_envelope": "SELECT 0 AS query_id, 420.0::double AS s, 430.0::double AS e, true AS s_inc, true AS e_inc, '0-1' AS path",
 }
-QUERIES = {f.__name__: f for f in (a14_graph_counts, b_edge_functions, e1_edge_summary, e2_partition, g3_cell_top_scores, i1_lower_bounds, i4_corridor, i7_paths, i13_point_labels, i14_latest_labels, i10_profile_at_grid, i12_replay, c14_envelope_at_grid, c16_fastest_at_grid, c14_envelope, c16_fastest_envelope, c7_undominated, c8_retained, e4_metrics, e5_agreement, b33_horizon, i23_best_point, i27_first_paths, g1_pivots, i26_all_sampled, demo_envelope)}
+QUERIES = {f.__name__: f for f in (a14_graph_counts, b_edge_functions, e1_edge_summary, e2_partition, g3_cell_top_scores, i1_lower_bounds, i2_cell_labels, i3_bounds_without_arcs, i4_corridor, i7_paths, i13_point_labels, i14_latest_labels, i10_profile_at_grid, i12_replay, c14_envelope_at_grid, c16_fastest_at_grid, c14_envelope, c16_fastest_envelope, c7_undominated, c8_retained, e4_metrics, e5_agreement, b33_horizon, i23_best_point, i27_first_paths, g1_pivots, i26_all_sampled, demo_envelope)}

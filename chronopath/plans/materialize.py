@@ -17,3 +17,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="chronopath-"))
     return df.checkpoint(eager=True)
+
+
+def forget(*held: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing reads any more."""
+    for df in held:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

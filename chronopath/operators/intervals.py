@@ -14,30 +14,52 @@ def _alive(df: DataFrame) -> DataFrame:
     return df.where((F.col("s") < F.col("e")) | ((F.col("s") == F.col("e")) & F.col("s_inc") & F.col("e_inc")))
 
 
-def _width(*sides: DataFrame) -> float:
-    """Twice the mean length of all intervals: the width of the stretches in which they are looked for."""
-    both = None
-    for x in sides:
-        one = x.select((F.col("e") - F.col("s")).cast("double").alias("n"))
-        both = one if both is None else both.unionByName(one)
-    mean = both.agg(F.avg("n")).first()[0]
-    return 2 * mean if mean else 1.0
+def _size(s: str, e: str):
+    """Class of an interval's length, in powers of eight, and no finer than its distance from zero allows to number."""
+    n, far = (F.col(e) - F.col(s)).cast("double"), F.greatest(F.abs(F.col(s)), F.abs(F.col(e))).cast("double")
+    log = lambda x: F.when(x > 0, F.log(x) / F.log(F.lit(8.0)))
+    return F.coalesce(F.greatest(F.floor(log(n)), F.ceil(log(far)) - 16), F.lit(0)).cast("int")
 
 
-def _stretch(column: str, width: float):
-    return F.floor(F.col(column) / F.lit(width))
+def _stretch(column: str):
+    """The stretch of a class's width in which a point lies."""
+    return F.floor(F.col(column) / F.pow(F.lit(8.0), F.col("_c") + 1))
 
 
-def _meeting(a: DataFrame, r: DataFrame, keys: list[str], width: float) -> DataFrame:
+def _sized(df: DataFrame, s: str = "s", e: str = "e") -> DataFrame:
+    return df.withColumn("_c", _size(s, e)).withColumn("_q", F.explode(F.sequence(_stretch(s), _stretch(e))))
+
+
+def _sizes(df: DataFrame) -> DataFrame:
+    """One row: the classes of ``df``'s lengths, at most some 700."""
+    return df.agg(F.collect_set(_size("s", "e")).alias("_cs"))
+
+
+def _meeting(a: DataFrame, r: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of a's rows (s, e) and r's (r_s, r_e) of a key that touch.
 
-    Both sides are dealt to the stretches of time that they reach, about one and a half each on average, so a key's
-    intervals meet those nearby and not all others; a pair counts in the first stretch that both reach.
+    A pair meets in the class of the longer one, in a stretch of time not much longer than that: an interval is dealt
+    to the stretches of its own class, and to those of every longer class that the other side holds, one or two each.
+    So long and short intervals may be mixed; a pair counts in the first stretch that both reach.
     """
-    left = a.withColumn("_q", F.explode(F.sequence(_stretch("s", width), _stretch("e", width))))
-    right = r.withColumn("_q", F.explode(F.sequence(_stretch("r_s", width), _stretch("r_e", width))))
-    first = F.greatest(_stretch("s", width), _stretch("r_s", width))
-    return left.join(right, [*keys, "_q"]).where("s <= r_e and r_s <= e").where(F.col("_q") == first).drop("_q")
+    def up(x, s, e, others, strict):
+        longer = F.filter("_cs", lambda c: (c > F.col("_own")) if strict else (c >= F.col("_own")))
+        on = x.withColumn("_own", _size(s, e)).crossJoin(F.broadcast(others)).withColumn("_c", F.explode(longer)).drop("_own", "_cs")
+        return on.withColumn("_q", F.explode(F.sequence(_stretch(s), _stretch(e))))
+
+    def pairs(left, right):
+        first = F.greatest(_stretch("s"), _stretch("r_s"))
+        return left.join(right, [*keys, "_c", "_q"]).where("s <= r_e and r_s <= e").where(F.col("_q") == first).drop("_c", "_q")
+
+    r_sizes = r.agg(F.collect_set(_size("r_s", "r_e")).alias("_cs"))
+    return pairs(_sized(a), up(r, "r_s", "r_e", _sizes(a), False)).unionByName(pairs(up(a, "s", "e", r_sizes, True), _sized(r, "r_s", "r_e")))
+
+
+def _points(points: DataFrame, column: str, df: DataFrame) -> DataFrame:
+    """Points with their stretch in every class of ``df``'s lengths; points farther out than all intervals have none."""
+    far = df.agg(F.max(F.greatest(F.abs("s"), F.abs("e"))).alias("_far"))
+    near = points.crossJoin(F.broadcast(far)).where(F.abs(F.col(column)) <= F.col("_far")).drop("_far")
+    return near.crossJoin(F.broadcast(_sizes(df))).withColumn("_c", F.explode("_cs")).drop("_cs").withColumn("_q", F.when(F.abs(F.col(column)) < F.pow(F.lit(8.0), F.col("_c") + 18), _stretch(column))).where("_q is not null")
 
 
 def merge(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,7 +75,7 @@ def merge(df: DataFrame, keys: list[str]) -> DataFrame:
 def intersect(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Pairwise intersections of a key's intervals; equal ends are owned if both own them."""
     r = b.select(*keys, *[F.col(c).alias("r_" + c) for c in ("s", "e", "s_inc", "e_inc")])
-    j = _meeting(a, r, keys, _width(a, b))
+    j = _meeting(a, r, keys)
     s_inc = F.when(F.col("s") == F.col("r_s"), F.col("s_inc") & F.col("r_s_inc")).when(F.col("s") > F.col("r_s"), F.col("s_inc")).otherwise(F.col("r_s_inc"))
     e_inc = F.when(F.col("e") == F.col("r_e"), F.col("e_inc") & F.col("r_e_inc")).when(F.col("e") < F.col("r_e"), F.col("e_inc")).otherwise(F.col("r_e_inc"))
     rest = [c for c in a.columns if c not in (*keys, "s", "e", "s_inc", "e_inc")]
@@ -64,7 +86,7 @@ def subtract(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """What of a's disjoint intervals b doesn't cover; cut points change owner."""
     cuts = merge(b, keys).select(*keys, *[F.col(c).alias("r_" + c) for c in ("s", "e", "s_inc", "e_inc")])
     own = [*keys, "s", "e", "s_inc", "e_inc"]
-    hits = _meeting(a, cuts, keys, _width(a, b))
+    hits = _meeting(a, cuts, keys)
     w = Window.partitionBy(*own).orderBy("r_s")
     prev_e, prev_inc = F.lag("r_e").over(w), F.lag("r_e_inc").over(w)
     # A cut at an interval's own end leaves the point only to an interval that owned it.
@@ -84,9 +106,7 @@ def split(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     no key's cuts are gathered in one value.
     """
     own = [c for c in df.columns]
-    width = _width(df)
-    reach = df.withColumn("_q", F.explode(F.sequence(_stretch("s", width), _stretch("e", width))))
-    inside = reach.join(cuts.distinct().withColumn("_q", _stretch("cut", width)), [*keys, "_q"]).where("s < cut and cut < e").select(*own, F.col("cut").alias("_at"), F.lit(True).alias("_at_inc"))
+    inside = _sized(df).join(_points(cuts.distinct(), "cut", df), [*keys, "_c", "_q"]).where("s < cut and cut < e").select(*own, F.col("cut").alias("_at"), F.lit(True).alias("_at_inc"))
     marks = df.select(*own, F.col("s").alias("_at"), F.col("s_inc").alias("_at_inc")).union(inside)
     w = Window.partitionBy(*own).orderBy("_at")
     cell = marks.withColumn("_to", F.lead("_at").over(w)).select(*[c for c in own if c not in ("s", "e", "s_inc", "e_inc")], F.col("_at").alias("s"), F.coalesce("_to", "e").alias("e"), F.col("_at_inc").alias("s_inc"), F.when(F.col("_to").isNull(), F.col("e_inc")).otherwise(F.lit(False)).alias("e_inc"))
@@ -96,14 +116,12 @@ def split(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
 def contains(df: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """Points ``(keys…, t)`` that lie in some interval of their key."""
     hit = (F.col("s") < F.col("t")) & (F.col("t") < F.col("e")) | (F.col("t") == F.col("s")) & F.col("s_inc") | (F.col("t") == F.col("e")) & F.col("e_inc")
-    width = _width(df)
-    p = points.select(*[F.col(k).alias("_" + k) for k in keys], "t", _stretch("t", width).alias("_at"))
-    df = df.withColumn("_q", F.explode(F.sequence(_stretch("s", width), _stretch("e", width))))
-    on = [F.col("_at") == F.col("_q"), *[F.col("_" + k) == F.col(k) for k in keys]]
-    cond = on[0]
-    for c in on[1:]:
-        cond &= c
-    return p.join(df, cond & hit, "left_semi").select(*[F.col("_" + k).alias(k) for k in keys], "t")
+    p = _points(points.select(*[F.col(k).alias("_" + k) for k in keys], "t"), "t", df).withColumnRenamed("_c", "_pc").withColumnRenamed("_q", "_pq")
+    cond = (F.col("_pc") == F.col("_c")) & (F.col("_pq") == F.col("_q"))
+    for k in keys:
+        cond &= F.col("_" + k) == F.col(k)
+    found = p.join(_sized(df), cond & hit).select(*[F.col("_" + k).alias(k) for k in keys], "t").distinct()
+    return points.join(found, [*keys, "t"], "left_semi").select(*keys, "t")
 
 
 def integer_points(df: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronopath.plans.materialize import checkpoint
+
 
 def nearest_rank(value: str, p: float) -> Column:
     """The ceil(p * n)-th smallest value (null on no rows)."""
@@ -25,17 +27,53 @@ def iqr(value: str) -> Column:
     return F.expr(f"percentile({value}, 0.75) - percentile({value}, 0.25)")
 
 
+def cumulated(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
+    """Distinct values of each group with ``w``, their weight (number of rows), ``upto``, that of all values up to them,
+    and the group's ``total``. Rows without a value or weight are left out; null keys are a group.
+
+    Values are dealt by ranges of (keys, value), so a group may spread over all tasks; a range starts at the sum of the
+    group's ranges before it.
+    """
+    counted = df.withColumn("_w", F.lit(1) if weight is None else weight).where(F.col(value).isNotNull() & F.col("_w").isNotNull()).groupBy(*keys, value).agg(F.sum("_w").alias("w"))
+    held = checkpoint(counted.repartitionByRange(*keys, value).withColumn("_p", F.spark_partition_id()))
+    per = held.groupBy(*keys, "_p").agg(F.sum("w").alias("_n"))
+    w = Window.partitionBy(*keys)
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("_n").over(w)).drop("_n")
+    own = held.withColumn("_c", F.sum("w").over(Window.partitionBy(*keys, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    right = per.select(F.col("_p").alias("_rp"), "_before", "total", *[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)])
+    on = F.col("_p") == F.col("_rp")
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"_r{i}"))
+    return own.join(right, on).select(*keys, value, "w", (F.col("_c") + F.col("_before")).alias("upto"), "total")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float] | None = None, between: dict[str, float] | None = None) -> DataFrame:
+    """Exact percentiles of groups of any size, by name: ``ranks`` take the ceil(p n)-th smallest value (the smallest
+    for 0), ``between`` interpolate at (n - 1) p. Groups without values have no row."""
+    cum = cumulated(df, keys, value)
+    at = lambda place: F.max(F.when((F.col("upto") - F.col("w") <= place) & (place < F.col("upto")), F.col(value)))
+    part = lambda p: (F.col("total") - 1) * F.lit(float(p))
+    found = [at(F.greatest(F.ceil(F.col("total") * F.lit(float(p))) - 1, F.lit(0))).alias(name) for name, p in (ranks or {}).items()]
+    for name, p in (between or {}).items():
+        found += [at(F.floor(part(p))).cast("double").alias(f"_lo_{name}"), at(F.ceil(part(p))).cast("double").alias(f"_hi_{name}"), F.max(part(p) - F.floor(part(p))).alias(f"_at_{name}")]
+    out = cum.groupBy(*keys).agg(*found)
+    lo, hi, share = (lambda n: F.col(f"_lo_{n}")), (lambda n: F.col(f"_hi_{n}")), (lambda n: F.col(f"_at_{n}"))
+    return out.select(*keys, *(ranks or {}), *[(lo(n) + (hi(n) - lo(n)) * share(n)).alias(n) for n in between or {}])
+
+
 def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str, p: float) -> DataFrame:
     """Least value whose cumulated weight reaches p of the total."""
-    w = Window.partitionBy(*keys)
-    cum = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w")).withColumn("_c", F.sum("_w").over(w.orderBy(value))).withColumn("_t", F.sum("_w").over(w))
-    return cum.where(F.col("_c") >= p * F.col("_t")).groupBy(*keys).agg(F.min(value).alias("weighted_percentile"))
+    return cumulated(df, keys, value, F.col(weight)).where(F.col("upto") >= p * F.col("total")).groupBy(*keys).agg(F.min(value).alias("weighted_percentile"))
 
 
 def two_level_median(df: DataFrame, keys: list[str], inner: str, value: str) -> DataFrame:
     """Median over groups of the medians of their inner groups (trials of a query, queries of a group)."""
-    one = df.groupBy(*keys, inner).agg(F.median(value).alias("_m"))
-    return one.groupBy(*keys).agg(F.median("_m").alias("median"), F.count("*").alias("n_inner"))
+    one = percentiles(df, [*keys, inner], value, between={"_m": 0.5})
+    n = df.select(*keys, inner).distinct().groupBy(*keys).agg(F.count("*").alias("n_inner"))
+    out, on = percentiles(one, keys, "_m", between={"median": 0.5}).select("median", *[F.col(k).alias("_" + k) for k in keys]), F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col("_" + k))
+    return n.join(out, on, "left").select(*keys, "median", "n_inner")
 
 
 def summary(df: DataFrame, keys: list[str], value: str, ok: Column, limit: float) -> DataFrame:

@@ -58,16 +58,18 @@ def c5_contains(spark, sf):
 
 def e8_nearest_rank(spark, sf):
     x = _t(spark, sf, "lineitem")
-    return x.groupBy("l_returnflag").agg(R.nearest_rank("l_extendedprice", 0.25).alias("p25"), R.nearest_rank("l_extendedprice", 0.95).alias("p95"))
+    return R.percentiles(x, ["l_returnflag"], "l_extendedprice", {"p25": 0.25, "p95": 0.95})
 
 
 def e9_interpolated(spark, sf):
     x = _t(spark, sf, "orders")
-    return x.groupBy("o_orderstatus").agg(F.round(R.interpolated("o_totalprice", 0.5), 4).alias("p50"), F.round(R.interpolated("o_totalprice", 0.9), 4).alias("p90"))
+    y = R.percentiles(x, ["o_orderstatus"], "o_totalprice", between={"p50": 0.5, "p90": 0.9})
+    return y.select("o_orderstatus", *[F.round(c, 4).alias(c) for c in ("p50", "p90")])
 
 
 def e10_iqr(spark, sf):
-    return _t(spark, sf, "orders").groupBy("o_orderpriority").agg(F.round(R.iqr("o_totalprice"), 4).alias("iqr"))
+    y = R.percentiles(_t(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", between={"q1": 0.25, "q3": 0.75})
+    return y.select("o_orderpriority", F.round(F.col("q3") - F.col("q1"), 4).alias("iqr"))
 
 
 def e11_two_level_median(spark, sf):

@@ -30,9 +30,9 @@ def _sized(df: DataFrame, s: str = "s", e: str = "e") -> DataFrame:
     return df.withColumn("_c", _size(s, e)).withColumn("_q", F.explode(F.sequence(_stretch(s), _stretch(e))))
 
 
-def _sizes(df: DataFrame) -> DataFrame:
+def _sizes(df: DataFrame, s: str = "s", e: str = "e") -> DataFrame:
     """One row: the classes of ``df``'s lengths, at most some 700."""
-    return df.agg(F.collect_set(_size("s", "e")).alias("_cs"))
+    return df.agg(F.collect_set(_size(s, e)).alias("_cs"))
 
 
 def _meeting(a: DataFrame, r: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,24 +42,23 @@ def _meeting(a: DataFrame, r: DataFrame, keys: list[str]) -> DataFrame:
     to the stretches of its own class, and to those of every longer class that the other side holds, one or two each.
     So long and short intervals may be mixed; a pair counts in the first stretch that both reach.
     """
-    def up(x, s, e, others, strict):
-        longer = F.filter("_cs", lambda c: (c > F.col("_own")) if strict else (c >= F.col("_own")))
-        on = x.withColumn("_own", _size(s, e)).crossJoin(F.broadcast(others)).withColumn("_c", F.explode(longer)).drop("_own", "_cs")
+    def dealt(x, s, e, own, others):
+        longer = F.filter("_cs", lambda c: c > F.col(own))
+        on = x.withColumn(own, _size(s, e)).crossJoin(F.broadcast(others)).withColumn("_c", F.explode(F.concat(F.array(own), longer))).drop("_cs")
         return on.withColumn("_q", F.explode(F.sequence(_stretch(s), _stretch(e))))
 
-    def pairs(left, right):
-        first = F.greatest(_stretch("s"), _stretch("r_s"))
-        return left.join(right, [*keys, "_c", "_q"]).where("s <= r_e and r_s <= e").where(F.col("_q") == first).drop("_c", "_q")
-
-    r_sizes = r.agg(F.collect_set(_size("r_s", "r_e")).alias("_cs"))
-    return pairs(_sized(a), up(r, "r_s", "r_e", _sizes(a), False)).unionByName(pairs(up(a, "s", "e", r_sizes, True), _sized(r, "r_s", "r_e")))
+    left = dealt(a, "s", "e", "_own", _sizes(r, "r_s", "r_e"))
+    right = dealt(r, "r_s", "r_e", "_r_own", _sizes(a))
+    first = F.greatest(_stretch("s"), _stretch("r_s"))
+    j = left.join(right, [*keys, "_c", "_q"]).where((F.col("_c") == F.greatest("_own", "_r_own")) & (F.col("_q") == first))
+    return j.where("s <= r_e and r_s <= e").drop("_c", "_q", "_own", "_r_own")
 
 
 def _points(points: DataFrame, column: str, df: DataFrame) -> DataFrame:
     """Points with their stretch in every class of ``df``'s lengths; points farther out than all intervals have none."""
-    far = df.agg(F.max(F.greatest(F.abs("s"), F.abs("e"))).alias("_far"))
-    near = points.crossJoin(F.broadcast(far)).where(F.abs(F.col(column)) <= F.col("_far")).drop("_far")
-    return near.crossJoin(F.broadcast(_sizes(df))).withColumn("_c", F.explode("_cs")).drop("_cs").withColumn("_q", F.when(F.abs(F.col(column)) < F.pow(F.lit(8.0), F.col("_c") + 18), _stretch(column))).where("_q is not null")
+    far = df.agg(F.collect_set(_size("s", "e")).alias("_cs"), F.max(F.greatest(F.abs("s"), F.abs("e"))).alias("_far"))
+    near = points.crossJoin(F.broadcast(far)).where(F.abs(F.col(column)) <= F.col("_far")).withColumn("_c", F.explode("_cs")).drop("_cs", "_far")
+    return near.where(F.abs(F.col(column)) < F.pow(F.lit(8.0), F.col("_c") + 18)).withColumn("_q", _stretch(column))
 
 
 def merge(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -66,7 +66,7 @@ def j1_all_candidates(spark, sf):
     src = c.select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("cell"))
     dst = c.select(F.col("c_custkey").alias("dst"), F.col("c_nationkey").alias("cell"), "c_acctbal")
     x = W.candidate_pairs(src, dst, 5, 3, F.when(F.col("c_acctbal") < 0, "poor"))
-    return x.groupBy("src").agg(F.sum(F.col("accepted").cast("long")).alias("accepted"), F.sum((F.col("reason") == "poor").cast("long")).alias("poor"), F.count("*").alias("seen"))
+    return x.select("src", F.size("accepted").cast("long").alias("accepted"), F.coalesce(F.col("reasons")["poor"], F.lit(0)).alias("poor"), "seen")
 
 
 def j14_stratified(spark, sf):

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronopath.operators import intervals as I
 from chronopath.operators import records as R
+from chronopath.operators import workload as W
 
 IV = "k int, s double, e double, s_inc boolean, e_inc boolean"
 
@@ -69,3 +71,20 @@ def test_percentiles_of_groups_with_ties_and_nulls(spark):
     assert R.percentiles(df.limit(0), ["g"], "x", {"low": 0.25}).count() == 0
     both = {r.g: (r.median, r.n_inner) for r in R.two_level_median(df.withColumn("t", df.x % 4), ["g"], "t", "x").collect()}
     assert both[7] == (5.0, 1) and both[8] == (None, 1)
+
+
+def test_candidates_of_many_sources_in_one_cell(spark):
+    """200,000 sources and destinations in one cell: pairs are never listed."""
+    n = 200_000
+    dst = spark.range(n).selectExpr("id as dst", "1 as cell", "id % 10 = 0 as bad").unionByName(spark.createDataFrame([(n, 2, False), (n + 1, 3, True), (n + 2, 4, False), (n + 3, 4, False), (n + 4, 4, True)], "dst long, cell int, bad boolean"))
+    src = dst.select("dst", "cell").toDF("src", "cell").unionByName(spark.createDataFrame([(-1, 2), (-2, 9)], "src long, cell int"))
+    reject = F.when(F.col("bad"), "bad")
+    x = W.candidate_pairs(src, dst, 5, 3, reject).cache()
+    ok = "size(accepted) = 3 and size(array_distinct(accepted)) = 3 and not array_contains(accepted, src) and forall(accepted, d -> d % 10 > 0 and d < 200000) and seen = 200000 and same = 1"
+    assert x.where("cell = 1").where(ok).where("reasons['bad'] = 20000 - if(src % 10 = 0, 1, 0)").count() == n
+    used = x.where("cell = 1").select(F.explode("accepted").alias("d")).groupBy("d").count()
+    assert used.count() > 0.9 * n * 0.9 and used.agg({"count": "max"}).first()[0] < 30  # draws spread over all
+    small = {r.src: (sorted(r.accepted), r.same, r.reasons, r.seen) for r in x.where("cell > 1").collect()}
+    a, b = n + 2, n + 3
+    assert small == {n: ([], 1, {}, 1), -1: ([n], 0, {}, 1), n + 1: ([], 1, {}, 1), a: ([b], 1, {"bad": 1}, 3), b: ([a], 1, {"bad": 1}, 3), n + 4: ([a, b], 1, {}, 3)}
+    x.unpersist()

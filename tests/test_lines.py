@@ -77,3 +77,25 @@ def test_ordered_arcs_against_brute_force(spark):
         mine = sorted((round(place(along(edges[i], length(edges[i]) / 2), shapes[k]), 6), i) for s, i in got if s == k)
         assert [got[k, i].arc_order for _, i in mine] == list(range(len(mine)))
         assert all(abs(got[k, i].position - p) < 1e-5 for p, i in mine)
+
+
+def test_copies_of_lines_are_compared_once(spark, monkeypatch):
+    line = [(0.0, 0.0), (200.0, 0.0), (400.0, 10.0)]
+    edges = {i: [(50.0 + 100 * (i % 2), 5.0), (140.0 + 100 * (i % 2), 5.0)] for i in range(60)}
+    shapes = {i: line for i in range(1500)} | {5000: line[:2]}
+    seen, pairs = [], S.line_pairs
+    monkeypatch.setattr(S, "line_pairs", lambda e, s, r: seen.append((e.count(), s.count())) or pairs(e, s, r))
+    frame = lambda x, name: spark.createDataFrame([(k, v) for k, v in x.items()], KIND.format(name)).repartition(3)
+    got = S.ordered_arcs(frame(edges, "arc_id"), frame(shapes, "shape"), 20.0, 0.3, 70.0).select("shape", "arc_id", "arc_order").collect()
+    order = [*range(0, 60, 2), *range(1, 60, 2)]
+    assert seen == [(2, 2)]
+    assert sorted(map(tuple, got)) == sorted((k, i, order.index(i)) for k in shapes for i in edges)
+
+
+def test_a_crowded_cell_is_dealt_to_many_tasks(spark):
+    """5,000 and 3,000 rows of one cell: no task has more than the pairs of a block or two, and none is lost."""
+    a, b = (spark.range(n).selectExpr(f"id as {c}", "0L as _cx", "0L as _cy") for n, c in ((5000, "a"), (3000, "b")))
+    met = S._meet(a, b, 1e6)
+    per = [r["count"] for r in met.selectExpr("spark_partition_id() as p").groupBy("p").count().collect()]
+    assert sum(per) == 15_000_000 and len(per) > 3 and max(per) < 9_000_000
+    assert met.selectExpr("a * 3000 + b as x").agg({"x": "sum"}).first()[0] == sum(range(15_000_000))

@@ -21,7 +21,7 @@ def _points(spark, sf):
 
 def d10_within(spark, sf):
     a, b = _points(spark, sf)
-    return S.within(a, b, 150.0).select("s_suppkey", "c_custkey", F.round("distance", 6).alias("distance"))
+    return S.within(a, b, 150.0, rounded=F.round("distance", 6)).select("s_suppkey", "c_custkey", F.col("rounded").alias("distance"))
 
 
 def d13_nearest(spark, sf):

@@ -129,13 +129,22 @@ def holm(df: DataFrame, keys: list[str], p: str, order: str) -> DataFrame:
     return df.withColumn("_s", step).withColumn("holm", F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
-def bootstrap_median(df: DataFrame, keys: list[str], value: str, order: str, draws: int = 1000, seed: int = 7) -> DataFrame:
+def bootstrap_median(df: DataFrame, keys: list[str], value: str, order: str, draws: int = 1000, seed: int = 7, block: int = 250) -> DataFrame:
     """95 % interval of the median from ``draws`` resamples; draws depend on seed, draw and row alone.
 
-    Each row gets a Poisson(1) count in each draw, so no group is gathered in one task; a draw's median is the least
-    value at which half its counts are reached.
+    Each row gets a Poisson(1) count in each draw; a draw's median is the least value at which half its counts are
+    reached. Rows are ranked by value and cut to blocks; each block's counts are summed by draw in the task that holds it,
+    and only the block in which a draw reaches its half is gone through again, so neither rows nor values are held for
+    all draws.
     """
-    u = F.expr(f"(shiftrightunsigned(xxhash64({order}, draw, {seed}), 11) + 0.5D) / 9007199254740992D")
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    ks = [f"_k{i}" for i in range(len(keys))]
+    rows = df.where(F.col(value).isNotNull()).select(*own, F.col(value).alias("_v"), F.col(order).alias("_o"))
+    tasks = max(1, math.ceil(rows.count() * draws / 2e6))
+    w = Window.partitionBy("_p", *ks).orderBy("_v", "_o")
+    ranked = rows.repartitionByRange(tasks, *ks, "_v").withColumn("_p", F.spark_partition_id()).withColumn("_b", F.floor((F.row_number().over(w) - 1) / block))
+    held = checkpoint(ranked.repartition(tasks, *ks, "_p", "_b"))
+    u = F.expr(f"(shiftrightunsigned(xxhash64(_o, draw, {seed}), 11) + 0.5D) / 9007199254740992D")
     marks, total = [], 0.0
     for k in range(12):
         total += math.exp(-1) / math.factorial(k)
@@ -143,9 +152,21 @@ def bootstrap_median(df: DataFrame, keys: list[str], value: str, order: str, dra
     count = F.lit(0)
     for m in marks:
         count = count + (F.col("_u") > m).cast("int")
-    x = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_u", u).withColumn("_n", count).where("_n > 0")
-    med = weighted_percentile(x, [*keys, "draw"], value, "_n", 0.5)
-    return med.groupBy(*keys).agg(nearest_rank("weighted_percentile", 0.025).alias("lo"), nearest_rank("weighted_percentile", 0.975).alias("hi"))
+    at = [*ks, "_p", "_b"]
+    drawn = lambda x: x.withColumn("_u", u).withColumn("_n", count)
+    n = drawn(held.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))).groupBy(*at, "draw").agg(F.sum("_n").alias("_n"))
+    g = Window.partitionBy(*ks, "draw")
+    n = n.withColumn("_upto", F.sum("_n").over(g.orderBy("_p", "_b"))).withColumn("_half", 0.5 * F.sum("_n").over(g))
+    half = n.where((F.col("_upto") >= F.col("_half")) & (F.col("_upto") - F.col("_n") < F.col("_half")))
+    half = half.select("draw", "_half", (F.col("_upto") - F.col("_n")).alias("_before"), *[F.col(c).alias("_at" + c) for c in at])
+    same = F.lit(True)
+    for c in at:
+        same &= F.col(c).eqNullSafe(F.col("_at" + c))
+    again = drawn(held.join(half, same)).where("_n > 0")
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*ks, "draw").orderBy("_v", "_o").rowsBetween(Window.unboundedPreceding, 0))
+    med = again.withColumn("_c", upto).where(F.col("_c") >= F.col("_half")).groupBy(*ks, "draw").agg(F.min("_v").alias("_m"))
+    out = med.groupBy(*ks).agg(nearest_rank("_m", 0.025).alias("lo"), nearest_rank("_m", 0.975).alias("hi"))
+    return out.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "lo", "hi")
 
 
 def kaplan_meier_median(df: DataFrame, keys: list[str], time: str, event: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Intervals of very different lengths and percentiles of large groups against plain loops."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +90,27 @@ def test_candidates_of_many_sources_in_one_cell(spark):
     a, b = n + 2, n + 3
     assert small == {n: ([], 1, {}, 1), -1: ([n], 0, {}, 1), n + 1: ([], 1, {}, 1), a: ([b], 1, {"bad": 1}, 3), b: ([a], 1, {"bad": 1}, 3), n + 4: ([a, b], 1, {}, 3)}
     x.unpersist()
+
+
+def test_bootstrap_holds_rows_once(spark, monkeypatch):
+    """Against draws listed row by row; nothing as long as rows times draws is written down."""
+    rng = np.random.default_rng(9)
+    rows = [(None if g == 2 else int(g), None if x == 0 else float(x), i) for i, (g, x) in enumerate(zip(rng.integers(0, 3, 2000), rng.integers(0, 300, 2000), strict=True))] + [(7, 5.0, 9999), (8, None, 10000), (9, 1.0, 10001), (9, 2.0, 10002)]
+    df = spark.createDataFrame(rows, "g int, x double, i long")
+    written, checkpoint = [], R.checkpoint
+    monkeypatch.setattr(R, "checkpoint", lambda x: written.append(checkpoint(x)) or written[-1])
+    got = {r.g: (r.lo, r.hi) for r in R.bootstrap_median(df, ["g"], "x", "i", 40, block=16).collect()}
+    assert max(x.count() for x in written) <= len(rows)
+    chance = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    u = "(shiftrightunsigned(xxhash64(i, d, 7), 11) + 0.5D) / 9007199254740992D"
+    every, want = df.where("x is not null").selectExpr("*", "explode(sequence(0, 39)) as d").selectExpr("g", "d", "x", f"{u} as u").toPandas(), {}
+    every["n"] = (every.u.to_numpy()[:, None] > chance[None]).sum(1)
+    for g, of in every.groupby("g", dropna=False):
+        med = []
+        for _, x in of.groupby("d"):
+            x = x.sort_values("x")
+            if x.n.sum():
+                med.append(float(x.x[x.n.cumsum() >= x.n.sum() / 2].iloc[0]))
+        rank = lambda p, v=sorted(med): v[math.ceil(len(v) * p) - 1]
+        want[None if g != g else int(g)] = rank(0.025), rank(0.975)
+    assert got == want

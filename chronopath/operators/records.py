@@ -61,6 +61,14 @@ def percentiles(df: DataFrame, keys: list[str], value: str, ranks: dict[str, flo
     return out.select(*keys, *(ranks or {}), *[(lo(n) + (hi(n) - lo(n)) * share(n)).alias(n) for n in between or {}])
 
 
+def beside(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of ``other``, one row a key at most; null keys are a key."""
+    right, on = other.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys]), F.lit(True)
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"_o{i}"))
+    return df.join(right, on, "left").drop(*[f"_o{i}" for i in range(len(keys))])
+
+
 def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str, p: float) -> DataFrame:
     """Least value whose cumulated weight reaches p of the total."""
     return cumulated(df, keys, value, F.col(weight)).where(F.col("upto") >= p * F.col("total")).groupBy(*keys).agg(F.min(value).alias("weighted_percentile"))
@@ -70,10 +78,7 @@ def two_level_median(df: DataFrame, keys: list[str], inner: str, value: str) ->
     """Median over groups of the medians of their inner groups (trials of a query, queries of a group)."""
     one = percentiles(df, [*keys, inner], value, between={"_m": 0.5})
     n = df.select(*keys, inner).distinct().groupBy(*keys).agg(F.count("*").alias("n_inner"))
-    out, on = percentiles(one, keys, "_m", between={"median": 0.5}).select("median", *[F.col(k).alias("_" + k) for k in keys]), F.lit(True)
-    for k in keys:
-        on &= F.col(k).eqNullSafe(F.col("_" + k))
-    return n.join(out, on, "left").select(*keys, "median", "n_inner")
+    return beside(n, percentiles(one, keys, "_m", between={"median": 0.5}), keys).select(*keys, "median", "n_inner")
 
 
 def summary(df: DataFrame, keys: list[str], value: str, ok: Column, limit: float) -> DataFrame:
@@ -181,8 +186,9 @@ def kaplan_meier_median(df: DataFrame, keys: list[str], time: str, event: str) -
 
 def time_bins(df: DataFrame, keys: list[str], ts: str, value: str, width: str = "15 minutes") -> DataFrame:
     """Tumbling bins with median and counts; values that aren't numbers count as missing."""
-    v = F.col(value).try_cast("double")
-    return df.groupBy(*keys, F.window(ts, width).alias("_w")).agg(F.median(v).alias("median_value"), F.count("*").alias("n"), F.count(v).alias("n_valid")).select(*keys, F.col("_w.start").alias("bin_start"), "median_value", "n", "n_valid")
+    x = df.select(*keys, F.window(ts, width).alias("_w"), F.col(value).try_cast("double").alias("_v")).select(*keys, F.col("_w.start").alias("bin_start"), "_v")
+    n = x.groupBy(*keys, "bin_start").agg(F.count("*").alias("n"), F.count("_v").alias("n_valid"))
+    return beside(n, percentiles(x, [*keys, "bin_start"], "_v", between={"median_value": 0.5}), [*keys, "bin_start"]).select(*keys, "bin_start", "median_value", "n", "n_valid")
 
 
 def impute(df: DataFrame, value: str, levels: list[list[str]], default: Column) -> DataFrame:
@@ -190,7 +196,7 @@ def impute(df: DataFrame, value: str, levels: list[list[str]], default: Column)
     out, found = df, [F.when(F.col(value).isNotNull(), F.lit("direct"))]
     parts = [F.col(value)]
     for i, keys in enumerate(levels):
-        med = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(value).alias(f"_m{i}"))
+        med = percentiles(df, keys, value, between={f"_m{i}": 0.5})
         out = out.join(med, keys, "left")
         parts.append(F.col(f"_m{i}"))
         found.append(F.when(F.col(f"_m{i}").isNotNull(), F.lit(f"level{i + 1}")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from chronopath.operators.records import interpolated, nearest_rank
+from chronopath.operators.records import beside, percentiles
 
 
 def matched_pairs(df: DataFrame, units: list[str], method: str, reference, value: str) -> DataFrame:
@@ -24,16 +24,20 @@ def planned(plan: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
 
 def matched_medians(pairs: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Number of paired units and the median of each metric, values that are missing left out."""
-    return pairs.groupBy(*keys).agg(F.count("*").alias("paired_units"), *[F.median(m).alias(f"median_{m}") for m in metrics])
+    out = pairs.groupBy(*keys).agg(F.count("*").alias("paired_units"))
+    for m in metrics:
+        out = beside(out, percentiles(pairs, keys, m, between={f"median_{m}": 0.5}), keys)
+    return out
 
 
 def observations(df: DataFrame, keys: list[str], runtime: str, status: str, memory: str) -> DataFrame:
     """Runs of each key: how many, how many were timed, median and 95th rank of time, shares of outcomes, peak memory."""
     share = lambda *s: F.avg(F.col(status).isin(*s).cast("double"))
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("observations"), F.count(runtime).alias("timed"), F.median(runtime).alias("median_runtime"), nearest_rank(runtime, 0.95).alias("p95_runtime"),
+    out = df.groupBy(*keys).agg(
+        F.count("*").alias("observations"), F.count(runtime).alias("timed"),
         share("COMPLETED", "NO_FEASIBLE_PATH").alias("completed"), share("TIMEOUT").alias("timed_out"), share("OUT_OF_MEMORY").alias("out_of_memory"), F.max(memory).alias("peak_memory"),
     )
+    return beside(out, percentiles(df, keys, runtime, {"p95_runtime": 0.95}, {"median_runtime": 0.5}), keys).select(*keys, "observations", "timed", "median_runtime", "p95_runtime", "completed", "timed_out", "out_of_memory", "peak_memory")
 
 
 def by_level(df: DataFrame, level: str, done: Column, late: Column, score: str, base_score: str, travel: str, base_travel: str, runtime: str) -> DataFrame:
@@ -42,8 +46,8 @@ def by_level(df: DataFrame, level: str, done: Column, late: Column, score: str,
     of = lambda c: F.avg(F.when(done, F.col(c)))
     out = df.groupBy(level).agg(
         F.count("*").alias("n"), F.count(F.when(done, 1)).alias("n_done"), F.avg(late.cast("double")).alias("timeout_rate"), of(score).alias("score"), of(base_score).alias("base_score"), of(travel).alias("travel"), of(base_travel).alias("base_travel"),
-        interpolated(runtime, 0.25).alias("q1"), interpolated(runtime, 0.5).alias("median"), interpolated(runtime, 0.75).alias("q3"),
     )
+    out = beside(out, percentiles(df, [level], runtime, between={"q1": 0.25, "median": 0.5, "q3": 0.75}), [level])
     gain = lambda a, b: 100 * (F.col(a) - F.col(b)) / F.greatest(F.col(b), F.lit(1e-9))
     return out.withColumn("score_gain", F.col("score") - F.col("base_score")).withColumn("score_gain_percent", gain("score", "base_score")).withColumn("travel_premium_percent", gain("travel", "base_travel"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronopath.operators import intervals as I
 from chronopath.operators import records as R
+from chronopath.operators import studies as ST
 from chronopath.operators import workload as W
 
 IV = "k int, s double, e double, s_inc boolean, e_inc boolean"
@@ -114,3 +115,19 @@ def test_bootstrap_holds_rows_once(spark, monkeypatch):
         rank = lambda p, v=sorted(med): v[math.ceil(len(v) * p) - 1]
         want[None if g != g else int(g)] = rank(0.025), rank(0.975)
     assert got == want
+
+
+def test_quartiles_of_a_group_are_not_gathered_in_one_buffer(spark):
+    """Levels with ties, nulls and no values; no plan has an aggregate that holds a group's values."""
+    rng = np.random.default_rng(10)
+    rows = [(None if g == 2 else int(g), None if x == 0 else float(x)) for g, x in zip(rng.integers(0, 3, 500), rng.integers(0, 40, 500), strict=True)] + [(8, None)]
+    df = spark.createDataFrame(rows, "g int, x double").withColumn("s", F.lit("COMPLETED")).withColumn("at", F.lit("2024-01-01 00:01:00").cast("timestamp"))
+    want = {g: np.percentile([x for k, x in rows if k == g and x is not None] or [np.nan], [25, 50, 75, 50]).tolist() for g in (0, 1, None, 8)}
+    level = ST.by_level(df, "g", F.col("x") > 3, F.col("x") > 30, "x", "x", "x", "x", "x")
+    found = [level.select("g", "q1", "median", "q3"), ST.observations(df, ["g"], "x", "s", "x").select("g", "median_runtime"), ST.matched_medians(df, ["g"], ["x"]).select("g", "median_x"), R.time_bins(df, ["g"], "at", "x").select("g", "median_value"), R.impute(df.where("g is not null"), "x", [["g"]], F.lit(-1.0)).where("source = 'level1'").groupBy("g").agg(F.max("filled"))]
+    for x in found:
+        assert "percentile" not in x._jdf.queryExecution().optimizedPlan().toString() and "median(" not in x._jdf.queryExecution().optimizedPlan().toString()
+        rows = x.collect()
+        assert {r[0] for r in rows} in ({0, 1, None, 8}, {0, 1})
+        for r in rows:
+            assert [math.nan if v is None else v for v in r[1:]] == pytest.approx((want[r[0]] if len(r) == 4 else want[r[0]][1:2])[: len(r) - 1], nan_ok=True)

@@ -42,8 +42,7 @@ def d11_ordered_arcs(spark, sf):
     ax, ay, k = F.col("ax"), F.col("ay"), F.col("s_suppkey") % 7 - 3
     edges = a.select(F.col("s_suppkey").alias("arc_id"), F.array(point(ax, ay), point(ax + 90, ay + k * 40.0), point(ax + 200, ay + k * 70.0)).alias("points"))
     shapes = b.groupBy(F.floor(F.col("c_custkey") / 20).alias("shape")).agg(F.sort_array(F.collect_list(F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("points"))
-    out = S.ordered_arcs(edges, shapes, 150.0, 0.2, 60.0)
-    return out.select("shape", "arc_id", "arc_order", *[F.round(c, 4).alias(c) for c in ("distance", "overlap", "turn", "position")])
+    return S.ordered_arcs(edges, shapes, 150.0, 0.2, 60.0, digits=4)
 
 
 def j8_nested_scores(spark, sf):

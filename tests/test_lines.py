@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 
+from chronopath.functions.segments import ENDS, near
 from chronopath.operators import spatial as S
 
 KIND = "{} int, points array<struct<x: double, y: double>>"
@@ -99,3 +100,43 @@ def test_a_crowded_cell_is_dealt_to_many_tasks(spark):
     per = [r["count"] for r in met.selectExpr("spark_partition_id() as p").groupBy("p").count().collect()]
     assert sum(per) == 15_000_000 and len(per) > 3 and max(per) < 9_000_000
     assert met.selectExpr("a * 3000 + b as x").agg({"x": "sum"}).first()[0] == sum(range(15_000_000))
+
+
+def test_copies_are_paired_in_many_tasks_after_rounding(spark):
+    """6,000 copies of an edge by 6,000 of a shape: no task lists more than a few blocks, none is lost, and measures are rounded once."""
+    line = "array(struct({} as x, {} as y), struct({} as x, {} as y)) as points"
+    edges = spark.range(6000).selectExpr("id as arc_id", line.format("10D", "1D", "20D", "3D"))
+    shapes = spark.range(6000).selectExpr("id as shape", line.format("0D", "0D", "100D", "7D"))
+    plain, got = (S.ordered_arcs(edges, shapes, 20.0, 0.3, 70.0, *digits) for digits in ((), (4,)))
+    per = [r["count"] for r in got.selectExpr("spark_partition_id() as p").groupBy("p").count().collect()]
+    assert sum(per) == 36_000_000 and len(per) > 2 and max(per) < 30_000_000
+    assert got.where("arc_id <> arc_order").count() == 0
+    measures = ["distance", "overlap", "turn", "position"]
+    pair = lambda x, f: tuple(x.where("shape = 4321 and arc_id = 1234").selectExpr(*[f.format(c) for c in measures]).first())
+    assert pair(got, "{}") == pair(plain, "round({}, 4)") != pair(plain, "{}")
+
+
+def test_the_query_rounds_before_copies_are_paired(spark):
+    from chronopath.plans.workload_queries import d11_ordered_arcs
+
+    plan = d11_ordered_arcs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "round(" not in plan.split("Generate")[0]
+
+
+def test_stretches_of_segments(spark):
+    """Segments that touch, cross, run side by side or miss, in batches of Arrow rows, against dense samples."""
+    rng = np.random.default_rng(8)
+    ends = [*rng.integers(-6, 7, (300, 8)).astype(float), np.array([0.0, 0, 9, 0, 0, 3, 9, 3]), np.array([0.0, 0, 0, 9, 3, 0, 3, 9]), np.array([0.0, 0, 9, 0, 0, 0, 9, 0]), np.array([0.0, 0, 9, 0, 4, -5, 4, 5])]
+    ends = [e for e in ends if (e[0], e[1]) != (e[2], e[3]) and (e[4], e[5]) != (e[6], e[7])]
+    rows = [(str(i), i, *map(float, e), 5.0, math.hypot(e[2] - e[0], e[3] - e[1])) for i, e in enumerate(ends)]
+    df = spark.createDataFrame(rows, f"arc_id string, shape int, {', '.join(c + ' double' for c in ENDS)}, poff double, plen double")
+    got = {r.shape: r for r in df.mapInArrow(near(3.0), "arc_id string, shape int, distance double, _lo double, _hi double").collect()}
+    for i, e in enumerate(ends):
+        a, b, c, d = (e[k : k + 2] for k in (0, 2, 4, 6))
+        apart_ = 0.0 if crosses(a, b, c, d) else min(point(a, c, d)[0], point(b, c, d)[0], point(c, a, b)[0], point(d, a, b)[0])
+        assert (i in got) == (apart_ <= 3.0)
+        if i in got:
+            size = math.hypot(*(b - a))
+            hit = [t for t in np.linspace(0, 1, 2001) if point(a + t * (b - a), c, d)[0] <= 3.0]
+            assert got[i].arc_id == str(i) and abs(got[i].distance - apart_) < 1e-9
+            assert not hit or abs(got[i]._lo - 5 - hit[0] * size) < 0.01 * size and abs(got[i]._hi - 5 - hit[-1] * size) < 0.01 * size
